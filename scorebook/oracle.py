@@ -150,3 +150,99 @@ one AS (SELECT * FROM er WHERE model_name = (SELECT min(model_name) FROM er)
         AND prompt_id = (SELECT min(prompt_id) FROM er WHERE model_name = (SELECT min(model_name) FROM er)))
 SELECT l.label, CAST(count(one.true_label) AS BIGINT) AS n
 FROM (VALUES {vals}) l(label) LEFT JOIN one ON one.true_label = l.label GROUP BY l.label"""
+
+
+# --- label parser (RE2 regexes; same character classes as the Spark parser) ---------
+
+def _parser_sql_parts():
+    from scorebook.config import LabelSpec
+    from scorebook.functions import labels as P
+    spec = LabelSpec()
+    table = P.alias_table(spec)
+
+    def lookup(key: str) -> str:
+        return "CASE " + key + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + " END"
+
+    def strip(x: str) -> str:
+        return f"regexp_replace({x}, {q(P.STRIP_RE)}, '', 'g')"
+
+    exact = "CASE lower(s) " + " ".join(
+        f"WHEN {q(x.lower())} THEN {q(x)}" for x in spec.labels) + " END"
+    json_keys = ", ".join(
+        lookup("lower(" + strip(f"json_extract_string(js, {q(chr(36) + '.' + chr(34) + k + chr(34))})") + ")")
+        for k in spec.json_keys)
+    alias = "CASE " + " ".join(
+        f"WHEN regexp_matches(s, {q(P.whole_words_re([x.lower(), *spec.aliases[x]]))}, 'i') THEN {q(x)}"
+        for x in spec.labels) + " END"
+    diag = f"regexp_extract(s, {q(P.diagnosis_re(False))}, 1, 'i')"
+    return lookup, strip, exact, json_keys, alias, diag
+
+
+def parse_labels_sql() -> str:
+    from scorebook.functions import labels as P
+    lookup, strip, exact, json_keys, alias, diag = _parser_sql_parts()
+    return f"""WITH {RO},
+st AS (SELECT doc_id, tmpl,
+         CASE WHEN raw_output IS NULL OR raw_output = '' THEN NULL ELSE {strip('raw_output')} END AS s
+       FROM ro),
+br AS (SELECT doc_id, tmpl, s, {exact} AS b1, {diag} AS cap,
+              regexp_extract(s, {q(P.JSON_RE)}, 0) AS js
+       FROM st),
+lab AS (SELECT doc_id, tmpl,
+  {exact} AS b1,
+  CASE WHEN cap <> '' THEN {lookup('lower(' + strip('cap') + ')')} END AS b2,
+  CASE WHEN js <> '' AND json_valid(js) THEN coalesce({json_keys}) END AS b3,
+  {alias} AS b4
+  FROM br)
+SELECT doc_id, tmpl, coalesce(b1, b2, b3, b4) AS predicted_label,
+       coalesce(b1, b2, b3, b4) IS NOT NULL AS parse_success,
+       CASE WHEN b1 IS NOT NULL THEN 1 WHEN b2 IS NOT NULL THEN 2 WHEN b3 IS NOT NULL THEN 3
+            WHEN b4 IS NOT NULL THEN 4 ELSE 0 END AS parse_branch
+FROM lab"""
+
+
+# --- pairwise McNemar: self-join on sample id ------------------------------------------
+
+def _pairs_cte() -> str:
+    return f"""ok AS (
+  SELECT {C}, model_name || ' / ' || prompt_id AS cond, sample_id,
+         coalesce(coalesce(predicted_label, '{NONE_LABEL}') = true_label, false) AS ok
+  FROM er WHERE model_name IS NOT NULL AND prompt_id IS NOT NULL AND sample_id IS NOT NULL),
+pc AS (
+  SELECT x.cond AS condition_a, y.cond AS condition_b,
+         x.model_name AS ma, x.prompt_id AS pa, y.model_name AS mb, y.prompt_id AS pb,
+         CAST(count(*) AS BIGINT) AS n_shared,
+         CAST(sum(CASE WHEN x.ok AND NOT y.ok THEN 1 ELSE 0 END) AS BIGINT) AS b_count,
+         CAST(sum(CASE WHEN NOT x.ok AND y.ok THEN 1 ELSE 0 END) AS BIGINT) AS c_count
+  FROM ok x JOIN ok y ON x.sample_id = y.sample_id
+   AND (x.model_name < y.model_name OR (x.model_name = y.model_name AND x.prompt_id < y.prompt_id))
+  GROUP BY 1, 2, 3, 4, 5, 6),
+pi AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY ma, pa, mb, pb) - 1 AS INT) AS pair_idx,
+    CASE WHEN b_count + c_count = 0 THEN CAST(0.0 AS DOUBLE)
+         ELSE CAST((abs(b_count - c_count) - 1) * (abs(b_count - c_count) - 1) AS DOUBLE)
+              / CAST(b_count + c_count AS DOUBLE) END AS chi2
+  FROM pc)"""
+
+
+def mcnemar_counts_sql() -> str:
+    return f"""WITH {ER}, {_pairs_cte()}
+SELECT condition_a, condition_b, n_shared, b_count, c_count, chi2, pair_idx FROM pi"""
+
+
+def mcnemar_sql() -> str:
+    from scorebook.functions.special import chi2_sf_1df_sql
+    inner = f"""WITH {ER}, {_pairs_cte()},
+pv AS (SELECT *, CASE WHEN b_count + c_count = 0 THEN CAST(1.0 AS DOUBLE)
+                      ELSE {chi2_sf_1df_sql('chi2')} END AS p_raw FROM pi),
+rk AS (SELECT *, count(*) OVER () AS m,
+              row_number() OVER (ORDER BY p_raw, pair_idx) AS rnk FROM pv),
+bh AS (SELECT *,
+  least(min(p_raw * m / rnk) OVER (ORDER BY p_raw DESC, pair_idx DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS p_bh,
+  least(min(p_raw * m / (pair_idx + 1)) OVER (ORDER BY p_raw DESC, pair_idx DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS p_bh_ref
+  FROM rk)
+SELECT condition_a, condition_b, n_shared, b_count, c_count, chi2, p_raw, p_bh, p_bh_ref,
+       p_bh < 0.05 AS significant_05, p_bh < 0.01 AS significant_01, pair_idx FROM bh"""
+    return rounded(inner, ["p_raw", "p_bh", "p_bh_ref"])

@@ -79,7 +79,7 @@ def run_full_analysis(results: DataFrame,
         from scorebook.operators.bootstrap import bootstrap_cis
         out.bootstrap_cis = bootstrap_cis(cells, labels, group_cols, n_bootstrap,
                                           list(bootstrap_metrics), seed=seed,
-                                          metrics=metrics)
+                                          metrics_table=metrics)
     if with_mcnemar:
         from scorebook.operators.compare import pairwise_mcnemar
         out.mcnemar_results = pairwise_mcnemar(results, group_cols)

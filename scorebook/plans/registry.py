@@ -59,3 +59,45 @@ def q_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("confusion_cells", oracle.confusion_cells_sql())
 def q_confusion_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion_cells(eval_results(spark, sf_dir), L, C)
+
+
+# --- step 2: label parser -------------------------------------------------------------
+
+@register("parse_labels", oracle.parse_labels_sql())
+def q_parse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.functions.labels import parse_labels
+    from scorebook.sources.fixtures import raw_outputs
+    out = parse_labels(raw_outputs(spark, sf_dir), "raw_output", with_branch=True)
+    return out.select("doc_id", "tmpl", "predicted_label", "parse_success", "parse_branch")
+
+
+# --- step 3: pairwise comparison ------------------------------------------------------
+
+@register("mcnemar_counts", oracle.mcnemar_counts_sql())
+def q_mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.compare import discordant_counts, mcnemar_chi2, pair_index
+    pairs = pair_index(discordant_counts(eval_results(spark, sf_dir), C))
+    return pairs.select("condition_a", "condition_b", "n_shared", "b_count", "c_count",
+                        mcnemar_chi2(F.col("b_count"), F.col("c_count")).alias("chi2"),
+                        "pair_idx")
+
+
+@register("mcnemar", oracle.mcnemar_sql())
+def q_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.compare import pairwise_mcnemar
+    out = pairwise_mcnemar(eval_results(spark, sf_dir), C)
+    return round_cols(out, ["p_raw", "p_bh", "p_bh_ref"])
+
+
+@register("mcnemar_selfjoin", oracle.mcnemar_sql())
+def q_mcnemar_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.compare import pairwise_mcnemar
+    out = pairwise_mcnemar(eval_results(spark, sf_dir), C, method="selfjoin")
+    return round_cols(out, ["p_raw", "p_bh", "p_bh_ref"])
+
+
+@register("bootstrap_cis")
+def q_bootstrap_cis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.bootstrap import bootstrap_cis
+    cells = confusion_cells_all(eval_results(spark, sf_dir), C)
+    return bootstrap_cis(cells, L, C, n_bootstrap=2000)
