@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.operators.cells import drop_null_keys
@@ -138,36 +138,13 @@ def ece_mce(reliability: DataFrame, n_rows: DataFrame, group_cols: Sequence[str]
 def auc_per_class(rows: DataFrame, labels: Sequence[str], group_cols: Sequence[str],
                   n_buckets: int = 4096) -> DataFrame:
     """One-vs-rest AUC per (condition, class), ties credited 1/2; null if one-sided."""
-    per_class = F.array(*[
-        F.struct(F.lit(i).alias("k"), F.col(f"p{i}").alias("score"),
-                 (F.col("true_idx") == i).cast("long").alias("pos"))
-        for i in range(len(labels))])
-    exploded = rows.select(*group_cols, F.inline(per_class))
-    ties = (exploded.groupBy(*group_cols, "k", "score")
-                    .agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg"))
-                    .withColumn("bucket", F.floor(F.col("score") * F.lit(float(n_buckets)))))
+    from scorebook.operators.roc import auc_from_prefix, prefix_below, score_ties
     key = [*group_cols, "k"]
-    # coarse level: negatives in all lower buckets (window over <= n_buckets rows per class)
-    buckets = ties.groupBy(*key, "bucket").agg(F.sum("neg").alias("bneg"))
-    wb = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(*key, "bucket",
-                             F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("neg_before"))
-    # fine level: negatives at lower scores inside the same bucket
-    ws = (Window.partitionBy(*key, "bucket").orderBy("score")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    fine = ties.withColumn("neg_in", F.coalesce(F.sum("neg").over(ws), F.lit(0)))
-    j = fine.join(buckets, [*key, "bucket"], "inner")
-    dec = "decimal(38,0)"
-    contrib = F.col("pos").cast(dec) * (
-        2 * (F.col("neg_before") + F.col("neg_in")).cast(dec) + F.col("neg").cast(dec))
-    agg = j.groupBy(*key).agg(F.sum(contrib).alias("u2"), F.sum("pos").alias("n_pos"),
-                              F.sum("neg").alias("n_neg"))
-    den = 2 * F.col("n_pos").cast(dec) * F.col("n_neg").cast(dec)
-    auc = F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(None).cast("double")) \
-        .otherwise(F.col("u2").cast("double") / den.cast("double"))
+    pre = prefix_below(score_ties(rows, len(labels), group_cols), key, n_buckets)
+    auc = auc_from_prefix(pre, key)
     names = F.array(*[F.lit(x) for x in labels])
-    return agg.select(*group_cols, F.element_at(names, F.col("k") + 1).alias("class"),
-                      F.col("k"), auc.alias("auc"), "n_pos", "n_neg")
+    return auc.select(*group_cols, F.element_at(names, F.col("k") + 1).alias("class"),
+                      "k", "auc", "n_pos", "n_neg")
 
 
 def macro_auc(per_class: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:

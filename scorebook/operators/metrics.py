@@ -128,3 +128,13 @@ def classification_metrics(cells: DataFrame, labels: Sequence[str],
     counts = condition_counts(cells, labels, group_cols)
     return (metrics_from_counts(counts, labels, group_cols),
             per_class_from_counts(counts, labels, group_cols))
+
+
+def pct_text(num: Column, den: Column) -> Column:
+    """``12.3%`` for num / den, rounded half-up on the exact ratio in integer
+    arithmetic (so the text does not depend on a float formatter); ``0.0%`` if den = 0."""
+    n, d = num.cast("long"), den.cast("long")
+    tenths = F.when(d == 0, F.lit(0).cast("long")).otherwise(
+        F.call_function("div", n * 2000 + d, d * 2))
+    return F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."),
+                    (tenths % 10).cast("string"), F.lit("%"))

@@ -246,3 +246,243 @@ bh AS (SELECT *,
 SELECT condition_a, condition_b, n_shared, b_count, c_count, chi2, p_raw, p_bh, p_bh_ref,
        p_bh < 0.05 AS significant_05, p_bh < 0.01 AS significant_01, pair_idx FROM bh"""
     return rounded(inner, ["p_raw", "p_bh", "p_bh_ref"])
+
+
+# --- cost, reports, calibration, figure tables ----------------------------------------
+
+NOTNULL = "model_name IS NOT NULL AND prompt_id IS NOT NULL"
+
+
+def pct_sql(num: str, den: str) -> str:
+    t = f"(CASE WHEN ({den}) = 0 THEN 0 ELSE (CAST({num} AS BIGINT) * 2000 + ({den})) // (CAST({den} AS BIGINT) * 2) END)"
+    return f"(CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%')"
+
+
+def cost_summary_sql() -> str:
+    return f"""WITH {ER}
+SELECT {C}, CAST(count(cost_nano) AS BIGINT) AS n_calls,
+  CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS total_input_tokens,
+  CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS total_output_tokens,
+  CAST(sum(cost_nano) AS DOUBLE) / 1e9 AS total_cost_usd,
+  (CAST(sum(cost_nano) AS DOUBLE) / 1e9) / count(cost_nano) AS avg_cost_per_sample_usd
+FROM er WHERE {NOTNULL} AND coalesce(cost_nano > 0, false) GROUP BY {C}"""
+
+
+def total_cost_sql() -> str:
+    return f"""WITH {ER}
+SELECT CAST(coalesce(sum(cost_nano), 0) AS DOUBLE) / 1e9 AS total_cost_usd,
+       CAST(count(*) AS BIGINT) AS n_calls
+FROM er WHERE coalesce(cost_nano > 0, false)"""
+
+
+def per_call_cost_sql() -> str:
+    from scorebook.sources.fixtures import FIXTURE_MODELS
+    vals = ", ".join(f"({q(mid)}, {rin}, {rout})" for (_, _, mid, _, rin, rout) in FIXTURE_MODELS)
+    return f"""WITH {ER}
+SELECT er.sample_id, er.model_name, er.prompt_id,
+  coalesce(er.input_tokens, 0) * coalesce(m.nin, 0) + coalesce(er.output_tokens, 0) * coalesce(m.nout, 0) AS cost_nano,
+  CAST(coalesce(er.input_tokens, 0) * coalesce(m.nin, 0) + coalesce(er.output_tokens, 0) * coalesce(m.nout, 0) AS DOUBLE) / 1e9 AS cost_usd
+FROM er LEFT JOIN (VALUES {vals}) m(model_id, nin, nout) ON er.model_id = m.model_id"""
+
+
+def parse_rate_sql() -> str:
+    return f"""WITH {ER}
+SELECT {C}, CAST(sum(CAST(parse_success AS BIGINT)) AS BIGINT) AS n_parsed,
+  CAST(count(*) AS BIGINT) AS n_total,
+  CAST(sum(CAST(parse_success AS BIGINT)) AS DOUBLE) / count(*) AS parse_rate,
+  {pct_sql('sum(CAST(parse_success AS BIGINT))', 'count(*)')} AS parse_rate_text
+FROM er WHERE {NOTNULL} GROUP BY {C}"""
+
+
+def parse_failures_sql() -> str:
+    return f"""WITH {ER}
+SELECT {C}, CAST(count_if(NOT parse_success) AS BIGINT) AS n_failed,
+  CAST(count(*) AS BIGINT) AS n_total,
+  count_if(NOT parse_success) * 100.0 / count(*) AS pct_failed
+FROM er WHERE {NOTNULL} GROUP BY {C}"""
+
+
+def class_counts_sql() -> str:
+    vals = ", ".join(f"({q(x)}, {i})" for i, x in enumerate(LABELS))
+    return f"""WITH {ER},
+s AS (SELECT DISTINCT sample_id, true_label FROM er),
+c AS (SELECT true_label AS label, count(*) AS n FROM s GROUP BY true_label)
+SELECT g.label, CAST(coalesce(c.n, 0) AS BIGINT) AS n, g.label_order
+FROM (VALUES {vals}) g(label, label_order) LEFT JOIN c USING (label)"""
+
+
+def distinct_sql(col: str) -> str:
+    return f"WITH {ER} SELECT DISTINCT {col} FROM er WHERE {col} IS NOT NULL"
+
+
+def workload_size_sql() -> str:
+    return f"""WITH {ER}
+SELECT n_samples, n_conditions, n_samples * n_conditions AS n_evaluations FROM
+ (SELECT CAST(count(*) AS BIGINT) AS n_samples FROM events) a,
+ (SELECT CAST(count(*) AS BIGINT) AS n_conditions FROM (SELECT DISTINCT {C} FROM er) d) b"""
+
+
+def _metrics_body() -> str:
+    return f"""{ER}, {CELLS}, {_counts_cte()}, {CHANCE}, {PROBS}, {AUC},
+met AS (
+SELECT cnt.model_name, cnt.prompt_id, n_total, n_parsed,
+  {_div("n_parsed", "n_total")} AS parse_rate,
+  {_div("n_correct", "n_total")} AS accuracy,
+  {_macro_f1()} AS macro_f1,
+  {KAPPA} AS kappa,
+  auc.roc_auc
+FROM cnt JOIN chance USING ({C}) LEFT JOIN auc USING ({C}))"""
+
+
+def _edges(n_bins: int = 10):
+    step = 1.0 / n_bins
+    return [i * step for i in range(n_bins)] + [1.0]
+
+
+def _bin_sql(conf: str, n_bins: int = 10) -> str:
+    e = _edges(n_bins)
+    parts = [f"WHEN isnan({conf}) OR {conf} < CAST('{e[0]!r}' AS DOUBLE) THEN NULL"]
+    for b in range(n_bins - 1):
+        parts.append(f"WHEN {conf} < CAST('{e[b + 1]!r}' AS DOUBLE) THEN {b}")
+    return "CASE " + " ".join(parts) + f" ELSE {n_bins - 1} END"
+
+
+def _calib_body(n_bins: int = 10) -> str:
+    conf = "greatest(" + ", ".join(f"p{i}" for i in range(K)) + ")"
+    argmax = "CASE " + " ".join(f"WHEN p{i} = conf THEN {i}" for i in range(K)) + " END"
+    sq = " + ".join(f"(p{i} - CASE WHEN true_idx = {i} THEN 1.0 ELSE 0.0 END) * (p{i} - CASE WHEN true_idx = {i} THEN 1.0 ELSE 0.0 END)" for i in range(K))
+    e = _edges(n_bins)
+    mids = ", ".join(f"({b}, CAST('{(e[b] + e[b + 1]) / 2!r}' AS DOUBLE))" for b in range(n_bins))
+    return f"""cf AS (SELECT *, {conf} AS conf FROM pr),
+bn AS (SELECT {C}, conf, CASE WHEN ({argmax}) = true_idx THEN 1 ELSE 0 END AS correct,
+              {_bin_sql('conf', n_bins)} AS bin FROM cf),
+st AS (SELECT {C}, bin, count(*) AS cnt, sum(conf) AS sum_conf, sum(correct) AS n_correct
+       FROM bn WHERE bin IS NOT NULL GROUP BY {C}, bin),
+br AS (SELECT {C}, sum({sq}) / (count(*) * {K}) AS brier_score,
+              CAST(count(*) AS BIGINT) AS n_calibration_samples FROM pr GROUP BY {C}),
+rel AS (SELECT br.model_name, br.prompt_id, g.bin, g.bin_mid,
+          CASE WHEN coalesce(st.cnt, 0) = 0 THEN 0.0 ELSE CAST(st.n_correct AS DOUBLE) / st.cnt END AS frac_correct,
+          CAST(coalesce(st.cnt, 0) AS BIGINT) AS count,
+          CASE WHEN coalesce(st.cnt, 0) = 0 THEN NULL ELSE st.sum_conf / st.cnt END AS avg_conf
+        FROM br CROSS JOIN (VALUES {mids}) g(bin, bin_mid)
+        LEFT JOIN st ON st.model_name = br.model_name AND st.prompt_id = br.prompt_id AND st.bin = g.bin),
+em AS (SELECT rel.model_name, rel.prompt_id,
+         sum(abs(avg_conf - frac_correct) * count / n_calibration_samples) AS ece,
+         max(abs(avg_conf - frac_correct)) AS mce
+       FROM rel JOIN br USING ({C}) WHERE count > 0 GROUP BY rel.model_name, rel.prompt_id),
+cal AS (SELECT br.model_name, br.prompt_id, coalesce(em.ece, 0.0) AS ece, coalesce(em.mce, 0.0) AS mce,
+          brier_score, auc.roc_auc, n_calibration_samples
+        FROM br LEFT JOIN em USING ({C}) LEFT JOIN auc USING ({C}))"""
+
+
+def calibration_sql() -> str:
+    return rounded(f"WITH {ER}, {PROBS}, {AUC}, {_calib_body()} SELECT * FROM cal",
+                   ["ece", "mce", "brier_score"])
+
+
+def reliability_sql() -> str:
+    return f"""WITH {ER}, {PROBS}, {AUC}, {_calib_body()}
+SELECT model_name, prompt_id, CAST(bin AS INT) AS bin, bin_mid, frac_correct, count FROM rel"""
+
+
+def auc_per_class_sql() -> str:
+    cls = "CASE k " + " ".join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(LABELS)) + " END"
+    return f"""WITH {ER}, {PROBS}, {AUC}
+SELECT {C}, {cls} AS class, auc, n_pos, n_neg FROM auc_k"""
+
+
+def table1_join_sql() -> str:
+    inner = f"""WITH {_metrics_body()}, {_calib_body()}
+SELECT met.*, cal.ece, cal.mce, cal.brier_score FROM met LEFT JOIN cal USING ({C})"""
+    return rounded(inner, ["ece", "mce", "brier_score"])
+
+
+def best_prompt_sql() -> str:
+    return f"""WITH {_metrics_body()}
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model_name
+  ORDER BY macro_f1 DESC NULLS LAST, prompt_id ASC) AS rn FROM met) t WHERE rn = 1"""
+
+
+def table2_semi_sql() -> str:
+    return f"""WITH {_metrics_body()},
+best AS (SELECT model_name, prompt_id FROM (SELECT *, row_number() OVER (PARTITION BY model_name
+  ORDER BY macro_f1 DESC NULLS LAST, prompt_id ASC) AS rn FROM met) t WHERE rn = 1),
+pcm AS ({per_class_body()})
+SELECT * FROM pcm WHERE (model_name, prompt_id) IN (SELECT (model_name, prompt_id) FROM best)"""
+
+
+def per_class_body() -> str:
+    rows = []
+    for i, x in enumerate(LABELS):
+        fp, fn = f"(colm_{i} - tp_{i})", f"(rowm_{i} - tp_{i})"
+        tn = f"(n_matrix - tp_{i} - {fn} - {fp})"
+        rows.append(f"""SELECT {C}, {q(x)} AS class, {_f1(i)} AS f1,
+  {_div(f"tp_{i}", f"rowm_{i}")} AS sensitivity,
+  {_div(tn, f"{tn} + {fp}")} AS specificity,
+  {_div(f"tp_{i}", f"row_{i}")} AS recall_all FROM cnt""")
+    return "\nUNION ALL\n".join(rows)
+
+
+def best_condition_sql() -> str:
+    return f"""WITH {_metrics_body()}
+SELECT * FROM met ORDER BY macro_f1 DESC NULLS LAST, model_name, prompt_id LIMIT 1"""
+
+
+def significant_pairs_sql() -> str:
+    inner = mcnemar_sql()
+    return f"""SELECT CAST(count(*) AS BIGINT) AS n_pairs,
+  CAST(count_if(significant_05) AS BIGINT) AS n_significant_05,
+  CAST(count_if(significant_01) AS BIGINT) AS n_significant_01 FROM ({inner}) t"""
+
+
+def row_normalised_sql() -> str:
+    body = confusion_cells_sql()
+    return f"""SELECT * EXCLUDE (rs), CASE WHEN rs = 0 THEN 0.0 ELSE CAST(n AS DOUBLE) / rs END AS share,
+  {pct_sql('n', 'rs')} || chr(10) || '(' || CAST(n AS VARCHAR) || ')' AS text
+FROM (SELECT *, sum(n) OVER (PARTITION BY model_name, prompt_id, true_label) AS rs FROM ({body}) c) t"""
+
+
+def _short_sql(x: str, n: int = 20) -> str:
+    last = f"string_split({x}, '/')[-1]"
+    return f"(CASE WHEN length({last}) > {n} THEN left({last}, {n}) || '…' ELSE {last} END)"
+
+
+def condition_names_sql() -> str:
+    return f"""WITH {ER}
+SELECT DISTINCT model_name, prompt_id, model_name || ' / ' || prompt_id AS condition,
+  {_short_sql('model_name')} AS short_model,
+  {_short_sql('model_name')} || chr(10) || prompt_id AS two_line_label,
+  replace(replace(model_name, '/', '-'), ' ', '_') || '_' || prompt_id AS file_stem
+FROM er WHERE {NOTNULL}"""
+
+
+def heat_pivot_sql() -> str:
+    cols = ", ".join(f"avg(CASE WHEN class = {q(x)} THEN f1 END) AS \"{x}\"" for x in LABELS)
+    return f"""WITH {ER}, {CELLS}, {_counts_cte()}, pcm AS ({per_class_body()})
+SELECT {C}, {_short_sql('model_name')} || ' / ' || {_short_sql('prompt_id')} AS condition, {cols}
+FROM pcm GROUP BY {C}"""
+
+
+def bar_grid_sql() -> str:
+    return f"""WITH {_metrics_body()},
+g AS (SELECT * FROM (SELECT DISTINCT model_name FROM met) a, (SELECT DISTINCT prompt_id FROM met) b)
+SELECT g.model_name, g.prompt_id, coalesce(met.macro_f1, 0.0) AS value,
+  CASE WHEN met.macro_f1 IS NULL THEN 0.0 END AS err_low,
+  CASE WHEN met.macro_f1 IS NULL THEN 0.0 END AS err_high
+FROM g LEFT JOIN met USING ({C})"""
+
+
+def ci_table_sql() -> str:
+    return f"""WITH {_metrics_body()}
+SELECT {C}, macro_f1 AS macro_f1_point, CAST(NULL AS DOUBLE) AS macro_f1_ci_lower,
+  CAST(NULL AS DOUBLE) AS macro_f1_ci_upper,
+  {_short_sql('model_name')} || ' / ' || {_short_sql('prompt_id')} AS label,
+  CAST(row_number() OVER (ORDER BY macro_f1 ASC NULLS FIRST, model_name, prompt_id) - 1 AS INT) AS position
+FROM met"""
+
+
+def cost_grid_sql() -> str:
+    return f"""WITH cs AS ({cost_summary_sql()}),
+g AS (SELECT * FROM (SELECT DISTINCT model_name FROM cs) a, (SELECT DISTINCT prompt_id FROM cs) b)
+SELECT g.model_name, g.prompt_id, coalesce(cs.total_cost_usd, 0.0) AS total_cost_usd
+FROM g LEFT JOIN cs USING ({C})"""

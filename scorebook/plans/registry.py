@@ -101,3 +101,166 @@ def q_bootstrap_cis(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorebook.operators.bootstrap import bootstrap_cis
     cells = confusion_cells_all(eval_results(spark, sf_dir), C)
     return bootstrap_cis(cells, L, C, n_bootstrap=2000)
+
+
+# --- step 4: calibration --------------------------------------------------------------
+
+def _calibration(spark: SparkSession, sf_dir: str):
+    return calibration_metrics(eval_results(spark, sf_dir), PROB_COLS, C)
+
+
+@register("calibration", oracle.calibration_sql())
+def q_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_cols(_calibration(spark, sf_dir).calibration, ["ece", "mce", "brier_score"])
+
+
+@register("reliability_bins", oracle.reliability_sql())
+def q_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibration(spark, sf_dir).reliability
+
+
+@register("auc_per_class", oracle.auc_per_class_sql())
+def q_auc_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibration(spark, sf_dir).auc_per_class
+
+
+# --- step 6: cost and report tables ---------------------------------------------------
+
+@register("cost_summary", oracle.cost_summary_sql())
+def q_cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.cost import cost_summary
+    return cost_summary(eval_results(spark, sf_dir), C, nano_col="cost_nano")
+
+
+@register("total_cost", oracle.total_cost_sql())
+def q_total_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.cost import total_cost
+    return total_cost(eval_results(spark, sf_dir), nano_col="cost_nano")
+
+
+@register("per_call_cost", oracle.per_call_cost_sql())
+def q_per_call_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.cost import per_call_cost
+    from scorebook.sources.config import fixture_models
+    er = eval_results(spark, sf_dir).drop("cost_nano")
+    out = per_call_cost(er, fixture_models(spark))
+    return out.select("sample_id", "model_name", "prompt_id", "cost_nano", "cost_usd")
+
+
+@register("parse_rate", oracle.parse_rate_sql())
+def q_parse_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import parse_rate_report
+    return parse_rate_report(eval_results(spark, sf_dir), C)
+
+
+@register("parse_failures", oracle.parse_failures_sql())
+def q_parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import parse_failures
+    return parse_failures(eval_results(spark, sf_dir), C)
+
+
+@register("class_counts", oracle.class_counts_sql())
+def q_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import class_counts
+    return class_counts(eval_results(spark, sf_dir), L, label_col="true_label", id_col="sample_id")
+
+
+@register("distinct_models", oracle.distinct_sql("model_name"))
+def q_distinct_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import distinct_values
+    return distinct_values(eval_results(spark, sf_dir), "model_name")
+
+
+@register("distinct_prompts", oracle.distinct_sql("prompt_id"))
+def q_distinct_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import distinct_values
+    return distinct_values(eval_results(spark, sf_dir), "prompt_id")
+
+
+@register("workload_size", oracle.workload_size_sql())
+def q_workload_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import workload_size
+    samples = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    conds = eval_results(spark, sf_dir).select(*C).distinct()
+    return workload_size(samples, conds)
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_metrics(spark, sf_dir)
+
+
+@register("table1_join", oracle.table1_join_sql())
+def q_table1_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import table1
+    cal = _calibration(spark, sf_dir).calibration.select(*C, "ece", "mce", "brier_score")
+    return round_cols(table1(_metrics(spark, sf_dir), cal, C), ["ece", "mce", "brier_score"])
+
+
+@register("best_prompt", oracle.best_prompt_sql())
+def q_best_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import best_prompt_per_model
+    return best_prompt_per_model(_metrics(spark, sf_dir))
+
+
+@register("table2_semi", oracle.table2_semi_sql())
+def q_table2_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import best_prompt_per_model, table2
+    best = best_prompt_per_model(_metrics(spark, sf_dir))
+    return table2(q_per_class(spark, sf_dir), best, C)
+
+
+@register("best_condition", oracle.best_condition_sql())
+def q_best_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.plans.report import best_condition
+    return best_condition(_metrics(spark, sf_dir), C)
+
+
+@register("significant_pairs", oracle.significant_pairs_sql())
+def q_significant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.compare import pairwise_mcnemar
+    from scorebook.plans.report import significant_pair_counts
+    return significant_pair_counts(pairwise_mcnemar(eval_results(spark, sf_dir), C))
+
+
+# --- step 7: figure tables ------------------------------------------------------------
+
+@register("row_normalised", oracle.row_normalised_sql())
+def q_row_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.figdata import row_normalised
+    return row_normalised(q_confusion_cells(spark, sf_dir), C)
+
+
+@register("condition_names", oracle.condition_names_sql())
+def q_condition_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.compare import condition_key
+    from scorebook.operators.figdata import condition_label, file_safe, short_name
+    conds = eval_results(spark, sf_dir).select(*C).dropna().distinct()
+    return conds.select(*C, condition_key(C).alias("condition"),
+                        short_name(F.col("model_name")).alias("short_model"),
+                        condition_label(F.col("model_name"), F.col("prompt_id")).alias("two_line_label"),
+                        F.concat(file_safe(F.col("model_name")), F.lit("_"), F.col("prompt_id"))
+                        .alias("file_stem"))
+
+
+@register("heat_pivot", oracle.heat_pivot_sql())
+def q_heat_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.figdata import heat_pivot
+    return heat_pivot(q_per_class(spark, sf_dir), L, "f1", C)
+
+
+@register("bar_grid", oracle.bar_grid_sql())
+def q_bar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.figdata import bar_grid
+    return bar_grid(_metrics(spark, sf_dir), None, "macro_f1")
+
+
+@register("ci_table", oracle.ci_table_sql())
+def q_ci_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.figdata import ci_table
+    return ci_table(_metrics(spark, sf_dir), None, "macro_f1", C)
+
+
+@register("cost_grid", oracle.cost_grid_sql())
+def q_cost_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.figdata import cost_grid
+    return cost_grid(q_cost_summary(spark, sf_dir))
