@@ -108,18 +108,22 @@ def roc_macro_grid(points: DataFrame, labels: Sequence[str], group_cols: Sequenc
     k = len(labels)
     p = points.withColumn("g", grid_bin(F.col("fpr"), grid_points))
     xg = grid_x(F.col("g"), grid_points)
+    on_x = F.col("fpr") <= xg            # inside bin g this means fpr == x_g
     per_bin = p.groupBy(*key, "g").agg(
-        F.max("fpr").alias("l_fpr"), F.max("tpr").alias("l_tpr"),
-        F.min(F.when(F.col("fpr") > xg, F.col("fpr"))).alias("rs_fpr"),
-        F.min(F.when(F.col("fpr") > xg, F.col("tpr"))).alias("rs_tpr"),
+        F.max(F.when(on_x, F.col("fpr"))).alias("le_fpr"),
+        F.max(F.when(on_x, F.col("tpr"))).alias("le_tpr"),
+        F.max("fpr").alias("la_fpr"), F.max("tpr").alias("la_tpr"),
+        F.min(F.when(~on_x, F.col("fpr"))).alias("rs_fpr"),
+        F.min(F.when(~on_x, F.col("tpr"))).alias("rs_tpr"),
         F.min("fpr").alias("ra_fpr"), F.min("tpr").alias("ra_tpr"))
     grid = F.array(*[F.lit(g) for g in range(grid_points)])
     full = points.select(*key).distinct().select(*key, F.explode(grid).alias("g"))
     t = full.join(per_bin, [*key, "g"], "left")
-    upto = Window.partitionBy(*key).orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*key).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*key).orderBy("g").rowsBetween(1, Window.unboundedFollowing)
     t = t.select(*key, "g",
-                 F.max("l_fpr").over(upto).alias("xl"), F.max("l_tpr").over(upto).alias("yl"),
+                 F.greatest(F.col("le_fpr"), F.max("la_fpr").over(before)).alias("xl"),
+                 F.greatest(F.col("le_tpr"), F.max("la_tpr").over(before)).alias("yl"),
                  F.least(F.col("rs_fpr"), F.min("ra_fpr").over(after)).alias("xr"),
                  F.least(F.col("rs_tpr"), F.min("ra_tpr").over(after)).alias("yr"))
     x = grid_x(F.col("g"), grid_points)

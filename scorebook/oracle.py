@@ -486,3 +486,60 @@ def cost_grid_sql() -> str:
 g AS (SELECT * FROM (SELECT DISTINCT model_name FROM cs) a, (SELECT DISTINCT prompt_id FROM cs) b)
 SELECT g.model_name, g.prompt_id, coalesce(cs.total_cost_usd, 0.0) AS total_cost_usd
 FROM g LEFT JOIN cs USING ({C})"""
+
+
+# --- ROC curves (one curve per model, prompts pooled) ---------------------------------
+
+def _roc_points_body() -> str:
+    return f"""rt AS (
+  SELECT model_name, k, score, sum(pos) AS pos, sum(1 - pos) AS neg FROM (
+    {" UNION ALL ".join(f"SELECT model_name, {i} AS k, p{i} AS score, CASE WHEN true_idx = {i} THEN 1 ELSE 0 END AS pos FROM pr" for i in range(K))}
+  ) x GROUP BY model_name, k, score),
+rc AS (SELECT *,
+  coalesce(sum(pos) OVER (PARTITION BY model_name, k ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pb,
+  coalesce(sum(neg) OVER (PARTITION BY model_name, k ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+  FROM rt),
+rtot AS (SELECT model_name, k, sum(pos) AS np, sum(neg) AS nn FROM rt GROUP BY model_name, k
+         HAVING sum(pos) > 0 AND sum(neg) > 0),
+pts AS (
+  SELECT model_name, k, score AS threshold, CAST(nn - nb AS DOUBLE) / nn AS fpr,
+         CAST(np - pb AS DOUBLE) / np AS tpr FROM rc JOIN rtot USING (model_name, k)
+  UNION ALL
+  SELECT model_name, k, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM rtot)"""
+
+
+def roc_points_sql() -> str:
+    cls = "CASE k " + " ".join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(LABELS)) + " END"
+    return f"""WITH {ER}, {PROBS}, {_roc_points_body()}
+SELECT model_name, {cls} AS class, CAST(k AS INT) AS k, threshold, fpr, tpr FROM pts"""
+
+
+def _roc_grid_body(grid_points: int = 200) -> str:
+    step = 1.0 / (grid_points - 1)
+    xg = f"(CASE WHEN g = {grid_points - 1} THEN 1.0 ELSE CAST(g AS DOUBLE) * CAST('{step!r}' AS DOUBLE) END)"
+    mean = "(" + " + ".join(f"max(CASE WHEN k = {i} THEN tpr END)" for i in range(K)) + f") / CAST({K} AS DOUBLE)"
+    return f"""gr AS (SELECT g, {xg} AS x FROM range({grid_points}) r(g)),
+keys AS (SELECT DISTINCT model_name, k FROM pts),
+lr AS (SELECT keys.model_name, keys.k, gr.g, gr.x,
+  (SELECT max(fpr) FROM pts WHERE pts.model_name = keys.model_name AND pts.k = keys.k AND pts.fpr <= gr.x) AS xl,
+  (SELECT max(tpr) FROM pts WHERE pts.model_name = keys.model_name AND pts.k = keys.k AND pts.fpr <= gr.x) AS yl,
+  (SELECT min(fpr) FROM pts WHERE pts.model_name = keys.model_name AND pts.k = keys.k AND pts.fpr > gr.x) AS xr,
+  (SELECT min(tpr) FROM pts WHERE pts.model_name = keys.model_name AND pts.k = keys.k AND pts.fpr > gr.x) AS yr
+  FROM keys, gr),
+iv AS (SELECT model_name, k, g, x,
+  CASE WHEN xr IS NULL THEN yl ELSE (yr - yl) / (xr - xl) * (x - xl) + yl END AS tpr FROM lr),
+curve AS (SELECT model_name, CAST(g AS INT) AS g, x AS fpr, {mean} AS mean_tpr
+          FROM iv GROUP BY model_name, g, x)"""
+
+
+def roc_macro_grid_sql() -> str:
+    return rounded(f"""WITH {ER}, {PROBS}, {_roc_points_body()}, {_roc_grid_body()}
+SELECT * FROM curve""", ["mean_tpr"])
+
+
+def roc_macro_auc_sql() -> str:
+    return rounded(f"""WITH {ER}, {PROBS}, {_roc_points_body()}, {_roc_grid_body()}
+SELECT model_name, sum(area) AS macro_auc FROM (
+  SELECT model_name, (fpr - lag(fpr) OVER (PARTITION BY model_name ORDER BY g))
+       * (mean_tpr + lag(mean_tpr) OVER (PARTITION BY model_name ORDER BY g)) / 2.0 AS area
+  FROM curve) a GROUP BY model_name""", ["macro_auc"])

@@ -264,3 +264,25 @@ def q_ci_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_cost_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorebook.operators.figdata import cost_grid
     return cost_grid(q_cost_summary(spark, sf_dir))
+
+
+@register("roc_points", oracle.roc_points_sql())
+def q_roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.roc import roc_points
+    return roc_points(eval_results(spark, sf_dir), PROB_COLS, ["model_name"])
+
+
+def _roc_grid(spark: SparkSession, sf_dir: str):
+    from scorebook.operators.roc import roc_macro_grid, roc_points
+    pts = roc_points(eval_results(spark, sf_dir), PROB_COLS, ["model_name"])
+    return roc_macro_grid(pts, L, ["model_name"])
+
+
+@register("roc_macro_grid", oracle.roc_macro_grid_sql())
+def q_roc_macro_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_cols(_roc_grid(spark, sf_dir)[0], ["mean_tpr"])
+
+
+@register("roc_macro_auc", oracle.roc_macro_auc_sql())
+def q_roc_macro_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_cols(_roc_grid(spark, sf_dir)[1], ["macro_auc"])
