@@ -543,3 +543,64 @@ SELECT model_name, sum(area) AS macro_auc FROM (
   SELECT model_name, (fpr - lag(fpr) OVER (PARTITION BY model_name ORDER BY g))
        * (mean_tpr + lag(mean_tpr) OVER (PARTITION BY model_name ORDER BY g)) / 2.0 AS area
   FROM curve) a GROUP BY model_name""", ["macro_auc"])
+
+
+# --- sources, experiment expansion, inference helpers ---------------------------------
+
+SAMPLES = """smp AS (
+  SELECT CAST(event_id AS VARCHAR) AS sample_id,
+    'images/' || lab || '/' || CAST(event_id AS VARCHAR) || '.png' AS image_path, lab AS label
+  FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'ASD' WHEN 'view' THEN 'VSD'
+          WHEN 'purchase' THEN 'PDA' ELSE 'Normal' END AS lab FROM events) e)"""
+
+
+def _fixture_conditions_values(extra: bool = False) -> str:
+    from scorebook.sources.fixtures import FIXTURE_MODELS, FIXTURE_PROMPTS
+    models = [(name, mid, backend) for (_, name, mid, backend, _, _) in FIXTURE_MODELS]
+    if extra:
+        models.append(("org/Open-27B", "org/open-27b", "local"))
+    return ", ".join(f"({q(n)}, {q(m)}, {q(b)}, {q(p)})"
+                     for (n, m, b) in models for (_, p) in FIXTURE_PROMPTS)
+
+
+def experiment_cross_sql() -> str:
+    return f"""WITH {SAMPLES}
+SELECT smp.sample_id, smp.label, c.model_name, c.model_id, c.prompt_id
+FROM smp CROSS JOIN (VALUES {_fixture_conditions_values()}) c(model_name, model_id, backend, prompt_id)"""
+
+
+def resume_anti_sql() -> str:
+    return f"""WITH {ER}
+SELECT c.model_name, c.model_id, c.backend, c.prompt_id
+FROM (VALUES {_fixture_conditions_values(extra=True)}) c(model_name, model_id, backend, prompt_id)
+WHERE NOT EXISTS (SELECT 1 FROM er WHERE er.model_name = c.model_name AND er.prompt_id = c.prompt_id)"""
+
+
+def stratified_n_sql(n: int = 25) -> str:
+    return f"""WITH {SAMPLES}
+SELECT sample_id, image_path, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(sample_id), sample_id) AS r FROM smp) t
+WHERE r <= {n}"""
+
+
+def merge_runs_sql() -> str:
+    return f"""WITH {ER}
+SELECT * FROM er WHERE backend = 'api'
+UNION ALL BY NAME
+SELECT sample_id, true_label, predicted_label, parse_success, model_name, prompt_id
+FROM er WHERE backend = 'local'"""
+
+
+def request_payload_sql() -> str:
+    image = ("json_object('type', 'image_url', 'image_url', json_object('url', "
+             "'data:image/jpeg;base64,' || to_base64(encode(text))))")
+    text = "json_object('type', 'text', 'text', 'Describe: ' || lang)"
+    msg = f"json_object('role', 'user', 'content', json_array({image}, {text}))"
+    body = f"json_object('model', 'api-a-2024', 'max_tokens', 512, 'messages', json_array({msg}))"
+    return f"""SELECT doc_id, CAST({body} AS VARCHAR) AS payload
+FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL"""
+
+
+def media_token_sql() -> str:
+    return """SELECT doc_id, CASE WHEN position('<image>' IN text) > 0 THEN text
+  ELSE '<image>' || chr(10) || text END AS prompt FROM documents"""

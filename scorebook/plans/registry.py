@@ -286,3 +286,105 @@ def q_roc_macro_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("roc_macro_auc", oracle.roc_macro_auc_sql())
 def q_roc_macro_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_cols(_roc_grid(spark, sf_dir)[1], ["macro_auc"])
+
+
+# --- step 8: sources, experiment expansion ---------------------------------------------
+
+def _fixture_conditions(spark: SparkSession, extra: bool = False) -> DataFrame:
+    from scorebook.sources.config import conditions_frame, fixture_models, models_frame, prompts_frame
+    from scorebook.sources.fixtures import FIXTURE_PROMPT_TEXTS
+    models = fixture_models(spark)
+    if extra:
+        models = models.unionByName(models_frame(spark, [
+            {"model_id": "org/open-27b", "display_name": "org/Open-27B", "backend": "local"}]))
+    prompts = prompts_frame(spark, FIXTURE_PROMPT_TEXTS)
+    return conditions_frame(models, None, prompts).select(
+        F.col("display_name").alias("model_name"), "model_id", "backend", "prompt_id")
+
+
+@register("experiment_cross", oracle.experiment_cross_sql())
+def q_experiment_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.inference import expand_conditions
+    from scorebook.sources.fixtures import fixture_samples
+    rows = expand_conditions(fixture_samples(spark, sf_dir), _fixture_conditions(spark))
+    return rows.select("sample_id", "label", "model_name", "model_id", "prompt_id")
+
+
+@register("resume_anti", oracle.resume_anti_sql())
+def q_resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.sources.config import remaining_conditions
+    return remaining_conditions(_fixture_conditions(spark, extra=True),
+                                eval_results(spark, sf_dir), C)
+
+
+@register("stratified_n", oracle.stratified_n_sql(25))
+def q_stratified_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.sources.fixtures import fixture_samples
+    from scorebook.sources.samples import stratified_n
+    return stratified_n(fixture_samples(spark, sf_dir), 25)
+
+
+@register("merge_runs", oracle.merge_runs_sql())
+def q_merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.sources.results import merge_runs
+    er = eval_results(spark, sf_dir)
+    legacy = er.filter("backend = 'local'").select(
+        "sample_id", "true_label", "predicted_label", "parse_success", "model_name", "prompt_id")
+    return merge_runs(er.filter("backend = 'api'"), legacy)
+
+
+@register("request_payload", oracle.request_payload_sql())
+def q_request_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.inference import image_request_payload
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang") \
+        .filter("text IS NOT NULL AND lang IS NOT NULL")
+    docs = docs.select("doc_id", F.encode("text", "UTF-8").alias("content"),
+                       F.concat(F.lit("Describe: "), F.col("lang")).alias("prompt"))
+    return docs.select("doc_id", image_request_payload("content", "prompt", "api-a-2024")
+                       .alias("payload"))
+
+
+@register("media_token", oracle.media_token_sql())
+def q_media_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.inference import with_media_token
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.select("doc_id", with_media_token(F.col("text")).alias("prompt"))
+
+
+class KeywordPredictor:
+    """Deterministic stand-in model for the registered inference query: answers from
+    the text it is shown (first class word found, else a CoT-style guess)."""
+
+    words = ("atrial", "ventricular", "ductus", "normal")
+
+    def load(self) -> None:
+        self.loaded = True
+
+    def unload(self) -> None:
+        self.loaded = False
+
+    def predict(self, content, prompt):
+        text = (bytes(content).decode("utf-8", "replace") if content is not None else "").lower()
+        hits = [w for w in self.words if w in text]
+        answer = f"DIAGNOSIS: {['ASD', 'VSD', 'PDA', 'Normal'][len(text) % 4]}" if not hits \
+            else f"Findings: {hits[0]} pattern."
+        return {"raw_output": answer, "input_tokens": len(text) // 4 + len(prompt) // 4,
+                "output_tokens": len(answer) // 4, "cost_usd": 0.0, "latency_s": 0.0}
+
+
+@register("batch_inference")
+def q_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.functions.labels import parse_labels
+    from scorebook.operators.inference import batch_inference, expand_conditions
+    from scorebook.sources.fixtures import spread
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    samples = docs.select(F.col("doc_id").cast("string").alias("sample_id"),
+                          F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    conds = _fixture_conditions(spark).filter("prompt_id IN ('ZSD', 'CoT')") \
+        .withColumn("prompt_text", F.concat(F.lit("Classify: "), F.col("prompt_id")))
+    rows = expand_conditions(samples, conds)
+    out = batch_inference(rows, lambda _m: KeywordPredictor(), prompt_col="prompt_text",
+                          content_col="content",
+                          keep_cols=["sample_id", "model_name", "model_id", "prompt_id"],
+                          model_col="model_id", base_delay_s=0.0)
+    return parse_labels(out, "raw_output")

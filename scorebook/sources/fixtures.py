@@ -201,3 +201,30 @@ SELECT doc_id, CAST(doc_id % 16 AS INT) AS tmpl,
     ELSE text END AS raw_output
 FROM documents
 """
+
+
+# --- fixed values: fixture prompt texts (invented placeholders, one per prompt id) ----
+FIXTURE_PROMPT_TEXTS = {
+    "ZSD": "Classify the image as ASD, VSD, PDA or Normal.",
+    "RCE": "You are an expert reader. Classify the image as ASD, VSD, PDA or Normal.",
+    "CoT": "Reason step by step, then answer with DIAGNOSIS: <label>.",
+    "RAC": "Answer in JSON with a 'diagnosis' key.",
+}
+# -----------------------------------------------------------------------------------
+
+
+def samples_from_events(events: DataFrame) -> DataFrame:
+    """Labelled samples (one per event): id, a path-like string and the class label."""
+    et = F.col("event_type")
+    ti = F.when(et == "click", 0).when(et == "view", 1).when(et == "purchase", 2).otherwise(3)
+    label = _label_of(ti)
+    return events.select(
+        F.col("event_id").cast("string").alias("sample_id"),
+        F.concat(F.lit("images/"), label, F.lit("/"), F.col("event_id").cast("string"),
+                 F.lit(".png")).alias("image_path"),
+        label.alias("label"))
+
+
+def fixture_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    return samples_from_events(spread(events))
