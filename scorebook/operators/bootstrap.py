@@ -57,6 +57,9 @@ def _replicate_fn(labels: Sequence[str], group_cols: Sequence[str], metrics: Seq
     k = len(labels)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # draws are assigned to cells in a fixed order, whatever order the rows arrive in
+        pdf = pdf.sort_values(["true_label", "predicted_label"], kind="mergesort") \
+                 .reset_index(drop=True)
         key = " / ".join(str(pdf[c].iloc[0]) for c in group_cols)
         block = int(pdf["block"].iloc[0])
         first = block * block_size

@@ -68,7 +68,8 @@ def expand_conditions(samples: DataFrame, conditions: DataFrame) -> DataFrame:
     structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields])
                for r in rows]
     if not structs:
-        return samples.limit(0)
+        return samples.limit(0).select(
+            "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
     return samples.select("*", F.inline(F.array(*structs)))
 
 

@@ -351,27 +351,6 @@ def q_media_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", with_media_token(F.col("text")).alias("prompt"))
 
 
-class KeywordPredictor:
-    """Deterministic stand-in model for the registered inference query: answers from
-    the text it is shown (first class word found, else a CoT-style guess)."""
-
-    words = ("atrial", "ventricular", "ductus", "normal")
-
-    def load(self) -> None:
-        self.loaded = True
-
-    def unload(self) -> None:
-        self.loaded = False
-
-    def predict(self, content, prompt):
-        text = (bytes(content).decode("utf-8", "replace") if content is not None else "").lower()
-        hits = [w for w in self.words if w in text]
-        answer = f"DIAGNOSIS: {['ASD', 'VSD', 'PDA', 'Normal'][len(text) % 4]}" if not hits \
-            else f"Findings: {hits[0]} pattern."
-        return {"raw_output": answer, "input_tokens": len(text) // 4 + len(prompt) // 4,
-                "output_tokens": len(answer) // 4, "cost_usd": 0.0, "latency_s": 0.0}
-
-
 @register("batch_inference")
 def q_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorebook.functions.labels import parse_labels
@@ -383,7 +362,8 @@ def q_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     conds = _fixture_conditions(spark).filter("prompt_id IN ('ZSD', 'CoT')") \
         .withColumn("prompt_text", F.concat(F.lit("Classify: "), F.col("prompt_id")))
     rows = expand_conditions(samples, conds)
-    out = batch_inference(rows, lambda _m: KeywordPredictor(), prompt_col="prompt_text",
+    from scorebook.testing import KeywordPredictor
+    out = batch_inference(rows, KeywordPredictor, prompt_col="prompt_text",
                           content_col="content",
                           keep_cols=["sample_id", "model_name", "model_id", "prompt_id"],
                           model_col="model_id", base_delay_s=0.0)

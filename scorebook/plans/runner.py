@@ -64,6 +64,9 @@ def run_experiment(spark: SparkSession, samples: DataFrame, models: DataFrame,
         from scorebook.sources.samples import stratified_n
         per_label = max(1, -(-max_samples // len(spec.labels)))
         samples = stratified_n(samples, per_label)
+    if done is not None and conds.isEmpty():
+        return RunOutput(results=done, parse_rates=parse_rate_report(done, C),
+                         cost=cost_summary(done, C))
     rows = expand_conditions(samples, conds)
     keep = ["sample_id", "image_path", "label", "model_name", "model_id", "backend", "prompt_id"]
     keep = [c for c in keep if c in rows.columns]
