@@ -131,3 +131,73 @@ def bootstrap_cis(cells: DataFrame, labels: Sequence[str], group_cols: Sequence[
     for m in metrics:
         order += [f"{m}_point", f"{m}_ci_lower", f"{m}_ci_upper"]
     return out.select(*order)
+
+
+# --- B2: row-weighted Poisson bootstrap -------------------------------------------------
+
+def _poisson1_cdf(max_k: int = 18) -> list[float]:
+    """P(X <= k) for X ~ Poisson(1), k = 0..max_k (the tail beyond is < 1e-16)."""
+    import math
+    out, term, acc = [], math.exp(-1.0), 0.0
+    for k in range(max_k + 1):
+        if k > 0:
+            term /= k
+        acc += term
+        out.append(acc)
+    return out
+
+
+POISSON1_CDF = _poisson1_cdf()
+
+
+def uniform_from_key(key) -> "F.Column":
+    """Uniform in [0, 1) from the first 52 bits of md5(key): the same value in any
+    engine that has md5, so the weights can be recomputed independently."""
+    bits = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
+    return bits.cast("double") / F.lit(float(2 ** 52))
+
+
+def poisson1_weight(u) -> "F.Column":
+    """Inverse-CDF draw from Poisson(1)."""
+    expr = None
+    for k, c in enumerate(POISSON1_CDF):
+        expr = F.when(u < F.lit(c), F.lit(k)) if expr is None else expr.when(u < F.lit(c), F.lit(k))
+    return expr.otherwise(F.lit(len(POISSON1_CDF))).cast("long")
+
+
+def poisson_replicates(results: DataFrame, labels: Sequence[str], group_cols: Sequence[str],
+                       n_bootstrap: int = 2000, seed: int = 42,
+                       id_col: str = "sample_id") -> DataFrame:
+    """B2: replicate r gives row i the weight Poisson(1) drawn from md5(id|r|seed).
+
+    The weight depends on the sample id, not the condition, so all conditions are
+    resampled together (paired).  Weighted rows are aggregated straight into
+    per-replicate cells (map-side combined), and the count-based metric code runs on
+    them with ``replicate`` as an extra grouping column.  Work is rows x replicates."""
+    from scorebook.operators.cells import drop_null_keys, prediction_or_none
+    from scorebook.operators.metrics import condition_counts, metrics_from_counts
+    rows = drop_null_keys(results, group_cols).select(
+        *group_cols, F.col(id_col).cast("string").alias("_id"), "true_label",
+        prediction_or_none().alias("predicted_label"))
+    rep = F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("replicate")
+    ex = rows.select("*", rep)
+    key = F.concat_ws("|", F.col("_id"), F.col("replicate").cast("string"), F.lit(str(seed)))
+    w = poisson1_weight(uniform_from_key(key))
+    cells = (ex.select(*group_cols, "replicate", "true_label", "predicted_label", w.alias("w"))
+               .filter(F.col("w") > 0)
+               .groupBy(*group_cols, "replicate", "true_label", "predicted_label")
+               .agg(F.sum("w").alias("n")))
+    keys = [*group_cols, "replicate"]
+    counts = condition_counts(cells, labels, keys, with_chance=False)
+    m = metrics_from_counts(counts.withColumn("s_chance", F.lit(0).cast("decimal(38,0)")),
+                            labels, keys)
+    return m.select(*group_cols, F.col("replicate").cast("int").alias("replicate"),
+                    "macro_f1", "accuracy")
+
+
+def bootstrap_cis_poisson(results: DataFrame, labels: Sequence[str], group_cols: Sequence[str],
+                          n_bootstrap: int = 2000, seed: int = 42, alpha: float = 0.05,
+                          metrics_table: DataFrame | None = None) -> DataFrame:
+    """B2 + B3: percentile intervals from the Poisson replicates."""
+    reps = poisson_replicates(results, labels, group_cols, n_bootstrap, seed)
+    return percentile_bounds(reps, group_cols, SUPPORTED, alpha)

@@ -179,3 +179,11 @@ def calibration_metrics(results: DataFrame, prob_cols: dict[str, str],
                      F.coalesce(F.col("mce"), F.lit(0.0)).alias("mce"),
                      "brier_score", "roc_auc", "n_calibration_samples"))
     return CalibrationTables(cal, rel.drop("avg_confidence"), apc.drop("k"))
+
+
+def roc_auc_table(results: DataFrame, prob_cols: dict[str, str],
+                  group_cols: Sequence[str], n_buckets: int = 4096) -> DataFrame:
+    """A21 alone: macro one-vs-rest AUC per condition (for the metrics table)."""
+    labels = list(prob_cols.keys())
+    rows = complete_prob_rows(results, prob_cols, group_cols)
+    return macro_auc(auc_per_class(rows, labels, group_cols, n_buckets), len(labels), group_cols)

@@ -38,8 +38,9 @@ def ratio(num: Column, den: Column, default: Column | float | None = 0.0) -> Col
 
 
 def condition_counts(cells: DataFrame, labels: Sequence[str],
-                     group_cols: Sequence[str]) -> DataFrame:
-    """One row per condition with every integer needed by A2-A8."""
+                     group_cols: Sequence[str], with_chance: bool = True) -> DataFrame:
+    """One row per condition with every integer needed by A2-A8 (``s_chance`` for
+    kappa only when ``with_chance``)."""
     t, p = F.col("true_label"), F.col("predicted_label")
     in_labels_t = t.isin(list(labels))
     in_labels_p = p.isin(list(labels))
@@ -58,6 +59,8 @@ def condition_counts(cells: DataFrame, labels: Sequence[str],
             _sum_if((p == label) & in_labels_t).alias(f"colm_{i}"),
         ]
     counts = cells.groupBy(*group_cols).agg(*aggs)
+    if not with_chance:
+        return counts
 
     # S = sum over every observed value v of (#true == v) * (#pred == v), exact.
     sides = F.array(
@@ -130,6 +133,13 @@ def classification_metrics(cells: DataFrame, labels: Sequence[str],
             per_class_from_counts(counts, labels, group_cols))
 
 
+def per_class_metrics(cells: DataFrame, labels: Sequence[str],
+                      group_cols: Sequence[str]) -> DataFrame:
+    """Per-class table alone (no kappa term needed)."""
+    return per_class_from_counts(condition_counts(cells, labels, group_cols, with_chance=False),
+                                 labels, group_cols)
+
+
 def pct_text(num: Column, den: Column) -> Column:
     """``12.3%`` for num / den, rounded half-up on the exact ratio in integer
     arithmetic (so the text does not depend on a float formatter); ``0.0%`` if den = 0."""

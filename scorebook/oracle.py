@@ -604,3 +604,43 @@ FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL"""
 def media_token_sql() -> str:
     return """SELECT doc_id, CASE WHEN position('<image>' IN text) > 0 THEN text
   ELSE '<image>' || chr(10) || text END AS prompt FROM documents"""
+
+
+# --- B2 / B3: Poisson bootstrap from md5 weights ---------------------------------------
+
+def _poisson_reps_body(n_boot: int, seed: int = 42) -> str:
+    from scorebook.operators.bootstrap import POISSON1_CDF
+    key = f"x.sample_id || '|' || CAST(r.replicate AS VARCHAR) || '|' || '{seed}'"
+    bits = f"CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT)"
+    u = f"(CAST({bits} AS DOUBLE) / CAST('{float(2 ** 52)!r}' AS DOUBLE))"
+    w = "CASE " + " ".join(f"WHEN u < CAST('{c!r}' AS DOUBLE) THEN {k}"
+                           for k, c in enumerate(POISSON1_CDF)) + f" ELSE {len(POISSON1_CDF)} END"
+    f1 = []
+    for i, x in enumerate(LABELS):
+        tp = f"sum(CASE WHEN true_label = {q(x)} AND pred = {q(x)} THEN w ELSE 0 END)"
+        row = f"sum(CASE WHEN true_label = {q(x)} THEN w ELSE 0 END)"
+        col = f"sum(CASE WHEN pred = {q(x)} THEN w ELSE 0 END)"
+        f1.append(_div(f"2 * {tp}", f"{row} + {col}"))
+    macro = "(" + " + ".join(f1) + f") / CAST({K} AS DOUBLE)"
+    return f"""x AS (SELECT model_name, prompt_id, CAST(sample_id AS VARCHAR) AS sample_id, true_label,
+              coalesce(predicted_label, '{NONE_LABEL}') AS pred FROM er WHERE {NOTNULL}),
+wx AS (SELECT *, {w} AS w FROM (
+         SELECT x.*, r.replicate, {u} AS u FROM x CROSS JOIN range({n_boot}) r(replicate)) z),
+reps AS (SELECT model_name, prompt_id, CAST(replicate AS INT) AS replicate,
+    {macro} AS macro_f1,
+    {_div("sum(CASE WHEN true_label = pred THEN w ELSE 0 END)", "sum(w)")} AS accuracy
+  FROM wx GROUP BY model_name, prompt_id, replicate)"""
+
+
+def bootstrap_poisson_sql(n_boot: int) -> str:
+    return f"WITH {ER}, {_poisson_reps_body(n_boot)} SELECT * FROM reps"
+
+
+def percentile_bounds_sql(n_boot: int) -> str:
+    inner = f"""WITH {ER}, {_poisson_reps_body(n_boot)}
+SELECT model_name, prompt_id,
+  quantile_cont(macro_f1, 0.025) AS macro_f1_ci_lower, quantile_cont(macro_f1, 0.975) AS macro_f1_ci_upper,
+  quantile_cont(accuracy, 0.025) AS accuracy_ci_lower, quantile_cont(accuracy, 0.975) AS accuracy_ci_upper
+FROM reps GROUP BY model_name, prompt_id"""
+    return rounded(inner, ["macro_f1_ci_lower", "macro_f1_ci_upper", "accuracy_ci_lower",
+                           "accuracy_ci_upper"])

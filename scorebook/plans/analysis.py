@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.config import DEFAULT_GROUP_COLS, DEFAULT_LABELS
-from scorebook.operators.calibration import calibration_metrics
+from scorebook.operators.calibration import calibration_metrics, macro_auc
 from scorebook.operators.cells import confusion_cells, confusion_cells_all
 from scorebook.operators.metrics import classification_metrics
 
@@ -70,8 +70,10 @@ def run_full_analysis(results: DataFrame,
         out.calibration = cal.calibration
         out.reliability = cal.reliability
         out.auc_per_class = cal.auc_per_class
-        out.metrics = metrics.join(cal.calibration.select(*group_cols, "roc_auc"),
-                                   group_cols, "left")
+        out.metrics = metrics.join(
+            macro_auc(cal.auc_per_class.withColumn(
+                "k", F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("class")) - 1),
+                len(labels), group_cols), group_cols, "left")
     else:
         out.metrics = metrics.withColumn("roc_auc", F.lit(None).cast("double"))
 

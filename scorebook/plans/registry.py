@@ -43,17 +43,17 @@ def round_cols(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
 
 @register("metrics", oracle.metrics_sql())
 def q_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.calibration import roc_auc_table
     er = eval_results(spark, sf_dir)
     cells = confusion_cells_all(er, C)
     metrics, _ = classification_metrics(cells, L, C)
-    cal = calibration_metrics(er, PROB_COLS, C)
-    return metrics.join(cal.calibration.select(*C, "roc_auc"), C, "left")
+    return metrics.join(roc_auc_table(er, PROB_COLS, C), C, "left")
 
 
 @register("per_class_metrics", oracle.per_class_sql())
 def q_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = confusion_cells_all(eval_results(spark, sf_dir), C)
-    return classification_metrics(cells, L, C)[1]
+    from scorebook.operators.metrics import per_class_metrics
+    return per_class_metrics(confusion_cells_all(eval_results(spark, sf_dir), C), L, C)
 
 
 @register("confusion_cells", oracle.confusion_cells_sql())
@@ -368,3 +368,24 @@ def q_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
                           keep_cols=["sample_id", "model_name", "model_id", "prompt_id"],
                           model_col="model_id", base_delay_s=0.0)
     return parse_labels(out, "raw_output")
+
+
+# --- step 5: row-weighted bootstrap -----------------------------------------------------
+# 200 replicates in the registered pair keeps the oracle run short (rows x replicates
+# md5 draws in both engines); the operator's default is 2,000 like the cell bootstrap.
+POISSON_REPLICATES = 200
+
+
+@register("bootstrap_poisson", oracle.bootstrap_poisson_sql(POISSON_REPLICATES))
+def q_bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.bootstrap import poisson_replicates
+    return poisson_replicates(eval_results(spark, sf_dir), L, C, POISSON_REPLICATES)
+
+
+@register("percentile_bounds", oracle.percentile_bounds_sql(POISSON_REPLICATES))
+def q_percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.bootstrap import SUPPORTED, percentile_bounds, poisson_replicates
+    reps = poisson_replicates(eval_results(spark, sf_dir), L, C, POISSON_REPLICATES)
+    out = percentile_bounds(reps, C, SUPPORTED)
+    return round_cols(out, ["macro_f1_ci_lower", "macro_f1_ci_upper", "accuracy_ci_lower",
+                            "accuracy_ci_upper"])
