@@ -52,7 +52,7 @@ def _stream_seed(seed: int, key: str, block: int) -> list[int]:
 
 
 def _replicate_fn(labels: Sequence[str], group_cols: Sequence[str], metrics: Sequence[str],
-                  n_bootstrap: int, block_size: int, seed: int):
+                  n_bootstrap: int, block_size: int, seed: int, custom: dict | None = None):
     index = {x: i for i, x in enumerate(labels)}
     k = len(labels)
 
@@ -73,6 +73,8 @@ def _replicate_fn(labels: Sequence[str], group_cols: Sequence[str], metrics: Seq
         draws = rng.multinomial(total, counts / total, size=reps) if total > 0 \
             else np.zeros((reps, len(counts)), dtype=np.int64)
         values = _metric_arrays(draws, true_idx, pred_idx, k)
+        for name, fn in (custom or {}).items():
+            values[name] = np.asarray(fn(draws, true_idx, pred_idx, k), dtype=np.float64)
         out = {c: [pdf[c].iloc[0]] * reps for c in group_cols}
         out["replicate"] = np.arange(first, first + reps, dtype=np.int32)
         for m in metrics:
@@ -84,10 +86,17 @@ def _replicate_fn(labels: Sequence[str], group_cols: Sequence[str], metrics: Seq
 
 def bootstrap_replicates(cells: DataFrame, labels: Sequence[str], group_cols: Sequence[str],
                          n_bootstrap: int = 2000, metrics: Sequence[str] = SUPPORTED,
-                         seed: int = 42, block_size: int = 250) -> DataFrame:
-    """One row per (condition, replicate) with each metric recomputed on a resample."""
+                         seed: int = 42, block_size: int = 250,
+                         custom_metrics: dict | None = None) -> DataFrame:
+    """One row per (condition, replicate) with each metric recomputed on a resample.
+
+    D8: ``custom_metrics`` maps a name to ``fn(counts, true_idx, pred_idx, k)`` returning
+    one value per replicate; ``counts`` is (replicates x cells), the index arrays give
+    each cell's label position (-1 / -2 / -3 = foreign truth / unparsed / foreign)."""
+    custom_metrics = dict(custom_metrics or {})
+    metrics = [*metrics, *[m for m in custom_metrics if m not in metrics]]
     for m in metrics:
-        if m not in SUPPORTED:
+        if m not in SUPPORTED and m not in custom_metrics:
             raise ValueError(f"unsupported bootstrap metric {m!r}; choose from {SUPPORTED}")
     n_blocks = (n_bootstrap + block_size - 1) // block_size
     blocks = cells.select(*group_cols, "true_label", "predicted_label", "n",
@@ -95,7 +104,7 @@ def bootstrap_replicates(cells: DataFrame, labels: Sequence[str], group_cols: Se
     schema = ", ".join([f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in group_cols]
                        + ["replicate int"] + [f"{m} double" for m in metrics])
     fn = _replicate_fn(list(labels), list(group_cols), list(metrics), n_bootstrap,
-                       block_size, seed)
+                       block_size, seed, custom_metrics)
     return blocks.groupBy(*group_cols, "block").applyInPandas(fn, schema)
 
 

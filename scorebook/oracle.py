@@ -644,3 +644,31 @@ SELECT model_name, prompt_id,
 FROM reps GROUP BY model_name, prompt_id"""
     return rounded(inner, ["macro_f1_ci_lower", "macro_f1_ci_upper", "accuracy_ci_lower",
                            "accuracy_ci_upper"])
+
+
+# --- more figure tables and set operations ---------------------------------------------
+
+def all_matrices_sql() -> str:
+    return f"""WITH rn AS ({row_normalised_sql()}),
+pan AS (SELECT model_name, prompt_id,
+          CAST(row_number() OVER (ORDER BY model_name, prompt_id) - 1 AS INT) AS panel
+        FROM (SELECT DISTINCT model_name, prompt_id FROM rn) d)
+SELECT rn.*, pan.panel FROM rn JOIN pan USING ({C})"""
+
+
+def best_matrix_sql() -> str:
+    return f"""WITH rn AS ({row_normalised_sql()}),
+best AS ({best_condition_sql()})
+SELECT rn.* FROM rn JOIN best USING ({C})"""
+
+
+def shared_ids_sql() -> str:
+    return f"""WITH {ER}
+SELECT sample_id FROM er WHERE model_name = 'Api-A' AND prompt_id = 'ZSD'
+INTERSECT
+SELECT sample_id FROM er WHERE model_name = 'org/Open-4B' AND prompt_id = 'RCE'"""
+
+
+def dedupe_sql() -> str:
+    return f"""WITH {ER}
+SELECT DISTINCT * FROM (SELECT * FROM er UNION ALL SELECT * FROM er WHERE backend = 'api') u"""

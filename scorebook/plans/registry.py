@@ -389,3 +389,31 @@ def q_percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = percentile_bounds(reps, C, SUPPORTED)
     return round_cols(out, ["macro_f1_ci_lower", "macro_f1_ci_upper", "accuracy_ci_lower",
                             "accuracy_ci_upper"])
+
+
+# --- more figure tables, set operations --------------------------------------------------
+
+@register("all_matrices", oracle.all_matrices_sql())
+def q_all_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.figdata import all_matrices
+    return all_matrices(q_confusion_cells(spark, sf_dir), C)
+
+
+@register("best_matrix", oracle.best_matrix_sql())
+def q_best_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.figdata import best_matrix
+    return best_matrix(q_confusion_cells(spark, sf_dir), _metrics(spark, sf_dir), C)
+
+
+@register("shared_ids", oracle.shared_ids_sql())
+def q_shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.sources.results import shared_ids
+    return shared_ids(eval_results(spark, sf_dir), {"model_name": "Api-A", "prompt_id": "ZSD"},
+                      {"model_name": "org/Open-4B", "prompt_id": "RCE"})
+
+
+@register("dedupe_results", oracle.dedupe_sql())
+def q_dedupe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.sources.results import dedupe_results, merge_runs
+    er = eval_results(spark, sf_dir)
+    return dedupe_results(merge_runs(er, er.filter("backend = 'api'")))

@@ -110,3 +110,21 @@ def write_results(df: DataFrame, path: str,
 def write_report_csv(df: DataFrame, path: str) -> None:
     """One CSV with header for a condition-sized report table."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def ensure_sample_id(df: DataFrame, id_col: str = "sample_id", mode: str = "require") -> DataFrame:
+    """The analysis pairs conditions by sample id.
+
+    ``require`` (default) fails when the column is missing.  ``row_index`` numbers
+    the rows 0.. over the whole table (the older behaviour, which makes every id
+    unique across conditions, so no pairs exist for McNemar)."""
+    if id_col in df.columns:
+        return df
+    if mode == "require":
+        raise ValueError(f"results have no {id_col!r} column; pairing needs it")
+    if mode != "row_index":
+        raise ValueError("mode must be 'require' or 'row_index'")
+    spark = df.sparkSession
+    schema = T.StructType(df.schema.fields + [T.StructField(id_col, T.StringType(), False)])
+    rdd = df.rdd.zipWithIndex().map(lambda r: (*r[0], str(r[1])))
+    return spark.createDataFrame(rdd, schema)
