@@ -85,32 +85,47 @@ class CalibrationTables:
     auc_per_class: DataFrame  # C, class, auc, n_pos, n_neg
 
 
-def brier_and_n(rows: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
-    """Mean over rows and classes of (p - onehot)^2."""
+def brier_term(k: int) -> Column:
+    """Per row: sum over classes of (p - onehot)^2."""
     sq = None
     for i in range(k):
         d = F.col(f"p{i}") - F.when(F.col("true_idx") == i, F.lit(1.0)).otherwise(F.lit(0.0))
         sq = d * d if sq is None else sq + d * d
-    return rows.groupBy(*group_cols).agg(
-        (F.sum(sq) / (F.count(F.lit(1)) * F.lit(k))).alias("brier_score"),
-        F.count(F.lit(1)).alias("n_calibration_samples"))
+    return sq
 
 
-def reliability_bins(rows: DataFrame, k: int, group_cols: Sequence[str], n_bins: int = 10,
+def binned_columns(k: int, n_bins: int) -> dict[str, Column]:
+    """conf (max prob), correct (first argmax == truth), bin, Brier term, by name."""
+    conf = max_prob(k)
+    return {"conf": conf,
+            "correct": (first_argmax(k) == F.col("true_idx")).cast("long"),
+            "bin": bin_index(conf, n_bins),
+            "sq": brier_term(k)}
+
+
+def bin_summary(rows: DataFrame, k: int, group_cols: Sequence[str], n_bins: int = 10) -> DataFrame:
+    """One aggregation for A17-A20: per (condition, bin) count, confidence sum, correct
+    count and Brier-term sum.  ``bin`` is null for confidences outside every bin; those
+    rows still count for n and the Brier score."""
+    binned = rows.select(*group_cols, *[c.alias(n) for n, c in binned_columns(k, n_bins).items()])
+    return binned.groupBy(*group_cols, "bin").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("conf").alias("sum_conf"),
+        F.sum("correct").alias("n_correct"), F.sum("sq").alias("sum_sq"))
+
+
+def brier_and_n(summary: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
+    """Mean over rows and classes of (p - onehot)^2, and the row count."""
+    return summary.groupBy(*group_cols).agg(
+        (F.sum("sum_sq") / (F.sum("count") * F.lit(k))).alias("brier_score"),
+        F.sum("count").alias("n_calibration_samples"))
+
+
+def reliability_bins(summary: DataFrame, group_cols: Sequence[str], n_bins: int = 10,
                      conditions: DataFrame | None = None) -> DataFrame:
     """Per bin count, mean confidence and fraction correct; empty bins as (mid, 0.0, 0)."""
-    conf = max_prob(k)
-    pred_idx = first_argmax(k)
-    binned = rows.select(
-        *group_cols, conf.alias("conf"),
-        (pred_idx == F.col("true_idx")).cast("long").alias("correct"),
-        bin_index(conf, n_bins).alias("bin"))
-    stats = (binned.filter(F.col("bin").isNotNull())
-                   .groupBy(*group_cols, "bin")
-                   .agg(F.count(F.lit(1)).alias("count"), F.sum("conf").alias("sum_conf"),
-                        F.sum("correct").alias("n_correct")))
+    stats = summary.filter(F.col("bin").isNotNull())
     if conditions is None:
-        conditions = rows.select(*group_cols).distinct()
+        conditions = summary.select(*group_cols).distinct()
     edges = bin_edges(n_bins)
     grid = F.array(*[F.struct(F.lit(b).alias("bin"),
                               F.lit((edges[b] + edges[b + 1]) / 2).alias("bin_mid"))
@@ -135,6 +150,19 @@ def ece_mce(reliability: DataFrame, n_rows: DataFrame, group_cols: Sequence[str]
         F.max(gap).alias("mce"))
 
 
+def calibration_from_summary(summary: DataFrame, k: int, group_cols: Sequence[str],
+                             n_bins: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(ece / mce / brier / n per condition, reliability table) from a bin summary."""
+    bn = brier_and_n(summary, k, group_cols)
+    rel = reliability_bins(summary, group_cols, n_bins, conditions=bn.select(*group_cols))
+    em = ece_mce(rel, bn.select(*group_cols, "n_calibration_samples"), group_cols)
+    cal = (bn.join(em, list(group_cols), "left")
+             .select(*group_cols, F.coalesce(F.col("ece"), F.lit(0.0)).alias("ece"),
+                     F.coalesce(F.col("mce"), F.lit(0.0)).alias("mce"),
+                     "brier_score", "n_calibration_samples"))
+    return cal, rel
+
+
 def auc_per_class(rows: DataFrame, labels: Sequence[str], group_cols: Sequence[str],
                   n_buckets: int = 4096) -> DataFrame:
     """One-vs-rest AUC per (condition, class), ties credited 1/2; null if one-sided."""
@@ -164,20 +192,18 @@ def macro_auc(per_class: DataFrame, k: int, group_cols: Sequence[str]) -> DataFr
 def calibration_metrics(results: DataFrame, prob_cols: dict[str, str],
                         group_cols: Sequence[str], n_bins: int = 10,
                         n_buckets: int = 4096) -> CalibrationTables:
+    """A17-A21 from two passes over the rows: one bin summary, one tie-grouped AUC."""
     labels = list(prob_cols.keys())
     missing = [c for c in prob_cols.values() if c not in results.columns]
     if missing:
         raise ValueError(f"probability columns missing: {missing}")
     rows = complete_prob_rows(results, prob_cols, group_cols)
-    bn = brier_and_n(rows, len(labels), group_cols)
-    rel = reliability_bins(rows, len(labels), group_cols, n_bins, conditions=bn.select(*group_cols))
-    em = ece_mce(rel, bn.select(*group_cols, "n_calibration_samples"), group_cols)
+    summary = bin_summary(rows, len(labels), group_cols, n_bins)
+    base, rel = calibration_from_summary(summary, len(labels), group_cols, n_bins)
     apc = auc_per_class(rows, labels, group_cols, n_buckets)
     mauc = macro_auc(apc, len(labels), group_cols)
-    cal = (bn.join(em, list(group_cols), "left").join(mauc, list(group_cols), "left")
-             .select(*group_cols, F.coalesce(F.col("ece"), F.lit(0.0)).alias("ece"),
-                     F.coalesce(F.col("mce"), F.lit(0.0)).alias("mce"),
-                     "brier_score", "roc_auc", "n_calibration_samples"))
+    cal = base.join(mauc, list(group_cols), "left").select(
+        *group_cols, "ece", "mce", "brier_score", "roc_auc", "n_calibration_samples")
     return CalibrationTables(cal, rel.drop("avg_confidence"), apc.drop("k"))
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from scorebook.config import DEFAULT_GROUP_COLS, DEFAULT_LABELS
 from scorebook.operators.calibration import calibration_metrics, macro_auc
-from scorebook.operators.cells import confusion_cells, confusion_cells_all
+from scorebook.operators.cells import (confusion_cells, drop_null_keys,
+                                      prediction_or_none)
 from scorebook.operators.metrics import classification_metrics
 
 
@@ -45,6 +46,44 @@ def prob_columns_present(results: DataFrame, labels: Sequence[str]) -> dict[str,
     return cols if all(c in results.columns for c in cols.values()) else None
 
 
+def fact_summary(results: DataFrame, labels: Sequence[str], group_cols: Sequence[str],
+                 prob_cols: dict[str, str] | None, n_bins: int = 10) -> DataFrame:
+    """One aggregation over the fact table serving A1-A20.
+
+    Key: (condition, true, predicted-or-__NONE__, has_probs, bin); values: row count,
+    confidence sum, argmax-correct count, Brier-term sum.  At most
+    K x (K + 2) x 2 x (n_bins + 1) rows per condition, map-side combined."""
+    from scorebook.operators.calibration import binned_columns
+    df = drop_null_keys(results, group_cols)
+    cols = [*[F.col(c) for c in group_cols], F.col("true_label"),
+            prediction_or_none().alias("predicted_label")]
+    if prob_cols is None:
+        staged = df.select(*cols, F.lit(False).alias("has_probs"),
+                           F.lit(None).cast("int").alias("bin"),
+                           F.lit(None).cast("double").alias("conf"),
+                           F.lit(None).cast("long").alias("correct"),
+                           F.lit(None).cast("double").alias("sq"))
+    else:
+        idx = None
+        for i, x in enumerate(labels):
+            idx = F.when(F.col("true_label") == x, F.lit(i)) if idx is None \
+                else idx.when(F.col("true_label") == x, F.lit(i))
+        has = F.col("true_label").isNotNull()
+        for c in prob_cols.values():
+            has = has & F.col(c).isNotNull()
+        staged = df.select(*cols, has.alias("has_probs"),
+                           *[F.col(c).cast("double").alias(f"p{i}")
+                             for i, c in enumerate(prob_cols.values())],
+                           idx.alias("true_idx"))
+        binned = binned_columns(len(labels), n_bins)
+        staged = staged.select(*group_cols, "true_label", "predicted_label", "has_probs",
+                               *[F.when(F.col("has_probs"), c).alias(n)
+                                 for n, c in binned.items()])
+    return staged.groupBy(*group_cols, "true_label", "predicted_label", "has_probs", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("conf").alias("sum_conf"),
+        F.sum("correct").alias("n_correct"), F.sum("sq").alias("sum_sq"))
+
+
 def run_full_analysis(results: DataFrame,
                       group_cols: Sequence[str] = tuple(DEFAULT_GROUP_COLS),
                       labels: Sequence[str] = tuple(DEFAULT_LABELS),
@@ -52,28 +91,38 @@ def run_full_analysis(results: DataFrame,
                       bootstrap_metrics: Sequence[str] = ("macro_f1", "accuracy"),
                       seed: int = 42,
                       with_mcnemar: bool = True,
-                      persist: bool = True) -> Analysis:
+                      persist: bool = True, n_bins: int = 10) -> Analysis:
+    """Three passes over the fact table: the combined summary (cells, Brier,
+    reliability), the tie-grouped scores (AUC) and the per-sample bitmasks (McNemar).
+    The summary is persisted; it is at most a few hundred rows per condition."""
+    from scorebook.operators.calibration import (auc_per_class, calibration_from_summary,
+                                                 complete_prob_rows)
     group_cols, labels = list(group_cols), list(labels)
     require_columns(results, group_cols)
-    cells = confusion_cells_all(results, group_cols)
+    prob_cols = prob_columns_present(results, labels)
+    summary = fact_summary(results, labels, group_cols, prob_cols, n_bins)
     if persist:
-        cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+        summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
+    cells = summary.groupBy(*group_cols, "true_label", "predicted_label").agg(
+        F.sum("n").alias("n"))
     metrics, per_class = classification_metrics(cells, labels, group_cols)
     grid = confusion_cells(results, labels, group_cols, cells=cells)
 
     out = Analysis(metrics=metrics, per_class_metrics=per_class,
                    confusion_cells=grid, cells_all=cells)
 
-    prob_cols = prob_columns_present(results, labels)
     if prob_cols is not None:
-        cal = calibration_metrics(results, prob_cols, group_cols)
-        out.calibration = cal.calibration
-        out.reliability = cal.reliability
-        out.auc_per_class = cal.auc_per_class
-        out.metrics = metrics.join(
-            macro_auc(cal.auc_per_class.withColumn(
-                "k", F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("class")) - 1),
-                len(labels), group_cols), group_cols, "left")
+        bins = summary.filter("has_probs").groupBy(*group_cols, "bin").agg(
+            F.sum("n").alias("count"), F.sum("sum_conf").alias("sum_conf"),
+            F.sum("n_correct").alias("n_correct"), F.sum("sum_sq").alias("sum_sq"))
+        base, rel = calibration_from_summary(bins, len(labels), group_cols, n_bins)
+        apc = auc_per_class(complete_prob_rows(results, prob_cols, group_cols), labels, group_cols)
+        mauc = macro_auc(apc, len(labels), group_cols)
+        out.calibration = base.join(mauc, group_cols, "left").select(
+            *group_cols, "ece", "mce", "brier_score", "roc_auc", "n_calibration_samples")
+        out.reliability = rel.drop("avg_confidence")
+        out.auc_per_class = apc.drop("k")
+        out.metrics = metrics.join(mauc, group_cols, "left")
     else:
         out.metrics = metrics.withColumn("roc_auc", F.lit(None).cast("double"))
 

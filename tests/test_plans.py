@@ -36,3 +36,21 @@ def test_entry_contract(spark):
     assert df.count() == 12
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
+
+
+def test_full_analysis_equals_separate_operators(spark):
+    from scorebook.plans.analysis import print_summary, run_full_analysis
+    a = run_full_analysis(eval_results(spark, SF), n_bootstrap=200)
+
+    def rows(df, cols):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+                      for r in df.select(*cols).collect())
+
+    for mine, ref in [(a.metrics, R.q_metrics(spark, SF)),
+                      (a.per_class_metrics, R.q_per_class(spark, SF)),
+                      (a.calibration, R.q_calibration(spark, SF)),
+                      (a.reliability, R.q_reliability(spark, SF))]:
+        cols = sorted(ref.columns)
+        assert rows(mine, cols) == rows(ref, cols)
+    assert a.bootstrap_cis.count() == 12
+    assert "Classification Metrics" in print_summary(a)
