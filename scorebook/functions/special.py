@@ -49,8 +49,13 @@ def erfc(z: Column) -> Column:
     return F.when(z < F.lit(SPLIT), series).otherwise(fraction)
 
 
-def chi2_sf_1df(x: Column) -> Column:
-    """Upper tail of the chi-square distribution with 1 degree of freedom."""
+def chi2_sf_1df(x: Column | str) -> Column:
+    """Upper tail of the chi-square distribution with 1 degree of freedom.
+
+    Given a column name, the expression is built from the SQL text of
+    :func:`chi2_sf_1df_sql` in one call (the same text the oracle runs)."""
+    if isinstance(x, str):
+        return F.expr(chi2_sf_1df_sql(f"`{x}`"))
     return erfc(F.sqrt(x / F.lit(2.0)))
 
 

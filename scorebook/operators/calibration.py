@@ -43,20 +43,25 @@ def complete_prob_rows(results: DataFrame, prob_cols: dict[str, str],
     )
 
 
-def _pcols(k: int) -> list[Column]:
-    return [F.col(f"p{i}") for i in range(k)]
+def _dbl(v: float) -> str:
+    return f"CAST('{v!r}' AS DOUBLE)"
+
+
+def max_prob_sql(k: int) -> str:
+    return "greatest(" + ", ".join(f"p{i}" for i in range(k)) + ")" if k > 1 else "p0"
+
+
+def first_argmax_sql(k: int) -> str:
+    conf = max_prob_sql(k)
+    return "CASE " + " ".join(f"WHEN p{i} = {conf} THEN {i}" for i in range(k)) + " END"
 
 
 def max_prob(k: int) -> Column:
-    return F.greatest(*_pcols(k)) if k > 1 else F.col("p0")
+    return F.expr(max_prob_sql(k))
 
 
 def first_argmax(k: int) -> Column:
-    conf = max_prob(k)
-    expr = F.when(F.col("p0") == conf, F.lit(0))
-    for i in range(1, k):
-        expr = expr.when(F.col(f"p{i}") == conf, F.lit(i))
-    return expr
+    return F.expr(first_argmax_sql(k))
 
 
 def bin_edges(n_bins: int) -> list[float]:
@@ -69,9 +74,18 @@ def bin_edges(n_bins: int) -> list[float]:
     return [i * step for i in range(n_bins)] + [1.0]
 
 
-def bin_index(conf: Column, n_bins: int) -> Column:
+def bin_index_sql(conf: str, n_bins: int) -> str:
     """lo <= conf < hi per bin; the last bin takes everything >= its lower edge."""
     edges = bin_edges(n_bins)
+    parts = [f"WHEN isnan({conf}) OR {conf} < {_dbl(edges[0])} THEN CAST(NULL AS INT)"]
+    parts += [f"WHEN {conf} < {_dbl(edges[b + 1])} THEN {b}" for b in range(n_bins - 1)]
+    return "CASE " + " ".join(parts) + f" ELSE {n_bins - 1} END"
+
+
+def bin_index(conf: Column | str, n_bins: int) -> Column:
+    if isinstance(conf, str):
+        return F.expr(bin_index_sql(conf, n_bins))
+    edges = bin_edges(n_bins)
     expr = F.when(F.isnan(conf) | (conf < F.lit(edges[0])), F.lit(None).cast("int"))
     for b in range(n_bins - 1):
         expr = expr.when(conf < F.lit(edges[b + 1]), F.lit(b))
@@ -85,21 +99,23 @@ class CalibrationTables:
     auc_per_class: DataFrame  # C, class, auc, n_pos, n_neg
 
 
+def brier_term_sql(k: int) -> str:
+    return " + ".join(
+        f"(p{i} - CASE WHEN true_idx = {i} THEN 1.0D ELSE 0.0D END) * "
+        f"(p{i} - CASE WHEN true_idx = {i} THEN 1.0D ELSE 0.0D END)" for i in range(k))
+
+
 def brier_term(k: int) -> Column:
     """Per row: sum over classes of (p - onehot)^2."""
-    sq = None
-    for i in range(k):
-        d = F.col(f"p{i}") - F.when(F.col("true_idx") == i, F.lit(1.0)).otherwise(F.lit(0.0))
-        sq = d * d if sq is None else sq + d * d
-    return sq
+    return F.expr(brier_term_sql(k))
 
 
 def binned_columns(k: int, n_bins: int) -> dict[str, Column]:
     """conf (max prob), correct (first argmax == truth), bin, Brier term, by name."""
-    conf = max_prob(k)
-    return {"conf": conf,
-            "correct": (first_argmax(k) == F.col("true_idx")).cast("long"),
-            "bin": bin_index(conf, n_bins),
+    conf = max_prob_sql(k)
+    return {"conf": F.expr(conf),
+            "correct": F.expr(f"CAST(({first_argmax_sql(k)}) = true_idx AS BIGINT)"),
+            "bin": F.expr(bin_index_sql(conf, n_bins)),
             "sq": brier_term(k)}
 
 

@@ -235,7 +235,7 @@ def pairwise_mcnemar(results: DataFrame, group_cols: Sequence[str],
     chi2 = mcnemar_chi2(F.col("b_count"), F.col("c_count"))
     pairs = pairs.withColumn("chi2", chi2)
     p = F.when(F.col("b_count") + F.col("c_count") == 0, F.lit(1.0)) \
-        .otherwise(chi2_sf_1df(F.col("chi2")))
+        .otherwise(chi2_sf_1df("chi2"))
     if round_p is not None:
         p = F.round(p, round_p)
     pairs = pairs.withColumn("p_raw", p)

@@ -41,23 +41,26 @@ def condition_counts(cells: DataFrame, labels: Sequence[str],
                      group_cols: Sequence[str], with_chance: bool = True) -> DataFrame:
     """One row per condition with every integer needed by A2-A8 (``s_chance`` for
     kappa only when ``with_chance``)."""
-    t, p = F.col("true_label"), F.col("predicted_label")
-    in_labels_t = t.isin(list(labels))
-    in_labels_p = p.isin(list(labels))
-    aggs = [
-        F.sum("n").alias("n_total"),
-        _sum_if(p != NONE_LABEL).alias("n_parsed"),
-        _sum_if(t == p).alias("n_correct"),
-        _sum_if(in_labels_t & in_labels_p).alias("n_matrix"),
-    ]
+    # conditional sums written as SQL text: one parse per aggregate instead of a tree of
+    # Column objects built call by call on the driver
+    def q(v: str) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    lab = ", ".join(q(x) for x in labels)
+    in_t, in_p = f"true_label IN ({lab})", f"predicted_label IN ({lab})"
+
+    def s(cond: str, name: str) -> Column:
+        return F.expr(f"sum(CASE WHEN {cond} THEN n ELSE CAST(0 AS BIGINT) END) AS {name}")
+    aggs = [F.expr("sum(n) AS n_total"),
+            s(f"predicted_label <> {q(NONE_LABEL)}", "n_parsed"),
+            s("true_label = predicted_label", "n_correct"),
+            s(f"{in_t} AND {in_p}", "n_matrix")]
     for i, label in enumerate(labels):
-        aggs += [
-            _sum_if((t == label) & (p == label)).alias(f"tp_{i}"),
-            _sum_if(t == label).alias(f"row_{i}"),
-            _sum_if(p == label).alias(f"col_{i}"),
-            _sum_if((t == label) & in_labels_p).alias(f"rowm_{i}"),
-            _sum_if((p == label) & in_labels_t).alias(f"colm_{i}"),
-        ]
+        x = q(label)
+        aggs += [s(f"true_label = {x} AND predicted_label = {x}", f"tp_{i}"),
+                 s(f"true_label = {x}", f"row_{i}"),
+                 s(f"predicted_label = {x}", f"col_{i}"),
+                 s(f"true_label = {x} AND {in_p}", f"rowm_{i}"),
+                 s(f"predicted_label = {x} AND {in_t}", f"colm_{i}")]
     counts = cells.groupBy(*group_cols).agg(*aggs)
     if not with_chance:
         return counts
@@ -75,35 +78,47 @@ def condition_counts(cells: DataFrame, labels: Sequence[str],
     return counts.join(chance, list(group_cols), "inner")
 
 
+def ratio_sql(num: str, den: str, default: str = "0.0") -> str:
+    """SQL twin of :func:`ratio`."""
+    return (f"CASE WHEN ({den}) = 0 THEN CAST({default} AS DOUBLE) "
+            f"ELSE CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) END")
+
+
+def f1_sql(i: int) -> str:
+    return ratio_sql(f"2 * tp_{i}", f"row_{i} + col_{i}")
+
+
+def macro_f1_sql(k: int) -> str:
+    return "(" + " + ".join(f1_sql(i) for i in range(k)) + f") / CAST({k} AS DOUBLE)"
+
+
+KAPPA_SQL = ("CASE WHEN CAST(n_total AS DECIMAL(38,0)) * CAST(n_total AS DECIMAL(38,0)) - s_chance = 0 "
+             "THEN CAST(NULL AS DOUBLE) ELSE "
+             "CAST(CAST(n_correct AS DECIMAL(38,0)) * CAST(n_total AS DECIMAL(38,0)) - s_chance AS DOUBLE) / "
+             "CAST(CAST(n_total AS DECIMAL(38,0)) * CAST(n_total AS DECIMAL(38,0)) - s_chance AS DOUBLE) END")
+
+
 def f1_col(i: int) -> Column:
-    den = F.col(f"row_{i}") + F.col(f"col_{i}")
-    return ratio(2 * F.col(f"tp_{i}"), den, 0.0)
+    return F.expr(f1_sql(i))
 
 
 def macro_f1_col(k: int) -> Column:
-    total = f1_col(0)
-    for i in range(1, k):
-        total = total + f1_col(i)
-    return total / F.lit(float(k))
+    return F.expr(macro_f1_sql(k))
 
 
 def kappa_col() -> Column:
-    n = F.col("n_total").cast(_DEC)
-    num = F.col("n_correct").cast(_DEC) * n - F.col("s_chance")
-    den = n * n - F.col("s_chance")
-    return F.when(den == 0, F.lit(None).cast("double")).otherwise(
-        num.cast("double") / den.cast("double"))
+    return F.expr(KAPPA_SQL)
 
 
 def metrics_from_counts(counts: DataFrame, labels: Sequence[str],
                         group_cols: Sequence[str]) -> DataFrame:
-    return counts.select(
-        *group_cols,
+    return counts.selectExpr(
+        *[f"`{c}`" for c in group_cols],
         "n_total", "n_parsed",
-        ratio(F.col("n_parsed"), F.col("n_total"), 0.0).alias("parse_rate"),
-        ratio(F.col("n_correct"), F.col("n_total"), 0.0).alias("accuracy"),
-        macro_f1_col(len(labels)).alias("macro_f1"),
-        kappa_col().alias("kappa"),
+        f"{ratio_sql('n_parsed', 'n_total')} AS parse_rate",
+        f"{ratio_sql('n_correct', 'n_total')} AS accuracy",
+        f"{macro_f1_sql(len(labels))} AS macro_f1",
+        f"{KAPPA_SQL} AS kappa",
     )
 
 
@@ -111,18 +126,15 @@ def per_class_from_counts(counts: DataFrame, labels: Sequence[str],
                           group_cols: Sequence[str]) -> DataFrame:
     rows = []
     for i, label in enumerate(labels):
-        tp, rowm, colm = F.col(f"tp_{i}"), F.col(f"rowm_{i}"), F.col(f"colm_{i}")
-        fp = colm - tp
-        fn = rowm - tp
-        tn = F.col("n_matrix") - tp - fn - fp
-        rows.append(F.struct(
-            F.lit(label).alias("class"),
-            f1_col(i).alias("f1"),
-            ratio(tp, rowm, 0.0).alias("sensitivity"),
-            ratio(tn, tn + fp, 0.0).alias("specificity"),
-            ratio(tp, F.col(f"row_{i}"), 0.0).alias("recall_all"),
-        ))
-    return counts.select(*group_cols, F.inline(F.array(*rows)))
+        fp, fn = f"(colm_{i} - tp_{i})", f"(rowm_{i} - tp_{i})"
+        tn = f"(n_matrix - tp_{i} - {fn} - {fp})"
+        lit = "'" + label.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        rows.append(
+            f"named_struct('class', {lit}, 'f1', {f1_sql(i)}, "
+            f"'sensitivity', {ratio_sql(f'tp_{i}', f'rowm_{i}')}, "
+            f"'specificity', {ratio_sql(tn, f'{tn} + {fp}')}, "
+            f"'recall_all', {ratio_sql(f'tp_{i}', f'row_{i}')})")
+    return counts.selectExpr(*[f"`{c}`" for c in group_cols], f"inline(array({', '.join(rows)}))")
 
 
 def classification_metrics(cells: DataFrame, labels: Sequence[str],

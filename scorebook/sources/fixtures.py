@@ -36,53 +36,53 @@ def _label_of(idx: Column) -> Column:
     return expr
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("'", "\\'") + "'"
+
+
 def eval_results_from_events(events: DataFrame) -> DataFrame:
-    conditions = F.array(*[
-        F.struct(F.lit(mi).cast("long").alias("mi"), F.lit(name).alias("model_name"),
-                 F.lit(mid).alias("model_id"), F.lit(backend).alias("backend"),
-                 F.lit(rin).cast("long").alias("rate_in"),
-                 F.lit(rout).cast("long").alias("rate_out"),
-                 F.lit(pi).cast("long").alias("pi"), F.lit(pid).alias("prompt_id"))
+    """The 12-condition fact table, written as SQL expressions (a handful of calls
+    instead of thousands of Column objects built one by one on the driver)."""
+    conds = ", ".join(
+        f"named_struct('mi', CAST({mi} AS BIGINT), 'model_name', {_sql_str(name)}, "
+        f"'model_id', {_sql_str(mid)}, 'backend', {_sql_str(backend)}, "
+        f"'rate_in', CAST({rin} AS BIGINT), 'rate_out', CAST({rout} AS BIGINT), "
+        f"'pi', CAST({pi} AS BIGINT), 'prompt_id', {_sql_str(pid)})"
         for (mi, name, mid, backend, rin, rout) in FIXTURE_MODELS
-        for (pi, pid) in FIXTURE_PROMPTS
-    ])
-    et = F.col("event_type")
-    ti = F.when(et == "click", 0).when(et == "view", 1).when(et == "purchase", 2).otherwise(3)
-    e = F.col("event_id")
-    base = events.select(
-        e, e.cast("string").alias("sample_id"), ti.alias("ti"), F.inline(conditions))
-    mi, pi = F.col("mi"), F.col("pi")
-    hv = (e * 7919 + mi * 104729 + pi * 1299709 + (e % 13) * (mi * 31 + pi * 7)) % 1000
-    base = base.withColumn("hv", hv)
-    pidx = (F.when(F.col("hv") >= 970, F.lit(None).cast("int"))
-            .when(F.col("hv") < 600 + 40 * mi + 20 * pi, F.col("ti"))
-            .otherwise((F.col("hv") % 4).cast("int")))
-    base = base.withColumn("pidx", pidx)
-    ws = []
-    for k, mult in enumerate([93, 124, 155, 186]):
-        ws.append((1 + (e * mult + mi * 17 + pi * 5) % 97
-                   + F.when(F.col("pidx") == k, 150).otherwise(0)).alias(f"w{k}"))
-    input_tokens = 200 + e % 57 + 40 * pi
-    output_tokens = 3 + (e % 11) * (1 + 5 * pi)
-    base = base.select("*", input_tokens.alias("input_tokens"),
-                       output_tokens.alias("output_tokens"), *ws)
-    wsum = F.col("w0") + F.col("w1") + F.col("w2") + F.col("w3")
+        for (pi, pid) in FIXTURE_PROMPTS)
+    label = ("CASE {x} WHEN 0 THEN 'ASD' WHEN 1 THEN 'VSD' WHEN 2 THEN 'PDA' "
+             "WHEN 3 THEN 'Normal' END")
+    base = events.selectExpr(
+        "event_id", "CAST(event_id AS STRING) AS sample_id",
+        "CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 "
+        "ELSE 3 END AS ti",
+        f"inline(array({conds}))")
+    base = base.selectExpr(
+        "*", "(event_id * 7919 + mi * 104729 + pi * 1299709 + (event_id % 13) * (mi * 31 + pi * 7))"
+             " % 1000 AS hv")
+    base = base.selectExpr(
+        "*", "CASE WHEN hv >= 970 THEN CAST(NULL AS INT) WHEN hv < 600 + 40 * mi + 20 * pi THEN ti "
+             "ELSE CAST(hv % 4 AS INT) END AS pidx")
+    ws = [f"1 + (event_id * {m} + mi * 17 + pi * 5) % 97 + CASE WHEN pidx = {k} THEN 150 ELSE 0 END AS w{k}"
+          for k, m in enumerate([93, 124, 155, 186])]
+    base = base.selectExpr("*", "200 + event_id % 57 + 40 * pi AS input_tokens",
+                           "3 + (event_id % 11) * (1 + 5 * pi) AS output_tokens", *ws)
+    probs = ", ".join(f"'prob_{FIXTURE_LABELS[k]}', CAST(w{k} AS DOUBLE) / (w0 + w1 + w2 + w3)"
+                      for k in range(4))
     # The derived columns are produced by a one-element ``inline`` so that each is
     # computed once per row: filters written later against them (e.g. dropping rows
     # with a null probability) stay above this point instead of being rewritten into
     # the hash arithmetic many times over, which would defeat whole-stage codegen.
-    return base.select(F.inline(F.array(F.struct(
-        "sample_id",
-        _label_of(F.col("ti")).alias("true_label"),
-        _label_of(F.col("pidx")).alias("predicted_label"),
-        F.col("pidx").isNotNull().alias("parse_success"),
-        "model_name", "model_id", "backend", "prompt_id",
-        "input_tokens", "output_tokens",
-        (F.col("input_tokens") * F.col("rate_in")
-         + F.col("output_tokens") * F.col("rate_out")).alias("cost_nano"),
-        *[(F.col(f"w{k}").cast("double") / wsum).alias(f"prob_{FIXTURE_LABELS[k]}")
-          for k in range(4)],
-    ))))
+    return base.selectExpr(
+        "inline(array(named_struct("
+        "'sample_id', sample_id, "
+        f"'true_label', {label.format(x='ti')}, "
+        f"'predicted_label', {label.format(x='pidx')}, "
+        "'parse_success', pidx IS NOT NULL, "
+        "'model_name', model_name, 'model_id', model_id, 'backend', backend, "
+        "'prompt_id', prompt_id, 'input_tokens', input_tokens, 'output_tokens', output_tokens, "
+        "'cost_nano', input_tokens * rate_in + output_tokens * rate_out, "
+        f"{probs})))")
 
 
 def spread(df: DataFrame) -> DataFrame:
