@@ -157,3 +157,46 @@ def save_figure_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "p
             w.parquet(path)
         written.append(path)
     return written
+
+
+def dashboard_tables(analysis, labels: Sequence[str],
+                     group_cols: Sequence[str] = ("model_name", "prompt_id")) -> dict[str, DataFrame]:
+    """the four dashboard panels' tables: macro-F1 grid with error bars, per-class
+    F1 heat table, interval table, and the best condition's normalised matrix."""
+    return {
+        "dashboard_bars": bar_grid(analysis.metrics, analysis.bootstrap_cis, "macro_f1"),
+        "dashboard_heat": heat_pivot(analysis.per_class_metrics, labels, "f1", group_cols, max_len=12),
+        "dashboard_ci": ci_table(analysis.metrics, analysis.bootstrap_cis, "macro_f1", group_cols),
+        "dashboard_best_matrix": best_matrix(analysis.confusion_cells, analysis.metrics, group_cols),
+    }
+
+
+def figure_tables(analysis, labels: Sequence[str], results: DataFrame | None = None,
+                  cost: DataFrame | None = None, prob_cols: dict[str, str] | None = None,
+                  group_cols: Sequence[str] = ("model_name", "prompt_id")) -> dict[str, DataFrame]:
+    """Every figure's table by name; entries whose inputs are missing are
+    skipped (no probabilities -> no ROC / reliability, no cost -> no cost bars)."""
+    group_cols = list(group_cols)
+    out: dict[str, DataFrame] = {
+        "confusion_matrices": all_matrices(analysis.confusion_cells, group_cols),
+        "macro_f1_bars": bar_grid(analysis.metrics, analysis.bootstrap_cis, "macro_f1"),
+        "per_class_f1_heat": heat_pivot(analysis.per_class_metrics, labels, "f1", group_cols),
+        "macro_f1_ci": ci_table(analysis.metrics, analysis.bootstrap_cis, "macro_f1", group_cols),
+    }
+    if analysis.bootstrap_cis is not None and "prompt_id" in group_cols:
+        prompts = [r[0] for r in analysis.metrics.select("prompt_id").distinct().collect()]
+        for p in prompts:        # one heat table per prompt (the prompt list is condition-sized)
+            out[f"per_class_f1_heat_{p}"] = heat_pivot(analysis.per_class_metrics, labels, "f1",
+                                                       group_cols, prompt_filter=p)
+    if analysis.reliability is not None:
+        out["reliability"] = analysis.reliability
+    if results is not None and prob_cols is not None and \
+            all(c in results.columns for c in prob_cols.values()):
+        from scorebook.operators.roc import roc_macro_grid, roc_points
+        pts = roc_points(results, prob_cols, ["model_name"])
+        curve, auc = roc_macro_grid(pts, labels, ["model_name"])
+        out["roc_curve"], out["roc_auc"] = curve, auc
+    if cost is not None and "total_cost_usd" in cost.columns:
+        out["cost_bars"] = cost_grid(cost)
+    out.update(dashboard_tables(analysis, labels, group_cols))
+    return out
