@@ -19,6 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.operators.cells import drop_null_keys
+
+# Score buckets of the two-level prefix sums: the coarse window holds at most this many
+# rows per (condition, class); the fine window holds the distinct scores of one
+# 2^-20-wide interval.  Both bounds hold whatever the data size.
+AUC_BUCKETS = 1 << 20
 from scorebook.operators.metrics import ratio
 
 
@@ -180,7 +185,7 @@ def calibration_from_summary(summary: DataFrame, k: int, group_cols: Sequence[st
 
 
 def auc_per_class(rows: DataFrame, labels: Sequence[str], group_cols: Sequence[str],
-                  n_buckets: int = 4096) -> DataFrame:
+                  n_buckets: int = AUC_BUCKETS) -> DataFrame:
     """One-vs-rest AUC per (condition, class), ties credited 1/2; null if one-sided."""
     from scorebook.operators.roc import auc_from_prefix, prefix_below, score_ties
     key = [*group_cols, "k"]
@@ -207,7 +212,7 @@ def macro_auc(per_class: DataFrame, k: int, group_cols: Sequence[str]) -> DataFr
 
 def calibration_metrics(results: DataFrame, prob_cols: dict[str, str],
                         group_cols: Sequence[str], n_bins: int = 10,
-                        n_buckets: int = 4096) -> CalibrationTables:
+                        n_buckets: int = AUC_BUCKETS) -> CalibrationTables:
     """A17-A21 from two passes over the rows: one bin summary, one tie-grouped AUC."""
     labels = list(prob_cols.keys())
     missing = [c for c in prob_cols.values() if c not in results.columns]
@@ -224,7 +229,7 @@ def calibration_metrics(results: DataFrame, prob_cols: dict[str, str],
 
 
 def roc_auc_table(results: DataFrame, prob_cols: dict[str, str],
-                  group_cols: Sequence[str], n_buckets: int = 4096) -> DataFrame:
+                  group_cols: Sequence[str], n_buckets: int = AUC_BUCKETS) -> DataFrame:
     """A21 alone: macro one-vs-rest AUC per condition (for the metrics table)."""
     labels = list(prob_cols.keys())
     rows = complete_prob_rows(results, prob_cols, group_cols)

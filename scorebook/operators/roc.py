@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorebook.operators.calibration import complete_prob_rows
+from scorebook.operators.calibration import AUC_BUCKETS, complete_prob_rows
 
 
 def score_ties(rows: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
@@ -27,7 +27,7 @@ def score_ties(rows: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
                     .agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg")))
 
 
-def prefix_below(ties: DataFrame, key: Sequence[str], n_buckets: int = 4096) -> DataFrame:
+def prefix_below(ties: DataFrame, key: Sequence[str], n_buckets: int = AUC_BUCKETS) -> DataFrame:
     """Add ``pos_below`` / ``neg_below``: counts at strictly lower scores in the same key.
 
     Coarse level: totals of all lower score buckets (window over <= n_buckets rows per
@@ -57,7 +57,7 @@ def _class_name(labels: Sequence[str]) -> Column:
 
 
 def roc_points(results: DataFrame, prob_cols: dict[str, str],
-               group_cols: Sequence[str] = ("model_name",), n_buckets: int = 4096) -> DataFrame:
+               group_cols: Sequence[str] = ("model_name",), n_buckets: int = AUC_BUCKETS) -> DataFrame:
     """one-vs-rest ROC points per (group, class): for every distinct score used as a
     threshold (predict positive when score >= threshold), fpr and tpr; plus the (0, 0)
     start point with a null threshold.  Classes with no positives or no negatives have

@@ -117,6 +117,8 @@ def run_full_analysis(results: DataFrame,
             F.sum("n_correct").alias("n_correct"), F.sum("sum_sq").alias("sum_sq"))
         base, rel = calibration_from_summary(bins, len(labels), group_cols, n_bins)
         apc = auc_per_class(complete_prob_rows(results, prob_cols, group_cols), labels, group_cols)
+        if persist:      # one row per (condition, class); read by metrics and calibration
+            apc = apc.persist(StorageLevel.MEMORY_AND_DISK)
         mauc = macro_auc(apc, len(labels), group_cols)
         out.calibration = base.join(mauc, group_cols, "left").select(
             *group_cols, "ece", "mce", "brier_score", "roc_auc", "n_calibration_samples")
