@@ -107,18 +107,36 @@ def first_n(samples: DataFrame, n: int, order_cols: Sequence[str] = ("image_path
 
 
 def stratified_n(samples: DataFrame, n_per_label: int, label_col: str = "label",
-                 id_col: str = "sample_id") -> DataFrame:
-    """P4 (default): n samples per label, chosen by a stable hash of the id.
-
-    Two levels so no task ranks a whole label: rows are first ranked inside
-    (label, hash bucket) groups, keeping at most n per group, then the survivors
-    (at most n x buckets per label) are ranked per label."""
+                 id_col: str = "sample_id", oversample: float = 2.0) -> DataFrame:
+    """P4 (default): the n samples per label with the smallest ``md5(id)`` (a stable,
+    seed-free pseudo-random order); exact, and no window ever holds a whole label.
+
+    1. rows per label (one small aggregation, collected: one row per label);
+    2. keep rows whose md5-derived uniform value is below a per-label threshold chosen
+       to leave about ``oversample x n`` candidates; ordering by that value agrees with
+       ordering by the md5 text, so no true member is cut;
+    3. rank only the candidates.  A label that ends up with fewer than n candidates
+       (and is not exhausted) gets a wider threshold and is redone."""
     h = F.md5(F.col(id_col).cast("string"))
-    buckets = 256
-    staged = samples.withColumn("_h", h).withColumn(
-        "_b", F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)))
-    w1 = Window.partitionBy(label_col, "_b").orderBy("_h", id_col)
-    first = staged.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n_per_label)
-    w2 = Window.partitionBy(label_col).orderBy("_h", id_col)
-    return (first.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= n_per_label)
-                 .drop("_h", "_b", "_r"))
+    u = F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2 ** 52))
+    staged = samples.withColumn("_h", h).withColumn("_u", u)
+    counts = {r[0]: r[1] for r in samples.groupBy(label_col).count().collect()}
+    factor = {lab: oversample for lab in counts}
+    while True:
+        thresholds = {lab: min(1.0, factor[lab] * n_per_label / max(c, 1) + 1e-9)
+                      for lab, c in counts.items()}
+        cond = None
+        for lab, t in thresholds.items():
+            c = (F.col(label_col).eqNullSafe(F.lit(lab))) & (F.col("_u") <= F.lit(t))
+            cond = c if cond is None else cond | c
+        cand = staged.filter(cond) if cond is not None else staged.limit(0)
+        got = {r[0]: r[1] for r in cand.groupBy(label_col).count().collect()}
+        short = [lab for lab, t in thresholds.items()
+                 if t < 1.0 and got.get(lab, 0) < min(n_per_label, counts[lab])]
+        if not short:
+            break
+        for lab in short:
+            factor[lab] *= 4
+    w = Window.partitionBy(label_col).orderBy("_h", id_col)
+    return (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_per_label)
+                .drop("_h", "_u", "_r"))
