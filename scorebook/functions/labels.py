@@ -91,6 +91,7 @@ def match_alias(col: Column, spec: LabelSpec) -> Column:
 
 
 def branch_exact(s: Column, spec: LabelSpec) -> Column:
+    """L1: the whole stripped answer equals a label, case-insensitively."""
     table: dict[str, str] = {}
     for label in spec.labels:
         table.setdefault(label.lower(), label)
@@ -98,6 +99,7 @@ def branch_exact(s: Column, spec: LabelSpec) -> Column:
 
 
 def branch_diagnosis(s: Column, spec: LabelSpec, strict: bool = False) -> Column:
+    """L2: first ``DIAGNOSIS: <words>`` match; the whole capture must be a label or alias."""
     cap = F.regexp_extract(s, "(?iu)" + diagnosis_re(strict), 1)
     return F.when(cap != "", match_alias(cap, spec))
 
@@ -107,6 +109,7 @@ def _key_is(key: str):
 
 
 def branch_json(s: Column, spec: LabelSpec) -> Column:
+    """L3: first brace pair without inner braces as a JSON object; keys in priority order."""
     js = F.regexp_extract(s, JSON_RE, 0)
     obj = F.from_json(js, "map<string,string>", {"allowSingleQuotes": "false"})
     picks = []
@@ -118,6 +121,8 @@ def branch_json(s: Column, spec: LabelSpec) -> Column:
 
 
 def branch_alias(s: Column, spec: LabelSpec) -> Column:
+    """L4: first label, in label order, with any alias present as whole words (one
+    alternation regex per label)."""
     expr = None
     for label in spec.labels:
         words = [label.lower(), *spec.aliases.get(label, [])]
@@ -127,6 +132,7 @@ def branch_alias(s: Column, spec: LabelSpec) -> Column:
 
 
 def branch_last_label(s: Column, spec: LabelSpec) -> Column:
+    """Last bare label in the text (reachable in ``strict`` mode only)."""
     alt = "|".join(escape_literal(x) for x in spec.labels)
     found = F.regexp_extract_all(s, F.lit(f"(?iu)(?:^|{NOT_W})({alt})(?={NOT_W}|\\z)"), F.lit(1))
     last = F.when(F.size(found) > 0, F.element_at(found, -1))

@@ -143,7 +143,8 @@ def brier_and_n(summary: DataFrame, k: int, group_cols: Sequence[str]) -> DataFr
 
 def reliability_bins(summary: DataFrame, group_cols: Sequence[str], n_bins: int = 10,
                      conditions: DataFrame | None = None) -> DataFrame:
-    """Per bin count, mean confidence and fraction correct; empty bins as (mid, 0.0, 0)."""
+    """Per bin count, mean confidence and fraction correct; empty bins as
+    (mid, 0.0, 0)."""
     stats = summary.filter(F.col("bin").isNotNull())
     if conditions is None:
         conditions = summary.select(*group_cols).distinct()

@@ -26,6 +26,7 @@ def drop_null_keys(results: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 
 
 def prediction_or_none(col: str = "predicted_label") -> Column:
+    """P5: an unparsed (null) prediction becomes ``__NONE__``: always wrong, own kappa class."""
     return F.coalesce(F.col(col), F.lit(NONE_LABEL))
 
 

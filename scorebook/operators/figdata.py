@@ -90,7 +90,8 @@ def bar_grid(metrics: DataFrame, cis: DataFrame | None = None, metric: str = "ma
 def heat_pivot(per_class: DataFrame, labels: Sequence[str], metric: str = "f1",
                group_cols: Sequence[str] = ("model_name", "prompt_id"),
                prompt_filter: str | None = None, max_len: int = 20) -> DataFrame:
-    """Conditions x classes of a per-class metric, classes in label order.
+    """F4 / A22 (P13 ``prompt_filter``): conditions x classes of a per-class metric, classes
+    in label order.
 
     Grouped on the full condition keys (short names that collide are not merged); the
     display label is a separate column."""

@@ -10,6 +10,8 @@ optional).  This module only distributes the calls:
 * D6: ``repartition(n)`` bounds the number of concurrent calls per model;
 * D1/D3: ``mapInPandas`` loads one predictor per task, calls it row by row, unloads
   it in ``finally``;
+* D7: rows reach the predictor in Arrow batches sized by
+  ``spark.sql.execution.arrow.maxRecordsPerBatch``; calls inside a batch run one by one;
 * D4/D5: transient errors are retried with exponential back-off; a failing row keeps
   an empty answer and the error text, so the task never fails.
 """

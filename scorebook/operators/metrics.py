@@ -85,13 +85,16 @@ def ratio_sql(num: str, den: str, default: str = "0.0") -> str:
 
 
 def f1_sql(i: int) -> str:
+    """A4: per-class F1 = 2 tp / (row + col), row including unparsed rows; 0.0 if empty."""
     return ratio_sql(f"2 * tp_{i}", f"row_{i} + col_{i}")
 
 
 def macro_f1_sql(k: int) -> str:
+    """A5: mean of A4 over all K labels in label order (absent labels count 0)."""
     return "(" + " + ".join(f1_sql(i) for i in range(k)) + f") / CAST({k} AS DOUBLE)"
 
 
+# Cohen kappa over the union of observed values, exact integers until one division.
 KAPPA_SQL = ("CASE WHEN CAST(n_total AS DECIMAL(38,0)) * CAST(n_total AS DECIMAL(38,0)) - s_chance = 0 "
              "THEN CAST(NULL AS DOUBLE) ELSE "
              "CAST(CAST(n_correct AS DECIMAL(38,0)) * CAST(n_total AS DECIMAL(38,0)) - s_chance AS DOUBLE) / "
@@ -112,6 +115,7 @@ def kappa_col() -> Column:
 
 def metrics_from_counts(counts: DataFrame, labels: Sequence[str],
                         group_cols: Sequence[str]) -> DataFrame:
+    """A2 parse rate, A3 accuracy (unparsed = wrong), A5 macro F1, A6 kappa."""
     return counts.selectExpr(
         *[f"`{c}`" for c in group_cols],
         "n_total", "n_parsed",
@@ -124,6 +128,7 @@ def metrics_from_counts(counts: DataFrame, labels: Sequence[str],
 
 def per_class_from_counts(counts: DataFrame, labels: Sequence[str],
                           group_cols: Sequence[str]) -> DataFrame:
+    """A4 F1, A7 sensitivity and A8 specificity (both inside the K x K matrix), recall_all."""
     rows = []
     for i, label in enumerate(labels):
         fp, fn = f"(colm_{i} - tp_{i})", f"(rowm_{i} - tp_{i})"

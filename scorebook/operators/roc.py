@@ -28,7 +28,7 @@ def score_ties(rows: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
 
 
 def prefix_below(ties: DataFrame, key: Sequence[str], n_buckets: int = AUC_BUCKETS) -> DataFrame:
-    """Add ``pos_below`` / ``neg_below``: counts at strictly lower scores in the same key.
+    """Add ``pos_below`` / ``neg_below``, counts at strictly lower scores in the same key.
 
     Coarse level: totals of all lower score buckets (window over <= n_buckets rows per
     key); fine level: running sum inside one bucket."""

@@ -74,7 +74,7 @@ def table1(metrics: DataFrame, cis: DataFrame, group_cols: Sequence[str]) -> Dat
 
 def best_prompt_per_model(metrics: DataFrame, model_col: str = "model_name",
                           prompt_col: str = "prompt_id", metric: str = "macro_f1") -> DataFrame:
-    """The highest-scoring prompt per model, first prompt in key order on ties."""
+    """W2 (W2a): the highest-scoring prompt per model, first prompt in key order on ties."""
     w = Window.partitionBy(model_col).orderBy(F.col(metric).desc_nulls_last(),
                                               F.col(prompt_col).asc())
     return metrics.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
@@ -87,7 +87,7 @@ def table2(per_class: DataFrame, best: DataFrame, group_cols: Sequence[str]) ->
 
 def best_condition(metrics: DataFrame, group_cols: Sequence[str],
                    metric: str = "macro_f1") -> DataFrame:
-    """The single best condition overall (first in key order on ties)."""
+    """W2 (W2b): the single best condition overall (first in key order on ties)."""
     return metrics.orderBy(F.col(metric).desc_nulls_last(),
                            *[F.col(c).asc() for c in group_cols]).limit(1)
 

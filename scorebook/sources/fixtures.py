@@ -89,8 +89,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a narrow input over the cluster when its scan yields fewer splits
     than the default parallelism (a small single-row-group file); a large input is
     left exactly as scanned, so this never adds a shuffle at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
