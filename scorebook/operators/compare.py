@@ -48,12 +48,15 @@ def condition_key(group_cols: Sequence[str]) -> Column:
     return F.concat_ws(" / ", *[F.col(c).cast("string") for c in group_cols])
 
 
-def indexed_conditions(results: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, int]:
+def indexed_conditions(results: DataFrame, group_cols: Sequence[str],
+                       conditions: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Distinct conditions numbered 0.. in sorted key order (W4), and their count.
 
     The window has no partition key, but it runs over the distinct-condition table
-    (one row per model x prompt), never over the fact table."""
-    conds = drop_null_keys(results.select(*group_cols), group_cols).distinct()
+    (one row per model x prompt), never over the fact table.  ``conditions`` (the
+    distinct keys, e.g. from an already computed summary) saves a pass over the facts."""
+    src = conditions if conditions is not None else results
+    conds = drop_null_keys(src.select(*group_cols), group_cols).distinct()
     w = Window.orderBy(*[F.col(c).asc() for c in group_cols])
     conds = conds.withColumn("cond_idx", (F.row_number().over(w) - 1).cast("int")) \
                  .withColumn("condition", condition_key(group_cols))
@@ -126,9 +129,10 @@ def _gram_partials(n_conds: int, n_words: int):
 
 
 def discordant_counts(results: DataFrame, group_cols: Sequence[str],
-                      id_col: str = "sample_id") -> DataFrame:
+                      id_col: str = "sample_id",
+                      conditions: DataFrame | None = None) -> DataFrame:
     """M1 + J3: one row per condition pair a < b with at least one shared sample."""
-    conds, n_conds = indexed_conditions(results, group_cols)
+    conds, n_conds = indexed_conditions(results, group_cols, conditions)
     if n_conds < 2:
         return _empty_pairs(results.sparkSession)
     masks = sample_masks(results, conds, n_conds, group_cols, id_col)
@@ -219,12 +223,13 @@ def pair_index(pairs: DataFrame) -> DataFrame:
 
 def pairwise_mcnemar(results: DataFrame, group_cols: Sequence[str],
                      id_col: str = "sample_id", method: str = "gram",
-                     round_p: int | None = None) -> DataFrame:
+                     round_p: int | None = None,
+                     conditions: DataFrame | None = None) -> DataFrame:
     """M5: condition_a, condition_b, n_shared, b, c, chi2, p_raw, p_bh, p_bh_ref, flags,
     sorted by adjusted p.  ``round_p=6`` rounds p before correction (earlier tables
     did that, so very small p became 0.0)."""
     if method == "gram":
-        counts = discordant_counts(results, group_cols, id_col)
+        counts = discordant_counts(results, group_cols, id_col, conditions)
     elif method == "selfjoin":
         counts = discordant_counts_selfjoin(results, group_cols, id_col)
     else:

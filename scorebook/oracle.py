@@ -467,8 +467,8 @@ def bar_grid_sql() -> str:
     return f"""WITH {_metrics_body()},
 g AS (SELECT * FROM (SELECT DISTINCT model_name FROM met) a, (SELECT DISTINCT prompt_id FROM met) b)
 SELECT g.model_name, g.prompt_id, coalesce(met.macro_f1, 0.0) AS value,
-  CASE WHEN met.macro_f1 IS NULL THEN 0.0 END AS err_low,
-  CASE WHEN met.macro_f1 IS NULL THEN 0.0 END AS err_high
+  CASE WHEN met.macro_f1 IS NULL THEN CAST(0.0 AS DOUBLE) END AS err_low,
+  CASE WHEN met.macro_f1 IS NULL THEN CAST(0.0 AS DOUBLE) END AS err_high
 FROM g LEFT JOIN met USING ({C})"""
 
 

@@ -135,7 +135,8 @@ def run_full_analysis(results: DataFrame,
                                           metrics_table=metrics)
     if with_mcnemar:
         from scorebook.operators.compare import pairwise_mcnemar
-        out.mcnemar_results = pairwise_mcnemar(results, group_cols)
+        out.mcnemar_results = pairwise_mcnemar(
+            results, group_cols, conditions=summary.select(*group_cols).distinct())
     return out
 
 
