@@ -39,6 +39,10 @@ WS_IN = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 # whitespace that does not end a line (strict mode capture)
 HWS_IN = r"\t \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 W_IN = r"\p{L}\p{N}_"
+# the same whitespace characters as a plain string, for trim()
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 # -------------------------------------------------------------------------------------
 
 WS = f"[{WS_IN}]"
@@ -75,7 +79,10 @@ def alias_table(spec: LabelSpec) -> dict[str, str]:
 
 
 def strip_ws(col: Column) -> Column:
-    return F.regexp_replace(col, STRIP_RE, "")
+    """L0 strip: remove the whitespace set from both ends.  ``trim`` with an explicit
+    character set is linear; a regex form such as ``ws+$`` rescans every internal
+    whitespace run and becomes quadratic on long runs."""
+    return F.trim(col, F.lit(WS_CHARS))
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:

@@ -71,3 +71,18 @@ def test_no_python_in_parser_plan(spark):
     df = spark.createDataFrame([("x",)], "raw_output string")
     plan = parse_labels(df)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_long_whitespace_runs_are_linear(spark):
+    import time
+    text = "DIAGNOSIS:" + " " * 200_000 + "x" + "\n" * 100_000 + "patent duct " + " " * 100_000
+    t0 = time.time()
+    got = parse(spark, [text])[0].predicted_label
+    assert got == "PDA"
+    assert time.time() - t0 < 60
+
+
+def test_strip_set_matches_python():
+    from scorebook.functions.labels import WS_CHARS
+    every = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+    assert set(every) == set(WS_CHARS)
