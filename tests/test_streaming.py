@@ -20,3 +20,22 @@ def test_available_now_equals_batch(spark, tmp_path):
     batch = sorted(tuple(r) for r in confusion_cells_all(spark.read.parquet(src),
                                                          ["model_name", "prompt_id"]).collect())
     assert got == batch
+
+
+def test_stream_dedupe_within_watermark(spark, tmp_path):
+    import datetime as dt
+
+    from scorebook.streaming.live import dedupe_stream
+    t = dt.datetime(2024, 1, 1)
+    rows = [("1", "m", "p", t), ("1", "m", "p", t + dt.timedelta(seconds=5)),
+            ("2", "m", "p", t), ("1", "m", "q", t)]
+    schema = "sample_id string, model_name string, prompt_id string, arrived timestamp"
+    src = str(tmp_path / "arr")
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    out = dedupe_stream(stream, ["sample_id", "model_name", "prompt_id"], "arrived", "1 hour")
+    q = (out.writeStream.format("memory").queryName("dedup_rows").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r.sample_id, r.prompt_id) for r in spark.table("dedup_rows").collect())
+    assert got == [("1", "p"), ("1", "q"), ("2", "p")]
