@@ -168,25 +168,25 @@ def batch_inference(rows: DataFrame, predictor_factory: Callable[..., object],
                                    max_retries, base_delay_s, is_transient, keep), schema)
 
 
-def image_request_payload(content: str, prompt: str, model: str, style: str = "openai",
+def image_request_payload(content: str, prompt: str, model: str, style: str = "image_url",
                           max_tokens: int = 512) -> F.Column:
     """JSON request body with the image (base64, bytes as stored) and the prompt.
 
-    ``openai``: user message content = [{"type":"image_url","image_url":{"url":
-    "data:image/jpeg;base64,..."}}, {"type":"text","text":...}]; ``anthropic``: content =
+    ``image_url``: user message content = [{"type":"image_url","image_url":{"url":
+    "data:image/jpeg;base64,..."}}, {"type":"text","text":...}]; ``base64_source``: content =
     [{"type":"image","source":{"type":"base64","media_type":"image/jpeg","data":...}},
     {"type":"text","text":...}].  Null fields are left out of the JSON."""
     # plain (unchunked) base64: Spark may emit MIME-style line breaks every 76 chars
     b64 = F.translate(F.base64(F.col(content)), "\r\n", "")
     null_s = F.lit(None).cast("string")
-    if style == "openai":
+    if style == "image_url":
         url = F.struct(F.concat(F.lit("data:image/jpeg;base64,"), b64).alias("url"))
         image = F.struct(F.lit("image_url").alias("type"), null_s.alias("text"),
                          url.alias("image_url"))
         text = F.struct(F.lit("text").alias("type"), F.col(prompt).alias("text"),
                         F.lit(None).cast("struct<url:string>")
                         .alias("image_url"))
-    elif style == "anthropic":
+    elif style == "base64_source":
         src_t = "struct<type:string,media_type:string,data:string>"
         image = F.struct(F.lit("image").alias("type"), null_s.alias("text"),
                          F.struct(F.lit("base64").alias("type"), F.lit("image/jpeg").alias("media_type"),
@@ -194,7 +194,7 @@ def image_request_payload(content: str, prompt: str, model: str, style: str = "o
         text = F.struct(F.lit("text").alias("type"), F.col(prompt).alias("text"),
                         F.lit(None).cast(src_t).alias("source"))
     else:
-        raise ValueError("style must be 'openai' or 'anthropic'")
+        raise ValueError("style must be 'image_url' or 'base64_source'")
     msg = F.struct(F.lit("user").alias("role"), F.array(image, text).alias("content"))
     return F.to_json(F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"),
                               F.array(msg).alias("messages")))

@@ -59,3 +59,19 @@ def test_runner_end_to_end(spark, tmp_path):
     # resume: nothing left to run, the table stays the same
     again = run_experiment(spark, samples, models, prompts, EchoModel, path, base_delay_s=0.0)
     assert again.results.count() == 16
+
+
+def test_payload_shapes(spark):
+    import json
+
+    from scorebook.operators.inference import image_request_payload, with_media_token
+    df = spark.createDataFrame([("hi", "look")], "t string, prompt string") \
+        .withColumn("content", F.encode("t", "UTF-8"))
+    a = json.loads(df.select(image_request_payload("content", "prompt", "m")).first()[0])
+    b = json.loads(df.select(image_request_payload("content", "prompt", "m", "base64_source")).first()[0])
+    assert a["messages"][0]["content"][0]["image_url"]["url"] == "data:image/jpeg;base64,aGk="
+    assert b["messages"][0]["content"][0]["source"]["data"] == "aGk="
+    assert b["messages"][0]["content"][1] == {"type": "text", "text": "look"}
+    got = list(df.select(with_media_token(F.lit("x <image> y")),
+                         with_media_token(F.lit("q"))).first())
+    assert got == ["x <image> y", "<image>\nq"]
