@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorebook.config import DEFAULT_GROUP_COLS, DEFAULT_LABELS
-from scorebook.operators.calibration import calibration_metrics, macro_auc
+from scorebook.operators.calibration import macro_auc
 from scorebook.operators.cells import (confusion_cells, drop_null_keys,
                                       prediction_or_none)
 from scorebook.operators.metrics import classification_metrics

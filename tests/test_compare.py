@@ -79,3 +79,11 @@ def test_swap_symmetry(spark):
          for r in discordant_counts(df, C).collect()}
     for k, (bb, cc) in b.items():
         assert a[k] in [(bb, cc), (cc, bb)]
+
+
+def test_native_pvalue_equals_vectorised_python(spark):
+    from scorebook.operators.compare import chi2_1df_pvalue
+    df = spark.createDataFrame([(i * 0.13,) for i in range(400)], "x double")
+    rows = df.select(chi2_sf_1df("x").alias("a"), chi2_1df_pvalue(F.col("x")).alias("b")).collect()
+    for r in rows:
+        assert r.a == pytest.approx(r.b, abs=2e-15)
