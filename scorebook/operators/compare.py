@@ -9,7 +9,9 @@ Gram matrices of per-sample indicator vectors, so the plan is:
 1. per sample: ``bit_or`` of one-hot condition bits into ``present`` / ``correct``
    words (64 conditions per word).  Constant-size state per group, map-side combined,
    so a sample id holding a third of all rows is no hot spot;
-2. per partition of samples: unpack the words and add up ``P'P``, ``R'P``, ``R'R``
+1b. samples with equal patterns are counted together (map-side combined), so the
+   next step sees one weighted row per distinct pattern;
+2. per partition of patterns: unpack the words and add up ``P'P``, ``R'P``, ``R'R``
    with NumPy (``mapInPandas``); each task emits at most C(C-1)/2 rows;
 3. ``groupBy(a, b)`` sums the partial matrices.
 
@@ -111,9 +113,10 @@ def _gram_partials(n_conds: int, n_words: int):
             seen = True
             pres = _unpack(pdf[pcols].to_numpy(dtype=np.int64), n_conds)
             corr = _unpack(pdf[ccols].to_numpy(dtype=np.int64), n_conds)
-            pp += pres.T @ pres
-            rp += corr.T @ pres
-            rr += corr.T @ corr
+            w = pdf["weight"].to_numpy(dtype=np.float64)[:, None] if "weight" in pdf else 1.0
+            pp += pres.T @ (pres * w)
+            rp += corr.T @ (pres * w)
+            rr += corr.T @ (corr * w)
         if not seen:
             return
         out = pd.DataFrame({
@@ -130,13 +133,22 @@ def _gram_partials(n_conds: int, n_words: int):
 
 def discordant_counts(results: DataFrame, group_cols: Sequence[str],
                       id_col: str = "sample_id",
-                      conditions: DataFrame | None = None) -> DataFrame:
-    """M1 + J3: one row per condition pair a < b with at least one shared sample."""
+                      conditions: DataFrame | None = None,
+                      compress_patterns: bool = True) -> DataFrame:
+    """M1 + J3: one row per condition pair a < b with at least one shared sample.
+
+    ``compress_patterns`` groups samples by their (present, correct) bit pattern
+    first, so the NumPy step sees at most one weighted row per distinct pattern."""
     conds, n_conds = indexed_conditions(results, group_cols, conditions)
     if n_conds < 2:
         return _empty_pairs(results.sparkSession)
     masks = sample_masks(results, conds, n_conds, group_cols, id_col)
     n_words = max(1, (n_conds + 63) // 64)
+    words = [f"{k}_{w}" for w in range(n_words) for k in ("present", "correct")]
+    if compress_patterns:
+        # samples with the same (present, correct) pattern contribute identically:
+        # count them (map-side combined) and feed the weighted patterns to NumPy
+        masks = masks.groupBy(*words).agg(F.count(F.lit(1)).alias("weight"))
     partial = masks.mapInPandas(_gram_partials(n_conds, n_words), PAIR_SCHEMA)
     pairs = partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in
                                             ["n_shared", "ra_pb", "rb_pa", "ra_rb"]])

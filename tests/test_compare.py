@@ -87,3 +87,11 @@ def test_native_pvalue_equals_vectorised_python(spark):
     rows = df.select(chi2_sf_1df("x").alias("a"), chi2_1df_pvalue(F.col("x")).alias("b")).collect()
     for r in rows:
         assert r.a == pytest.approx(r.b, abs=2e-15)
+
+
+def test_pattern_compression_is_exact(spark):
+    df = _results(spark)
+    cols = ["condition_a", "condition_b", "n_shared", "b_count", "c_count"]
+    a = sorted(tuple(r) for r in discordant_counts(df, C, compress_patterns=True).select(*cols).collect())
+    b = sorted(tuple(r) for r in discordant_counts(df, C, compress_patterns=False).select(*cols).collect())
+    assert a == b
