@@ -53,3 +53,29 @@ def test_full_analysis_equals_separate_operators(spark):
         assert rows(mine, cols) == rows(ref, cols)
     assert a.bootstrap_cis.count() == 12
     assert "Classification Metrics" in print_summary(a)
+
+
+def test_e1_scan_prunes_raw_output(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from scorebook.plans.analysis import run_full_analysis
+    path = str(tmp_path / "results")
+    eval_results(spark, SF).withColumn("raw_output", F.repeat(F.lit("long answer "), 50)) \
+        .write.parquet(path)
+    a = run_full_analysis(spark.read.parquet(path), n_bootstrap=0)
+    for df in [a.metrics, a.calibration, a.mcnemar_results]:
+        p = plan_of(df)
+        assert "ReadSchema: " in p
+        for part in p.split("ReadSchema: ")[1:]:
+            assert "raw_output" not in part.split("\n")[0]
+
+
+def test_image_bytes_not_read_unless_selected(spark, tmp_path):
+    import os
+
+    from scorebook.sources.samples import load_samples_from_directory
+    os.makedirs(tmp_path / "ASD")
+    (tmp_path / "ASD" / "a.png").write_bytes(b"x" * 100)
+    p = plan_of(load_samples_from_directory(spark, str(tmp_path), ["ASD"]))
+    schema_line = [ln for ln in p.split("\n") if "ReadSchema" in ln or "struct<" in ln]
+    assert all("content" not in ln for ln in schema_line)
