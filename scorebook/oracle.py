@@ -672,3 +672,48 @@ SELECT sample_id FROM er WHERE model_name = 'org/Open-4B' AND prompt_id = 'RCE'"
 def dedupe_sql() -> str:
     return f"""WITH {ER}
 SELECT DISTINCT * FROM (SELECT * FROM er UNION ALL SELECT * FROM er WHERE backend = 'api') u"""
+
+
+
+# --- D1 end to end: deterministic predictor + parser, in SQL ----------------------------
+
+def _parsed_from(src: str, text_col: str, keep: str) -> str:
+    """CTEs that parse ``text_col`` of CTE ``src`` (keeping columns ``keep``); the last
+    CTE is ``parsed`` with ``predicted_label`` and ``parse_success``."""
+    from scorebook.functions import labels as P
+    lookup, strip, exact, json_keys, alias, diag = _parser_sql_parts()
+    return f"""pst AS (SELECT {keep}, {text_col},
+         CASE WHEN {text_col} IS NULL OR {text_col} = '' THEN NULL ELSE {strip(text_col)} END AS s
+       FROM {src}),
+pbr AS (SELECT *, {exact} AS b1, {diag} AS cap, regexp_extract(s, {q(P.JSON_RE)}, 0) AS js FROM pst),
+plab AS (SELECT *,
+  CASE WHEN cap <> '' THEN {lookup('lower(' + strip('cap') + ')')} END AS b2,
+  CASE WHEN js <> '' AND json_valid(js) THEN coalesce({json_keys}) END AS b3,
+  {alias} AS b4 FROM pbr),
+parsed AS (SELECT * EXCLUDE (s, b1, cap, js, b2, b3, b4),
+  coalesce(b1, b2, b3, b4) AS predicted_label,
+  coalesce(b1, b2, b3, b4) IS NOT NULL AS parse_success FROM plab)"""
+
+
+def batch_inference_sql() -> str:
+    from scorebook.sources.fixtures import FIXTURE_MODELS
+    conds = ", ".join(f"({q(name)}, {q(mid)}, {q(p)})" for (_, name, mid, _, _, _) in FIXTURE_MODELS
+                      for p in ("ZSD", "CoT"))
+    words = ["atrial", "ventricular", "ductus", "normal"]
+    answer = "CASE " + " ".join(f"WHEN contains(lt, {q(w)}) THEN {q('Findings: ' + w + ' pattern.')}"
+                                for w in words) + \
+        " ELSE 'DIAGNOSIS: ' || (['ASD', 'VSD', 'PDA', 'Normal'])[length(lt) % 4 + 1] END"
+    return f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS sample_id, lower(coalesce(text, '')) AS lt
+           FROM documents),
+x AS (SELECT d.sample_id, c.model_name, c.model_id, c.prompt_id, d.lt,
+             'Classify: ' || c.prompt_id AS prompt
+      FROM d CROSS JOIN (VALUES {conds}) c(model_name, model_id, prompt_id)),
+a AS (SELECT sample_id, model_name, model_id, prompt_id, {answer} AS raw_output,
+             CAST(0.0 AS DOUBLE) AS inference_time_s,
+             CAST(length(lt) // 4 + length(prompt) // 4 AS BIGINT) AS input_tokens,
+             lt, prompt FROM x),
+b AS (SELECT sample_id, model_name, model_id, prompt_id, raw_output, inference_time_s, input_tokens,
+             CAST(length(raw_output) // 4 AS BIGINT) AS output_tokens,
+             CAST(0.0 AS DOUBLE) AS cost_usd, CAST(NULL AS VARCHAR) AS error FROM a),
+{_parsed_from('b', 'raw_output', 'sample_id, model_name, model_id, prompt_id, inference_time_s, input_tokens, output_tokens, cost_usd, error')}
+SELECT * FROM parsed"""

@@ -351,7 +351,7 @@ def q_media_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", with_media_token(F.col("text")).alias("prompt"))
 
 
-@register("batch_inference")
+@register("batch_inference", oracle.batch_inference_sql())
 def q_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorebook.functions.labels import parse_labels
     from scorebook.operators.inference import batch_inference, expand_conditions
