@@ -31,6 +31,13 @@ class Analysis:
     calibration: DataFrame | None = None
     reliability: DataFrame | None = None
     auc_per_class: DataFrame | None = None
+    _persisted: list = None
+
+    def release(self) -> None:
+        """Unpersist the small tables the analysis cached (summary, per-class AUC)."""
+        for df in self._persisted or []:
+            df.unpersist()
+        self._persisted = []
 
 
 def require_columns(results: DataFrame, group_cols: Sequence[str]) -> None:
@@ -110,6 +117,7 @@ def run_full_analysis(results: DataFrame,
 
     out = Analysis(metrics=metrics, per_class_metrics=per_class,
                    confusion_cells=grid, cells_all=cells)
+    out._persisted = [summary] if persist else []
 
     if prob_cols is not None:
         bins = summary.filter("has_probs").groupBy(*group_cols, "bin").agg(
@@ -119,6 +127,7 @@ def run_full_analysis(results: DataFrame,
         apc = auc_per_class(complete_prob_rows(results, prob_cols, group_cols), labels, group_cols)
         if persist:      # one row per (condition, class); read by metrics and calibration
             apc = apc.persist(StorageLevel.MEMORY_AND_DISK)
+            out._persisted.append(apc)
         mauc = macro_auc(apc, len(labels), group_cols)
         out.calibration = base.join(mauc, group_cols, "left").select(
             *group_cols, "ece", "mce", "brier_score", "roc_auc", "n_calibration_samples")

@@ -79,3 +79,11 @@ def test_image_bytes_not_read_unless_selected(spark, tmp_path):
     p = plan_of(load_samples_from_directory(spark, str(tmp_path), ["ASD"]))
     schema_line = [ln for ln in p.split("\n") if "ReadSchema" in ln or "struct<" in ln]
     assert all("content" not in ln for ln in schema_line)
+
+
+def test_analysis_release(spark):
+    from scorebook.plans.analysis import run_full_analysis
+    a = run_full_analysis(eval_results(spark, SF), n_bootstrap=0, with_mcnemar=False)
+    assert a.metrics.count() == 12 and len(a._persisted) == 2
+    a.release()
+    assert a._persisted == []
