@@ -210,3 +210,8 @@ def bootstrap_cis_poisson(results: DataFrame, labels: Sequence[str], group_cols:
     """B2 + B3: percentile intervals from the Poisson replicates."""
     reps = poisson_replicates(results, labels, group_cols, n_bootstrap, seed)
     return percentile_bounds(reps, group_cols, SUPPORTED, alpha)
+
+
+from scorebook._ship import ship  # noqa: E402
+
+ship(__name__)

@@ -267,3 +267,8 @@ def _empty_pairs(spark) -> DataFrame:
               "c_count bigint, chi2 double, p_raw double, p_bh double, p_bh_ref double, "
               "significant_05 boolean, significant_01 boolean, pair_idx int")
     return spark.createDataFrame([], schema)
+
+
+from scorebook._ship import ship  # noqa: E402
+
+ship(__name__)

@@ -204,3 +204,8 @@ def with_media_token(prompt: F.Column, token: str = "<image>") -> F.Column:
     """P20: prepend ``<image>\\n`` unless the prompt already contains the token."""
     return F.when(F.locate(token, prompt) > 0, prompt).otherwise(
         F.concat(F.lit(token + "\n"), prompt))
+
+
+from scorebook._ship import ship  # noqa: E402
+
+ship(__name__)

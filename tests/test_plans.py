@@ -87,3 +87,14 @@ def test_analysis_release(spark):
     assert a.metrics.count() == 12 and len(a._persisted) == 2
     a.release()
     assert a._persisted == []
+
+
+def test_worker_code_travels_with_the_task():
+    """Worker-side modules are pickled by value, so executors need not import the package."""
+    from pyspark import cloudpickle
+
+    import scorebook.operators.bootstrap as b
+    import scorebook.operators.compare as c
+    import scorebook.operators.inference as i
+    for mod in (b, c, i):
+        assert mod.__name__ in cloudpickle.list_registry_pickle_by_value()
