@@ -174,14 +174,24 @@ def ece_mce(reliability: DataFrame, n_rows: DataFrame, group_cols: Sequence[str]
 
 def calibration_from_summary(summary: DataFrame, k: int, group_cols: Sequence[str],
                              n_bins: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(ece / mce / brier / n per condition, reliability table) from a bin summary."""
-    bn = brier_and_n(summary, k, group_cols)
-    rel = reliability_bins(summary, group_cols, n_bins, conditions=bn.select(*group_cols))
-    em = ece_mce(rel, bn.select(*group_cols, "n_calibration_samples"), group_cols)
-    cal = (bn.join(em, list(group_cols), "left")
-             .select(*group_cols, F.coalesce(F.col("ece"), F.lit(0.0)).alias("ece"),
-                     F.coalesce(F.col("mce"), F.lit(0.0)).alias("mce"),
-                     "brier_score", "n_calibration_samples"))
+    """(ece / mce / brier / n per condition, reliability table) from a bin summary.
+
+    Brier, ECE and MCE come from one aggregation over the bin summary (n per condition
+    via a window over its at most n_bins + 1 rows); the reliability table adds the
+    empty bins."""
+    from pyspark.sql import Window
+    n_c = F.sum("count").over(Window.partitionBy(*group_cols))
+    staged = summary.withColumn("_n", n_c)
+    filled = F.col("bin").isNotNull() & (F.col("count") > 0)
+    gap = F.abs(F.col("sum_conf") / F.col("count") - F.col("n_correct") / F.col("count"))
+    cal = staged.groupBy(*group_cols).agg(
+        (F.sum("sum_sq") / (F.sum("count") * F.lit(k))).alias("brier_score"),
+        F.sum("count").alias("n_calibration_samples"),
+        F.coalesce(F.sum(F.when(filled, gap * F.col("count") / F.col("_n"))), F.lit(0.0)).alias("ece"),
+        F.coalesce(F.max(F.when(filled, gap)), F.lit(0.0)).alias("mce"))
+    cal = cal.select(*group_cols, "ece", "mce", "brier_score", "n_calibration_samples")
+    rel = reliability_bins(summary, group_cols, n_bins,
+                           conditions=summary.select(*group_cols).distinct())
     return cal, rel
 
 

@@ -99,7 +99,7 @@ def run_full_analysis(results: DataFrame,
                       seed: int = 42,
                       with_mcnemar: bool = True,
                       persist: bool = True, n_bins: int = 10) -> Analysis:
-    """Three passes over the fact table: the combined summary (cells, Brier,
+    """Every analysis table.  Three passes over the fact table: the combined summary (cells, Brier,
     reliability), the tie-grouped scores (AUC) and the per-sample bitmasks (McNemar).
     The summary is persisted; it is at most a few hundred rows per condition."""
     from scorebook.operators.calibration import (auc_per_class, calibration_from_summary,
@@ -150,7 +150,8 @@ def run_full_analysis(results: DataFrame,
 
 
 def print_summary(analysis: Analysis) -> str:
-    """Human-readable summary from the condition-sized tables only."""
+    """Human-readable summary from the condition-sized tables only (collects only
+    condition- and pair-sized tables)."""
     lines = ["===  Classification Metrics  ==="]
     m = analysis.metrics.orderBy(*[c for c in DEFAULT_GROUP_COLS
                                    if c in analysis.metrics.columns])
