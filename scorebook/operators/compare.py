@@ -9,14 +9,15 @@ Gram matrices of per-sample indicator vectors, so the plan is:
 1. per sample: ``bit_or`` of one-hot condition bits into ``present`` / ``correct``
    words (64 conditions per word).  Constant-size state per group, map-side combined,
    so a sample id holding a third of all rows is no hot spot;
-1b. samples with equal patterns are counted together (map-side combined), so the
+2. samples with equal patterns are counted together (map-side combined), so the
    next step sees one weighted row per distinct pattern;
-2. per partition of patterns: unpack the words and add up ``P'P``, ``R'P``, ``R'R``
+3. per partition of patterns: unpack the words and add up ``P'P``, ``R'P``, ``R'R``
    with NumPy (``mapInPandas``); each task emits at most C(C-1)/2 rows;
-3. ``groupBy(a, b)`` sums the partial matrices.
+4. ``groupBy(a, b)`` sums the partial matrices.
 
-The shuffle in step 1 moves one row per (sample, condition) with two int columns;
-nothing per pair of samples or pair of rows is ever materialised.
+The shuffle in step 1 moves one row per (sample, condition): the sample id, a condition
+index and a correctness flag.  Nothing per pair of samples or pair of rows is ever
+materialised.
 """
 
 from __future__ import annotations

@@ -3,8 +3,10 @@
 ``eval_results``: every ``events`` row becomes one sample evaluated under 12
 conditions (3 models x 4 prompts).  ``raw_outputs``: every ``documents`` row becomes
 one model answer, 16 templates covering every parser branch, template 15 being the
-document's full text.  Both derivations are narrow (no shuffle): the condition list
-is a literal array expanded with ``inline``, not a join.
+document's full text.  Both derivations are narrow: the condition list is a literal
+array expanded with ``inline``, not a join.  The only shuffle is ``spread``'s
+round-robin of the two input columns, and only when the scan yields fewer splits
+than the cluster's default parallelism (the single-row-group test files).
 
 The SQL texts are the same derivations for DuckDB, used by the oracle queries.
 """
