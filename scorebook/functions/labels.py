@@ -92,9 +92,16 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
     return expr if expr is not None else F.lit(None).cast("string")
 
 
+def _guarded_lookup(key: Column, table: dict[str, str]) -> Column:
+    """Lookup of ``lower(key)``, skipped (null) when ``key`` is longer than every table
+    key: no match is possible, and lower-casing a whole document is avoided."""
+    longest = max((len(k) for k in table), default=0)
+    return F.when(F.length(key) <= F.lit(longest), _lookup(F.lower(key), table))
+
+
 def match_alias(col: Column, spec: LabelSpec) -> Column:
     """Trimmed, lower-cased equality with a label or one of its aliases."""
-    return _lookup(F.lower(strip_ws(col)), alias_table(spec))
+    return _guarded_lookup(strip_ws(col), alias_table(spec))
 
 
 def branch_exact(s: Column, spec: LabelSpec) -> Column:
@@ -102,7 +109,7 @@ def branch_exact(s: Column, spec: LabelSpec) -> Column:
     table: dict[str, str] = {}
     for label in spec.labels:
         table.setdefault(label.lower(), label)
-    return _lookup(F.lower(s), table)
+    return _guarded_lookup(s, table)
 
 
 def branch_diagnosis(s: Column, spec: LabelSpec, strict: bool = False) -> Column:
