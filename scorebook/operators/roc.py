@@ -117,7 +117,8 @@ def roc_macro_grid(points: DataFrame, labels: Sequence[str], group_cols: Sequenc
         F.min(F.when(~on_x, F.col("tpr"))).alias("rs_tpr"),
         F.min("fpr").alias("ra_fpr"), F.min("tpr").alias("ra_tpr"))
     grid = F.array(*[F.lit(g) for g in range(grid_points)])
-    full = points.select(*key).distinct().select(*key, F.explode(grid).alias("g"))
+    # keys from the per-bin table (at most grid_points rows per class), not the points
+    full = per_bin.select(*key).distinct().select(*key, F.explode(grid).alias("g"))
     t = full.join(per_bin, [*key, "g"], "left")
     before = Window.partitionBy(*key).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*key).orderBy("g").rowsBetween(1, Window.unboundedFollowing)
