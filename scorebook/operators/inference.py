@@ -62,10 +62,10 @@ def expand_conditions(samples: DataFrame, conditions: DataFrame) -> DataFrame:
 
     The condition list is collected (its size is checked first) and expanded with
     ``inline``, so the sample table is never joined or shuffled."""
-    n = conditions.count()
-    if n > MAX_CONDITIONS_LITERAL:
-        raise ValueError(f"{n} conditions is more than the literal expansion limit")
-    rows = conditions.collect()
+    rows = conditions.limit(MAX_CONDITIONS_LITERAL + 1).collect()   # bounded collect
+    if len(rows) > MAX_CONDITIONS_LITERAL:
+        raise ValueError(f"more than {MAX_CONDITIONS_LITERAL} conditions: too many to expand "
+                         "as a literal list")
     fields = conditions.schema.fields
     structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields])
                for r in rows]
