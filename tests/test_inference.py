@@ -75,3 +75,27 @@ def test_payload_shapes(spark):
     got = list(df.select(with_media_token(F.lit("x <image> y")),
                          with_media_token(F.lit("q"))).first())
     assert got == ["x <image> y", "<image>\nq"]
+
+
+def test_runner_partial_resume_keeps_finished_partitions(spark, tmp_path):
+    import glob
+    import os
+
+    from scorebook.plans.runner import run_experiment
+    from scorebook.sources.config import models_frame, prompts_frame
+    samples = spark.createDataFrame([(f"s{i}", f"p{i}.png", ["ASD", "VSD"][i % 2]) for i in range(6)],
+                                    "sample_id string, image_path string, label string") \
+        .withColumn("content", F.encode("label", "UTF-8"))
+    prompts = prompts_frame(spark, {"Z": "classify"})
+    api = {"model_id": "api", "display_name": "Api", "backend": "api"}
+    loc = {"model_id": "local", "display_name": "Local", "backend": "hf"}
+    path = str(tmp_path / "results")
+    run_experiment(spark, samples, models_frame(spark, [api]), prompts, EchoModel, path,
+                   base_delay_s=0.0)
+    done_files = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/model_name=Api/**/*.parquet",
+                                                            recursive=True)}
+    assert done_files
+    out = run_experiment(spark, samples, models_frame(spark, [api, loc]), prompts, EchoModel, path,
+                         base_delay_s=0.0)
+    assert out.results.count() == 12
+    assert {f: os.path.getmtime(f) for f in done_files} == done_files
