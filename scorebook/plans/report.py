@@ -35,19 +35,20 @@ def parse_failures(results: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 
 
 def class_counts(samples: DataFrame, labels: Sequence[str], label_col: str = "label",
-                 id_col: str | None = None) -> DataFrame:
-    """Samples per label, zeros included, in label order.  With ``id_col`` the
-    rows are first reduced to distinct (id, label) pairs (a fact table lists each sample
-    once per condition)."""
+                 id_col: str | None = None, by_count: bool = False) -> DataFrame:
+    """Samples per label, zeros included, in label order (``by_count``: most
+    frequent first, ties in label order).  With ``id_col`` the rows are first reduced
+    to distinct (id, label) pairs (a fact table lists each sample once per condition)."""
     df = samples.select(*( [id_col] if id_col else []), label_col)
     if id_col:
         df = df.distinct()
     counts = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     grid = samples.sparkSession.createDataFrame(
         [(x, i) for i, x in enumerate(labels)], "label string, label_order int")
-    return (F.broadcast(grid).join(counts, "label", "left")
-            .select("label", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"),
-                    "label_order"))
+    out = (F.broadcast(grid).join(counts, "label", "left")
+           .select("label", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"),
+                   "label_order"))
+    return out.orderBy(F.col("n").desc(), "label_order") if by_count else out.orderBy("label_order")
 
 
 def distinct_values(results: DataFrame, col: str) -> DataFrame:

@@ -97,3 +97,11 @@ def test_evaluate_single(spark):
         .withColumn("content", F.encode("label", "UTF-8"))
     out = evaluate_single(spark, samples, EchoPredictor, "classify", "ZSD", "echo")
     assert {r.sample_id: r.predicted_label for r in out.collect()} == {"s1": "ASD", "s2": "Normal"}
+
+
+def test_class_counts_orders(spark):
+    from scorebook.plans.report import class_counts
+    df = spark.createDataFrame([("1", "VSD"), ("2", "VSD"), ("3", "ASD")], "sample_id string, label string")
+    assert [r.label for r in class_counts(df, LABELS).collect()] == LABELS
+    got = [(r.label, r.n) for r in class_counts(df, LABELS, by_count=True).collect()]
+    assert got == [("VSD", 2), ("ASD", 1), ("PDA", 0), ("Normal", 0)]
