@@ -102,7 +102,8 @@ def heat_pivot(per_class: DataFrame, labels: Sequence[str], metric: str = "f1",
         df = df.filter(F.col("prompt_id") == prompt_filter)
     group_cols = [c for c in group_cols if c in df.columns]
     label = F.concat_ws(" / ", *[short_name(F.col(c).cast("string"), max_len) for c in group_cols])
-    present = [x for x in labels]
+    found = {r[0] for r in df.select("class").distinct().collect()}   # label-sized
+    present = [x for x in labels if x in found]      # absent classes are left out
     wide = df.groupBy(*group_cols).pivot("class", present).agg(F.avg(metric))
     return wide.withColumn("condition", label).select(*group_cols, "condition", *present)
 

@@ -105,3 +105,15 @@ def test_class_counts_orders(spark):
     assert [r.label for r in class_counts(df, LABELS).collect()] == LABELS
     got = [(r.label, r.n) for r in class_counts(df, LABELS, by_count=True).collect()]
     assert got == [("VSD", 2), ("ASD", 1), ("PDA", 0), ("Normal", 0)]
+
+
+def test_heat_drops_absent_classes_and_single_condition_pairs(spark):
+    from scorebook.operators.compare import pairwise_mcnemar
+    pc = spark.createDataFrame([("m", "p", "ASD", 0.5), ("m", "p", "VSD", 0.25)],
+                               "model_name string, prompt_id string, class string, f1 double")
+    t = heat_pivot(pc, LABELS, "f1", C)
+    assert t.columns == ["model_name", "prompt_id", "condition", "ASD", "VSD"]
+    one = spark.createDataFrame([("1", "ASD", "ASD", "m", "p")], "sample_id string, true_label string, "
+                                "predicted_label string, model_name string, prompt_id string")
+    empty = pairwise_mcnemar(one, C)
+    assert empty.count() == 0 and "p_bh" in empty.columns
