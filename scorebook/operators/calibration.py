@@ -41,6 +41,9 @@ def complete_prob_rows(results: DataFrame, prob_cols: dict[str, str],
     for i, x in enumerate(labels):
         idx = F.when(F.col(true_col) == x, F.lit(i)) if idx is None \
             else idx.when(F.col(true_col) == x, F.lit(i))
+    # A truth outside the label list has no probability column: fail loudly
+    idx = idx.otherwise(F.raise_error(F.concat(
+        F.lit("true label outside the label list: "), F.col(true_col).cast("string"))))
     return df.select(
         *group_cols,
         *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(prob_cols.values())],

@@ -78,6 +78,9 @@ def fact_summary(results: DataFrame, labels: Sequence[str], group_cols: Sequence
         has = F.col("true_label").isNotNull()
         for c in prob_cols.values():
             has = has & F.col(c).isNotNull()
+        # A truth outside the label list cannot be scored against the probabilities
+        idx = idx.otherwise(F.when(has, F.raise_error(F.concat(
+            F.lit("true label outside the label list: "), F.col("true_label").cast("string")))))
         staged = df.select(*cols, has.alias("has_probs"),
                            *[F.col(c).cast("double").alias(f"p{i}")
                              for i, c in enumerate(prob_cols.values())],

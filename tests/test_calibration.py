@@ -92,3 +92,13 @@ def test_bucketed_prefix_equals_single_window(spark):
     a = calibration_metrics(df, pc, C, n_buckets=1).auc_per_class.orderBy("model_name", "class").collect()
     b = calibration_metrics(df, pc, C, n_buckets=97).auc_per_class.orderBy("model_name", "class").collect()
     assert [r.auc for r in a] == [r.auc for r in b]
+
+
+def test_truth_outside_labels_is_an_error(spark):
+    rows = [("1", "ASD", "m", "p", 0.7, 0.1, 0.1, 0.1), ("2", "Other", "m", "p", 0.7, 0.1, 0.1, 0.1)]
+    schema = "sample_id string, true_label string, model_name string, prompt_id string, " + \
+             ", ".join(f"prob_{x} double" for x in LABELS)
+    cal = calibration_metrics(spark.createDataFrame(rows, schema),
+                              {x: f"prob_{x}" for x in LABELS}, C)
+    with pytest.raises(Exception, match="outside the label list"):
+        cal.calibration.collect()
