@@ -77,7 +77,7 @@ def sample_masks(results: DataFrame, conds: DataFrame, n_conds: int,
     n_words = max(1, (n_conds + 63) // 64)
     rows = drop_null_keys(results, group_cols).filter(F.col(id_col).isNotNull())
     ok = F.coalesce(F.col("predicted_label"), F.lit(NONE_LABEL)) == F.col("true_label")
-    j = rows.select(id_col, *group_cols, F.coalesce(ok, F.lit(False)).alias("ok")) \
+    j = rows.select(id_col, *group_cols, "true_label", F.coalesce(ok, F.lit(False)).alias("ok")) \
         .join(_maybe_broadcast(conds.select(*group_cols, "cond_idx"), n_conds),
               list(group_cols), "inner")
     aggs = []
@@ -88,7 +88,14 @@ def sample_masks(results: DataFrame, conds: DataFrame, n_conds: int,
         aggs.append(F.bit_or(F.when(in_word, bit).otherwise(zero)).alias(f"present_{w}"))
         aggs.append(F.bit_or(F.when(in_word & F.col("ok"), bit).otherwise(zero))
                     .alias(f"correct_{w}"))
-    return j.groupBy(id_col).agg(*aggs)
+    # Q19: pairing assumes one truth per sample; checked in the same aggregation
+    aggs += [F.min("true_label").alias("_t_min"), F.max("true_label").alias("_t_max")]
+    masks = j.groupBy(id_col).agg(*aggs)
+    conflict = F.col("_t_min") != F.col("_t_max")
+    # folded into a column that is consumed, so the check cannot be pruned away
+    return masks.withColumn("present_0", F.when(conflict, F.raise_error(F.concat(
+        F.lit("sample has different true labels across conditions: "),
+        F.col(id_col).cast("string")))).otherwise(F.col("present_0"))).drop("_t_min", "_t_max")
 
 
 def _unpack(words: np.ndarray, n_conds: int) -> np.ndarray:

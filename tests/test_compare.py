@@ -95,3 +95,12 @@ def test_pattern_compression_is_exact(spark):
     a = sorted(tuple(r) for r in discordant_counts(df, C, compress_patterns=True).select(*cols).collect())
     b = sorted(tuple(r) for r in discordant_counts(df, C, compress_patterns=False).select(*cols).collect())
     assert a == b
+
+
+def test_truth_must_be_constant_per_sample(spark):
+    rows = [("1", "ASD", "ASD", "a", "x"), ("1", "VSD", "VSD", "b", "x"), ("2", "ASD", "ASD", "a", "x"),
+            ("2", "ASD", "PDA", "b", "x")]
+    df = spark.createDataFrame(rows, "sample_id string, true_label string, predicted_label string, "
+                                     "model_name string, prompt_id string")
+    with pytest.raises(Exception, match="different true labels"):
+        discordant_counts(df, C).collect()
