@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import host_rules
+from scorebook.llm import flow_mix, host_rules, token_cache
+from scorebook.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,3 +26,21 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_host_rules"] = op5_host_rules
 ORACLE["op5_host_rules"] = host_rules.oracle_sql()
+
+
+def op6_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_mix.mixed_documents(_documents(spark, sf_dir))
+
+
+QUERIES["op6_flow_mix"] = op6_flow_mix
+ORACLE["op6_flow_mix"] = flow_mix.oracle_sql()
+
+
+def op3_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache folder of its own for each run; no SQL can encode, so tests hold it to the library."""
+    import public_tokenizers
+    return token_cache.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                    fresh_path(spark, "token-cache"))
+
+
+QUERIES["op3_token_cache"] = op3_token_cache
