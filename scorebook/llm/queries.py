@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import flow_mix, host_rules, token_cache
+from scorebook.llm import arc_convert, flow_mix, host_rules, token_cache
 from scorebook.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,12 @@ def op3_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_token_cache"] = op3_token_cache
+
+
+def op8_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_convert.convert_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op8_arc_convert"] = op8_arc_convert
+ORACLE["op8_arc_convert"] = arc_convert.oracle_sql()
