@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import arc_convert, flow_mix, host_rules, token_cache
+from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, token_cache
 from scorebook.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,11 @@ def op8_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op8_arc_convert"] = op8_arc_convert
 ORACLE["op8_arc_convert"] = arc_convert.oracle_sql()
+
+
+def op9_int8_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return int8_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES["op9_int8_join"] = op9_int8_join
+ORACLE["op9_int8_join"] = int8_join.oracle_sql()
