@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, token_cache
+from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, line_join, token_cache
 from scorebook.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,11 @@ def op9_int8_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op9_int8_join"] = op9_int8_join
 ORACLE["op9_int8_join"] = int8_join.oracle_sql()
+
+
+def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: all pairs of lines are too many for it; a brute-force test stands in."""
+    return line_join.line_report(_documents(spark, sf_dir))
+
+
+QUERIES["op10_line_join"] = op10_line_join
