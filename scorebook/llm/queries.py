@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, line_join, token_cache
+from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, line_join, token_cache, unit_dedup
 from scorebook.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,11 @@ def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_line_join"] = op10_line_join
+
+
+def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.unit_report(_documents(spark, sf_dir))
+
+
+QUERIES["op4_unit_dedup"] = op4_unit_dedup
+ORACLE["op4_unit_dedup"] = unit_dedup.oracle_sql()
