@@ -45,7 +45,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body`` (also in inner lambdas)."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda v: body(v))[0]
 
 
 def words_of(text: Column) -> Column:
