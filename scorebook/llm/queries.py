@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, line_join, token_cache, unit_dedup
+from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, line_join, probminhash, token_cache, unit_dedup
 from scorebook.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,11 @@ def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_unit_dedup"] = op4_unit_dedup
 ORACLE["op4_unit_dedup"] = unit_dedup.oracle_sql()
+
+
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: all pairs of shingle sets are too many for it; a brute-force test stands in."""
+    return probminhash.class_report(_documents(spark, sf_dir))
+
+
+QUERIES["op7_probminhash"] = op7_probminhash
