@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, line_join, probminhash, token_cache, unit_dedup
+from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, line_join, pii_disclosure, probminhash, token_cache, unit_dedup
 from scorebook.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,11 @@ def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_probminhash"] = op7_probminhash
+
+
+def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: offsets of matches and the term table are held to brute force in the tests."""
+    return pii_disclosure.disclosure_report(_documents(spark, sf_dir))
+
+
+QUERIES["op2_disclosure"] = op2_disclosure
