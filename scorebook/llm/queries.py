@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import arc_convert, flow_mix, host_rules, int8_join, line_join, pii_disclosure, probminhash, token_cache, unit_dedup
+from scorebook.llm import arc_convert, flow_mix, gumbel_pieces, host_rules, int8_join, line_join, pii_disclosure, probminhash, token_cache, unit_dedup
 from scorebook.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,12 @@ def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_disclosure"] = op2_disclosure
+
+
+def op1_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations a document; no SQL: samples are held to enumerated lattices in the tests."""
+    import public_tokenizers
+    return gumbel_pieces.segmentation_report(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op1_gumbel_pieces"] = op1_gumbel_pieces
