@@ -112,27 +112,24 @@ def measures(text: Column) -> Column:
     return let(words_of(text), fields)
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with one struct column ``quality`` of the measures and ``failed`` rules."""
-    box, = unused(docs, "quality_box")
-    with_box = docs.withColumn(box, measures(F.col(text_col)))
-    m = F.col(box)
-    vals = {"n_words": m["n_words"], "word_chars": m["word_chars"], "n_symbols": m["n_symbols"],
-            "n_lines": m["lines"]["n"], "n_dup_lines": m["lines"]["dup"],
-            "n_repeat_words": m["n_repeat_words"]}
-    fails = rules(*(vals[k] for k in MEASURES))
-    return with_box.withColumn("quality", F.struct(
-        *(v.alias(k) for k, v in vals.items()),
-        *(f.alias(k) for k, f in fails.items()))).drop(box)
-
-
-def host_verdicts(quality: DataFrame, host_col: str, limits: HostLimits = HostLimits()) -> DataFrame:
+def quality(text: Column) -> Column:
+    """Struct of the measures of one text and of the rules it fails."""
+    def fields(m: Column) -> Column:
+        vals = {"n_words": m["n_words"], "word_chars": m["word_chars"], "n_symbols": m["n_symbols"],
+                "n_lines": m["lines"]["n"], "n_dup_lines": m["lines"]["dup"],
+                "n_repeat_words": m["n_repeat_words"]}
+        fails = rules(*(vals[k] for k in MEASURES))
+        return F.struct(*(v.alias(k) for k, v in vals.items()), *(f.alias(k) for k, f in fails.items()))
+    return let(measures(text), fields)
+
+
+def host_verdicts(judged: DataFrame, host_col: str, limits: HostLimits = HostLimits()) -> DataFrame:
     """One row per host: documents, shrunk rate per rule, ``host_kept``.
 
-    ``quality`` has the host column and ``quality``.  The prior is one row of sums over the
+    ``judged`` has the host column and ``quality``.  The prior is one row of sums over the
     hosts (two numbers a rule), all that reaches the driver.
     """
-    hosts = staged(quality.groupBy(F.col(host_col).alias("host")).agg(
+    hosts = staged(judged.groupBy(F.col(host_col).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"),
         *(F.sum(F.col(f"quality.{r}").cast("long")).alias(f"f_{r}") for r in RULES)), "hosts")
     sums = hosts.agg(
@@ -165,11 +162,11 @@ def judge_documents(docs: DataFrame, text_col: str = "text", host_col: str = "so
 
     The texts are measured once; only the measures are written to the shared folder.
     """
-    quality = staged(measured(docs, text_col).select(
-        F.col(id_col).alias("id"), F.col(host_col).alias("doc_host"), "quality"), "quality")
-    hosts = host_verdicts(quality, "doc_host", limits)
+    judged = staged(docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("doc_host"),
+                                quality(F.col(text_col)).alias("quality")), "quality")
+    hosts = host_verdicts(judged, "doc_host", limits)
     base_failed = F.col("quality.short") | F.col("quality.repeats")
-    joined = quality.join(hosts, F.col("doc_host").eqNullSafe(F.col("host")), "left")
+    joined = judged.join(hosts, F.col("doc_host").eqNullSafe(F.col("host")), "left")
     return joined.select(
         F.col("id").alias(id_col), *(F.col(f"quality.{m}").alias(m) for m in MEASURES),
         base_failed.alias("base_failed"), "host_kept",
@@ -183,12 +180,13 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
 
     Texts are measured in two passes (counts per host, then the filter), so no text is shuffled.
     """
-    quality = measured(docs.select(F.col(host_col).alias("doc_host"), F.col(text_col).alias("t")), "t")
-    hosts = host_verdicts(quality, "doc_host", limits)
-    bad = hosts.filter(~F.col("host_kept")).select(F.col("host").alias("bad_host"))
-    columns = docs.columns
-    good = measured(docs, text_col).filter(~(F.col("quality.short") | F.col("quality.repeats")))
-    return good.join(bad, good[host_col].eqNullSafe(F.col("bad_host")), "left_anti").select(*columns)
+    judged = docs.select(F.col(host_col).alias("doc_host"), quality(F.col(text_col)).alias("quality"))
+    hosts = host_verdicts(judged, "doc_host", limits)
+    bad = hosts.filter(~F.col("host_kept")).select("host")
+    box, = unused(docs, "quality_of_text")
+    good = docs.withColumn(box, quality(F.col(text_col))).filter(~(F.col(f"{box}.short") | F.col(f"{box}.repeats")))
+    return good.join(bad, good[host_col].eqNullSafe(bad["host"]), "left_anti").select(
+        *(good[f"`{c}`"] for c in docs.columns))
 
 
 def oracle_sql() -> str:

@@ -148,13 +148,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one more column ``removed`` (line numbers, null if none)."""
     gone = removed_lines(docs, id_col, text_col, limits).toDF("gone_id", "gone_h", "gone")
     box, = unused(docs, "removed")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_h")), "left")
-    rest = let(F.col("gone"), lambda g: F.array_join(F.filter(
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
+    joined = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(text) == gone["gone_h"]), "left")
+    rest = let(gone["gone"], lambda g: F.array_join(F.filter(
         F.split(text, "\n"), lambda x, i: ~F.array_contains(g, i)), "\n"))
-    new = F.when(F.col("gone").isNull(), F.col(f"`{text_col}`")).otherwise(rest)
-    return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-                         F.col("gone").alias(box))
+    new = F.when(gone["gone"].isNull(), docs[f"`{text_col}`"]).otherwise(rest)
+    return joined.select(*(new.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns),
+                         gone["gone"].alias(box))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

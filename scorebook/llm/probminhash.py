@@ -90,10 +90,10 @@ def signatures(doc, h, weight, n_docs: int):
     least = np.full(n_docs * SLOTS, np.inf)
     owner = np.zeros(n_docs * SLOTS, np.uint32)
     time = np.zeros(len(h))
-    step = np.uint64(0)
+    step = 0
     while len(h):
-        step += np.uint64(1)
-        bits = mixed(h + step * np.uint64(GOLDEN))
+        step = (step + GOLDEN) & 0xFFFFFFFFFFFFFFFF
+        bits = mixed(h + np.uint64(step))
         time = time - np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0 ** 53) / weight
         slot = doc * SLOTS + (mixed(bits ^ np.uint64(MIX1)) >> np.uint64(57)).astype(np.int64)
         hit = np.flatnonzero(time < least[slot])
@@ -313,8 +313,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n1, n2, n3 = unused(docs, "words_key1", "words_key2", "turn")
     words = words_of(F.col(f"`{text_col}`"))
     keyed = let_keys(docs, words, n1, n2)
-    joined = keyed.join(kept, (F.col(n1) == F.col("kept_k1")) & (F.col(n2) == F.col("kept_k2"))
-                        & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    joined = keyed.join(kept, (keyed[n1] == kept["kept_k1"]) & (keyed[n2] == kept["kept_k2"])
+                        & keyed[f"`{id_col}`"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
     # a row that is there twice stays once; blank texts are classes of their own, so all of them stay
     turn = F.row_number().over(Window.partitionBy(n1, n2, F.col(f"`{id_col}`")).orderBy(F.lit(1)))
     return joined.withColumn(n3, turn).filter((F.col(n3) == 1) | (F.size(words) == 0)).select(

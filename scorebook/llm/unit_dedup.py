@@ -104,14 +104,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and one more column ``removed``: (start, end) spans in the original text, null if none."""
     gone = _per_text(removed_units(docs, id_col, text_col, kind, least, fold_case))
     box, = unused(docs, "removed")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_h")), "left")
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
+    joined = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(text) == gone["gone_h"]), "left")
     glue = "\n" if kind == "line" else "\n\n"
-    rest = let(F.col("gone.start"), lambda g: F.array_join(F.transform(F.filter(
+    rest = let(gone["gone"]["start"], lambda g: F.array_join(F.transform(F.filter(
         units(text, kind), lambda u: ~F.array_contains(g, u["start"])), lambda u: u["unit"]), glue))
-    new = F.when(F.col("gone").isNull(), F.col(f"`{text_col}`")).otherwise(rest)
-    return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-                         F.col("gone").alias(box))
+    new = F.when(gone["gone"].isNull(), docs[f"`{text_col}`"]).otherwise(rest)
+    return joined.select(*(new.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns),
+                         gone["gone"].alias(box))
 
 
 def unit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line",
