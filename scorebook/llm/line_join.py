@@ -4,15 +4,18 @@ A line's token set is the set of its words.  Two lines match if the Jaccard simi
 their token sets is at least ``num / den`` (4/5).  Lines rank by (document id, line number);
 every line that matches an earlier line is removed.
 
-1. Equal lines are grouped; a group keeps its first rank.  All further work is on distinct lines.
-2. Tokens are ordered by rarity.  Rarity comes from counts over all distinct lines, kept in a
-   table of ``2 ** BITS`` counters addressed by token digest (a fixed 256 KB, one byte of
-   log-scale rarity each); ties are ordered by the digest.  Any fixed order is exact; this one
-   puts frequent tokens last.
-3. A line posts its prefix, the first |x| - ceil(t |x|) + 1 tokens: matching lines share one.
-4. Postings join on the token under the length filter (t |y| <= |x|) and the positional filter
-   (tokens left after the shared one must suffice for the overlap).
-5. Candidate pairs are verified on the words themselves.
+1. Tokens are ordered by rarity.  Rarity comes from counts over all texts, kept in a table of
+   ``2 ** BITS`` counters addressed by token digest (a fixed 256 KB, one byte of log-scale
+   count each); ties are ordered by the digest.  Any fixed order is exact; this one puts
+   frequent tokens last.
+2. Equal lines are grouped by a 128-bit digest; a group keeps its first rank, its size |x|, its
+   prefix (the first |x| - ceil(t |x|) + 1 tokens: matching lines share one) and a bitmap of 64
+   bits that its tokens set.  No text is moved for this.
+3. Prefix tokens join under the length filter (t |y| <= |x|), the positional filter (tokens
+   left after the shared one must suffice for the overlap) and the bitmap filter (every bit
+   set on one side only stands for a token that is not shared).
+4. Candidates are verified on the words themselves.  Their texts come from a second read of
+   the documents; a runtime filter of at most 8 MB keeps other lines out of the shuffle.
 
 The prefix join's longest lists belong to tokens that are frequent among the rarest tokens of
 many lines; adaptive skew splitting divides such a key, and no list is collected into a row.
@@ -29,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import SPACES, let, staged, unused, words_of
+from scorebook.llm.common import SPACE_RUN, SPACES, let, staged, unused, words_of
 
 BITS = 18
 
@@ -61,83 +64,122 @@ def _tokens(line: Column) -> Column:
     return F.array_distinct(words_of(line))
 
 
-def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(line, first rank, copies, id by digest) of all distinct lines."""
-    ranked = _lines(docs, id_col, text_col).select("line", _rank("id", F.col("no")).alias("rank"))
-    return ranked.groupBy("line").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies")
-                                      ).withColumn("lid", F.xxhash64("line"))
+def _slot(digest: Column) -> Column:
+    return F.shiftrightunsigned(digest, 64 - BITS).cast("int")
 
 
-def rarity_table(lines: DataFrame) -> bytes:
-    """One byte per counter: log-scale count of the lines that hold a token of that digest.
+def rarity_table(docs: DataFrame, text_col: str) -> list[int]:
+    """Log-scale counts of words by digest slot, eight to a 64-bit number.
 
     ``2 ** BITS`` counters at most reach the driver, whatever the input.
     """
-    slots = lines.select(F.explode(F.transform(
-        _tokens(F.col("line")), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - BITS).cast("int"))).alias("slot"))
+    words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN)).alias("word"))
     level = F.least(F.lit(255), F.floor(F.log2(F.col("count")) * 8)).cast("int")
     table = bytearray(1 << BITS)
-    for r in slots.groupBy("slot").count().select("slot", level.alias("level")).collect():
+    for r in words.groupBy(_slot(F.xxhash64("word")).alias("slot")).count().select("slot", level.alias("level")).collect():
         table[r["slot"]] = r["level"]
-    return bytes(table)
+    return [int.from_bytes(table[at:at + 8], "little", signed=True) for at in range(0, len(table), 8)]
 
 
-def _ordered(line: Column, table: bytes) -> Column:
+def _ordered(line: Column, table: list[int]) -> Column:
     """Distinct tokens of a line, rarest first, as numbers: 8 bits of rarity, 55 of digest."""
-    packed = F.lit(bytearray(table))
+    import numpy as np
+    packed = F.lit(np.array(table, np.int64))
 
     def number(h: Column) -> Column:
-        slot = F.shiftrightunsigned(h, 64 - BITS).cast("int")
-        level = F.conv(F.hex(F.substring(packed, slot + 1, F.lit(1))), 16, 10).cast("long")
+        slot = _slot(h)
+        shift = (slot.bitwiseAND(7) * 8).cast("int")
+        level = F.call_function("shiftrightunsigned", F.get(packed, F.shiftright(slot, 3)), shift
+                                ).bitwiseAND(F.lit(255).cast("long"))
         return F.shiftleft(level, 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1)))
 
-    return F.sort_array(F.transform(F.transform(_tokens(line), lambda w: F.xxhash64(w)), number))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words_of(line), lambda w: F.xxhash64(w)), number)))
+
+
+def _bitmap(tokens: Column) -> Column:
+    """64 bits, one set by each token."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
 def _ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
-def matching_pairs(lines: DataFrame, limits: LineLimits) -> DataFrame:
-    """(earlier, later): first ranks of matching distinct lines.  ``lines`` must be stored."""
-    table = rarity_table(lines)
-    sized = lines.select("lid", "first", _ordered(F.col("line"), table).alias("tok"))
-    n = F.size("tok")
-    prefix = n - _ceil_div(n * limits.num, limits.den) + 1
-    posts = sized.filter(n >= limits.least).select(
-        "lid", n.alias("n"), F.posexplode(F.slice("tok", 1, prefix)).alias("pos", "tok"))
+def _digests(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2")]
+
+
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
+    """(k1, k2, first rank, copies, n, bits, prefix) of all distinct lines that take part."""
+    table = rarity_table(docs, text_col)
+
+    def shape(tok: Column) -> Column:
+        n = F.size(tok)
+        return F.struct(n.alias("n"), _bitmap(tok).alias("bits"),
+                        F.slice(tok, 1, F.greatest(F.lit(0), n - _ceil_div(n * limits.num, limits.den) + 1)).alias("prefix"))
+    lines = _lines(docs, id_col, text_col).select(
+        *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"), let(_ordered(F.col("line"), table), shape).alias("s"))
+    return lines.filter(F.col("s.n") >= limits.least).groupBy("k1", "k2").agg(
+        F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("s").alias("s")).select(
+        "k1", "k2", "first", "copies", "s.n", "s.bits", "s.prefix")
+
+
+def candidate_pairs(lines: DataFrame, limits: LineLimits) -> DataFrame:
+    """(a, b): first digests of distinct lines that pass all filters.  ``lines`` must be stored."""
+    posts = lines.select(F.col("k1").alias("lid"), "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
     x, y = posts.alias("x"), posts.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     # overlap needed for Jaccard >= t: t / (1 + t) of both sizes
     need = F.ceil((nx + ny) * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
     left = F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))
-    found = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.lid") < F.col("y.lid"))
-                   & (nx * limits.num <= ny * limits.den) & (ny * limits.num <= nx * limits.den)
-                   & (left >= need)).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
-    texts = lines.select("lid", "line", "first")
-    both = found.join(texts.toDF("a", "line_a", "first_a"), "a").join(texts.toDF("b", "line_b", "first_b"), "b")
-    ta, tb = _tokens(F.col("line_a")), _tokens(F.col("line_b"))
-    same = let(F.struct(ta.alias("a"), tb.alias("b")), lambda t: F.struct(
+    alone = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
+    shared = F.least(nx - F.bit_count(alone.bitwiseAND(F.col("x.bits"))), ny - F.bit_count(alone.bitwiseAND(F.col("y.bits"))))
+    return x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.lid") < F.col("y.lid"))
+                  & (nx * limits.num <= ny * limits.den) & (ny * limits.num <= nx * limits.den)
+                  & (left >= need) & (shared >= need)).select(
+        F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
+
+
+def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
+    """(k1, k2) of the distinct lines that match an earlier line."""
+    pairs = staged(candidate_pairs(lines, limits), "line-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    # one bit for each of 2 ** 26 digest slots, as 2,048 bitmaps of 4 KB
+    slot = F.shiftrightunsigned(F.col("lid"), 38)
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+    rows = _lines(docs, id_col, text_col).select("line", *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"))
+    own = F.shiftrightunsigned(F.col("k1"), 38)
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
+    rows = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(own) == F.col("bucket")).filter(bit)
+    # the text of a distinct line is that of its first rank
+    texts = lines.select("k1", "k2", "first").join(ids, F.col("k1") == F.col("lid"), "left_semi").join(
+        rows.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line"),
+        (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")) & (F.col("rank") == F.col("first")))
+    texts = staged(texts.select("k1", "k2", "first", "line").dropDuplicates(["k1", "k2"]), "line-texts")
+    both = pairs.join(texts.toDF("a", "a2", "first_a", "line_a"), "a").join(texts.toDF("b", "b2", "first_b", "line_b"), "b")
+    same = let(F.struct(_tokens(F.col("line_a")).alias("a"), _tokens(F.col("line_b")).alias("b")), lambda t: F.struct(
         F.size(F.array_intersect(t["a"], t["b"])).alias("i"), (F.size(t["a"]) + F.size(t["b"])).alias("s")))
     checked = both.withColumn("m", same).filter(
         F.col("m.i") * limits.den >= (F.col("m.s") - F.col("m.i")) * limits.num)
-    return checked.select(F.least("first_a", "first_b").alias("earlier"), F.greatest("first_a", "first_b").alias("later"),
-                          F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("lid"))
+    later = F.col("first_a") > F.col("first_b")
+    return checked.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("k1"),
+                          F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("k2")).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   limits: LineLimits = LineLimits()) -> DataFrame:
     """(id, h, removed): numbers of the removed lines of each text that loses some."""
-    lines = staged(distinct_lines(docs, id_col, text_col), "lines")
-    later = matching_pairs(lines, limits).select("lid", F.col("later").alias("first")).distinct().withColumn("late", F.lit(True))
+    lines = staged(distinct_lines(docs, id_col, text_col, limits), "lines")
+    late = matching_lines(docs, lines, id_col, text_col, limits).withColumn("late", F.lit(True))
     # only lines with copies or an earlier match can go
-    rows = lines.join(later, ["lid", "first"], "left").filter(
-        (F.size(_tokens(F.col("line"))) >= limits.least) & (F.col("late") | (F.col("copies") > 1)))
-    verdict = rows.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), "first",
-                          F.coalesce("late", F.lit(False)).alias("late"))
+    verdict = staged(lines.select("k1", "k2", "first", "copies").join(late, ["k1", "k2"], "left").filter(
+        F.col("late") | (F.col("copies") > 1)).select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
     all_lines = _lines(docs, id_col, text_col).select(
-        "id", "h", "no", _rank("id", F.col("no")).alias("rank"),
-        F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"))
+        "id", "h", "no", _rank("id", F.col("no")).alias("rank"), *_digests(F.col("line")))
     gone = all_lines.join(verdict, ["k1", "k2"]).filter(F.col("late") | (F.col("rank") > F.col("first")))
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("no")).alias("removed"))
 
