@@ -5,15 +5,16 @@ their token sets is at least ``num / den`` (4/5).  Lines rank by (document id, l
 every line that matches an earlier line is removed.
 
 1. Tokens are ordered by rarity.  Rarity comes from counts over all texts, kept in a table of
-   ``2 ** BITS`` counters addressed by token digest (a fixed 256 KB, one byte of log-scale
-   count each); ties are ordered by the digest.  Any fixed order is exact; this one puts
+   ``2 ** BITS`` counters addressed by token digest (log-scale counts, a fixed 512 KB); ties are ordered by the digest.  Any fixed order is exact; this one puts
    frequent tokens last.
 2. Equal lines are grouped by a 128-bit digest; a group keeps its first rank, its size |x|, its
-   prefix (the first |x| - ceil(t |x|) + 1 tokens: matching lines share one) and a bitmap of 64
+   prefix px (the first |x| - ceil(t |x|) + 1 tokens: matching lines share one) and a bitmap of 64
    bits that its tokens set.  No text is moved for this.
-3. Prefix tokens join under the length filter (t |y| <= |x|), the positional filter (tokens
-   left after the shared one must suffice for the overlap) and the bitmap filter (every bit
-   set on one side only stands for a token that is not shared).
+3. Prefix tokens join under the length filter (t |y| <= |x|) and the bitmap filter (every bit set
+   on one side only stands for a token that is not shared).  Per pair, the shared prefix
+   tokens are counted and their first places kept: the positional filter (tokens left from the
+   first shared one on must suffice for the overlap) and the prefix count (the overlap is at
+   most the shared prefix tokens and the larger rest, |x| - |px| or |y| - |py|) drop the others.
 4. Candidates are verified on the words themselves.  Their texts come from a second read of
    the documents; a runtime filter of at most 8 MB keeps other lines out of the shuffle.
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from scorebook.llm.common import SPACE_RUN, SPACES, let, staged, unused, words_of
 
-BITS = 18
+BITS = 16
 
 
 @dataclass(frozen=True)
@@ -69,31 +70,25 @@ def _slot(digest: Column) -> Column:
 
 
 def rarity_table(docs: DataFrame, text_col: str) -> list[int]:
-    """Log-scale counts of words by digest slot, eight to a 64-bit number.
+    """Log-scale counts of words by digest slot.
 
     ``2 ** BITS`` counters at most reach the driver, whatever the input.
     """
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN)).alias("word"))
     level = F.least(F.lit(255), F.floor(F.log2(F.col("count")) * 8)).cast("int")
-    table = bytearray(1 << BITS)
+    table = [0] * (1 << BITS)
     for r in words.groupBy(_slot(F.xxhash64("word")).alias("slot")).count().select("slot", level.alias("level")).collect():
         table[r["slot"]] = r["level"]
-    return [int.from_bytes(table[at:at + 8], "little", signed=True) for at in range(0, len(table), 8)]
+    return table
 
 
 def _ordered(line: Column, table: list[int]) -> Column:
     """Distinct tokens of a line, rarest first, as numbers: 8 bits of rarity, 55 of digest."""
     import numpy as np
-    packed = F.lit(np.array(table, np.int64))
-
-    def number(h: Column) -> Column:
-        slot = _slot(h)
-        shift = (slot.bitwiseAND(7) * 8).cast("int")
-        level = F.call_function("shiftrightunsigned", F.get(packed, F.shiftright(slot, 3)), shift
-                                ).bitwiseAND(F.lit(255).cast("long"))
-        return F.shiftleft(level, 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1)))
-
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words_of(line), lambda w: F.xxhash64(w)), number)))
+    rarity = F.lit(np.array(table, np.int64) << 55)
+    digests = F.transform(words_of(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(
+        digests, lambda h: F.get(rarity, _slot(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1))))))
 
 
 def _bitmap(tokens: Column) -> Column:
@@ -116,8 +111,7 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str, limits: LineLimi
 
     def shape(tok: Column) -> Column:
         n = F.size(tok)
-        return F.struct(n.alias("n"), _bitmap(tok).alias("bits"),
-                        F.slice(tok, 1, F.greatest(F.lit(0), n - _ceil_div(n * limits.num, limits.den) + 1)).alias("prefix"))
+        return F.struct(n.alias("n"), _bitmap(tok).alias("bits"), F.slice(tok, 1, F.greatest(F.lit(0), n - _ceil_div(n * limits.num, limits.den) + 1)).alias("prefix"))
     lines = _lines(docs, id_col, text_col).select(
         *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"), let(_ordered(F.col("line"), table), shape).alias("s"))
     return lines.filter(F.col("s.n") >= limits.least).groupBy("k1", "k2").agg(
@@ -127,18 +121,26 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str, limits: LineLimi
 
 def candidate_pairs(lines: DataFrame, limits: LineLimits) -> DataFrame:
     """(a, b): first digests of distinct lines that pass all filters.  ``lines`` must be stored."""
-    posts = lines.select(F.col("k1").alias("lid"), "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
+    # 32 bits of a token will do here: a clash adds a candidate, which does not pass step 4
+    posts = lines.select(F.col("k1").alias("lid"), "n", "bits", F.posexplode("prefix").alias("pos", "tok")).select(
+        "lid", "n", "bits", "pos", F.hash("tok").alias("tok"))
     x, y = posts.alias("x"), posts.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     # overlap needed for Jaccard >= t: t / (1 + t) of both sizes
-    need = F.ceil((nx + ny) * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
-    left = F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))
+    need_xy = F.ceil((nx + ny) * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
     alone = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
-    shared = F.least(nx - F.bit_count(alone.bitwiseAND(F.col("x.bits"))), ny - F.bit_count(alone.bitwiseAND(F.col("y.bits"))))
-    return x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.lid") < F.col("y.lid"))
-                  & (nx * limits.num <= ny * limits.den) & (ny * limits.num <= nx * limits.den)
-                  & (left >= need) & (shared >= need)).select(
-        F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
+    most = F.least(nx - F.bit_count(alone.bitwiseAND(F.col("x.bits"))), ny - F.bit_count(alone.bitwiseAND(F.col("y.bits"))))
+    shared = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.lid") < F.col("y.lid"))
+                    & (nx * limits.num <= ny * limits.den) & (ny * limits.num <= nx * limits.den)
+                    & (most >= need_xy)).select(
+        F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), nx.alias("na"), ny.alias("nb"),
+        F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
+    need = F.ceil((F.col("na") + F.col("nb")) * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
+    pairs = shared.groupBy("a", "b", "na", "nb").agg(
+        F.count(F.lit(1)).alias("both"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    rest = F.greatest(*(_ceil_div(F.col(n) * limits.num, limits.den) - 1 for n in ("na", "nb")))
+    return pairs.filter((F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+                        & (F.col("both") + rest >= need)).select("a", "b")
 
 
 def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
@@ -155,17 +157,18 @@ def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str
     byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
     rows = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(own) == F.col("bucket")).filter(bit)
-    # the text of a distinct line is that of its first rank
-    texts = lines.select("k1", "k2", "first").join(ids, F.col("k1") == F.col("lid"), "left_semi").join(
-        rows.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line"),
-        (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")) & (F.col("rank") == F.col("first")))
-    texts = staged(texts.select("k1", "k2", "first", "line").dropDuplicates(["k1", "k2"]), "line-texts")
+    # the text of a distinct line is that of its first rank; partitioned by digest like the pairs below
+    mine = lines.select("k1", "k2", "first").join(ids, F.col("k1") == F.col("lid"), "left_semi")
+    texts = mine.join(rows.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line"),
+                      F.col("k1") == F.col("t1")).filter((F.col("k2") == F.col("t2")) & (F.col("rank") == F.col("first")))
+    texts = texts.select("k1", "k2", "first", "line")
     both = pairs.join(texts.toDF("a", "a2", "first_a", "line_a"), "a").join(texts.toDF("b", "b2", "first_b", "line_b"), "b")
     same = let(F.struct(_tokens(F.col("line_a")).alias("a"), _tokens(F.col("line_b")).alias("b")), lambda t: F.struct(
         F.size(F.array_intersect(t["a"], t["b"])).alias("i"), (F.size(t["a"]) + F.size(t["b"])).alias("s")))
     checked = both.withColumn("m", same).filter(
         F.col("m.i") * limits.den >= (F.col("m.s") - F.col("m.i")) * limits.num)
     later = F.col("first_a") > F.col("first_b")
+    # a repeated row has its texts twice: one row a line is left here
     return checked.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("k1"),
                           F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("k2")).distinct()
 
