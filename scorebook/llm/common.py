@@ -68,3 +68,25 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def thinned(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose digest ``key`` is not in ``ids`` (one column of digests).
+
+    A runtime filter before a join: one bit for each of 2 ** 26 digest slots, as at most 2,048
+    bitmaps of 4 KB, so what is broadcast never exceeds 8 MB.  Rows whose slot is taken by
+    another digest stay; the join sorts them out.  With very many ids it only filters less.
+    """
+    id_col, = ids.columns
+    bucket, bitmap = unused(rows, "slot_bucket", "slot_bitmap")
+
+    def slot(digest: Column) -> Column:
+        return F.shiftrightunsigned(digest, 38)
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(slot(F.col(id_col))).alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot(F.col(id_col)))).alias(bitmap))
+    own = slot(F.col(key))
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
+    joined = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(own) == F.col(bucket))
+    return joined.filter(bit).select(*(F.col(f"`{c}`") for c in rows.columns))

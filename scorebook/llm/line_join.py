@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import SPACE_RUN, SPACES, let, staged, unused, words_of
+from scorebook.llm.common import SPACE_RUN, SPACES, let, staged, thinned, unused, words_of
 
 BITS = 16
 
@@ -147,16 +147,8 @@ def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str
     """(k1, k2) of the distinct lines that match an earlier line."""
     pairs = staged(candidate_pairs(lines, limits), "line-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    # one bit for each of 2 ** 26 digest slots, as 2,048 bitmaps of 4 KB
-    slot = F.shiftrightunsigned(F.col("lid"), 38)
-    bitmaps = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
     rows = _lines(docs, id_col, text_col).select("line", *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"))
-    own = F.shiftrightunsigned(F.col("k1"), 38)
-    at = F.bitmap_bit_position(own)
-    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
-    rows = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(own) == F.col("bucket")).filter(bit)
+    rows = thinned(rows, "k1", ids)
     # the text of a distinct line is that of its first rank; partitioned by digest like the pairs below
     mine = lines.select("k1", "k2", "first").join(ids, F.col("k1") == F.col("lid"), "left_semi")
     texts = mine.join(rows.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line"),

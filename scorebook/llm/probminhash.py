@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorebook._ship import ship
-from scorebook.llm.common import let, staged, unused, words_of
+from scorebook.llm.common import let, staged, thinned, unused, words_of
 from scorebook.llm.components import connected_components
 
 ship(__name__)
@@ -235,8 +235,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: fl
     """Pairs (a, b) of representatives whose J_P reaches the threshold; only their texts are moved."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(
         reps.select("uid", F.col("id").alias("rep_id"), "k1", "k2"), "uid")
-    found = texts.join(need, (texts["t1"] == need["k1"]) & (texts["t2"] == need["k2"])
-                       & texts["text_id"].eqNullSafe(need["rep_id"])).select("uid", "content")
+    found = thinned(texts, "t1", need.select("k1")).join(
+        need, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
+        & F.col("text_id").eqNullSafe(F.col("rep_id"))).select("uid", "content")
     found = staged(found.dropDuplicates(["uid"]), "candidate-texts")
     both = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
     hashed = both.select("a", "b", *(F.transform(words_of(F.col(f"text_{s}")), lambda w: F.xxhash64(w)).alias(f"words_{s}")
@@ -256,12 +257,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = ~((F.col("k1") == blank["k1"]) & (F.col("k2") == blank["k2"]))
 
     # one representative of each word sequence: smallest id (nulls last), then row number
-    order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("o"), "uid")
-    groups = signed.filter(some).groupBy("k1", "k2").agg(F.min(order).alias("first")).select(
-        "k1", "k2", F.col("first.uid").alias("uid"))
-    reps = staged(signed.join(groups.select("uid"), "uid", "left_semi"), "representatives")
+    order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("o"), "uid", "id")
+    reps = staged(signed.filter(some).groupBy("k1", "k2").agg(F.min(order).alias("first")).select(
+        "k1", "k2", F.col("first.uid").alias("uid"), F.col("first.id").alias("id")), "representatives")
 
-    keyed = reps.select("uid", F.posexplode("bands").alias("band", "key"))
+    keyed = signed.select("uid", "bands").join(reps.select("uid"), "uid", "left_semi").select(
+        "uid", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("band", "key").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = staged(keyed.join(buckets, ["band", "key"]).select("band", "key", "n", "a", F.col("uid").alias("b")), "buckets")
     stars = staged(members.filter("a <> b").select("a", "b").distinct(), "stars")
@@ -277,7 +278,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = staged(placed, "placed")
     open_ = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     rows = placed.join(open_.select("band", "key"), ["band", "key"], "left_semi").join(
-        reps.select(F.col("uid").alias("b"), "sig"), "b")
+        signed.select(F.col("uid").alias("b"), "sig"), "b")
     blocks = F.ceil(F.col("n") / BLOCK)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("b"), blocks)).withColumn(
         "o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -290,7 +291,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = connected_components(links)
 
     # class of every row: its word sequence, then the component of the representative
-    named = groups.join(comp, F.col("uid") == F.col("node"), "left").select(
+    named = reps.join(comp, F.col("uid") == F.col("node"), "left").select(
         "k1", "k2", F.coalesce("component", "uid").alias("class"))
     rows = signed.select("uid", "id", "k1", "k2").join(named, ["k1", "k2"], "left").select(
         "uid", "id", "k1", "k2", F.coalesce("class", "uid").alias("class"))
