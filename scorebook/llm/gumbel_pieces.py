@@ -43,7 +43,7 @@ SCHEMA = ("id long, rank int, ids array<int>, log_prob double, perturbed double,
           "round_trip boolean")
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 SPACE = "▁"
-CACHED_UNITS = 250_000      # units whose sums a task holds at once
+CACHED_UNITS = 400_000      # units whose sums a task holds at once
 ROWS = 128                  # texts worked on together
 #: Noise has 53 bits, so no draw reaches regions whose prefix has a probability below e^-100.
 DEEP = 100.0
@@ -146,22 +146,45 @@ class Vocabulary:
         return b"".join(map(self.decoded.__getitem__, ids))
 
 
-class Lattices:
+class Growing:
+    """Arrays that grow at the end, with room to spare so that growing is cheap."""
+
+    def __init__(self, **empty):
+        self.room = dict(empty)
+        self.view(**{k: len(v) for k, v in empty.items()})
+
+    def view(self, **sizes):
+        for k, n in sizes.items():
+            setattr(self, k, self.room[k][:n])
+
+    def grow(self, **more):
+        import numpy as np
+        for k, values in more.items():
+            n = len(getattr(self, k))
+            if n + len(values) > len(self.room[k]):
+                wider = np.empty(2 * (n + len(values)), self.room[k].dtype)
+                wider[:n] = self.room[k][:n]
+                self.room[k] = wider
+            self.room[k][n:n + len(values)] = values
+            self.view(**{k: n + len(values)})
+
+
+class Lattices(Growing):
     """Arcs of units: per node (unit, place) its arcs by falling probability."""
 
     def __init__(self, vocab: Vocabulary):
         import numpy as np
         self.v = vocab
         self.unit: dict[str, int] = {}
-        self.first_node = np.zeros(0, np.int64)     # by unit
-        self.length = np.zeros(0, np.int64)
-        self.ptr = np.zeros(1, np.int64)            # by node, into the arcs
-        self.only = np.zeros(0, bool)               # by unit: it has one segmentation
-        self.step = np.zeros(0, np.int16)           # by arc: characters it spans
-        self.piece = np.zeros(0, np.int32)          # piece, or -1 - code point to be spelled
-        self.log_p = np.zeros(0)
-        self.rest = np.zeros(0)                     # log-probability of the arcs beside it
-        self.upto = np.zeros(0)                     # cumulated probability within the node
+        super().__init__(
+            first_node=np.zeros(0, np.int64),       # by unit
+            length=np.zeros(0, np.int64),
+            only=np.zeros(0, bool),                 # by unit: it has one segmentation
+            ptr=np.zeros(1, np.int64),              # by node, into the arcs
+            step=np.zeros(0, np.int16),             # by arc: characters it spans
+            piece=np.zeros(0, np.int32),            # piece, or -1 - code point to be spelled
+            log_p=np.zeros(0), upto=np.zeros(0),    # its probability, and cumulated within the node
+            rest=np.zeros(0))                       # log-probability of the arcs beside it
 
     def units(self, parts: list[str]):
         """Numbers of the units, new ones added."""
@@ -230,16 +253,12 @@ class Lattices:
         upto[ptr[1:] - 1] = 2.0                              # the last arc takes what is left
         first = len(self.ptr) - 1
         self.unit.update(zip(new, range(len(self.unit), len(self.unit) + len(new))))
-        self.first_node = np.r_[self.first_node, first + np.cumsum(length) - length]
-        self.length = np.r_[self.length, length]
-        self.ptr = np.r_[self.ptr, self.ptr[-1] + ptr[1:]]
         with np.errstate(divide="ignore"):
             rest = np.log1p(-np.minimum(np.exp(log_p), 1.0))
         rest[(counts[start] == 1) | (log_p > -1e-13)] = -np.inf      # nothing stands beside the arc
-        self.step = np.r_[self.step, step.astype(np.int16)]
-        self.piece = np.r_[self.piece, piece.astype(np.int32)]
-        self.log_p, self.upto, self.rest = np.r_[self.log_p, log_p], np.r_[self.upto, upto], np.r_[self.rest, rest]
-        self.only = np.r_[self.only, np.add.reduceat(counts > 1, np.cumsum(length) - length) == 0]
+        self.grow(first_node=first + np.cumsum(length) - length, length=length,
+                  only=np.add.reduceat(counts > 1, np.cumsum(length) - length) == 0,
+                  ptr=self.ptr[-1] + ptr[1:], step=step, piece=piece, log_p=log_p, upto=upto, rest=rest)
 
     def draw(self, unit, key, place, number: int):
         """One path through each unit: (arcs in order, arcs per unit, places of the arcs)."""
