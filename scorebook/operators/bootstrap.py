@@ -180,22 +180,27 @@ def poisson_replicates(results: DataFrame, labels: Sequence[str], group_cols: Se
     """B2: replicate r gives row i the weight Poisson(1) drawn from md5(id|r|seed).
 
     The weight depends on the sample id, not the condition, so all conditions are
-    resampled together (paired).  Weighted rows are aggregated straight into
+    resampled together (paired) and a weight is drawn once per (id, replicate): the rows of
+    an id are first counted per (condition, truth, prediction), a list bounded by conditions
+    and labels, and expanded after the draw.  Weighted rows are aggregated straight into
     per-replicate cells (map-side combined), and the count-based metric code runs on
-    them with ``replicate`` as an extra grouping column.  Work is rows x replicates."""
+    them with ``replicate`` as an extra grouping column."""
     from scorebook.operators.cells import drop_null_keys, prediction_or_none
     from scorebook.operators.metrics import condition_counts, metrics_from_counts
     rows = drop_null_keys(results, group_cols).select(
         *group_cols, F.col(id_col).cast("string").alias("_id"), "true_label",
         prediction_or_none().alias("predicted_label"))
+    outcome = [*group_cols, "true_label", "predicted_label"]
+    per_id = (rows.groupBy("_id", *outcome).agg(F.count(F.lit(1)).alias("_m"))
+                  .groupBy("_id").agg(F.collect_list(F.struct(*outcome, "_m")).alias("_rows")))
     rep = F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("replicate")
-    ex = rows.select("*", rep)
     key = F.concat_ws("|", F.col("_id"), F.col("replicate").cast("string"), F.lit(str(seed)))
-    w = poisson1_weight(uniform_from_key(key))
-    cells = (ex.select(*group_cols, "replicate", "true_label", "predicted_label", w.alias("w"))
-               .filter(F.col("w") > 0)
-               .groupBy(*group_cols, "replicate", "true_label", "predicted_label")
-               .agg(F.sum("w").alias("n")))
+    drawn = (per_id.select("_id", "_rows", rep)
+                   .select("_rows", "replicate", poisson1_weight(uniform_from_key(key)).alias("w"))
+                   .filter(F.col("w") > 0))
+    cells = (drawn.select("replicate", "w", F.inline("_rows"))
+                  .groupBy(*group_cols, "replicate", "true_label", "predicted_label")
+                  .agg(F.sum(F.col("w") * F.col("_m")).alias("n")))
     keys = [*group_cols, "replicate"]
     counts = condition_counts(cells, labels, keys, with_chance=False)
     m = metrics_from_counts(counts.withColumn("s_chance", F.lit(0).cast("decimal(38,0)")),

@@ -20,13 +20,22 @@ from pyspark.sql import functions as F
 
 from scorebook.operators.cells import drop_null_keys
 
-# Score buckets of the two-level prefix sums: the coarse window holds at most this many
-# rows per (condition, class); the fine window holds the distinct scores of one
-# 2^-20-wide interval.  Both bounds hold whatever the data size.
-AUC_BUCKETS = 1 << 20
+# Score buckets of the two-level prefix sums, per factor of two of the score (below 1/2) or
+# of its distance from 1 (above): saturated scores, crowded at 0 or 1, are split as finely as
+# those between.  The coarse window holds at most about 1,100 x this many rows per (condition,
+# class); the fine window holds the distinct scores of one bucket.
+AUC_BUCKETS = 1 << 12
 from scorebook.operators.metrics import ratio
 
 
+def complete_row(prob_cols: dict[str, str], true_col: str = "true_label") -> Column:
+    """The truth and every probability are there (a NaN probability is missing)."""
+    has = F.col(true_col).isNotNull()
+    for c in prob_cols.values():
+        has = has & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return has
+
+
 def complete_prob_rows(results: DataFrame, prob_cols: dict[str, str],
                        group_cols: Sequence[str], true_col: str = "true_label") -> DataFrame:
     """P15 + J6: rows with every probability and the truth.
@@ -36,7 +45,7 @@ def complete_prob_rows(results: DataFrame, prob_cols: dict[str, str],
     array keep every downstream expression inside whole-stage codegen.
     """
     labels = list(prob_cols.keys())
-    df = drop_null_keys(results, group_cols).dropna(subset=[*prob_cols.values(), true_col])
+    df = drop_null_keys(results, group_cols).filter(complete_row(prob_cols, true_col))
     idx = None
     for i, x in enumerate(labels):
         idx = F.when(F.col(true_col) == x, F.lit(i)) if idx is None \

@@ -36,9 +36,6 @@ from scorebook.functions.special import chi2_sf_1df
 from scorebook.operators.cells import drop_null_keys
 from scorebook.operators.metrics import ratio
 
-# condition tables above this size are joined with a shuffle instead of broadcast
-BROADCAST_MAX_CONDITIONS = 200_000
-
 PAIR_SCHEMA = T.StructType([
     T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()),
     T.StructField("n_shared", T.LongType()), T.StructField("ra_pb", T.LongType()),
@@ -67,10 +64,6 @@ def indexed_conditions(results: DataFrame, group_cols: Sequence[str],
     return conds, conds.count()
 
 
-def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_MAX_CONDITIONS else df
-
-
 def sample_masks(results: DataFrame, conds: DataFrame, n_conds: int,
                  group_cols: Sequence[str], id_col: str = "sample_id") -> DataFrame:
     """One row per sample: ``present_w`` / ``correct_w`` 64-bit words per block of 64."""
@@ -78,7 +71,7 @@ def sample_masks(results: DataFrame, conds: DataFrame, n_conds: int,
     rows = drop_null_keys(results, group_cols).filter(F.col(id_col).isNotNull())
     ok = F.coalesce(F.col("predicted_label"), F.lit(NONE_LABEL)) == F.col("true_label")
     j = rows.select(id_col, *group_cols, "true_label", F.coalesce(ok, F.lit(False)).alias("ok")) \
-        .join(_maybe_broadcast(conds.select(*group_cols, "cond_idx"), n_conds),
+        .join(conds.select(*group_cols, "cond_idx"),
               list(group_cols), "inner")
     aggs = []
     for w in range(n_words):
@@ -89,9 +82,15 @@ def sample_masks(results: DataFrame, conds: DataFrame, n_conds: int,
         aggs.append(F.bit_or(F.when(in_word & F.col("ok"), bit).otherwise(zero))
                     .alias(f"correct_{w}"))
     # Q19: pairing assumes one truth per sample; checked in the same aggregation
-    aggs += [F.min("true_label").alias("_t_min"), F.max("true_label").alias("_t_max")]
+    aggs += [F.min("true_label").alias("_t_min"), F.max("true_label").alias("_t_max"),
+             F.count(F.lit(1)).alias("_rows")]
     masks = j.groupBy(id_col).agg(*aggs)
     conflict = F.col("_t_min") != F.col("_t_max")
+    # and one row per (sample, condition): as many rows as bits
+    bits = sum((F.bit_count(F.col(f"present_{w}")) for w in range(n_words)), F.lit(0))
+    masks = masks.withColumn("present_0", F.when(F.col("_rows") != bits, F.raise_error(F.concat(
+        F.lit("sample is there twice under one condition: "), F.col(id_col).cast("string"))))
+        .otherwise(F.col("present_0"))).drop("_rows")
     # folded into a column that is consumed, so the check cannot be pruned away
     return masks.withColumn("present_0", F.when(conflict, F.raise_error(F.concat(
         F.lit("sample has different true labels across conditions: "),
@@ -160,7 +159,7 @@ def discordant_counts(results: DataFrame, group_cols: Sequence[str],
     partial = masks.mapInPandas(_gram_partials(n_conds, n_words), PAIR_SCHEMA)
     pairs = partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in
                                             ["n_shared", "ra_pb", "rb_pa", "ra_rb"]])
-    names = _maybe_broadcast(conds.select("cond_idx", "condition"), n_conds)
+    names = conds.select("cond_idx", "condition")
     pairs = (pairs.join(names.withColumnRenamed("cond_idx", "a")
                         .withColumnRenamed("condition", "condition_a"), "a")
                   .join(names.withColumnRenamed("cond_idx", "b")
@@ -179,7 +178,7 @@ def discordant_counts_selfjoin(results: DataFrame, group_cols: Sequence[str],
     ok = F.coalesce(F.col("predicted_label"), F.lit(NONE_LABEL)) == F.col("true_label")
     r = (drop_null_keys(results, group_cols)
          .select(id_col, *group_cols, ok.alias("ok"))
-         .join(_maybe_broadcast(conds, n_conds), list(group_cols))
+         .join(conds, list(group_cols))
          .select(id_col, "cond_idx", "condition", "ok"))
     a, b = r.alias("x"), r.alias("y")
     j = a.join(b, (F.col(f"x.{id_col}") == F.col(f"y.{id_col}"))

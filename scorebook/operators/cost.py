@@ -1,6 +1,6 @@
 """Inference cost per call and per condition.
 
-Money is carried as integer nano-USD wherever it is computed here, so sums are exact
+Money is carried as integer pico- or nano-USD wherever it is computed here, so sums are exact
 and independent of summation order; dollars are one division at the end.
 """
 
@@ -17,33 +17,32 @@ COST_SUMMARY_SCHEMA = ("model_name string, prompt_id string, n_calls bigint, "
                        "total_input_tokens bigint, total_output_tokens bigint, "
                        "total_cost_usd double, avg_cost_per_sample_usd double")
 
-MODELS_BROADCAST_MAX = 100_000
-
-
 def paid_rows(results: DataFrame, cost_col: str = "cost_usd") -> DataFrame:
     """Rows of paid calls, ``cost > 0`` (null is not paid)."""
     return results.filter(F.coalesce(F.col(cost_col) > 0, F.lit(False)))
 
 
 def per_call_cost(results: DataFrame, models: DataFrame, key: str = "model_id") -> DataFrame:
-    """P17 + J8: add ``cost_nano`` / ``cost_usd`` from token counts and the model's
-    per-1K-token prices (``cost_per_1k_input_tokens`` / ``cost_per_1k_output_tokens``).
-
-    Prices become integer nano-USD per token (price per 1K x 1e6, rounded), so every
-    product and sum after that is exact.  The model table is broadcast only when its
-    row count is under ``MODELS_BROADCAST_MAX``."""
-    prices = models.select(
-        key,
-        F.round(F.col("cost_per_1k_input_tokens") * F.lit(1e6)).cast("long").alias("_nin"),
-        F.round(F.col("cost_per_1k_output_tokens") * F.lit(1e6)).cast("long").alias("_nout"))
-    if models.count() <= MODELS_BROADCAST_MAX:
-        prices = F.broadcast(prices)
+    """P17 + J8: add ``cost_pico``, ``cost_nano`` and ``cost_usd`` from token counts and the
+    model's per-1K-token prices (``cost_per_1k_input_tokens`` / ``cost_per_1k_output_tokens``).
+
+    Prices become integer pico-USD per token (price per 1K x 1e9, rounded), so every product
+    and sum of ``cost_pico`` is exact; ``cost_nano`` is its thousandth, rounded.  A model listed
+    twice is an error (it would double its calls)."""
+    def pico(c: str) -> F.Column:
+        return F.round(F.col(c) * F.lit(1e9)).cast("long")
+    prices = models.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_times"), F.max(pico("cost_per_1k_input_tokens")).alias("_pin"),
+        F.max(pico("cost_per_1k_output_tokens")).alias("_pout"))
+    prices = prices.withColumn("_pin", F.when(F.col("_times") > 1, F.raise_error(F.concat(
+        F.lit("model listed twice: "), F.col(key).cast("string")))).otherwise(F.col("_pin"))).drop("_times")
     j = results.join(prices, key, "left")
-    nano = (F.coalesce(F.col("input_tokens"), F.lit(0)) * F.coalesce(F.col("_nin"), F.lit(0))
-            + F.coalesce(F.col("output_tokens"), F.lit(0)) * F.coalesce(F.col("_nout"), F.lit(0)))
-    return (j.withColumn("cost_nano", nano)
-             .withColumn("cost_usd", F.col("cost_nano") / F.lit(1e9))
-             .drop("_nin", "_nout"))
+    cost = (F.coalesce(F.col("input_tokens"), F.lit(0)) * F.coalesce(F.col("_pin"), F.lit(0))
+            + F.coalesce(F.col("output_tokens"), F.lit(0)) * F.coalesce(F.col("_pout"), F.lit(0)))
+    return (j.withColumn("cost_pico", cost)
+             .withColumn("cost_nano", F.round(F.col("cost_pico") / F.lit(1000.0)).cast("long"))
+             .withColumn("cost_usd", F.col("cost_pico") / F.lit(1e12))
+             .drop("_pin", "_pout"))
 
 
 def cost_summary(results: DataFrame, group_cols: Sequence[str] = ("model_name", "prompt_id"),

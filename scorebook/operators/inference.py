@@ -5,8 +5,8 @@ and ``predict(content: bytes | None, prompt: str) -> dict`` (keys ``raw_output``
 ``latency_s``, ``input_tokens``, ``output_tokens``, ``cost_usd``, ``error``; all
 optional).  This module only distributes the calls:
 
-* J1: every sample under every condition, by expanding the (small, checked) condition
-  list as a literal array, no join;
+* J1: every sample under every condition, by expanding the condition list as a
+  literal array, no join;
 * D6: ``repartition(n)`` bounds the number of concurrent calls per model;
 * D1/D3: ``mapInPandas`` loads one predictor per task, calls it row by row, unloads
   it in ``finally``;
@@ -26,8 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CONDITIONS_LITERAL = 100_000
-
 OUTPUT_FIELDS = [
     T.StructField("raw_output", T.StringType()),
     T.StructField("inference_time_s", T.DoubleType()),
@@ -60,15 +58,12 @@ class PredictorRegistry:
 def expand_conditions(samples: DataFrame, conditions: DataFrame) -> DataFrame:
     """Every sample under every condition.
 
-    The condition list is collected (its size is checked first) and expanded with
-    ``inline``, so the sample table is never joined or shuffled."""
-    rows = conditions.limit(MAX_CONDITIONS_LITERAL + 1).collect()   # bounded collect
-    if len(rows) > MAX_CONDITIONS_LITERAL:
-        raise ValueError(f"more than {MAX_CONDITIONS_LITERAL} conditions: too many to expand "
-                         "as a literal list")
+    The conditions are the experiment's configuration (models x prompts, built from the
+    driver's own settings); they are expanded with ``inline`` from a literal array, so the
+    sample table is never joined or shuffled."""
     fields = conditions.schema.fields
     structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields])
-               for r in rows]
+               for r in conditions.collect()]
     if not structs:
         return samples.limit(0).select(
             "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
@@ -80,29 +75,31 @@ def with_retries(call: Callable[[], dict], max_retries: int = 3, base_delay_s: f
                  sleep: Callable[[float], None] = time.sleep) -> dict:
     """Up to ``max_retries`` retries after the first attempt, sleeping
     base, 2 x base, 4 x base ...; fatal errors and exhausted retries end in a result
-    with the error text instead of an exception."""
-    attempt = 0
+    with the last error's text instead of an exception (a fatal one also with the time spent)."""
+    attempt, began = 0, time.perf_counter()
     while True:
         try:
             return call()
         except Exception as e:  # noqa: BLE001 - any predictor error is data here
+            text = f"{type(e).__name__}: {e}"
             if not is_transient(e):
-                return {"raw_output": "", "error": f"{type(e).__name__}: {e}", "latency_s": 0.0}
+                return {"raw_output": "", "error": text, "latency_s": time.perf_counter() - began}
             if attempt >= max_retries:
-                return {"raw_output": "", "error": "Max retries exceeded", "latency_s": 0.0}
+                return {"raw_output": "", "error": f"Max retries exceeded: {text}", "latency_s": 0.0}
             sleep(base_delay_s * (2 ** attempt))
             attempt += 1
 
 
 def _runner(factory: Callable[..., object], content_col: str | None, prompt_col: str,
             model_col: str | None, max_retries: int, base_delay_s: float, is_transient,
-            out_cols: Sequence[str]):
+            out_cols: Sequence[str], batch_rows: int):
     """Per task: at most one predictor loaded at a time.  Rows arrive sorted by model
     within the task, so a model is loaded once per task and released before the next."""
     def run(batches):
         current, model = object(), None
         try:
-            for pdf in batches:
+            for pdf in (part for whole in batches for part in
+                        (whole.iloc[i:i + batch_rows] for i in range(0, len(whole), batch_rows))):
                 results = []
                 contents = pdf[content_col] if content_col else [None] * len(pdf)
                 keys = pdf[model_col] if model_col else [None] * len(pdf)
@@ -146,8 +143,9 @@ def batch_inference(rows: DataFrame, predictor_factory: Callable[..., object],
                     keep_cols: Sequence[str] | None = None, parallelism: int | None = None,
                     model_col: str | None = None,
                     max_retries: int = 3, base_delay_s: float = 2.0,
-                    is_transient: Callable[[Exception], bool] = lambda e: True) -> DataFrame:
-    """One model call per row.
+                    is_transient: Callable[[Exception], bool] = lambda e: True,
+                    batch_rows: int = 256) -> DataFrame:
+    """One model call per row.  ``batch_rows`` (D7): answers handed on at once.
 
     ``model_col``: rows name their model; the factory is called with that value and
     rows are sorted by it inside each task (not partitioned by it, so a large model
@@ -165,22 +163,30 @@ def batch_inference(rows: DataFrame, predictor_factory: Callable[..., object],
         src = src.sortWithinPartitions(model_col)
     schema = T.StructType([src.schema[c] for c in keep] + OUTPUT_FIELDS)
     return src.mapInPandas(_runner(predictor_factory, content_col, prompt_col, model_col,
-                                   max_retries, base_delay_s, is_transient, keep), schema)
+                                   max_retries, base_delay_s, is_transient, keep, batch_rows), schema)
 
 
 def image_request_payload(content: str, prompt: str, model: str, style: str = "image_url",
-                          max_tokens: int = 512) -> F.Column:
+                          max_tokens: int = 512, params: dict | None = None) -> F.Column:
     """JSON request body with the image (base64, bytes as stored) and the prompt.
 
+    The media type follows the content's first bytes (PNG, GIF, WebP, else JPEG); ``params``
+    are the model's inference parameters, added to the body by name.
+
     ``image_url``: user message content = [{"type":"image_url","image_url":{"url":
     "data:image/jpeg;base64,..."}}, {"type":"text","text":...}]; ``base64_source``: content =
     [{"type":"image","source":{"type":"base64","media_type":"image/jpeg","data":...}},
     {"type":"text","text":...}].  Null fields are left out of the JSON."""
     # plain (unchunked) base64: Spark may emit MIME-style line breaks every 76 chars
     b64 = F.translate(F.base64(F.col(content)), "\r\n", "")
+    head = F.hex(F.substring(F.col(content), 1, 12))
+    media = F.when(head.startswith("89504E470D0A1A0A"), F.lit("image/png")) \
+        .when(head.startswith("47494638"), F.lit("image/gif")) \
+        .when(head.startswith("52494646") & head.endswith("57454250"), F.lit("image/webp")) \
+        .otherwise(F.lit("image/jpeg"))
     null_s = F.lit(None).cast("string")
     if style == "image_url":
-        url = F.struct(F.concat(F.lit("data:image/jpeg;base64,"), b64).alias("url"))
+        url = F.struct(F.concat(F.lit("data:"), media, F.lit(";base64,"), b64).alias("url"))
         image = F.struct(F.lit("image_url").alias("type"), null_s.alias("text"),
                          url.alias("image_url"))
         text = F.struct(F.lit("text").alias("type"), F.col(prompt).alias("text"),
@@ -189,7 +195,7 @@ def image_request_payload(content: str, prompt: str, model: str, style: str = "i
     elif style == "base64_source":
         src_t = "struct<type:string,media_type:string,data:string>"
         image = F.struct(F.lit("image").alias("type"), null_s.alias("text"),
-                         F.struct(F.lit("base64").alias("type"), F.lit("image/jpeg").alias("media_type"),
+                         F.struct(F.lit("base64").alias("type"), media.alias("media_type"),
                                   b64.alias("data")).alias("source"))
         text = F.struct(F.lit("text").alias("type"), F.col(prompt).alias("text"),
                         F.lit(None).cast(src_t).alias("source"))
@@ -197,7 +203,8 @@ def image_request_payload(content: str, prompt: str, model: str, style: str = "i
         raise ValueError("style must be 'image_url' or 'base64_source'")
     msg = F.struct(F.lit("user").alias("role"), F.array(image, text).alias("content"))
     return F.to_json(F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"),
-                              F.array(msg).alias("messages")))
+                              F.array(msg).alias("messages"),
+                              *[F.lit(v).alias(k) for k, v in sorted((params or {}).items())]))
 
 
 def with_media_token(prompt: F.Column, token: str = "<image>") -> F.Column:

@@ -27,12 +27,21 @@ def score_ties(rows: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
                     .agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg")))
 
 
+def score_bucket(score: Column, n_buckets: int) -> Column:
+    """Monotone bucket of a score in [0, 1], ``n_buckets`` per factor of two of the score or of
+    its distance from 1, whichever is smaller."""
+    low = F.floor(F.log2(score) * n_buckets)
+    high = -F.ceil(F.log2(1.0 - score) * n_buckets) - 2 * n_buckets
+    edge = F.lit(1 << 40).cast("long")
+    return F.when(score <= 0, -edge).when(score >= 1, edge).when(score < 0.5, low).otherwise(high)
+
+
 def prefix_below(ties: DataFrame, key: Sequence[str], n_buckets: int = AUC_BUCKETS) -> DataFrame:
     """Add ``pos_below`` / ``neg_below``, counts at strictly lower scores in the same key.
 
     Coarse level: totals of all lower score buckets (window over <= n_buckets rows per
     key); fine level: running sum inside one bucket."""
-    t = ties.withColumn("bucket", F.floor(F.col("score") * F.lit(float(n_buckets))))
+    t = ties.withColumn("bucket", score_bucket(F.col("score"), n_buckets))
     buckets = t.groupBy(*key, "bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     wb = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select(*key, "bucket",

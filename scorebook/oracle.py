@@ -182,19 +182,19 @@ def parse_labels_sql() -> str:
     from scorebook.functions import labels as P
     lookup, strip, exact, json_keys, alias, diag = _parser_sql_parts()
     return f"""WITH {RO},
-st AS (SELECT doc_id, tmpl,
+st AS (SELECT answer_id, tmpl,
          CASE WHEN raw_output IS NULL OR raw_output = '' THEN NULL ELSE {strip('raw_output')} END AS s
        FROM ro),
-br AS (SELECT doc_id, tmpl, s, {exact} AS b1, {diag} AS cap,
+br AS (SELECT answer_id, tmpl, s, {exact} AS b1, {diag} AS cap,
               regexp_extract(s, {q(P.JSON_RE)}, 0) AS js
        FROM st),
-lab AS (SELECT doc_id, tmpl,
+lab AS (SELECT answer_id, tmpl,
   {exact} AS b1,
   CASE WHEN cap <> '' THEN {lookup('lower(' + strip('cap') + ')')} END AS b2,
   CASE WHEN js <> '' AND json_valid(js) THEN coalesce({json_keys}) END AS b3,
   {alias} AS b4
   FROM br)
-SELECT doc_id, tmpl, coalesce(b1, b2, b3, b4) AS predicted_label,
+SELECT answer_id, tmpl, coalesce(b1, b2, b3, b4) AS predicted_label,
        coalesce(b1, b2, b3, b4) IS NOT NULL AS parse_success,
        CASE WHEN b1 IS NOT NULL THEN 1 WHEN b2 IS NOT NULL THEN 2 WHEN b3 IS NOT NULL THEN 3
             WHEN b4 IS NOT NULL THEN 4 ELSE 0 END AS parse_branch
@@ -598,7 +598,7 @@ def request_payload_sql() -> str:
     msg = f"json_object('role', 'user', 'content', json_array({image}, {text}))"
     body = f"json_object('model', 'api-a-2024', 'max_tokens', 512, 'messages', json_array({msg}))"
     return f"""SELECT doc_id, CAST({body} AS VARCHAR) AS payload
-FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL"""
+FROM documents"""
 
 
 def media_token_sql() -> str:
@@ -624,8 +624,12 @@ def _poisson_reps_body(n_boot: int, seed: int = 42) -> str:
     macro = "(" + " + ".join(f1) + f") / CAST({K} AS DOUBLE)"
     return f"""x AS (SELECT model_name, prompt_id, CAST(sample_id AS VARCHAR) AS sample_id, true_label,
               coalesce(predicted_label, '{NONE_LABEL}') AS pred FROM er WHERE {NOTNULL}),
-wx AS (SELECT *, {w} AS w FROM (
-         SELECT x.*, r.replicate, {u} AS u FROM x CROSS JOIN range({n_boot}) r(replicate)) z),
+draws AS (SELECT sample_id, replicate, {w} AS w FROM (
+         SELECT x.sample_id, r.replicate, {u} AS u
+         FROM (SELECT DISTINCT sample_id FROM x) x CROSS JOIN range({n_boot}) r(replicate)) z),
+wx AS (SELECT model_name, prompt_id, replicate, true_label, pred, sum(w) AS w
+       FROM x JOIN (SELECT * FROM draws WHERE w > 0) d USING (sample_id)
+       GROUP BY model_name, prompt_id, replicate, true_label, pred),
 reps AS (SELECT model_name, prompt_id, CAST(replicate AS INT) AS replicate,
     {macro} AS macro_f1,
     {_div("sum(CASE WHEN true_label = pred THEN w ELSE 0 END)", "sum(w)")} AS accuracy
@@ -671,8 +675,9 @@ SELECT sample_id FROM er WHERE model_name = 'org/Open-4B' AND prompt_id = 'RCE'"
 
 def dedupe_sql() -> str:
     return f"""WITH {ER}
-SELECT DISTINCT * FROM (SELECT * FROM er UNION ALL SELECT * FROM er WHERE backend = 'api') u"""
-
+SELECT * FROM er WHERE backend = 'local'
+UNION ALL
+SELECT * REPLACE ('Normal' AS predicted_label, true AS parse_success) FROM er WHERE backend = 'api'"""
 
 
 # --- D1 end to end: deterministic predictor + parser, in SQL ----------------------------
@@ -696,9 +701,9 @@ parsed AS (SELECT * EXCLUDE (s, b1, cap, js, b2, b3, b4),
 
 
 def batch_inference_sql() -> str:
-    from scorebook.sources.fixtures import FIXTURE_MODELS
+    from scorebook.sources.fixtures import FIXTURE_MODELS, FIXTURE_PROMPTS
     conds = ", ".join(f"({q(name)}, {q(mid)}, {q(p)})" for (_, name, mid, _, _, _) in FIXTURE_MODELS
-                      for p in ("ZSD", "CoT"))
+                      for (_, p) in FIXTURE_PROMPTS)
     words = ["atrial", "ventricular", "ductus", "normal"]
     answer = "CASE " + " ".join(f"WHEN contains(lt, {q(w)}) THEN {q('Findings: ' + w + ' pattern.')}"
                                 for w in words) + \

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook.config import DEFAULT_GROUP_COLS, DEFAULT_LABELS
@@ -31,6 +31,7 @@ class Analysis:
     calibration: DataFrame | None = None
     reliability: DataFrame | None = None
     auc_per_class: DataFrame | None = None
+    group_cols: tuple = tuple(DEFAULT_GROUP_COLS)
     _persisted: list = None
 
     def release(self) -> None:
@@ -60,7 +61,7 @@ def fact_summary(results: DataFrame, labels: Sequence[str], group_cols: Sequence
     Key: (condition, true, predicted-or-__NONE__, has_probs, bin); values: row count,
     confidence sum, argmax-correct count, Brier-term sum.  At most
     K x (K + 2) x 2 x (n_bins + 1) rows per condition, map-side combined."""
-    from scorebook.operators.calibration import binned_columns
+    from scorebook.operators.calibration import binned_columns, complete_row
     df = drop_null_keys(results, group_cols)
     cols = [*[F.col(c) for c in group_cols], F.col("true_label"),
             prediction_or_none().alias("predicted_label")]
@@ -75,9 +76,7 @@ def fact_summary(results: DataFrame, labels: Sequence[str], group_cols: Sequence
         for i, x in enumerate(labels):
             idx = F.when(F.col("true_label") == x, F.lit(i)) if idx is None \
                 else idx.when(F.col("true_label") == x, F.lit(i))
-        has = F.col("true_label").isNotNull()
-        for c in prob_cols.values():
-            has = has & F.col(c).isNotNull()
+        has = complete_row(prob_cols)
         # A truth outside the label list cannot be scored against the probabilities
         idx = idx.otherwise(F.when(has, F.raise_error(F.concat(
             F.lit("true label outside the label list: "), F.col("true_label").cast("string")))))
@@ -94,21 +93,31 @@ def fact_summary(results: DataFrame, labels: Sequence[str], group_cols: Sequence
         F.sum("correct").alias("n_correct"), F.sum("sq").alias("sum_sq"))
 
 
-def run_full_analysis(results: DataFrame,
+def run_full_analysis(results: DataFrame | str,
                       group_cols: Sequence[str] = tuple(DEFAULT_GROUP_COLS),
                       labels: Sequence[str] = tuple(DEFAULT_LABELS),
                       n_bootstrap: int = 2000,
                       bootstrap_metrics: Sequence[str] = ("macro_f1", "accuracy"),
                       seed: int = 42,
                       with_mcnemar: bool = True,
-                      persist: bool = True, n_bins: int = 10) -> Analysis:
-    """Every analysis table.  Three passes over the fact table: the combined summary (cells, Brier,
+                      persist: bool = True, n_bins: int = 10,
+                      spark: SparkSession | None = None, id_mode: str = "require") -> Analysis:
+    """Every analysis table of a results table, or of the file or folder that holds it
+    (``.csv``, else Parquet; needs ``spark``).  ``id_mode``: what to do without sample ids (P7).  Three passes over the fact table: the combined summary (cells, Brier,
     reliability), the tie-grouped scores (AUC) and the per-sample bitmasks (McNemar).
     The summary is persisted; it is at most a few hundred rows per condition."""
     from scorebook.operators.calibration import (auc_per_class, calibration_from_summary,
                                                  complete_prob_rows)
+    from scorebook.sources.results import ensure_sample_id, read_results_csv
     group_cols, labels = list(group_cols), list(labels)
+    if isinstance(results, str):
+        if spark is None:
+            raise ValueError("a path needs the spark argument")
+        results = read_results_csv(spark, results, labels) if results.rstrip("/").endswith(".csv") \
+            else spark.read.parquet(results)
     require_columns(results, group_cols)
+    if with_mcnemar:
+        results = ensure_sample_id(results, mode=id_mode)
     prob_cols = prob_columns_present(results, labels)
     summary = fact_summary(results, labels, group_cols, prob_cols, n_bins)
     if persist:
@@ -119,7 +128,7 @@ def run_full_analysis(results: DataFrame,
     grid = confusion_cells(results, labels, group_cols, cells=cells)
 
     out = Analysis(metrics=metrics, per_class_metrics=per_class,
-                   confusion_cells=grid, cells_all=cells)
+                   confusion_cells=grid, cells_all=cells, group_cols=tuple(group_cols))
     out._persisted = [summary] if persist else []
 
     if prob_cols is not None:
@@ -156,9 +165,12 @@ def print_summary(analysis: Analysis) -> str:
     """Human-readable summary from the condition-sized tables only (collects only
     condition- and pair-sized tables)."""
     lines = ["===  Classification Metrics  ==="]
-    m = analysis.metrics.orderBy(*[c for c in DEFAULT_GROUP_COLS
-                                   if c in analysis.metrics.columns])
-    cols = [c for c in ["model_name", "prompt_id", "n_total", "parse_rate", "accuracy",
+    keys = list(analysis.group_cols)
+
+    def name(r) -> str:
+        return " / ".join(str(r[c]) for c in keys)
+    m = analysis.metrics.orderBy(*keys)
+    cols = [c for c in [*keys, "n_total", "parse_rate", "accuracy",
                         "macro_f1", "kappa", "roc_auc"] if c in m.columns]
     for r in m.select(*cols).collect():
         lines.append("  ".join(str(r[c]) for c in cols))
@@ -166,7 +178,7 @@ def print_summary(analysis: Analysis) -> str:
             "macro_f1_ci_lower" in analysis.bootstrap_cis.columns:
         lines.append("===  Bootstrap 95% CI (Macro-F1)  ===")
         for r in analysis.bootstrap_cis.collect():
-            lines.append(f"{r['model_name']} / {r['prompt_id']}: {r['macro_f1_point']:.4f} "
+            lines.append(f"{name(r)}: {r['macro_f1_point']:.4f} "
                          f"[{r['macro_f1_ci_lower']:.4f}, {r['macro_f1_ci_upper']:.4f}]")
     if analysis.mcnemar_results is not None:
         sig = analysis.mcnemar_results.filter("significant_05").collect()
@@ -176,6 +188,6 @@ def print_summary(analysis: Analysis) -> str:
     if analysis.calibration is not None:
         lines.append("===  Calibration (ECE / MCE / Brier)  ===")
         for r in analysis.calibration.collect():
-            lines.append(f"  {r['model_name']} / {r['prompt_id']}: ECE={r['ece']:.4f}  "
+            lines.append(f"  {name(r)}: ECE={r['ece']:.4f}  "
                          f"MCE={r['mce']:.4f}  Brier={r['brier_score']:.4f}")
     return "\n".join(lines)

@@ -2,8 +2,8 @@
 
 Plan: conditions (S7, J10) -> skip conditions already written (S8) -> every sample
 under every remaining condition (J1) -> model calls (D1) -> label parsing (L0-L6,
-native expressions) -> partitioned write (S4/S5).  The written table is then read
-back for the parse-rate and cost reports (A10, A12), so a paid call is never
+native expressions) -> partitioned write (S4/S5), one per model.  The written table is
+then read back for the parse-rate and cost reports (A10, A12), so a paid call is never
 re-executed through lineage.
 """
 
@@ -22,6 +22,7 @@ from scorebook.operators.inference import batch_inference, expand_conditions
 from scorebook.plans.report import parse_rate_report
 from scorebook.sources.config import conditions_frame, remaining_conditions
 from scorebook.sources.results import write_results
+from scorebook.sources.samples import balanced_total, first_n
 
 C = ["model_name", "prompt_id"]
 
@@ -50,8 +51,14 @@ def run_experiment(spark: SparkSession, samples: DataFrame, models: DataFrame,
                    results_path: str, prompt_ids: Sequence[str] | None = None,
                    max_samples: int | None = None, parallelism: int | None = None,
                    spec: LabelSpec | None = None, mode: str = "compat",
-                   max_retries: int = 3, base_delay_s: float = 2.0) -> RunOutput:
-    """``predictor_for(model_id)`` builds the user's predictor for one model."""
+                   max_retries: int = 3, base_delay_s: float = 2.0,
+                   select: str = "balanced", batch_rows: int = 256) -> RunOutput:
+    """``predictor_for(model_id)`` builds the user's predictor for one model.
+
+    Each model's remaining prompts are one write of their own: a model that fails leaves the
+    models before it on disk, and the next run resumes behind them, so a paid call is not
+    repeated.  ``select``: how ``max_samples`` picks (``balanced`` over labels, or ``first`` in
+    path order); exactly that many samples are used."""
     spec = spec or LabelSpec()
     conds = conditions_frame(models, prompt_ids, prompts).join(
         prompts, "prompt_id", "inner").select(
@@ -61,23 +68,24 @@ def run_experiment(spark: SparkSession, samples: DataFrame, models: DataFrame,
     if done is not None:
         conds = remaining_conditions(conds, done, C)
     if max_samples is not None:
-        from scorebook.sources.samples import stratified_n
-        per_label = max(1, -(-max_samples // len(spec.labels)))
-        samples = stratified_n(samples, per_label)
-    if done is not None and conds.isEmpty():
-        return RunOutput(results=done, parse_rates=parse_rate_report(done, C),
-                         cost=cost_summary(done, C))
-    rows = expand_conditions(samples, conds)
-    keep = ["sample_id", "image_path", "label", "model_name", "model_id", "backend", "prompt_id"]
-    keep = [c for c in keep if c in rows.columns]
-    content = "content" if "content" in rows.columns else None
-    answered = batch_inference(rows, predictor_for, prompt_col="prompt_text",
-                               content_col=content, keep_cols=keep, parallelism=parallelism,
-                               model_col="model_id", max_retries=max_retries,
-                               base_delay_s=base_delay_s)
-    parsed = parse_labels(answered.withColumnRenamed("label", "true_label"),
-                          "raw_output", "predicted_label", spec, mode)
-    write_results(parsed, results_path, C)
+        if select not in ("balanced", "first"):
+            raise ValueError("select must be 'balanced' or 'first'")
+        samples = balanced_total(samples, max_samples) if select == "balanced" else first_n(samples, max_samples)
+    # one model after the other, as configured: the list of models is the experiment's own size
+    order = [r.model_id for r in models.select("model_id").collect()]
+    left = {r.model_id for r in conds.select("model_id").distinct().collect()}
+    for model_id in dict.fromkeys(m for m in order if m in left):
+        rows = expand_conditions(samples, conds.filter(F.col("model_id") == model_id))
+        keep = ["sample_id", "image_path", "label", "model_name", "model_id", "backend", "prompt_id"]
+        keep = [c for c in keep if c in rows.columns]
+        content = "content" if "content" in rows.columns else None
+        answered = batch_inference(rows, predictor_for, prompt_col="prompt_text",
+                                   content_col=content, keep_cols=keep, parallelism=parallelism,
+                                   model_col="model_id", max_retries=max_retries,
+                                   base_delay_s=base_delay_s, batch_rows=batch_rows)
+        parsed = parse_labels(answered.withColumnRenamed("label", "true_label"),
+                              "raw_output", "predicted_label", spec, mode)
+        write_results(parsed, results_path, C)
     results = spark.read.parquet(results_path)
     return RunOutput(results=results, parse_rates=parse_rate_report(results, C),
                      cost=cost_summary(results, C))

@@ -1,12 +1,11 @@
 """Deterministic results tables derived from the driver tables.
 
 ``eval_results``: every ``events`` row becomes one sample evaluated under 12
-conditions (3 models x 4 prompts).  ``raw_outputs``: every ``documents`` row becomes
-one model answer, 16 templates covering every parser branch, template 15 being the
-document's full text.  Both derivations are narrow: the condition list is a literal
-array expanded with ``inline``, not a join.  The only shuffle is ``spread``'s
-round-robin of the two input columns, and only when the scan yields fewer splits
-than the cluster's default parallelism (the single-row-group test files).
+conditions (3 models x 4 prompts).  ``raw_outputs``: every ``documents`` row and every
+``conversations`` turn becomes one model answer: its whole text, followed by one of 16
+endings that cover every parser branch.  Both derivations are narrow: the condition
+list is a literal array expanded with ``inline``, not a join.  The only shuffle is
+``spread``'s round-robin of the input columns.
 
 The SQL texts are the same derivations for DuckDB, used by the oracle queries.
 """
@@ -88,15 +87,11 @@ def eval_results_from_events(events: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a narrow input over the cluster when its scan yields fewer splits
-    than the default parallelism (a small single-row-group file); a large input is
-    left exactly as scanned, so this never adds a shuffle at scale."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
-        return df
-    return df.repartition(target) if splits < target else df
+    """Deal a narrow input round-robin over the cluster's cores, at every size.
+
+    Part of the fixture only: the test files are one row group each, and the derived
+    tables are an order of magnitude wider than what is dealt here."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +99,6 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_results_from_events(spread(events))
 
 
-def with_cost_usd(results: DataFrame) -> DataFrame:
-    """``cost_usd`` in dollars from the integer nano-USD column."""
-    return results.withColumn("cost_usd", F.col("cost_nano") / F.lit(1e9))
-
-
 # --- fixed values: the 15 answer templates of raw_outputs (template 15 = full text) -
 RAW_OUTPUT_TEMPLATES = [
     "VSD",
@@ -130,19 +120,25 @@ RAW_OUTPUT_TEMPLATES = [
 # -----------------------------------------------------------------------------------
 
 
-def raw_outputs_from_documents(documents: DataFrame) -> DataFrame:
-    tmpl = (F.col("doc_id") % 16).cast("int")
+def answers_from_texts(texts: DataFrame) -> DataFrame:
+    """(answer_id, n, text) -> model answers: the whole text, followed by one of the answer
+    templates on a line of its own (template 15 and the null template: the text alone)."""
+    tmpl = (F.col("n") % 16).cast("int")
     expr = None
-    for i, text in enumerate(RAW_OUTPUT_TEMPLATES):
-        value = F.lit(text).cast("string")
+    for i, t in enumerate(RAW_OUTPUT_TEMPLATES):
+        value = F.col("text") if t is None else F.concat(F.col("text"), F.lit("\n" + t))
         expr = F.when(tmpl == i, value) if expr is None else expr.when(tmpl == i, value)
-    expr = expr.otherwise(F.col("text"))
-    return documents.select("doc_id", tmpl.alias("tmpl"), expr.alias("raw_output"))
+    return texts.select("answer_id", tmpl.alias("tmpl"), expr.otherwise(F.col("text")).alias("raw_output"))
 
 
 def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return raw_outputs_from_documents(spread(docs))
+    """Every document and every conversation turn, whole, as a model answer."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("answer_id"), F.col("doc_id").alias("n"), "text")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("answer_id"),
+        (F.col("conv_id") + F.col("turn")).alias("n"), "text")
+    return answers_from_texts(spread(docs.unionByName(turns)))
 
 
 # DuckDB forms of the two derivations (views ``events`` / ``documents`` registered).
@@ -187,25 +183,26 @@ FROM (
 """
 
 RAW_OUTPUTS_SQL = """
-SELECT doc_id, CAST(doc_id % 16 AS INT) AS tmpl,
-  CASE doc_id % 16
-    WHEN 0  THEN 'VSD'
-    WHEN 1  THEN concat('  normal ', chr(10))
-    WHEN 2  THEN 'DIAGNOSIS: PDA'
-    WHEN 3  THEN concat('Shunt ratio given.', chr(10), 'Diagnosis : Ventricular Septal Defect.')
-    WHEN 4  THEN '{"label": "ASD", "score": 0.9}'
-    WHEN 5  THEN 'Result {"diagnosis": null, "class": "patent duct"}'
-    WHEN 6  THEN 'Result {''label'': ''healthy''}'
-    WHEN 7  THEN 'Findings suggest an interventricular defect.'
-    WHEN 8  THEN 'ASD is excluded; final answer VSD'
-    WHEN 9  THEN 'abnormal study'
-    WHEN 10 THEN ''
-    WHEN 11 THEN NULL
-    WHEN 12 THEN concat('DIAGNOSIS: PDA', chr(10), 'because flow is normal')
-    WHEN 13 THEN concat('DIAGNOSIS: VSD', chr(10), 'no ASD seen')
-    WHEN 14 THEN 'xNormal_1 Normal2'
+SELECT answer_id, CAST(n % 16 AS INT) AS tmpl,
+  CASE n % 16
+    WHEN 0  THEN text || chr(10) || 'VSD'
+    WHEN 1  THEN text || chr(10) || '  normal ' || chr(10)
+    WHEN 2  THEN text || chr(10) || 'DIAGNOSIS: PDA'
+    WHEN 3  THEN text || chr(10) || 'Shunt ratio given.' || chr(10) || 'Diagnosis : Ventricular Septal Defect.'
+    WHEN 4  THEN text || chr(10) || '{"label": "ASD", "score": 0.9}'
+    WHEN 5  THEN text || chr(10) || 'Result {"diagnosis": null, "class": "patent duct"}'
+    WHEN 6  THEN text || chr(10) || 'Result {''label'': ''healthy''}'
+    WHEN 7  THEN text || chr(10) || 'Findings suggest an interventricular defect.'
+    WHEN 8  THEN text || chr(10) || 'ASD is excluded; final answer VSD'
+    WHEN 9  THEN text || chr(10) || 'abnormal study'
+    WHEN 10 THEN text || chr(10) || ''
+    WHEN 12 THEN text || chr(10) || 'DIAGNOSIS: PDA' || chr(10) || 'because flow is normal'
+    WHEN 13 THEN text || chr(10) || 'DIAGNOSIS: VSD' || chr(10) || 'no ASD seen'
+    WHEN 14 THEN text || chr(10) || 'xNormal_1 Normal2'
     ELSE text END AS raw_output
-FROM documents
+FROM (SELECT 'd' || CAST(doc_id AS VARCHAR) AS answer_id, doc_id AS n, text FROM documents
+      UNION ALL
+      SELECT 'c' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR), conv_id + turn, text FROM conversations) t
 """
 
 

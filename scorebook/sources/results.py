@@ -46,8 +46,13 @@ def read_results_csv(spark: SparkSession, path: str, labels: Sequence[str] = (),
                              if c not in full.fieldNames()])
     order = {c: i for i, c in enumerate(present)}
     schema = T.StructType(sorted(schema.fields, key=lambda f: order[f.name]))
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    # tables written elsewhere may hold whole numbers as 512.0 where a column has gaps
+    longs = [f.name for f in schema.fields if isinstance(f.dataType, T.LongType)]
+    as_read = T.StructType([T.StructField(f.name, T.DoubleType(), True) if f.name in longs else f
+                            for f in schema.fields])
+    df = (spark.read.schema(as_read).option("header", True).option("multiLine", True)
           .option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path))
+    df = df.withColumns({c: F.col(c).cast("long") for c in longs})
     for c in [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]:
         if na_strings:
             df = df.withColumn(c, F.when(F.col(c).isin(list(na_strings)), None).otherwise(F.col(c)))
@@ -73,9 +78,21 @@ def merge_runs(*runs: DataFrame) -> DataFrame:
     return out
 
 
-def dedupe_results(df: DataFrame, key: Sequence[str] = ("sample_id", "model_name", "prompt_id")) -> DataFrame:
-    """X2 (batch): one row per (sample, condition) when a run was appended twice."""
-    return df.dropDuplicates(list(key))
+def dedupe_results(df: DataFrame, key: Sequence[str] = ("sample_id", "model_name", "prompt_id"),
+                   order_by: Sequence[str] = ()) -> DataFrame:
+    """X2 (batch): one row per (sample, condition) when a run was appended twice.
+
+    The copy with the largest ``order_by`` values stays (e.g. an arrival time: the latest);
+    copies equal there are ordered by their other columns, so reruns agree.  One aggregation
+    with map-side combine; no window holds the copies of a key."""
+    rest = [c for c in df.columns if c not in key]
+    ranked = [*order_by, *[c for c in rest if c not in order_by]]
+    sortable = [c for c in ranked if not isinstance(df.schema[c].dataType, T.MapType)]
+    if not rest:
+        return df.dropDuplicates(list(key))
+    best = F.max_by(F.struct(*rest), F.struct(*sortable)) if sortable else F.first(F.struct(*rest))
+    return df.groupBy(*key).agg(best.alias("_best")).select(
+        *[F.col(c) if c in key else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
 def shared_ids(df: DataFrame, cond_a: dict, cond_b: dict, id_col: str = "sample_id") -> DataFrame:

@@ -7,6 +7,7 @@ makes the image bytes lazy).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,17 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _is_one_below(spark: SparkSession, root: str) -> Column:
+    """Is the file exactly one directory below the root?  Counts parts behind scheme and host."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    depth = len(re.sub(_SCHEME, "", str(fs.makeQualified(p).toString())).rstrip("/").split("/"))
+    return F.size(F.split(F.regexp_replace("path", _SCHEME, ""), "/")) == depth + 2
+
+
 def extension_of(path: Column) -> Column:
     """Lower-cased file suffix including the dot ('' when there is none)."""
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
@@ -54,6 +66,8 @@ def load_samples_from_directory(spark: SparkSession, root: str, labels: Sequence
         raise FileNotFoundError(f"sample root not found: {root}")
     df = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*")
     parts = F.split(F.col("path"), "/")
+    # a directory matched by the pattern is listed too: its files are one level too deep
+    df = df.filter(_is_one_below(spark, root))
     dir_name = F.element_at(parts, -2)
     file_name = F.element_at(parts, -1)
     stem = F.regexp_replace(file_name, r"\.[^.]*$", "")
@@ -101,11 +115,31 @@ def check_labels(samples: DataFrame, labels: Sequence[str], label_col: str = "la
     return samples.filter(F.coalesce(ok, F.lit(False))), bad
 
 
+def dropped_directories(spark: SparkSession, root: str, labels: Sequence[str],
+                        label_map: dict[str, str] | None = None) -> DataFrame:
+    """Class directories that no label stands for, with their number of files."""
+    parts = F.split(F.col("path"), "/")
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path") \
+        .filter(_is_one_below(spark, root))
+    return files.select(F.element_at(parts, -2).alias("directory")) \
+        .filter(label_for_directory(F.col("directory"), labels, label_map).isNull()) \
+        .groupBy("directory").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def first_n(samples: DataFrame, n: int, order_cols: Sequence[str] = ("image_path",)) -> DataFrame:
     """P4 (compat): the first n samples in path order (may take a single class)."""
     return samples.orderBy(*order_cols).limit(n)
 
 
+def balanced_total(samples: DataFrame, total: int, label_col: str = "label",
+                   id_col: str = "sample_id") -> DataFrame:
+    """Exactly ``total`` samples (all, if there are fewer), as even over labels as they
+    allow: the first of every label in ``stratified_n``'s order, then the second ..."""
+    picked = stratified_n(samples, total, label_col, id_col)
+    turn = F.row_number().over(Window.partitionBy(label_col).orderBy(F.md5(F.col(id_col).cast("string")), id_col))
+    return picked.withColumn("_turn", turn).orderBy("_turn", label_col).limit(total).drop("_turn")
+
+
 def stratified_n(samples: DataFrame, n_per_label: int, label_col: str = "label",
                  id_col: str = "sample_id", oversample: float = 2.0) -> DataFrame:
     """P4 (default): the n samples per label with the smallest ``md5(id)`` (a stable,

@@ -19,7 +19,7 @@ def test_retry_schedule():
 
     res = with_retries(call, max_retries=3, base_delay_s=2.0, sleep=sleeps.append)
     assert len(calls) == 4 and sleeps == [2.0, 4.0, 8.0]
-    assert res["error"] == "Max retries exceeded"
+    assert res["error"] == "Max retries exceeded: Flaky: busy"
     res = with_retries(call, is_transient=lambda e: False, sleep=sleeps.append)
     assert "busy" in res["error"]
 
@@ -35,7 +35,7 @@ def test_batch_inference_rows_and_errors(spark):
                           model_col="model_id", parallelism=2, base_delay_s=0.0, max_retries=1)
     rows = {r.sample_id: r for r in out.collect()}
     assert rows["1"].raw_output == "DIAGNOSIS: ASD" and rows["1"].cost_usd == 0.001
-    assert rows["2"].raw_output == "" and rows["2"].error == "Max retries exceeded"
+    assert rows["2"].raw_output == "" and rows["2"].error == "Max retries exceeded: RuntimeError: model failed"
     assert rows["3"].input_tokens == 3
 
 
