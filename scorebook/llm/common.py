@@ -36,11 +36,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without recomputing ``df``,
-    and several consumers read one result.
+    and several consumers read one result.  The finished job's shuffle files are of no more
+    use; a collection of the driver's garbage lets Spark's cleaner delete them now, not when the
+    driver's heap happens to fill.
     """
-    path = fresh_path(df.sparkSession, name)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
