@@ -15,8 +15,13 @@ every line that matches an earlier line is removed.
    tokens are counted and their first places kept: the positional filter (tokens left from the
    first shared one on must suffice for the overlap) and the prefix count (the overlap is at
    most the shared prefix tokens and the larger rest, |x| - |px| or |y| - |py|) drop the others.
-4. Candidates are verified on the words themselves.  Their texts come from a second read of
-   the documents; a runtime filter of at most 8 MB keeps other lines out of the shuffle.
+4. Candidates are verified on the words themselves, in two rounds: each line with the earlier
+   line that shares most of its prefix, then, for lines that this did not settle, with all
+   their earlier candidates.  So a cluster of k alike lines costs k verifications, not k ** 2.
+   Texts come from a second read of the documents; a runtime filter of at most 8 MB keeps
+   other lines out of the shuffle.
+
+Distinct lines are numbered in the order of their ranks, so a pair of numbers knows its later line.
 
 The prefix join's longest lists belong to tokens that are frequent among the rarest tokens of
 many lines; adaptive skew splitting divides such a key, and no list is collected into a row.
@@ -106,72 +111,88 @@ def _digests(line: Column) -> list[Column]:
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
-    """(k1, k2, first rank, copies, n, bits, prefix) of all distinct lines that take part."""
+    """(lid, k1, k2, first rank, copies, n, bits, prefix) of all distinct lines that take part, stored;
+    ``lid`` rises with the first rank."""
     table = rarity_table(docs, text_col)
 
     def shape(tok: Column) -> Column:
         n = F.size(tok)
-        return F.struct(n.alias("n"), _bitmap(tok).alias("bits"), F.slice(tok, 1, F.greatest(F.lit(0), n - _ceil_div(n * limits.num, limits.den) + 1)).alias("prefix"))
+        prefix = F.slice(tok, 1, F.greatest(F.lit(0), n - _ceil_div(n * limits.num, limits.den) + 1))
+        # 32 bits of a token will do in the join: a clash adds a candidate, which does not pass step 4
+        return F.struct(n.alias("n"), _bitmap(tok).alias("bits"), F.transform(prefix, lambda t: F.hash(t)).alias("prefix"))
     lines = _lines(docs, id_col, text_col).select(
         *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"), let(_ordered(F.col("line"), table), shape).alias("s"))
-    return lines.filter(F.col("s.n") >= limits.least).groupBy("k1", "k2").agg(
+    grouped = staged(lines.filter(F.col("s.n") >= limits.least).groupBy("k1", "k2").agg(
         F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("s").alias("s")).select(
-        "k1", "k2", "first", "copies", "s.n", "s.bits", "s.prefix")
+        "k1", "k2", "first", "copies", "s.n", "s.bits", "s.prefix"), "lines")
+    ordered = grouped.repartitionByRange("first").sortWithinPartitions("first")
+    return staged(ordered.withColumn("lid", F.monotonically_increasing_id()), "numbered-lines")
 
 
 def candidate_pairs(lines: DataFrame, limits: LineLimits) -> DataFrame:
-    """(a, b): first digests of distinct lines that pass all filters.  ``lines`` must be stored."""
-    # 32 bits of a token will do here: a clash adds a candidate, which does not pass step 4
-    posts = lines.select(F.col("k1").alias("lid"), "n", "bits", F.posexplode("prefix").alias("pos", "tok")).select(
-        "lid", "n", "bits", "pos", F.hash("tok").alias("tok"))
+    """(a, b, both): numbers of an earlier and a later line that pass all filters, and the prefix
+    tokens they share."""
+    posts = lines.select("lid", "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
     x, y = posts.alias("x"), posts.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
-    # overlap needed for Jaccard >= t: t / (1 + t) of both sizes
-    need_xy = F.ceil((nx + ny) * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
+
+    def needed(n: Column) -> Column:
+        """Overlap that Jaccard >= t needs: t / (1 + t) of both sizes."""
+        return F.ceil(n * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
     alone = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
     most = F.least(nx - F.bit_count(alone.bitwiseAND(F.col("x.bits"))), ny - F.bit_count(alone.bitwiseAND(F.col("y.bits"))))
     shared = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.lid") < F.col("y.lid"))
                     & (nx * limits.num <= ny * limits.den) & (ny * limits.num <= nx * limits.den)
-                    & (most >= need_xy)).select(
+                    & (most >= needed(nx + ny))).select(
         F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), nx.alias("na"), ny.alias("nb"),
         F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
-    need = F.ceil((F.col("na") + F.col("nb")) * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
     pairs = shared.groupBy("a", "b", "na", "nb").agg(
         F.count(F.lit(1)).alias("both"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
     rest = F.greatest(*(_ceil_div(F.col(n) * limits.num, limits.den) - 1 for n in ("na", "nb")))
+    need = needed(F.col("na") + F.col("nb"))
     return pairs.filter((F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-                        & (F.col("both") + rest >= need)).select("a", "b")
+                        & (F.col("both") + rest >= need)).select("a", "b", "both")
 
 
-def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
-    """(k1, k2) of the distinct lines that match an earlier line."""
-    pairs = staged(candidate_pairs(lines, limits), "line-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+def _texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(lid, line) of the wanted lines, stored.  A line's text is that of its first rank."""
+    want = staged(lines.select("lid", "k1", "k2", "first").join(ids, "lid", "left_semi"), "wanted-lines")
     rows = _lines(docs, id_col, text_col).select("line", *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"))
-    rows = thinned(rows, "k1", ids)
-    # the text of a distinct line is that of its first rank; partitioned by digest like the pairs below
-    mine = lines.select("k1", "k2", "first").join(ids, F.col("k1") == F.col("lid"), "left_semi")
-    texts = mine.join(rows.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line"),
-                      F.col("k1") == F.col("t1")).filter((F.col("k2") == F.col("t2")) & (F.col("rank") == F.col("first")))
-    texts = texts.select("k1", "k2", "first", "line")
-    both = pairs.join(texts.toDF("a", "a2", "first_a", "line_a"), "a").join(texts.toDF("b", "b2", "first_b", "line_b"), "b")
+    rows = thinned(rows, "k1", want.select("k1")).select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line")
+    found = want.join(rows, F.col("k1") == F.col("t1")).filter((F.col("k2") == F.col("t2")) & (F.col("rank") == F.col("first")))
+    return staged(found.select("lid", "line").dropDuplicates(["lid"]), "line-texts")
+
+
+def _later(pairs: DataFrame, texts: DataFrame, limits: LineLimits) -> DataFrame:
+    """Numbers b of the pairs (a, b) whose words match."""
+    both = pairs.select("a", "b").join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
     same = let(F.struct(_tokens(F.col("line_a")).alias("a"), _tokens(F.col("line_b")).alias("b")), lambda t: F.struct(
         F.size(F.array_intersect(t["a"], t["b"])).alias("i"), (F.size(t["a"]) + F.size(t["b"])).alias("s")))
     checked = both.withColumn("m", same).filter(
         F.col("m.i") * limits.den >= (F.col("m.s") - F.col("m.i")) * limits.num)
-    later = F.col("first_a") > F.col("first_b")
-    # a repeated row has its texts twice: one row a line is left here
-    return checked.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("k1"),
-                          F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("k2")).distinct()
+    return staged(checked.select(F.col("b").alias("lid")).distinct(), "later-lines")
+
+
+def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
+    """Numbers of the distinct lines that match an earlier line."""
+    pairs = staged(candidate_pairs(lines, limits), "line-pairs")
+    ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+    texts = _texts(docs, lines, ids, id_col, text_col)
+    best = pairs.groupBy("b").agg(F.max(F.struct("both", (-F.col("a")).alias("a"))).alias("top")).select(
+        (-F.col("top.a")).alias("a"), "b")
+    settled = _later(best, texts, limits)
+    # pairs of a settled line are done with, whichever they are
+    left = pairs.join(settled, F.col("b") == F.col("lid"), "left_anti").join(best, ["a", "b"], "left_anti")
+    return settled.union(_later(left, texts, limits))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   limits: LineLimits = LineLimits()) -> DataFrame:
     """(id, h, removed): numbers of the removed lines of each text that loses some."""
-    lines = staged(distinct_lines(docs, id_col, text_col, limits), "lines")
+    lines = distinct_lines(docs, id_col, text_col, limits)
     late = matching_lines(docs, lines, id_col, text_col, limits).withColumn("late", F.lit(True))
     # only lines with copies or an earlier match can go
-    verdict = staged(lines.select("k1", "k2", "first", "copies").join(late, ["k1", "k2"], "left").filter(
+    verdict = staged(lines.select("lid", "k1", "k2", "first", "copies").join(late, "lid", "left").filter(
         F.col("late") | (F.col("copies") > 1)).select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
     all_lines = _lines(docs, id_col, text_col).select(
         "id", "h", "no", _rank("id", F.col("no")).alias("rank"), *_digests(F.col("line")))
