@@ -25,7 +25,6 @@ HEADLINE = [
     "calibration",          # A17-A21
     "roc_macro_grid",       # F7 / J9
     "cost_summary",
-    "bootstrap_poisson",    # B2, 2,000 replicates
     "batch_inference",      # D1
     "full_analysis",        # E1 end to end: every analysis table
 ]
