@@ -722,3 +722,16 @@ b AS (SELECT sample_id, model_name, model_id, prompt_id, raw_output, inference_t
              CAST(0.0 AS DOUBLE) AS cost_usd, CAST(NULL AS VARCHAR) AS error FROM a),
 {_parsed_from('b', 'raw_output', 'sample_id, model_name, model_id, prompt_id, inference_time_s, input_tokens, output_tokens, cost_usd, error')}
 SELECT * FROM parsed"""
+
+
+def confusion_arrays_sql() -> str:
+    rows = ", ".join("[" + ", ".join(
+        f"sum(CASE WHEN true_label = {q(t)} AND predicted_label = {q(p)} THEN n ELSE 0 END)::BIGINT"
+        for p in LABELS) + "]" for t in LABELS)
+    return f"""WITH cc AS ({confusion_cells_sql()})
+SELECT {C}, CAST(to_json([{rows}]) AS VARCHAR) AS matrix FROM cc GROUP BY {C}"""
+
+
+def check_labels_sql() -> str:
+    return """SELECT event_type AS label, coalesce(event_type IN ('click', 'view'), false) AS valid,
+  count(*) AS n FROM events GROUP BY 1, 2"""

@@ -416,3 +416,41 @@ def q_dedupe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = er.filter("backend = 'api'").withColumn("predicted_label", F.lit("Normal")) \
         .withColumn("parse_success", F.lit(True)).withColumn("run", F.lit(2))
     return dedupe_results(merge_runs(first, again), order_by=["run"]).drop("run")
+
+
+# --- the full analysis (E1), held to the same SQL as its operators ------------------------
+
+def _analysis(spark: SparkSession, sf_dir: str):
+    from scorebook.plans.analysis import run_full_analysis
+    return run_full_analysis(eval_results(spark, sf_dir), C, L, n_bootstrap=0, persist=False)
+
+
+@register("analysis_metrics", oracle.metrics_sql())
+def q_analysis_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).metrics
+
+
+@register("analysis_calibration", oracle.calibration_sql())
+def q_analysis_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_cols(_analysis(spark, sf_dir).calibration, ["ece", "mce", "brier_score"])
+
+
+@register("analysis_mcnemar", oracle.mcnemar_sql())
+def q_analysis_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_cols(_analysis(spark, sf_dir).mcnemar_results, ["p_raw", "p_bh", "p_bh_ref"])
+
+
+@register("confusion_arrays", oracle.confusion_arrays_sql())
+def q_confusion_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.cells import confusion_arrays
+    out = confusion_arrays(q_confusion_cells(spark, sf_dir), L, C)
+    return out.select(*C, F.to_json("matrix").alias("matrix"))
+
+
+@register("check_labels", oracle.check_labels_sql())
+def q_check_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.sources.samples import check_labels
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("label"))
+    good, bad = check_labels(events, ["click", "view"], raise_on_invalid=False)
+    both = good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+    return both.groupBy("label", "valid").agg(F.count(F.lit(1)).alias("n"))
