@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import let, unused, words_of
+from scorebook.llm.common import let, staged, unused, words_of
 
 #: What ends a unit.
 BREAKS = {"line": r"\n", "paragraph": r"\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*"}
@@ -89,7 +89,9 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, h, start, end) of every unit with an earlier equal one."""
     table = unit_table(docs, id_col, text_col, kind, least, fold_case)
     first = table.groupBy("k1", "k2").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return table.join(first.drop("n"), ["k1", "k2"]).filter(F.col("rank") > F.col("first")).select(
+    # stored, so that the join reads two plain exchanges and a frequent unit's rows can be split
+    first = staged(first.drop("n"), "first-units")
+    return table.join(first, ["k1", "k2"]).filter(F.col("rank") > F.col("first")).select(
         "id", "h", "start", "end")
 
 
