@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook._ship import ship
+from scorebook.llm.common import staged
 
 
 ship(__name__)
@@ -153,7 +154,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     distinct = missing.groupBy("digest").agg(F.first("content").alias("content"))
     new = distinct.mapInArrow(_encode(tokenizer_path.rsplit(".", 1)[-1], shared), "digest binary, n_tokens long")
     new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version)
+    # stored, so that the join reads two plain exchanges and a frequent text's rows can be split
+    counts = staged(read_cache(spark, cache_path, version), "token-counts")
     slim = keyed.select("id", F.octet_length("content").cast("long").alias("n_bytes"), "digest")
     return slim.join(counts, "digest", "left").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
