@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook._ship import ship
-from scorebook.llm.common import fresh_path
+from scorebook.llm.common import fresh_path, staged
 
 ship(__name__)
 
@@ -248,6 +248,7 @@ def arc_to_warc(spark: SparkSession, arc_paths: list[str], warc_path: str, revis
     firsts = read_arc(spark, *arc_paths).filter(F.col("bytes") >= revisit_from).select(
         F.col("digest").alias("same"), turn().alias("turn")).groupBy("same").agg(
         F.min("turn").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = staged(firsts, "first-payloads")      # a frequent payload's rows can then be split
     records = read_arc(spark, *arc_paths)
     judged = records.join(firsts, (F.col("digest") == F.col("same")) & (F.col("bytes") >= revisit_from), "left")
     later = F.col("first.key") != F.col("key")
