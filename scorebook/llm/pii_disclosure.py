@@ -1,28 +1,33 @@
 """Operator 2, personal data with information-theoretic sanitisation [native].
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers by pattern.  Their
-values are the protected entities.  Terms near an entity (words within ``reach`` characters on
-either side) may give it away even when it is cut out; the corpus tells how strongly:
+values are the protected entities.  Terms of a document that holds an entity (all its words
+outside the base spans, wherever they stand) may give it away even when it is cut out; the
+corpus tells how strongly:
 
     IC(c) = -log2 p(c)                       information of the entity
     PMI(c; t) = log2 p(c, t) / (p(c) p(t))   what the term reveals of it
 
-with p over documents: p(c), p(t) from all documents that hold c or t, p(c, t) from those where
-t stands near c.  A term discloses c if at least ``support`` documents show the pair and
-PMI(c; t) >= share * IC(c).  In documents that hold c, every occurrence of such a term is a span
-too: of kind ``drop`` (removed) if PMI reaches ``drop_share`` * IC(c), else ``mask`` (generalised
-to its class: a number or a word).
+with p over documents: p(c), p(t) from all documents that hold c or t, p(c, t) from those that
+hold both, smoothed towards independence by ``prior`` documents in which p(c, t) = p(c) p(t).
+Entities count from one document on.  A term discloses c if PMI(c; t) >= share * IC(c).  In
+documents that hold c, every occurrence of such a term is a span too: of kind ``drop`` (removed)
+if PMI reaches ``drop_share`` * IC(c), else ``mask`` (generalised to its class: a number or a word).
 
 Patterns run in linear time: possessive loops give the same matches as the plain patterns,
 because nothing follows the loops that backtracking could help, and a match may only begin
 where a run of its characters begins or where the match before ended.
 
-Every document is read twice (patterns and contexts; counts of the candidate terms); texts are
-joined only for documents with disclosing terms.
+PMI grows with p(c, t), which is at most the smaller of p(c) and p(t).  Pairs that fall short
+even so are left out before they are counted; that loses no term, and a rare entity is joined
+with rare terms only.
 
-Cases: a null text is empty; documents without entities are left alone; an entity in fewer than
-``support`` documents has no disclosing terms; equal rows count as documents of their own and
-get equal spans; an empty table gives an empty result; extra columns do not matter.
+Every document is read three times (patterns and terms; counts of the terms; result).
+
+Cases: a null text is empty; documents without entities are left alone; an entity in every
+document has no information and no disclosing terms; a word that a base span cuts is no term;
+equal rows count as documents of their own and get equal spans; an empty table gives an empty
+result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -47,17 +52,17 @@ PATTERNS = {
 #: A character that every match has; texts without it skip the pattern.
 MARK = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])?+"
-WORD = r"[\p{L}\p{N}]{4,}"
+#: A word; in a text whose spans are NULs, one that no span cuts.
+WORD = r"(?<![\p{L}\p{N}\x00])[\p{L}\p{N}]++(?!\x00)"
 PLACE = {"drop": "", "number": "[number]", "word": "[word]"}
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``reach``: characters of context on each side.  ``support``: least documents of a pair.
+    """``prior``: documents' weight of independence in p(c, t).
     ``share``, ``drop_share``: parts of the entity's information from which a term is masked or removed."""
 
-    reach: int = 64
-    support: int = 3
+    prior: float = 1.0
     share: float = 0.8
     drop_share: float = 0.95
 
@@ -118,45 +123,62 @@ def base_spans(text: Column) -> Column:
                            s["value"].alias("value"))))
 
 
-def _contexts(text: Column, spans: Column, reach: int) -> Column:
-    """(entity, distinct terms near it) per span; a word cut by the reach or by a span's end is left out."""
-    def terms(part: Column) -> Column:
-        return F.regexp_extract_all(F.lower(part), F.lit(WORD), 0)
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a NUL for each character of the spans, at the same offsets; a NUL of its own becomes a space."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        gone = F.greatest(F.lit(0), s["end"] - F.greatest(acc["at"], s["start"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(
+            acc["out"], F.concat(F.translate(kept, "\0", " "), F.repeat(F.lit("\0"), gone))).alias("out"))
+    cut = F.aggregate(spans, start, step, lambda acc: F.concat(
+        F.array_join(acc["out"], ""), F.translate(F.substring(text, acc["at"] + 1, F.length(text)), "\0", " ")))
+    return F.when(F.size(spans) > 0, cut).otherwise(F.translate(text, "\0", " "))
+
+
+def _terms(blanked: Column) -> Column:
+    """Distinct words, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(blanked, F.lit(WORD), 0), lambda w: F.lower(w)))
 
-    def near(s: Column) -> Column:
-        left_from = F.greatest(F.lit(0), s["start"] - reach)
-        left = F.substring(text, left_from + 1, s["start"] - left_from)
-        left = F.when(left_from > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-        right = F.substring(text, s["end"] + 1, F.lit(reach))
-        right = F.when(F.length(right) == reach, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-        return F.struct(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("entity"),
-                        F.array_distinct(F.concat(terms(left), terms(right))).alias("terms"))
-    return F.transform(spans, near)
 
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, rule: Disclosure) -> DataFrame:
-    """(entity, term, n_entity, n_term, n_pair, pmi, ic) of the terms that disclose an entity.
 
-    ``found``: stored rows with ``uid`` and ``near``.  Counts run over all documents.
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, rule: Disclosure) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, pmi, ic) of the terms that disclose an entity, and (uid, entity, term) of the
+    documents' pairs that were counted.
+
+    ``found``: stored rows of the documents with entities: ``uid``, ``entities`` and ``terms``.
+    Counts run over all documents.
     """
-    near = found.select("uid", F.explode("near").alias("c")).select("uid", F.col("c.entity").alias("entity"),
-                                                                    F.col("c.terms").alias("terms"))
-    entities = near.select("uid", "entity").distinct().groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= rule.support)
-    pairs = near.select("uid", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= rule.support)
-    pairs = staged(pairs.join(entities, "entity"), "entity-terms")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), 0))
-    every = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    counted = pairs.join(every, "term")
-    n = docs.count()
-    ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    pmi = F.log2(F.col("n_pair") * float(n) / (F.col("n_entity") * F.col("n_term")))
-    scored = counted.withColumn("ic", ic).withColumn("pmi", pmi)
-    return staged(scored.filter((F.col("ic") > 0) & (F.col("pmi") >= rule.share * F.col("ic"))), "disclosing")
-
-
-def _term_spans(text: Column, drops: Column, masks: Column) -> Column:
+    n = float(docs.count())
+    held = found.select("uid", F.explode("entities").alias("entity"))
+    n_entity = staged(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entity-counts")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    others = docs.select(text.alias("text")).filter(F.size(base_spans(F.col("text"))) == 0)
+    every = others.select(F.explode(_terms(_blanked(F.col("text"), F.array().cast(SPAN)))).alias("term"), F.lit(0).alias("near"))
+    every = every.union(found.select(F.explode("terms"), F.lit(1)))
+    n_term = staged(every.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"), F.max("near").alias("near")).filter(
+        "near = 1").drop("near"), "term-counts")
+    ic = F.log2(F.lit(n) / F.col("n_entity"))
+
+    def pmi(both: Column) -> Column:
+        alone = F.col("n_entity") * F.col("n_term").cast("double")
+        return F.log2((both + rule.prior * alone / (n * n)) * (n * n) / ((n + rule.prior) * alone))
+
+    def telling(both: Column) -> Column:
+        return (ic > 0) & (pmi(both) >= rule.share * ic)
+    held = staged(held.join(n_entity, "entity"), "document-entities")
+    words = staged(found.select("uid", F.explode("terms").alias("term")).join(n_term, "term"), "document-terms")
+    pairs = staged(held.join(words, "uid").filter(telling(F.least("n_entity", "n_term"))), "entity-terms")
+    counted = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_pair"))
+    scored = counted.filter(telling(F.col("n_pair"))).select("entity", "term", pmi(F.col("n_pair")).alias("pmi"), ic.alias("ic"))
+    return staged(scored, "disclosing"), pairs.select("uid", "entity", "term")
+
+
+def _term_spans(text: Column, base: Column, drops: Column, masks: Column) -> Column:
     """Occurrences of the terms in a text, as spans of kind 4 (drop) or 5 (mask)."""
     def placed(both: Column) -> Column:
         sizes = F.transform(both["hits"], lambda h, i: F.length(F.get(both["gaps"], i)) + F.length(h))
@@ -165,7 +187,8 @@ def _term_spans(text: Column, drops: Column, masks: Column) -> Column:
                                                 F.when(F.array_contains(drops, F.lower(h)), 4).when(
                                                     F.array_contains(masks, F.lower(h)), 5).alias("kind"),
                                                 e.alias("end"), h.alias("value")))
-    all_ = let(F.struct(F.split(text, WORD, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("hits")), placed)
+    all_ = let(_blanked(text, base), lambda t: let(
+        F.struct(F.split(t, WORD, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(WORD), 0).alias("hits")), placed))
     return F.filter(all_, lambda s: s["kind"].isNotNull())
 
 
@@ -204,26 +227,24 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     box = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), text.alias("text"))
     based = box.withColumn("base", base_spans(F.col("text")))
     found = staged(based.filter(F.size("base") > 0).select(
-        "uid", "id", F.xxhash64("text").alias("h"), "base", _contexts(F.col("text"), F.col("base"), rule.reach).alias("near")), "entities")
-    telling = disclosing_terms(found, docs, text_col, rule).select(
-        "entity", "term", (F.col("pmi") >= rule.drop_share * F.col("ic")).alias("drop"))
-    # a document's terms: those near its own entities that disclose them
-    own = found.select("id", "h", F.explode("near").alias("c")).select(
-        "id", "h", F.col("c.entity").alias("entity"), F.explode("c.terms").alias("term"))
-    own = own.join(telling, ["entity", "term"]).groupBy("id", "h").agg(
+        "uid", "id", F.xxhash64("text").alias("h"), "base", _entities(F.col("base")).alias("entities"),
+        _terms(_blanked(F.col("text"), F.col("base"))).alias("terms")), "entities")
+    telling, pairs = disclosing_terms(found, docs, text_col, rule)
+    telling = telling.select("entity", "term", (F.col("pmi") >= rule.drop_share * F.col("ic")).alias("drop"))
+    # a document's terms: its own that disclose its own entities; equal rows have equal ones
+    own = pairs.join(telling, ["entity", "term"]).groupBy("uid").agg(
         F.collect_set(F.when(F.col("drop"), F.col("term"))).alias("drops"),
         F.collect_set(F.when(~F.col("drop"), F.col("term"))).alias("masks"))
-    base = found.select("id", "h", "base").groupBy("id", "h").agg(F.first("base").alias("base"))
-    known = base.join(own, (base["id"].eqNullSafe(own["id"])) & (base["h"] == own["h"]), "left").select(
-        base["id"].alias("known_id"), base["h"].alias("known_h"), "base", "drops", "masks")
+    known = found.select("uid", "id", "h", "base").join(own, "uid", "left").groupBy(
+        F.col("id").alias("known_id"), F.col("h").alias("known_h")).agg(
+        F.first("base").alias("base"), F.first("drops").alias("drops"), F.first("masks").alias("masks"))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     joined = keyed.join(known, F.col("id").eqNullSafe(F.col("known_id")) & (F.col("h") == F.col("known_h")), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     base_col = F.coalesce("base", none)
     extra = F.when(F.size(F.coalesce("drops", F.array())) + F.size(F.coalesce("masks", F.array())) > 0,
-                   _term_spans(F.col("text"), F.col("drops"), F.col("masks"))).otherwise(none)
-    free = F.filter(extra, lambda t: ~F.exists(base_col, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    spans = F.array_sort(F.concat(base_col, free))
+                   _term_spans(F.col("text"), base_col, F.col("drops"), F.col("masks"))).otherwise(none)
+    spans = F.array_sort(F.concat(base_col, extra))
     return joined.select(F.col("id").alias(id_col), base_col.alias("base"), spans.alias("spans"), F.col("text").alias("original")
                          ).select(id_col, "base", "spans", F.when(F.size("spans") == 0, F.col("original")).otherwise(
                              sanitised(F.col("original"), F.col("spans"))).alias("text"))

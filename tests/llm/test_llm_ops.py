@@ -426,6 +426,46 @@ def test_op2_disclosing_terms(spark):
     assert not out[400].spans and not out[100].spans and out[100].text == rows[6][1]
 
 
+def brute_disclosure(texts):
+    """Spans of kind:start:end of each text, by the formulas of the module."""
+    bases = [[x.split(":") for x in base(t).split(",") if x] for t in texts]
+    found = []
+    for t, spans in zip(texts, bases):
+        inside = {p for _, a, b in spans for p in range(int(a), int(b))}
+        found.append([(m.group().lower(), *m.span()) for m in re.finditer(r"[^\W_]+", t) if not inside & set(range(*m.span()))])
+    entities = [{(kind, t[int(a):int(b)].lower()) for kind, a, b in spans} for t, spans in zip(texts, bases)]
+    terms, n = [{w for w, *_ in f} for f in found], len(texts)
+    n_c, n_t = Counter(c for e in entities for c in e), Counter(w for x in terms for w in x)
+    both = Counter((c, w) for e, x in zip(entities, terms) for c in e for w in x)
+
+    def part(c, w):
+        ic = math.log2(n / n_c[c])
+        return math.log2((both[c, w] / n + n_c[c] * n_t[w] / n ** 3) * n / (n + 1) * n * n / (n_c[c] * n_t[w])) / ic if ic > 0 else 0
+    out = []
+    for spans, f, e in zip(bases, found, entities):
+        share = {w: max((part(c, w) for c in e), default=0) for w, *_ in f}
+        order = [(int(a), ["email", "ip", "card", "phone"].index(k), int(b)) for k, a, b in spans]
+        order += [(a, 4 if share[w] >= 0.95 else 5, b) for w, a, b in f if share[w] >= 0.8]
+        out.append(",".join(f"{('email', 'ip', 'card', 'phone', 'drop', 'mask')[k]}:{a}:{b}" for a, k, b in sorted(order)))
+    return out
+
+
+def test_op2_rare_entities_and_whole_texts(spark):
+    rng = random.Random(6)
+    texts = [f"{sentence(rng, 12)} in town" for _ in range(120)]
+    texts[0] = f"Qx Zorbeck {sentence(rng, 40)} in town, write to anna@example.org \0 or Anna"        # seen once, terms far away
+    texts[1:3] = [f"{sentence(rng, 9)} call +49 30 1234567 or 10.0.0.1 in town, Vimmer {sentence(rng, 30)}" for _ in range(2)]
+    texts[3] = "in town: éanna@example.org mail 10.0.0.1"
+    texts[4] = ""
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in pii_disclosure.sanitise(d).collect()}
+    spans = {r.doc_id: r.spans for r in pii_disclosure.disclosure_report(d).collect()}
+    assert [spans[i] for i in range(len(texts))] == brute_disclosure(texts)
+    assert not any(w in out[0].text for w in ("Qx", "Zorbeck", "Anna")) and "in town" in out[0].text
+    assert "Vimmer" not in out[1].text + out[2].text and "in town" in out[1].text
+    assert not out[5].spans
+
+
 # --- 1 --------------------------------------------------------------------------------
 
 def lattice(v, text):
