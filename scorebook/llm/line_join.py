@@ -52,6 +52,10 @@ class LineLimits:
     least: int = 5
 
 
+#: Every line with a word takes part: the limits of the query and of the pipeline.
+ALL_LINES = LineLimits(least=1)
+
+
 def _rank(id_col: str, line: Column) -> Column:
     """Order of lines as one number: id, then line number; null ids last."""
     return (F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(str(10 ** 19)).cast("decimal(20,0)"))

@@ -65,7 +65,7 @@ ORACLE["op9_int8_join"] = int8_join.oracle_sql()
 
 def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: all pairs of lines are too many for it; a brute-force test stands in."""
-    return line_join.line_report(_documents(spark, sf_dir))
+    return line_join.line_report(_documents(spark, sf_dir), limits=line_join.ALL_LINES)
 
 
 QUERIES["op10_line_join"] = op10_line_join

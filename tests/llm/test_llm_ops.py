@@ -277,6 +277,25 @@ def test_op10_against_all_pairs(spark, docs, none):
             assert r.text is None
 
 
+def test_op10_short_lines(spark, tmp_path):
+    from scorebook.llm import queries
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(10)
+    pool = [" ".join(rng.choices(WORDS, k=rng.randrange(1, 7))) for _ in range(40)] + ["a a a a a a", " a", "x y x y x y"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 5)))) for i in range(120)]
+    rows += [(200, "four words stand here"), (201, "here four words stand and"), (202, "four words stand")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.removed for r in queries.QUERIES["op10_line_join"](spark, str(tmp_path)).collect()}
+    assert got == dict(brute_lines(d.collect(), least=1))
+    assert (got[200], got[201], got[202]) == ("", "0", "")
+    docs = d.withColumn("n_chars", d.doc_id)
+    left = {r.doc_id: r.text for r in dict(pipeline.STAGES)["line_dedup"](spark, docs, str(tmp_path)).collect()}
+    for i, t in rows:
+        kept = "\n".join(x for k, x in enumerate(t.split("\n")) if str(k) not in got[i].split(","))
+        assert left.get(i, "") == kept
+
+
 # --- 4 --------------------------------------------------------------------------------
 
 def test_op4_units(spark, docs, none):
