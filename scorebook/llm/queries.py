@@ -79,6 +79,14 @@ QUERIES["op4_unit_dedup"] = op4_unit_dedup
 ORACLE["op4_unit_dedup"] = unit_dedup.oracle_sql()
 
 
+def op4_unit_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, paragraphs, sentences and clauses together; a brute-force test stands in for SQL."""
+    return unit_dedup.passage_report(_documents(spark, sf_dir))
+
+
+QUERIES["op4_unit_passages"] = op4_unit_passages
+
+
 def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: all pairs of shingle sets are too many for it; a brute-force test stands in."""
     return probminhash.class_report(_documents(spark, sf_dir))

@@ -1,11 +1,16 @@
-"""Operator 4, substring dedup by hashing lines or paragraphs.
+"""Operator 4, substring dedup by hashing lines, paragraphs, sentences or clauses.
 
-Texts are cut into units (lines, or paragraphs between blank lines).  A unit's content is its
+Texts are cut into units (lines; paragraphs between blank lines; sentences or clauses within
+lines).  A unit's content is its
 words joined by single spaces, in lower case if asked for; its digest has 128 bits.  Digests
 are grouped over all documents; of equal units the one with the earliest rank (document id,
 then offset) stays and the rest is removed.  Every removed unit keeps its offsets in the
 original text (code points, end exclusive, without the line break).
 
+``passage_report`` does this for all kinds at once: units of each kind are held against those of
+the same kind, in one grouping, and what any kind removes is removed.  So a passage inside
+otherwise different lines goes as far as whole sentences or clauses of it are equal.
+
 Spark's aggregation combines copies before the shuffle, so a unit that a third of all documents
 share arrives as one row a task; the join back touches only units with copies, and a frequent
 one is split by adaptive skew handling.
@@ -23,7 +28,9 @@ from pyspark.sql import functions as F
 from scorebook.llm.common import let, staged, unused, words_of
 
 #: What ends a unit.
-BREAKS = {"line": r"\n", "paragraph": r"\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*"}
+BREAKS = {"line": r"\n", "paragraph": r"\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*",
+          "sentence": r"\n|(?<=[.!?])[\x20\x09\x0B-\x0D]+", "clause": r"\n|(?<=[.!?,;:])[\x20\x09\x0B-\x0D]+"}
+KINDS = tuple(BREAKS)
 LEAST = 5
 
 
@@ -131,6 +138,42 @@ def unit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      ",").alias("removed_spans"))
 
 
+def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = KINDS,
+                     least: int = LEAST, fold_case: bool = True) -> DataFrame:
+    """(id, h, start, end, kind) of every unit with an earlier equal one of its kind; ``kind`` is its place in ``kinds``."""
+    tables = [unit_table(docs, id_col, text_col, k, least, fold_case).drop("rank").withColumn("kind", F.lit(i))
+              for i, k in enumerate(kinds)]
+    table = tables[0]
+    for more in tables[1:]:
+        table = table.union(more)
+    table = staged(table, "units")
+    rank = _rank(F.col("id"), F.col("start"))
+    first = staged(table.groupBy("kind", "k1", "k2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter(
+        "n > 1").drop("n"), "first-units")
+    return table.join(first, ["kind", "k1", "k2"]).filter(rank > F.col("first")).select("id", "h", "start", "end", "kind")
+
+
+def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = KINDS,
+                   least: int = LEAST, fold_case: bool = True) -> DataFrame:
+    """One row per document: id, units removed, characters they cover, spans ``kind:start:end`` by start."""
+    gone = removed_passages(docs, id_col, text_col, kinds, least, fold_case).groupBy(
+        F.col("id").alias("gone_id"), F.col("h").alias("gone_h")).agg(
+        F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("gone"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.length(text).cast("long").alias("n_chars"))
+    joined = slim.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left")
+    none = F.coalesce(F.col("gone"), F.array().cast("array<struct<start:int,end:int,kind:int>>"))
+    # spans of different kinds overlap: a character counts once
+    covered = F.aggregate(none, F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("sum")), lambda a, s: F.struct(
+        F.greatest(a["at"], s["end"]).alias("at"),
+        (a["sum"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["at"], s["start"]))).alias("sum")), lambda a: a["sum"])
+    names = F.array(*(F.lit(k) for k in kinds))
+    return joined.select(
+        F.col("id").alias(id_col), "n_chars", F.size(none).cast("long").alias("n_removed"), covered.alias("chars_removed"),
+        F.array_join(F.transform(none, lambda s: F.concat_ws(
+            ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed_spans"))
+
+
 def oracle_sql() -> str:
     """DuckDB SQL of the query (lines, lower case, least words)."""
     ws = r"[^\x20\x09-\x0D]+"

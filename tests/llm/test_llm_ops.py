@@ -328,6 +328,45 @@ def test_op4_units(spark, docs, none):
     assert got == {1: "", 2: "4:18"}
 
 
+def brute_passages(rows):
+    cut = {k: re.compile(p) for k, p in unit_dedup.BREAKS.items()}
+    found, seen = [], {}
+    for n, (i, t) in enumerate(rows):
+        for kind, pattern in cut.items():
+            ends = [m.span() for m in pattern.finditer(t or "")]
+            for a, b in zip([0] + [e for _, e in ends], [s for s, _ in ends] + [len(t or "")]):
+                w = words(t[a:b].lower()) if t else []
+                if len(w) >= unit_dedup.LEAST:
+                    rank, key = (i if i is not None else 1 << 70, a), (kind, " ".join(w))
+                    seen[key] = min(seen.get(key, rank), rank)
+                    found.append((n, a, b, kind, rank, key))
+    out = []
+    for n, (i, t) in enumerate(rows):
+        spans = sorted({(a, b, unit_dedup.KINDS.index(k)) for m, a, b, k, rank, key in found if m == n and seen[key] < rank})
+        out.append((i, len(t or ""), len(spans), len({p for a, b, _ in spans for p in range(a, b)}),
+                    ",".join(f"{unit_dedup.KINDS[k]}:{a}:{b}" for a, b, k in spans)))
+    return out
+
+
+def test_op4_passages_inside_lines(spark, docs, none, tmp_path):
+    from scorebook.llm import queries
+    rng = random.Random(14)
+    shared = "This passage stands in many texts, each time between other words. It has two sentences of its own!"
+    rows = [(i, f"{sentence(rng, 9)}. {shared} {sentence(rng, 7)}\n \n{sentence(rng, 3)} {i}") for i in range(12)]
+    rows += [(20, "First wrapped line of\nthis paragraph here\n\nx"), (21, "y\n\nfirst wrapped line of this\nparagraph here")]
+    rows += [(None, shared), (22, None), (23, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op4_unit_passages"](spark, str(tmp_path)).collect()
+    assert same_rows([tuple(r) for r in got], brute_passages(rows))
+    by = {r.doc_id: r for r in got}
+    assert by[0].n_removed == 0 and all(by[i].chars_removed == len(shared) - 1 for i in range(1, 12))
+    assert by[21].removed_spans == "paragraph:3:44"
+    plain = [(r.doc_id, r.text) for r in docs.collect()]
+    assert same_rows([tuple(r) for r in unit_dedup.passage_report(docs).collect()], brute_passages(plain))
+    assert unit_dedup.passage_report(none).count() == 0
+
+
 # --- 7 --------------------------------------------------------------------------------
 
 def shingles(t):
