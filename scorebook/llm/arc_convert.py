@@ -320,8 +320,9 @@ def convert_pages(pages: DataFrame, key_col: str = "page_id", url_col: str = "ur
         write_arc(rows, f"{root}/arc-v{version}", F.col("k"), F.col("u"), F.col("p"), version)
     arc_to_warc(spark, [f"{root}/arc-v1", f"{root}/arc-v2"], f"{root}/warc", revisit_from)
     back = read_warc(spark, f"{root}/warc")
-    ids = back.filter(F.col("record_type") == "response").select(
-        F.col("record_id").alias("target_id"), F.col("key").alias("target_key"))
+    # a repeated page row has one record id: one row each, or its revisits would multiply
+    ids = back.filter(F.col("record_type") == "response").groupBy(F.col("record_id").alias("target_id")).agg(
+        F.min("key").alias("target_key"))
     wanted = back.filter(F.col("refers_to_id").isNotNull()).select("refers_to_id").distinct()
     named = wanted.join(ids, F.col("refers_to_id") == F.col("target_id")).select("target_id", "target_key")
     kind = dict(pages.dtypes)[key_col]

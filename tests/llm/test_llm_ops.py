@@ -175,6 +175,14 @@ def test_op8_round_trip(spark):
     assert arc_convert.convert_pages(pages.limit(0)).count() == 0
 
 
+def test_op8_repeated_page_rows(spark):
+    long = "<p>" + "x" * 200
+    rows = [(1, "http://a", long), (1, "http://a", long), (2, "http://b", long), (3, "http://c", "y" * 150)]
+    got = arc_convert.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [
+        (1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None)]
+
+
 def test_op8_arc_versions_and_breaks():
     block1 = b"1 0 x\nURL IP-address Archive-date Content-type Archive-length\n"
     v1 = b"filedesc://a 0.0.0.0 20200101000000 text/plain %d\n%s\n" % (len(block1), block1)
