@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.llm import arc_convert, flow_mix, gumbel_pieces, host_rules, int8_join, line_join, pii_disclosure, probminhash, token_cache, unit_dedup
+from scorebook.llm import arc_convert, flow_mix, gumbel_pieces, host_rules, int8_join, line_join, pii_disclosure, probminhash, radix_resample, repair_shards, run_finder, token_cache, unit_dedup
 from scorebook.llm.common import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,30 @@ def op1_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_gumbel_pieces"] = op1_gumbel_pieces
+
+
+def op11_run_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: runs of all periods are quadratic there; a brute-force test stands in."""
+    return run_finder.run_report(_documents(spark, sf_dir))
+
+
+QUERIES["op11_run_finder"] = op11_run_finder
+
+
+def op12_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of its own for each run; no SQL can encode, so tests hold it to the library."""
+    import public_tokenizers
+    return repair_shards.token_report(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
+                                      fresh_path(spark, "token-files"))
+
+
+QUERIES["op12_repair_shards"] = op12_repair_shards
+
+
+def op13_radix_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_resample.resampled_documents(_documents(spark, sf_dir),
+                                              spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES["op13_radix_resample"] = op13_radix_resample
+ORACLE["op13_radix_resample"] = radix_resample.oracle_sql()
