@@ -10,9 +10,10 @@ are written in ascending id order.  The file format is a folder of two Parquet t
   ids, symbol ``base + r`` is rule r, whose two symbols come before it.
 * ``documents``: doc_id, part, nth, ``at`` (ids before it in its shard), ``n_tokens``.
 
-Re-Pair in rounds: the pairs of a shard are counted, those with at least half the count of the
-most frequent one become rules at once, and their occurrences are replaced from left to right
-without overlap; it ends when no pair occurs ``LEAST`` times.  A rule refers to earlier rounds
+Re-Pair in rounds: the pairs of a shard are counted, those with at least a quarter of the count of
+the most frequent one become rules at once, and their occurrences are replaced from left to right
+without overlap; the bar falls to a quarter each round, and it ends when no pair occurs ``LEAST``
+times, or such pairs are few.  A rule refers to earlier rounds
 only, so a shard expands in as many steps as it had rounds, and a document alone by finding its
 first symbol in the running sum of expansion lengths.
 
@@ -30,7 +31,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +46,14 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 TASK_SHARDS = 4
 LEAST = 8
+#: At the least count, a round that shortens a shard by less than one in LITTLE symbols is the last.
+LITTLE = 128
 #: Odd 64-bit factor of the pair hash.
 FACTOR = 0x9E3779B97F4A7C15
-#: Pieces after which a task's encoder forgets all it knows, and characters of texts split at once.
+#: Pieces after which a worker's encoder forgets all it knows, and characters of texts split at once.
 MEMO, GROUP_CHARS = 400_000, 1 << 20
+#: Rows handed on at once.
+BATCH_ROWS = 512
 SPACED = re.compile(r"[^ \t-\r]+")
 # fixed value: the split pattern below (``words_only``) with the letters, numbers and spaces of
 # lower-case Latin-1 spelt out
@@ -61,20 +65,27 @@ SHARD_SCHEMA = "part int, nth int, base long, n_tokens long, left binary, right
 
 # --- tokens -----------------------------------------------------------------------------
 
-def make_encoder(body: bytes) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
-    """(function texts -> ids as the library gives them, ids below which all ids lie).
+def make_encoder(body: bytes) -> tuple[Callable[[list[str]], Iterator[bytes]], int]:
+    """(function texts -> ids as the library gives them, ids below which all ids lie).  Ids are
+    little-endian numbers of :func:`id_width` bytes.
 
     Where the file's pre-tokenizer drops white space and neither it nor the normaliser looks
     across a space, a text's ids are those of its pieces between spaces one after the other; each
-    piece is encoded by the library once and remembered.  Texts that hold the string of an added
-    token, and all texts of other files, are encoded whole."""
+    piece is encoded by the library once and remembered, also for later tasks of the same worker.
+    Texts that hold the string of an added token, and all texts of other files, are encoded whole."""
     import json
-    from tokenizers import Tokenizer
-    tok = Tokenizer.from_str(body.decode())
+    import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
+    import tokenizers
+    kept = tokenizers.__dict__.setdefault("_scorebook_encoders", {})
+    if body in kept:
+        return kept[body]
+    tok = tokenizers.Tokenizer.from_str(body.decode())
     tok.no_truncation()
     tok.no_padding()
     spec = json.loads(body)
     top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", [])), END_ID]) + 1
+    width = id_width(top)
     added = [t["content"] for t in spec.get("added_tokens", [])]
     pre = spec.get("pre_tokenizer") or {}
     first = pre.get("pretokenizers", [pre])[0]
@@ -86,23 +97,32 @@ def make_encoder(body: bytes) -> tuple[Callable[[list[str]], list[np.ndarray]],
     words_only = (first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
                   and first.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
     plain = not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
-
-    def whole(text: str) -> list[int]:
-        return tok.encode(text, add_special_tokens=False).ids
-
-    if not (local and words_only and plain):
-        return lambda texts: [np.array(whole(t), dtype=np.uint32) for t in texts], top
     lowered = any(s.get("type") == "Lowercase" for s in steps)
+    known: dict[str, bytes] = {}
+
+    def whole(text: str) -> bytes:
+        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype=width).tobytes()
 
-    known: dict[str, list[int]] = {}
+    suffix = spec["model"].get("end_of_word_suffix")
+    last = np.zeros(top, dtype=bool)        # ids that end a word
+    if suffix:
+        last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
     def learn(fresh: list[str]) -> None:
-        groups = [fresh[i:i + 500] for i in range(0, len(fresh), 500)]
-        for group, made in zip(groups, tok.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
-            found: list[list[int]] = [[] for _ in group]
-            for i, word in zip(made.ids, made.word_ids):
-                found[word].append(i)
-            known.update(zip(group, map(tuple, found)))     # tuples of numbers are no load for the garbage collector
+        for i in range(0, len(fresh), 500):
+            group = fresh[i:i + 500]
+            # spaces between them change nothing, and if each is one word its last id tells it from the next
+            ids = np.array(tok.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype=width)
+            ends = (np.flatnonzero(last[ids]) + 1) * ids.itemsize
+            if len(ends) == len(group) and all(map(LATIN_PIECE.fullmatch, group)):
+                ids, ends = ids.tobytes(), ends.tolist()
+                known.update((p, ids[a:b]) for p, a, b in zip(group, [0, *ends], ends))
+                continue
+            made = tok.encode(group, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(made.ids, dtype=width).tobytes()
+            n = np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(group))
+            ends = (np.cumsum(n) * np.dtype(width).itemsize).tolist()
+            known.update((p, ids[a:b]) for p, a, b in zip(group, [0, *ends], ends))
 
     def pieces_of(text: str) -> list[str] | None:
         if any(a in text for a in added):
@@ -113,29 +133,32 @@ def make_encoder(body: bytes) -> tuple[Callable[[list[str]], list[np.ndarray]],
         except UnicodeEncodeError:
             return SPACED.findall(text)
 
-    def some(texts: list[str]) -> Iterator[np.ndarray]:
+    def some(texts: list[str]) -> Iterator[bytes]:
         split = [pieces_of(t) for t in texts]
         if len(known) > MEMO:
             known.clear()
         found = [p and list(map(known.get, p)) for p in split]
-        fresh = {piece for p, f in zip(split, found) if p and None in f for piece, ids in zip(p, f) if ids is None}
-        learn(list(fresh))
+        learn(list({piece for p, f in zip(split, found) if p and None in f
+                    for piece, ids in zip(p, f) if ids is None}))
         for t, p, f in zip(texts, split, found):
-            if p is None:
-                yield np.array(whole(t), dtype=np.uint32)
-            else:
-                yield np.fromiter(chain.from_iterable(map(known.__getitem__, p) if None in f else f), dtype=np.uint32)
+            yield whole(t) if p is None else b"".join(map(known.__getitem__, p) if None in f else f)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        out, held, size = [], [], 0
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        held, size = [], 0
         for t in texts:
             held.append(t)
             size += len(t)
             if size > GROUP_CHARS:
-                out += some(held)
+                yield from some(held)
                 held, size = [], 0
-        return out + list(some(held))
-    return encode, top
+        yield from some(held)
+
+    kept[body] = (encode if local and words_only and plain else lambda texts: map(whole, texts)), top
+    return kept[body]
+
+
+def id_width(top: int) -> str:
+    return "<u2" if top <= 1 << 16 else "<u4"
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -145,15 +168,18 @@ def token_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     with open(tokenizer_path, "rb") as f:
         body = f.read()
     base = make_encoder(body)[1]
-    width = "<u2" if base <= 1 << 16 else "<u4"
+    size = np.dtype(id_width(base)).itemsize
+    end = np.array([end_id], dtype=id_width(base)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = make_encoder(body)
-        for batch in batches:
-            ids = [np.append(x, np.uint32(end_id)).astype(width) for x in encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                ids = [x + end for x in encode(batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(x) // size for x in ids], pa.int64()),
+                     pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     made = src.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -176,10 +202,12 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
     while len(seq) > 1:
         bits = int(top).bit_length()
         pair = (seq[:-1] << bits) | seq[1:]
-        slot = ((pair.astype(np.uint64) * np.uint64(FACTOR)) >> shift).astype(np.int64)
+        mixed = pair.view(np.uint64) * np.uint64(FACTOR)
+        mixed >>= shift
+        slot = mixed.view(np.int64)
         often = np.bincount(slot, minlength=slots)
         most = int(often.max())
-        bar = max(least, min(bar or most, most) // 2)
+        bar = max(least, min(bar or most, most) // 4)
         if most < least:
             break
         near = np.flatnonzero((often >= bar)[slot])
@@ -203,12 +231,15 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
         seq[hit] = top + number
         stays = np.ones(len(seq), dtype=bool)
         stays[hit + 1] = False
+        little = bar == least and len(hit) < len(seq) // LITTLE
         seq = seq[stays]
         a, b = chosen[used] >> bits, chosen[used] & ((1 << bits) - 1)
         left.append(a)
         right.append(b)
         size = np.concatenate([size, size[a] + size[b]])
         top += len(used)
+        if little:
+            break
     return (np.concatenate(left).astype("<u4"), np.concatenate(right).astype("<u4"),
             size[base:].astype("<u4"), seq.astype("<u4"))
 
@@ -278,7 +309,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
     spark = docs.sparkSession
     tokens, base = token_table(docs, tokenizer_path, id_col, text_col, end_id)
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    width = "<u2" if base <= 1 << 16 else "<u4"
+    width = id_width(base)
     n_tasks = int(max(1, -(-total // (TASK_SHARDS * shard_tokens))))
     ranged = (tokens.repartitionByRange(n_tasks, F.col("doc_id").asc_nulls_last(), F.col("slot"))
               .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.col("slot")).select("doc_id", "n_tokens", "ids"))
