@@ -46,6 +46,8 @@ LEAST_WORDS = 20
 PERCENT = 25
 DIGIT_BITS = 11
 BLOCK = 1 << 16
+#: Rows handed on at once.
+BATCH_ROWS = 512
 #: UTF-8 form of: digits, lower-case ASCII letters and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -65,12 +67,18 @@ def hashed_features(rows: DataFrame, text_col: str, keep: Sequence[str] = (), n_
     width = "<u2" if n_buckets <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [feature_buckets(t, n_buckets) for t in batch.column(len(keep)).to_pylist()]
-            made = [pa.array([n for n, _ in found], pa.int64()), pa.array([len(b) for _, b in found], pa.int64()),
-                    pa.array([b.astype(width).tobytes() for _, b in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *made],
-                                             names=[*keep, "n_words", "n_features", "buckets"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                n_words, n_features, buckets = [], [], []
+                for t in batch.column(len(keep)):
+                    n, b = feature_buckets(t.as_py(), n_buckets)
+                    n_words.append(n)
+                    n_features.append(len(b))
+                    buckets.append(b.astype(width).tobytes())
+                made = [pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()), pa.array(buckets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *made],
+                                                 names=[*keep, "n_words", "n_features", "buckets"])
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")
     src = rows.select(*(F.col(f"`{c}`") for c in keep), text)
     kept = "".join(f"`{c}` {src.schema[c].dataType.simpleString()}, " for c in keep)
@@ -84,8 +92,8 @@ def bucket_counts(features: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_buckets, dtype=np.int64)
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(b, dtype=width), minlength=n_buckets)
+            for b in batch.column(0):
+                total += np.bincount(np.frombuffer(b.as_buffer(), dtype=width), minlength=n_buckets)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit], pa.int64())],
                                          names=["bucket", "n"])
@@ -114,8 +122,8 @@ def with_weights(features: DataFrame, gains: np.ndarray, keep: Sequence[str]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights = []
-            for b in batch.column(n_kept).to_pylist():
-                own = np.frombuffer(b, dtype=width)
+            for b in batch.column(n_kept):
+                own = np.frombuffer(b.as_buffer(), dtype=width)
                 weights.append(int(gains[own].sum()) // len(own) if len(own) else 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(weights, pa.int64())],
                                              names=[*keep, "n_words", "n_features", "weight"])
