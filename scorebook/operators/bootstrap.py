@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorebook.config import NONE_LABEL
@@ -217,6 +219,175 @@ def bootstrap_cis_poisson(results: DataFrame, labels: Sequence[str], group_cols:
     return percentile_bounds(reps, group_cols, SUPPORTED, alpha)
 
 
+# --- B2 / D8: row metrics under the same weights ----------------------------------------
+
+@dataclass
+class WeightedMetric:
+    """A metric of weighted rows, given as Columns.
+
+    ``sums``: name -> aggregate of the row columns and the weight column ``w`` (a sum, or any
+    other mergeable aggregate); ``by``: row columns that split a replicate into parts first, with
+    ``parts`` (name -> aggregate over the parts) after; ``value``: the metric from the last names.
+    Rows of weight 0 are not there."""
+    sums: dict[str, Column]
+    value: Column
+    by: tuple[str, ...] = ()
+    parts: dict[str, Column] = field(default_factory=dict)
+
+
+def weighted_brier(k: int) -> WeightedMetric:
+    """A17 on weighted rows: sum of w * sq / (k * sum of w)."""
+    return WeightedMetric({"ws": F.sum(F.col("w") * F.col("sq")), "wn": F.sum("w")},
+                          F.col("ws") / (F.col("wn") * F.lit(k)))
+
+
+def weighted_ece() -> WeightedMetric:
+    """A19 on weighted rows: per confidence bin the gap of means, weighted by the bin's share."""
+    gap = F.abs(F.col("wc") / F.col("wn") - F.col("wok") / F.col("wn"))
+    return WeightedMetric(
+        {"wn": F.sum("w"), "wc": F.sum(F.col("w") * F.col("conf")), "wok": F.sum(F.col("w") * F.col("correct"))},
+        F.coalesce(F.col("gaps"), F.lit(0.0)) / F.col("all"), ("bin",),
+        {"all": F.sum("wn"), "gaps": F.sum(F.when(F.col("bin").isNotNull(), gap * F.col("wn")))})
+
+
+def drawn_weights(rows: DataFrame, id_col: str, n_bootstrap: int, seed: int, block_size: int) -> DataFrame:
+    """``rows`` (without ``id_col``) once per block of replicates, with ``first`` (the block's first
+    replicate) and ``ws``, the Poisson(1) weights of its replicates as an array.
+
+    Weights are those of :func:`poisson_replicates`, md5 of id, replicate and seed.  The rows of an
+    id (a list bounded by conditions) are brought together, so that each weight is drawn once."""
+    cols = [c for c in rows.columns if c != id_col]
+    per_id = rows.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct(*cols)).alias("_rows"))
+    blocks = per_id.select("_id", "_rows", F.explode(F.sequence(
+        F.lit(0), F.lit(n_bootstrap - 1), F.lit(block_size))).alias("first"))
+    last = F.least(F.col("first") + (block_size - 1), F.lit(n_bootstrap - 1))
+    draw = F.transform(F.sequence("first", last), lambda r: poisson1_weight(uniform_from_key(F.concat_ws(
+        "|", F.col("_id"), r.cast("string"), F.lit(str(seed))))).cast("byte"))
+    return blocks.select("_rows", "first", draw.alias("ws")).select("first", "ws", F.inline("_rows"))
+
+
+def weighted_metric_replicates(drawn: DataFrame, group_cols: Sequence[str],
+                               metrics: dict[str, WeightedMetric]) -> DataFrame:
+    """group, replicate and each metric: weighted rows straight into the metric's sums (map-side
+    combined; groups x replicates x parts entries).  Metrics of one ``by`` share a pass."""
+    wide = drawn.select(*[c for c in drawn.columns if c != "ws"], F.posexplode("ws").alias("_k", "w")) \
+        .filter(F.col("w") > 0).withColumn("replicate", F.col("first") + F.col("_k"))
+    keys = [*group_cols, "replicate"]
+    out = None
+    for by in dict.fromkeys(m.by for m in metrics.values()):
+        mine = {n: m for n, m in metrics.items() if m.by == by}
+        agg = wide.groupBy(*keys, *by).agg(*[v.alias(f"{n}:{s}") for n, m in mine.items() for s, v in m.sums.items()])
+        values = []
+        for n, m in mine.items():
+            one = agg.select(*keys, *by, *[F.col(f"`{n}:{s}`").alias(s) for s in m.sums])
+            if by:
+                one = one.groupBy(*keys).agg(*[v.alias(s) for s, v in m.parts.items()])
+            values.append(one.select(*keys, m.value.alias(n)))
+        for v in values:
+            out = v if out is None else out.join(v, keys, "full")
+    return out
+
+
+def _pair_sums(key: Sequence[str]):
+    """Per range of scores and block of replicates: weighted positives and negatives, and twice the
+    pairs of a positive above a negative plus the tied ones, inside the range."""
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        weights = table.column("ws").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        weights = weights.reshape(n, -1).astype(np.int64)
+        score = table.column("score").to_numpy()
+        pos = table.column("pos").to_numpy().astype(np.int64)[:, None]
+        order = np.argsort(score, kind="stable")
+        score, weights, pos = score[order], weights[order], pos[order]
+        edge = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        p, q = np.add.reduceat(weights * pos, edge), np.add.reduceat(weights * (1 - pos), edge)
+        below = np.cumsum(q, axis=0) - q
+        reps = weights.shape[1]
+        first = table.column("first")[0].as_py()
+        cols = {c: pa.array([table.column(c)[0].as_py()] * reps, table.schema.field(c).type) for c in key}
+        cols["replicate"] = pa.array(np.arange(first, first + reps), pa.int32())
+        cols |= {"p": pa.array(p.sum(axis=0)), "q": pa.array(q.sum(axis=0)),
+                 "u2": pa.array((p * (2 * below + q)).sum(axis=0))}
+        return pa.table(cols)
+    return run
+
+
+def weighted_auc_replicates(drawn: DataFrame, k: int, group_cols: Sequence[str], n_ranges: int) -> DataFrame:
+    """group, replicate, roc_auc: macro one-vs-rest AUC of the weighted rows, exact in integers.
+
+    Each class's rows go to ranges of scores of equal shares; a score that is a bound by itself is a
+    range of ties and is dealt on by a salt, its parts being added before they are used.  A range
+    gives, per replicate, its weighted positives, negatives and pairs; the negatives of lower
+    ranges are a running sum over at most ``2 * n_ranges + 1`` rows."""
+    from scorebook.operators.ranges import with_ranges
+    each = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"p{i}").alias("score"),
+                              (F.col("true_idx") == i).cast("int").alias("pos")) for i in range(k)])
+    base = drawn.select(*group_cols, "first", "ws", F.inline(each))
+    key = [*group_cols, "k"]
+    ranged = with_ranges(base, key, "score", n_ranges, sketch_of=base.filter("first = 0").select(*key, "score"))
+    # by the row's own weights, so that a task run again deals its rows alike
+    ranged = ranged.withColumn("salt", F.when(F.col("copies") > 1, F.pmod(
+        F.xxhash64("ws"), F.col("copies"))).otherwise(0).cast("int"))
+    part = [*key, "rng", "copies", "salt"]
+    fields = ", ".join(f"`{c}` {ranged.schema[c].dataType.simpleString()}" for c in part)
+    sums = ranged.groupBy(*part, "first").applyInArrow(
+        _pair_sums(part), f"{fields}, replicate int, p long, q long, u2 long")
+    # the parts of one tie: pairs between parts are ties too
+    whole = sums.groupBy(*key, "rng", "replicate").agg(
+        F.sum("p").alias("p"), F.sum("q").alias("q"),
+        F.when(F.max("copies") > 0, F.sum("p") * F.sum("q")).otherwise(F.sum("u2")).alias("u2"))
+    below = Window.partitionBy(*key, "replicate").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    dec = "decimal(38,0)"
+    total = (whole.withColumn("qb", F.coalesce(F.sum("q").over(below), F.lit(0)))
+             .groupBy(*key, "replicate").agg(
+                 F.sum(F.col("u2").cast(dec) + 2 * F.col("p").cast(dec) * F.col("qb").cast(dec)).alias("u2"),
+                 F.sum("p").alias("np"), F.sum("q").alias("nq")).filter("np + nq > 0"))
+    den = (2 * F.col("np").cast(dec) * F.col("nq").cast(dec)).cast("double")
+    auc = total.select(*group_cols, "k", "replicate", F.when(
+        (F.col("np") > 0) & (F.col("nq") > 0), F.col("u2").cast("double") / den).alias("auc"))
+    wide = auc.groupBy(*group_cols, "replicate").agg(*[F.max(F.when(F.col("k") == i, F.col("auc"))).alias(f"a{i}")
+                                                       for i in range(k)])
+    total_auc = sum((F.col(f"a{i}") for i in range(1, k)), F.col("a0"))     # null if one class has none
+    return wide.select(*group_cols, "replicate", (total_auc / F.lit(float(k))).alias("roc_auc"))
+
+
+def weighted_replicates(results: DataFrame, prob_cols: dict[str, str], group_cols: Sequence[str],
+                        n_bootstrap: int = 2000, seed: int = 42, n_bins: int = 10,
+                        id_col: str = "sample_id", metrics: dict[str, WeightedMetric] | None = None,
+                        with_auc: bool = True, block_size: int = 250, n_ranges: int | None = None) -> DataFrame:
+    """Group, replicate, and metrics that are no functions of cells, each recomputed on the
+    rows weighted by the replicate's Poisson draws.
+
+    ``metrics`` default to Brier score and ECE; a metric of one's own is a :class:`WeightedMetric`
+    over the row columns p0 .. p(k-1), true_idx, conf, correct, bin and sq.  ``with_auc`` adds the
+    macro AUC.  A condition without any weight in a replicate has no row for it.  Rows with a
+    missing probability, truth, key or id take no part."""
+    from scorebook.operators.calibration import binned_columns, complete_prob_rows
+    from scorebook.operators.ranges import default_ranges
+    from scorebook.session import stored
+    k = len(prob_cols)
+    if metrics is None:
+        metrics = {"brier_score": weighted_brier(k), "ece": weighted_ece()}
+    rows = complete_prob_rows(results, prob_cols, group_cols, keep=[id_col]).filter(F.col(id_col).isNotNull())
+    rows = rows.withColumn(id_col, F.col(id_col).cast("string")).withColumns(binned_columns(k, n_bins))
+    drawn = stored(drawn_weights(rows, id_col, n_bootstrap, seed, block_size), "bootstrap-weights")
+    keys = [*group_cols, "replicate"]
+    out = weighted_metric_replicates(drawn, group_cols, metrics) if metrics else None
+    if with_auc:
+        auc = weighted_auc_replicates(drawn, k, group_cols, n_ranges or default_ranges(drawn))
+        out = auc if out is None else out.join(auc, keys, "full")
+    return out.withColumn("replicate", F.col("replicate").cast("int"))
+
+
+def bootstrap_cis_weighted(results: DataFrame, prob_cols: dict[str, str], group_cols: Sequence[str],
+                           n_bootstrap: int = 2000, seed: int = 42, alpha: float = 0.05,
+                           metrics: dict[str, WeightedMetric] | None = None, with_auc: bool = True) -> DataFrame:
+    """B2 + B3: percentile intervals of Brier score, ECE and AUC (or of the given metrics)."""
+    reps = weighted_replicates(results, prob_cols, group_cols, n_bootstrap, seed, metrics=metrics, with_auc=with_auc)
+    names = [c for c in reps.columns if c not in (*group_cols, "replicate")]
+    return percentile_bounds(reps, group_cols, names, alpha)
+
+
 from scorebook._ship import ship  # noqa: E402
 
 ship(__name__)

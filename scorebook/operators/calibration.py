@@ -6,8 +6,8 @@ with any null probability or a null true label are left out (P15).
 AUC is computed exactly from tie-grouped score counts: for every class, scores are
 grouped per distinct value, and the number of negatives strictly below each value
 is a prefix sum.  The prefix sum is split in two levels so that no window partition
-holds a whole class: a coarse prefix over score buckets (at most ``n_buckets`` rows
-per class) plus a fine prefix inside each bucket.
+holds a whole class: a coarse prefix over ranges of scores that hold equal shares of the
+class plus a fine prefix inside each range.
 """
 
 from __future__ import annotations
@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 from scorebook.operators.cells import drop_null_keys
 
-# Score buckets of the two-level prefix sums, per factor of two of the score (below 1/2) or
-# of its distance from 1 (above): saturated scores, crowded at 0 or 1, are split as finely as
-# those between.  The coarse window holds at most about 1,100 x this many rows per (condition,
-# class); the fine window holds the distinct scores of one bucket.
-AUC_BUCKETS = 1 << 12
+# Ranges of the two-level prefix sums over scores, per (condition, class); None: by the number of
+# shuffle partitions.  Each holds an equal share of the distinct scores.
+AUC_RANGES = None
 from scorebook.operators.metrics import ratio
 
 
@@ -37,8 +35,9 @@ def complete_row(prob_cols: dict[str, str], true_col: str = "true_label") -> Col
 
 
 def complete_prob_rows(results: DataFrame, prob_cols: dict[str, str],
-                       group_cols: Sequence[str], true_col: str = "true_label") -> DataFrame:
-    """P15 + J6: rows with every probability and the truth.
+                       group_cols: Sequence[str], true_col: str = "true_label",
+                       keep: Sequence[str] = ()) -> DataFrame:
+    """P15 + J6: rows with every probability and the truth (and the columns ``keep``).
 
     Output columns ``p0 .. p{K-1}`` (probabilities in label order) and ``true_idx``
     (0-based position of the truth in the label list).  Plain columns rather than an
@@ -56,7 +55,7 @@ def complete_prob_rows(results: DataFrame, prob_cols: dict[str, str],
     return df.select(
         *group_cols,
         *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(prob_cols.values())],
-        idx.alias("true_idx"),
+        idx.alias("true_idx"), *keep,
     )
 
 
@@ -208,11 +207,11 @@ def calibration_from_summary(summary: DataFrame, k: int, group_cols: Sequence[st
 
 
 def auc_per_class(rows: DataFrame, labels: Sequence[str], group_cols: Sequence[str],
-                  n_buckets: int = AUC_BUCKETS) -> DataFrame:
+                  n_ranges: int | None = AUC_RANGES) -> DataFrame:
     """One-vs-rest AUC per (condition, class), ties credited 1/2; null if one-sided."""
     from scorebook.operators.roc import auc_from_prefix, prefix_below, score_ties
     key = [*group_cols, "k"]
-    pre = prefix_below(score_ties(rows, len(labels), group_cols), key, n_buckets)
+    pre = prefix_below(score_ties(rows, len(labels), group_cols), key, n_ranges)
     auc = auc_from_prefix(pre, key)
     names = F.array(*[F.lit(x) for x in labels])
     return auc.select(*group_cols, F.element_at(names, F.col("k") + 1).alias("class"),
@@ -235,7 +234,7 @@ def macro_auc(per_class: DataFrame, k: int, group_cols: Sequence[str]) -> DataFr
 
 def calibration_metrics(results: DataFrame, prob_cols: dict[str, str],
                         group_cols: Sequence[str], n_bins: int = 10,
-                        n_buckets: int = AUC_BUCKETS) -> CalibrationTables:
+                        n_ranges: int | None = AUC_RANGES) -> CalibrationTables:
     """A17-A21 from two passes over the rows: one bin summary, one tie-grouped AUC."""
     labels = list(prob_cols.keys())
     missing = [c for c in prob_cols.values() if c not in results.columns]
@@ -244,7 +243,7 @@ def calibration_metrics(results: DataFrame, prob_cols: dict[str, str],
     rows = complete_prob_rows(results, prob_cols, group_cols)
     summary = bin_summary(rows, len(labels), group_cols, n_bins)
     base, rel = calibration_from_summary(summary, len(labels), group_cols, n_bins)
-    apc = auc_per_class(rows, labels, group_cols, n_buckets)
+    apc = auc_per_class(rows, labels, group_cols, n_ranges)
     mauc = macro_auc(apc, len(labels), group_cols)
     cal = base.join(mauc, list(group_cols), "left").select(
         *group_cols, "ece", "mce", "brier_score", "roc_auc", "n_calibration_samples")
@@ -252,8 +251,8 @@ def calibration_metrics(results: DataFrame, prob_cols: dict[str, str],
 
 
 def roc_auc_table(results: DataFrame, prob_cols: dict[str, str],
-                  group_cols: Sequence[str], n_buckets: int = AUC_BUCKETS) -> DataFrame:
+                  group_cols: Sequence[str], n_ranges: int | None = AUC_RANGES) -> DataFrame:
     """A21 alone: macro one-vs-rest AUC per condition (for the metrics table)."""
     labels = list(prob_cols.keys())
     rows = complete_prob_rows(results, prob_cols, group_cols)
-    return macro_auc(auc_per_class(rows, labels, group_cols, n_buckets), len(labels), group_cols)
+    return macro_auc(auc_per_class(rows, labels, group_cols, n_ranges), len(labels), group_cols)

@@ -1,8 +1,8 @@
 """Score-ordered operators: tie-grouped prefix counts, ROC points (F6), the macro ROC
 curve on a fixed FPR grid with its trapezoid area (F7 / J9), one-vs-rest AUC (A21).
 
-No window ever spans a whole class.  Prefix sums over scores are two-level (score
-buckets, then scores inside a bucket); the grid curve is built from per-grid-bin
+No window ever spans a whole class.  Prefix sums over scores are two-level (ranges of scores
+from a sketch, then scores inside a range); the grid curve is built from per-grid-bin
 minima / maxima, so its windows run over at most ``grid_points`` rows per class.
 """
 
@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorebook.operators.calibration import AUC_BUCKETS, complete_prob_rows
+from scorebook.operators.calibration import AUC_RANGES, complete_prob_rows
+from scorebook.operators.ranges import carried, with_ranges
 
 
 def score_ties(rows: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
@@ -27,31 +28,18 @@ def score_ties(rows: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
                     .agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg")))
 
 
-def score_bucket(score: Column, n_buckets: int) -> Column:
-    """Monotone bucket of a score in [0, 1], ``n_buckets`` per factor of two of the score or of
-    its distance from 1, whichever is smaller."""
-    low = F.floor(F.log2(score) * n_buckets)
-    high = -F.ceil(F.log2(1.0 - score) * n_buckets) - 2 * n_buckets
-    edge = F.lit(1 << 40).cast("long")
-    return F.when(score <= 0, -edge).when(score >= 1, edge).when(score < 0.5, low).otherwise(high)
-
-
-def prefix_below(ties: DataFrame, key: Sequence[str], n_buckets: int = AUC_BUCKETS) -> DataFrame:
+def prefix_below(ties: DataFrame, key: Sequence[str], n_ranges: int | None = AUC_RANGES) -> DataFrame:
     """Add ``pos_below`` / ``neg_below``, counts at strictly lower scores in the same key.
 
-    Coarse level: totals of all lower score buckets (window over <= n_buckets rows per
-    key); fine level: running sum inside one bucket."""
-    t = ties.withColumn("bucket", score_bucket(F.col("score"), n_buckets))
-    buckets = t.groupBy(*key, "bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    wb = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(*key, "bucket",
-                             F.coalesce(F.sum("bpos").over(wb), F.lit(0)).alias("pos_before"),
-                             F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("neg_before"))
-    ws = (Window.partitionBy(*key, "bucket").orderBy("score")
+    Ranges of scores that hold equal shares of a key's distinct scores, wherever these crowd; what
+    earlier ranges carry, plus a running sum inside the range."""
+    t = with_ranges(ties, key, "score", n_ranges).drop("copies")
+    before = carried(t, key, ["rng"], {"pos_before": F.col("pos"), "neg_before": F.col("neg")})
+    ws = (Window.partitionBy(*key, "rng").orderBy("score")
           .rowsBetween(Window.unboundedPreceding, -1))
     fine = t.withColumn("pos_in", F.coalesce(F.sum("pos").over(ws), F.lit(0))) \
             .withColumn("neg_in", F.coalesce(F.sum("neg").over(ws), F.lit(0)))
-    j = fine.join(buckets, [*key, "bucket"], "inner")
+    j = fine.join(before, [*key, "rng"], "inner")
     return j.select(*key, "score", "pos", "neg",
                     (F.col("pos_before") + F.col("pos_in")).alias("pos_below"),
                     (F.col("neg_before") + F.col("neg_in")).alias("neg_below"))
@@ -66,7 +54,7 @@ def _class_name(labels: Sequence[str]) -> Column:
 
 
 def roc_points(results: DataFrame, prob_cols: dict[str, str],
-               group_cols: Sequence[str] = ("model_name",), n_buckets: int = AUC_BUCKETS) -> DataFrame:
+               group_cols: Sequence[str] = ("model_name",), n_ranges: int | None = AUC_RANGES) -> DataFrame:
     """one-vs-rest ROC points per (group, class): for every distinct score used as a
     threshold (predict positive when score >= threshold), fpr and tpr; plus the (0, 0)
     start point with a null threshold.  Classes with no positives or no negatives have
@@ -76,7 +64,7 @@ def roc_points(results: DataFrame, prob_cols: dict[str, str],
     rows = complete_prob_rows(results, prob_cols, group_cols)
     key = [*group_cols, "k"]
     ties = score_ties(rows, len(labels), group_cols)
-    pre = prefix_below(ties, key, n_buckets)
+    pre = prefix_below(ties, key, n_ranges)
     tot = class_totals(ties, key).filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
     j = pre.join(tot, key, "inner")
     pts = j.select(*key, F.col("score").alias("threshold"),

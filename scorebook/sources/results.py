@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorebook.operators.ranges import row_index
+
 RESULTS_FIELDS = [
     ("sample_id", T.StringType()), ("image_path", T.StringType()),
     ("true_label", T.StringType()), ("predicted_label", T.StringType()),
@@ -141,7 +143,4 @@ def ensure_sample_id(df: DataFrame, id_col: str = "sample_id", mode: str = "requ
         raise ValueError(f"results have no {id_col!r} column; pairing needs it")
     if mode != "row_index":
         raise ValueError("mode must be 'require' or 'row_index'")
-    spark = df.sparkSession
-    schema = T.StructType(df.schema.fields + [T.StructField(id_col, T.StringType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda r: (*r[0], str(r[1])))
-    return spark.createDataFrame(rdd, schema)
+    return row_index(df, id_col).withColumn(id_col, F.col(id_col).cast("string"))

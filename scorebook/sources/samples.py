@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scorebook.operators.ranges import row_index
+
 DEFAULT_EXTENSIONS = (".png", ".jpg", ".jpeg")
-SAMPLES_SCHEMA = "sample_id string, image_path string, label string"
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -97,8 +98,8 @@ def load_samples_from_csv(spark: SparkSession, path: str, image_col: str = "imag
     if "sample_id" in df.columns:
         return df.select("sample_id", "image_path", "label")
     if id_fallback == "row_index":
-        rdd = df.rdd.zipWithIndex().map(lambda r: (str(r[1]), r[0][0], r[0][1]))
-        return spark.createDataFrame(rdd, SAMPLES_SCHEMA)
+        return row_index(df, "sample_id").select(F.col("sample_id").cast("string").alias("sample_id"),
+                                                 "image_path", "label")
     return df.select(F.xxhash64("image_path").cast("string").alias("sample_id"),
                      "image_path", "label")
 

@@ -89,8 +89,8 @@ def test_bucketed_prefix_equals_single_window(spark):
              ", ".join(f"prob_{x} double" for x in LABELS)
     df = spark.createDataFrame(rows, schema)
     pc = {x: f"prob_{x}" for x in LABELS}
-    a = calibration_metrics(df, pc, C, n_buckets=1).auc_per_class.orderBy("model_name", "class").collect()
-    b = calibration_metrics(df, pc, C, n_buckets=97).auc_per_class.orderBy("model_name", "class").collect()
+    a = calibration_metrics(df, pc, C, n_ranges=1).auc_per_class.orderBy("model_name", "class").collect()
+    b = calibration_metrics(df, pc, C, n_ranges=97).auc_per_class.orderBy("model_name", "class").collect()
     assert [r.auc for r in a] == [r.auc for r in b]
 
 

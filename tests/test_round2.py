@@ -57,14 +57,14 @@ def test_duplicate_sample_in_a_condition_fails(spark):
 
 
 def test_saturated_scores_stay_split(spark):
-    from scorebook.operators.roc import prefix_below, score_bucket, score_ties
+    from scorebook.operators.roc import prefix_below, score_ties
     rows = spark.range(200_000).select(
         F.lit("m").alias("model_name"), F.exp(-25 + 10 * F.col("id") / 200_000.0).alias("p"), (F.col("id") % 3).cast("int").alias("true_idx"))
     rows = rows.select("model_name", F.col("p").alias("p0"), (1 - F.col("p")).alias("p1"), "true_idx")
     ties = score_ties(rows, 2, ["model_name"])
-    from scorebook.operators.calibration import AUC_BUCKETS
-    most = ties.groupBy("k", score_bucket(F.col("score"), AUC_BUCKETS).alias("b")).count().agg(F.max("count")).first()[0]
-    assert most < 200
+    from scorebook.operators.ranges import LEAST_RANGES, with_ranges
+    most = with_ranges(ties, ["model_name", "k"], "score").groupBy("k", "rng").count().agg(F.max("count")).first()[0]
+    assert most < 2 * 200_000 / LEAST_RANGES
     pre = prefix_below(ties, ["model_name", "k"])
     got = [(r.score, r.pos_below) for r in pre.filter("k = 0").orderBy("score").collect()]
     seen = {r.score: r.pos for r in ties.filter("k = 0").collect()}
