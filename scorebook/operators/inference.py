@@ -3,25 +3,30 @@
 The model call itself is user code: a *predictor* object with ``load()``, ``unload()``
 and ``predict(content: bytes | None, prompt: str) -> dict`` (keys ``raw_output``,
 ``latency_s``, ``input_tokens``, ``output_tokens``, ``cost_usd``, ``error``; all
-optional).  This module only distributes the calls:
+optional), or ``predict_batch(contents, prompts)`` giving a list of those, or both.
+This module only distributes the calls:
 
 * J1: every sample under every condition, by expanding the condition list as a
   literal array, no join;
-* D6: ``repartition(n)`` bounds the number of concurrent calls per model;
-* D1/D3: ``mapInPandas`` loads one predictor per task, calls it row by row, unloads
-  it in ``finally``;
-* D7: rows reach the predictor in Arrow batches sized by
-  ``spark.sql.execution.arrow.maxRecordsPerBatch``; calls inside a batch run one by one;
-* D4/D5: transient errors are retried with exponential back-off; a failing row keeps
-  an empty answer and the error text, so the task never fails.
+* D6: the calls are one stage of ``parallelism`` tasks; as a barrier stage it is not speculated
+  either, so no more calls than that are ever open in the cluster, whatever the slots;
+* D1/D3: ``mapInPandas`` loads one predictor per task, calls it, unloads it in ``finally``;
+* D7: rows of one model are put in batches of ``batch_size`` by length and handed to the
+  predictor's ``predict_batch``; one without it, and the rows of a batch that fails, go one by one;
+* D4/D5: transient errors are retried with exponential back-off; a failing row, and the rows of
+  a model that does not load, keep an empty answer and the error text, so the task never fails;
+* a log of answers (:class:`AnswerLog`) in shared storage, by the key of the call: a task that is
+  run again, or a run that is started again, reads its own paid answers instead of asking again.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,45 +95,176 @@ def with_retries(call: Callable[[], dict], max_retries: int = 3, base_delay_s: f
             attempt += 1
 
 
+class AnswerLog:
+    """Answers by call key, in a folder of shared storage: Arrow files below one folder per group of
+    calls.  A file is written under another name first and then moved, so readers see whole files.
+
+    ``folder``: a path or URI that pyarrow's file systems reach (local and mounted paths, hdfs, s3,
+    gcs), from every executor."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def _open(self):
+        from pyarrow import fs
+        if self.folder.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + self.folder[5:].lstrip("/")
+        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+
+    def read(self, group: str) -> dict[str, dict]:
+        from pyarrow import fs, ipc
+        system, root = self._open()
+        out: dict[str, dict] = {}
+        for info in system.get_file_info(fs.FileSelector(f"{root}/{group}", allow_not_found=True)):
+            if info.path.endswith(".arrow"):
+                with system.open_input_file(info.path) as f:
+                    for row in ipc.open_file(f).read_all().to_pylist():
+                        out[row.pop("call_key")] = row
+        return out
+
+    def add(self, group: str, answers: dict[str, dict]) -> None:
+        if not answers:
+            return
+        from pyarrow import ipc
+        system, root = self._open()
+        system.create_dir(f"{root}/{group}", recursive=True)
+        table = pa.Table.from_pylist([{"call_key": k, **{n: v.get(n) for n in ANSWER_FIELDS}} for k, v in answers.items()],
+                                     schema=pa.schema([("call_key", pa.string()), *ANSWER_FIELDS.items()]))
+        name = f"{root}/{group}/{uuid.uuid4().hex}"
+        with system.open_output_stream(f"{name}.part") as f, ipc.new_file(f, table.schema) as w:
+            w.write_table(table)
+        system.move(f"{name}.part", f"{name}.arrow")
+
+
+ANSWER_FIELDS = {"raw_output": pa.string(), "inference_time_s": pa.float64(), "input_tokens": pa.int64(),
+                 "output_tokens": pa.int64(), "cost_usd": pa.float64(), "error": pa.string(), "call_rows": pa.int32()}
+
+
+def _answer(res, seconds: float, call_rows: int) -> dict:
+    """One answer's row, from what the predictor gave (a dict, None or an exception)."""
+    if isinstance(res, Exception):
+        res = {"raw_output": "", "error": f"{type(res).__name__}: {res}"}
+    res = res or {}
+    latency = res.get("latency_s")
+    return {"raw_output": res.get("raw_output", ""),
+            "inference_time_s": float(latency if latency is not None else seconds),
+            "input_tokens": res.get("input_tokens"), "output_tokens": res.get("output_tokens"),
+            "cost_usd": res.get("cost_usd"), "error": res.get("error"), "call_rows": call_rows}
+
+
+def _ask_one(model, content, prompt, retry) -> dict:
+    began = time.perf_counter()
+    try:
+        if hasattr(model, "predict"):
+            res = retry(lambda: model.predict(content, prompt))
+        else:
+            res = retry(lambda: model.predict_batch([content], [prompt])[0])
+    except Exception as e:  # noqa: BLE001 - D5: keep the row
+        res = e
+    return _answer(res, time.perf_counter() - began, 1)
+
+
+def _ask(model, contents: Sequence, prompts: Sequence, size: int, retry) -> list[dict]:
+    """Answers in the rows' order; batches hold rows of like length."""
+    if size <= 1 or not hasattr(model, "predict_batch"):
+        return [_ask_one(model, c, p, retry) for c, p in zip(contents, prompts)]
+    order = sorted(range(len(prompts)), key=lambda i: len(prompts[i] or "") + len(contents[i] or b""))
+    out: list = [None] * len(order)
+
+    def whole(at: list[int]) -> list:
+        res = model.predict_batch([contents[i] for i in at], [prompts[i] for i in at])
+        if len(res) != len(at):
+            raise ValueError(f"predict_batch gave {len(res)} answers for {len(at)} rows")
+        return list(res)
+    for s in range(0, len(order), size):
+        at = order[s:s + size]
+        began = time.perf_counter()
+        res = retry(lambda at=at: whole(at))
+        if isinstance(res, dict):       # the batch as a whole failed: find out which row
+            for i in at:
+                out[i] = _ask_one(model, contents[i], prompts[i], retry)
+        else:
+            each = (time.perf_counter() - began) / len(at)
+            for i, r in zip(at, res):
+                out[i] = _answer(r, each, len(at))
+    return out
+
+
 def _runner(factory: Callable[..., object], content_col: str | None, prompt_col: str,
             model_col: str | None, max_retries: int, base_delay_s: float, is_transient,
-            out_cols: Sequence[str], batch_rows: int):
-    """Per task: at most one predictor loaded at a time.  Rows arrive sorted by model
-    within the task, so a model is loaded once per task and released before the next."""
+            out_cols: Sequence[str], batch_rows: int, batch_size: int = 1,
+            group_cols: Sequence[str] = (), key_col: str | None = None, log: AnswerLog | None = None,
+            with_calls: bool = False, load_errors: str = "rows"):
+    """Per task: at most one predictor loaded at a time.  Rows arrive sorted by group and model,
+    so a model is loaded once per group and released before the next."""
+    def retry(call):
+        return with_retries(call, max_retries, base_delay_s, is_transient)
+
+    def windows(batches):
+        """Rows of one (group, model), ``batch_rows`` at a time, across Arrow batches."""
+        by = [*group_cols, *([model_col] if model_col else [])]
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            turn = (pdf[by].astype(str) != pdf[by].astype(str).shift()).any(axis=1).to_numpy() if by else [False] * len(pdf)
+            starts = [0] + [i for i in range(1, len(pdf)) if turn[i]] + [len(pdf)]
+            for a, b in zip(starts, starts[1:]):
+                part = pdf.iloc[a:b]
+                if held and by and tuple(held[-1][by].astype(str).iloc[-1]) != tuple(part[by].astype(str).iloc[0]):
+                    yield pd.concat(held)
+                    held = []
+                while len(part):
+                    room = batch_rows - sum(map(len, held))
+                    held.append(part.iloc[:room])
+                    part = part.iloc[room:]
+                    if sum(map(len, held)) >= batch_rows:
+                        yield pd.concat(held)
+                        held = []
+        if held:
+            yield pd.concat(held)
+
     def run(batches):
-        current, model = object(), None
+        current, model, broken = object(), None, None
+        known: dict[str, dict] = {}
+        at_group = None
         try:
-            for pdf in (part for whole in batches for part in
-                        (whole.iloc[i:i + batch_rows] for i in range(0, len(whole), batch_rows))):
-                results = []
-                contents = pdf[content_col] if content_col else [None] * len(pdf)
-                keys = pdf[model_col] if model_col else [None] * len(pdf)
-                for content, prompt, key in zip(contents, pdf[prompt_col], keys):
-                    if model is None or key != current:
+            for pdf in windows(batches):
+                group = "/".join(str(pdf[c].iloc[0]) for c in group_cols) or "all"
+                if log is not None and group != at_group:
+                    known, at_group = log.read(group), group
+                keys = list(pdf[key_col]) if log is not None else [None] * len(pdf)
+                todo = [i for i, k in enumerate(keys) if k not in known] if log is not None else list(range(len(pdf)))
+                found: list = [known.get(k) for k in keys]
+                if todo:
+                    name = pdf[model_col].iloc[0] if model_col else None
+                    if model is None and broken is None or name != current:
                         if model is not None and hasattr(model, "unload"):
                             model.unload()
-                        model = factory(key) if model_col else factory()
-                        current = key
-                        if hasattr(model, "load"):
-                            model.load()
-                    t0 = time.perf_counter()
-                    try:
-                        res = with_retries(lambda c=content, p=prompt: model.predict(c, p),
-                                           max_retries, base_delay_s, is_transient) or {}
-                    except Exception as e:  # noqa: BLE001 - D5: keep the row
-                        res = {"raw_output": "", "error": f"{type(e).__name__}: {e}"}
-                    latency = res.get("latency_s")
-                    results.append({
-                        "raw_output": res.get("raw_output", ""),
-                        "inference_time_s": float(latency if latency is not None
-                                                  else time.perf_counter() - t0),
-                        "input_tokens": res.get("input_tokens"),
-                        "output_tokens": res.get("output_tokens"),
-                        "cost_usd": res.get("cost_usd"),
-                        "error": res.get("error"),
-                    })
+                        current, model, broken = name, None, None
+                        try:
+                            made = factory(name) if model_col else factory()
+                            if hasattr(made, "load"):
+                                made.load()
+                            model = made
+                        except Exception as e:  # noqa: BLE001 - a model that does not load is an error of its rows
+                            if load_errors == "raise":
+                                raise
+                            broken = e
+                    contents = list(pdf[content_col]) if content_col else [None] * len(pdf)
+                    prompts = list(pdf[prompt_col])
+                    if broken is not None:
+                        answers = [_answer(RuntimeError(f"model did not load: {type(broken).__name__}: {broken}"), 0.0, 0)
+                                   for _ in todo]
+                    else:
+                        answers = _ask(model, [contents[i] for i in todo], [prompts[i] for i in todo], batch_size, retry)
+                    for i, a in zip(todo, answers):
+                        found[i] = a
+                    if log is not None:     # errors are asked again by the next run
+                        log.add(group, {keys[i]: a for i, a in zip(todo, answers) if a["error"] is None})
                 out = pdf[list(out_cols)].reset_index(drop=True)
-                res_df = pd.DataFrame(results, columns=[f.name for f in OUTPUT_FIELDS])
+                fields = [f.name for f in OUTPUT_FIELDS] + (["call_rows"] if with_calls else [])
+                res_df = pd.DataFrame([{n: r[n] for n in fields} for r in found], columns=fields)
                 res_df["input_tokens"] = res_df["input_tokens"].astype("Int64")
                 res_df["output_tokens"] = res_df["output_tokens"].astype("Int64")
                 yield pd.concat([out, res_df], axis=1)
@@ -138,32 +274,59 @@ def _runner(factory: Callable[..., object], content_col: str | None, prompt_col:
     return run
 
 
+def bucket_of(id_col: str | F.Column, n: int) -> F.Column:
+    """0 .. n - 1 from the first 32 bits of md5(id): the same in any engine."""
+    key = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+
+
 def batch_inference(rows: DataFrame, predictor_factory: Callable[..., object],
                     prompt_col: str = "prompt_text", content_col: str | None = "content",
                     keep_cols: Sequence[str] | None = None, parallelism: int | None = None,
                     model_col: str | None = None,
                     max_retries: int = 3, base_delay_s: float = 2.0,
                     is_transient: Callable[[Exception], bool] = lambda e: True,
-                    batch_rows: int = 256) -> DataFrame:
-    """One model call per row.  ``batch_rows`` (D7): answers handed on at once.
+                    batch_rows: int = 256, batch_size: int = 1, group_cols: Sequence[str] = (),
+                    key_col: str | None = None, log: AnswerLog | None = None, with_calls: bool = False,
+                    barrier: bool = False, profile=None, load_errors: str = "rows") -> DataFrame:
+    """One answer per row.  ``batch_rows`` (D7): answers handed on, and logged, at once.
 
     ``model_col``: rows name their model; the factory is called with that value and
     rows are sorted by it inside each task (not partitioned by it, so a large model
-    never lands in a single task), so a task holds one model at a time.  ``parallelism`` (D6) caps the number of concurrent
-    calls.  Write the result out before analysing it so paid calls are never
+    never lands in a single task), so a task holds one model at a time.  ``parallelism`` (D6) caps
+    the number of concurrent calls; ``barrier`` makes the calls a barrier stage (never speculated;
+    of no more tasks than there are slots), ``profile`` gives them executors of their own kind
+    (a stage-level resource profile).
+
+    ``batch_size`` (D7): rows given to ``predict_batch`` at once, of one (group, model) each;
+    ``with_calls`` adds ``call_rows``, the rows answered by the same call (0: no call).
+    ``group_cols``: rows of equal values stay in one task.  With ``log``, answers are kept under
+    ``key_col`` below the group's folder and read from there when a task runs again; so the groups
+    bound what a task reads.  ``load_errors``: a model that does not load gives its rows an error
+    (``rows``) or ends the job (``raise``).  Write the result out before analysing it so paid calls are never
     recomputed through lineage."""
     keep = list(keep_cols) if keep_cols is not None else \
         [c for c in rows.columns if c != content_col]
+    if log is not None and key_col is None:
+        raise ValueError("an answer log needs key_col")
     needed = list(dict.fromkeys([*keep, prompt_col, *([content_col] if content_col else []),
-                                 *([model_col] if model_col else [])]))
+                                 *([model_col] if model_col else []), *group_cols, *([key_col] if key_col else [])]))
     src = rows.select(*needed)
-    if parallelism:
+    if barrier:
+        slots = src.sparkSession.sparkContext.defaultParallelism
+        parallelism = min(parallelism or slots, slots)
+    if group_cols:
+        src = src.repartition(*([parallelism] if parallelism else []), *group_cols)
+    elif parallelism:
         src = src.repartition(parallelism)      # round-robin: no model lands in one task
-    if model_col:
-        src = src.sortWithinPartitions(model_col)
-    schema = T.StructType([src.schema[c] for c in keep] + OUTPUT_FIELDS)
+    order = [*group_cols, *([model_col] if model_col else [])]
+    if order:
+        src = src.sortWithinPartitions(*order)
+    schema = T.StructType([src.schema[c] for c in keep] + OUTPUT_FIELDS
+                          + ([T.StructField("call_rows", T.IntegerType())] if with_calls else []))
     return src.mapInPandas(_runner(predictor_factory, content_col, prompt_col, model_col,
-                                   max_retries, base_delay_s, is_transient, keep, batch_rows), schema)
+                                   max_retries, base_delay_s, is_transient, keep, batch_rows, batch_size,
+                                   group_cols, key_col, log, with_calls, load_errors), schema, barrier=barrier, profile=profile)
 
 
 def image_request_payload(content: str, prompt: str, model: str, style: str = "image_url",

@@ -650,6 +650,48 @@ FROM reps GROUP BY model_name, prompt_id"""
                            "accuracy_ci_upper"])
 
 
+def bootstrap_weighted_sql(n_boot: int, seed: int = 42) -> str:
+    """Brier score, ECE and macro AUC of the weighted rows, with one window per class."""
+    from scorebook.operators.bootstrap import POISSON1_CDF
+    key = f"sample_id || '|' || CAST(r.replicate AS VARCHAR) || '|' || '{seed}'"
+    u = f"(CAST(CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT) AS DOUBLE) / CAST('{float(2 ** 52)!r}' AS DOUBLE))"
+    w = "CASE " + " ".join(f"WHEN u < CAST('{c!r}' AS DOUBLE) THEN {k}"
+                           for k, c in enumerate(POISSON1_CDF)) + f" ELSE {len(POISSON1_CDF)} END"
+    conf = "greatest(" + ", ".join(f"p{i}" for i in range(K)) + ")"
+    argmax = "CASE " + " ".join(f"WHEN p{i} = conf THEN {i}" for i in range(K)) + " END"
+    sq = " + ".join(f"(p{i} - CASE WHEN true_idx = {i} THEN 1.0 ELSE 0.0 END) * (p{i} - CASE WHEN true_idx = {i} THEN 1.0 ELSE 0.0 END)" for i in range(K))
+    each = " UNION ALL ".join(f"SELECT {C}, {i} AS k, replicate, p{i} AS score, w, CASE WHEN true_idx = {i} THEN 1 ELSE 0 END AS pos FROM jw" for i in range(K))
+    inner = f"""WITH {ER}, {PROBS.replace("true_label,", "true_label, CAST(sample_id AS VARCHAR) AS sample_id,", 1)},
+draws AS (SELECT sample_id, CAST(replicate AS INT) AS replicate, {w} AS w FROM (
+  SELECT sample_id, r.replicate, {u} AS u
+  FROM (SELECT DISTINCT sample_id FROM pr WHERE sample_id IS NOT NULL) x CROSS JOIN range({n_boot}) r(replicate)) z),
+cf AS (SELECT *, {conf} AS conf, {sq} AS sq FROM pr),
+jw AS (SELECT cf.*, CASE WHEN ({argmax}) = true_idx THEN 1 ELSE 0 END AS correct, {_bin_sql('conf')} AS bin, replicate, w
+  FROM cf JOIN (SELECT * FROM draws WHERE w > 0) d USING (sample_id)),
+br AS (SELECT {C}, replicate, sum(w * sq) / (sum(w) * {K}) AS brier_score, sum(w) AS n FROM jw GROUP BY {C}, replicate),
+bn AS (SELECT {C}, replicate, sum(w) AS wn, sum(w * conf) AS wc, sum(w * correct) AS wok
+  FROM jw WHERE bin IS NOT NULL GROUP BY {C}, replicate, bin),
+ec AS (SELECT {C}, replicate, sum(abs(wc / wn - wok / wn) * wn) AS gaps FROM bn GROUP BY {C}, replicate),
+ti AS (SELECT {C}, k, replicate, score, sum(w * pos) AS p, sum(w * (1 - pos)) AS q FROM ({each}) e GROUP BY {C}, k, replicate, score),
+be AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY {C}, k, replicate ORDER BY score
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS qb FROM ti),
+ak AS (SELECT {C}, k, replicate, CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN
+  CAST(sum(CAST(p AS HUGEINT) * (2 * qb + q)) AS DOUBLE) / CAST(2 * CAST(sum(p) AS HUGEINT) * sum(q) AS DOUBLE) END AS auc
+  FROM be GROUP BY {C}, k, replicate),
+au AS (SELECT {C}, replicate, ({" + ".join(f"max(CASE WHEN k = {i} THEN auc END)" for i in range(K))}) / CAST({K} AS DOUBLE) AS roc_auc
+  FROM ak GROUP BY {C}, replicate)
+SELECT br.model_name, br.prompt_id, br.replicate, brier_score, coalesce(gaps, 0.0) / n AS ece, roc_auc
+FROM br LEFT JOIN ec USING ({C}, replicate) LEFT JOIN au USING ({C}, replicate)"""
+    return rounded(inner, ["brier_score", "ece"])
+
+
+def bootstrap_cis_weighted_sql(n_boot: int) -> str:
+    cols = ", ".join(f"quantile_cont({m}, {s}) AS {m}_ci_{n}" for m in ("brier_score", "ece", "roc_auc")
+                     for s, n in ((0.025, "lower"), (0.975, "upper")))
+    return rounded(f"SELECT {C}, {cols} FROM ({bootstrap_weighted_sql(n_boot)}) t GROUP BY {C}",
+                   [f"{m}_ci_{n}" for m in ("brier_score", "ece", "roc_auc") for n in ("lower", "upper")], 8)
+
+
 # --- more figure tables and set operations ---------------------------------------------
 
 def all_matrices_sql() -> str:
@@ -724,6 +766,15 @@ b AS (SELECT sample_id, model_name, model_id, prompt_id, raw_output, inference_t
 SELECT * FROM parsed"""
 
 
+def batched_calls_sql(buckets: int, size: int) -> str:
+    from scorebook.sources.fixtures import FIXTURE_MODELS, FIXTURE_PROMPTS
+    models = ", ".join(f"({q(mid)})" for (_, _, mid, _, _, _) in FIXTURE_MODELS)
+    return f"""WITH b AS (SELECT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {buckets} AS bucket,
+         count(*) * {len(FIXTURE_PROMPTS)} AS n FROM documents GROUP BY 1)
+SELECT model_id, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum((n + {size} - 1) // {size}) AS BIGINT) AS n_calls
+FROM b CROSS JOIN (VALUES {models}) m(model_id) GROUP BY model_id"""
+
+
 def confusion_arrays_sql() -> str:
     rows = ", ".join("[" + ", ".join(
         f"sum(CASE WHEN true_label = {q(t)} AND predicted_label = {q(p)} THEN n ELSE 0 END)::BIGINT"

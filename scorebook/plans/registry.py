@@ -350,24 +350,56 @@ def q_media_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", with_media_token(F.col("text")).alias("prompt"))
 
 
-@register("batch_inference", oracle.batch_inference_sql())
-def q_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scorebook.functions.labels import parse_labels
-    from scorebook.operators.inference import batch_inference, expand_conditions
+def _inference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.inference import expand_conditions
     from scorebook.sources.fixtures import spread
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     samples = docs.select(F.col("doc_id").cast("string").alias("sample_id"),
                           F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     conds = _fixture_conditions(spark).withColumn("prompt_text", F.concat(F.lit("Classify: "), F.col("prompt_id")))
-    rows = expand_conditions(samples, conds)
+    return expand_conditions(samples, conds)
+
+
+@register("batch_inference", oracle.batch_inference_sql())
+def q_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.functions.labels import parse_labels
+    from scorebook.operators.inference import batch_inference
     from scorebook.testing import KeywordPredictor
-    out = batch_inference(rows, KeywordPredictor, prompt_col="prompt_text",
+    out = batch_inference(_inference_rows(spark, sf_dir), KeywordPredictor, prompt_col="prompt_text",
                           content_col="content",
                           keep_cols=["sample_id", "model_name", "model_id", "prompt_id"],
                           model_col="model_id", base_delay_s=0.0)
     return parse_labels(out, "raw_output")
 
 
+CALL_BUCKETS, CALL_ROWS = 16, 32
+
+
+def _batched(spark: SparkSession, sf_dir: str, with_calls: bool) -> DataFrame:
+    from scorebook.operators.inference import batch_inference, bucket_of
+    from scorebook.testing import KeywordBatchPredictor
+    rows = _inference_rows(spark, sf_dir).withColumn("bucket", bucket_of("sample_id", CALL_BUCKETS))
+    return batch_inference(rows, KeywordBatchPredictor, prompt_col="prompt_text", content_col="content",
+                           keep_cols=["sample_id", "model_name", "model_id", "prompt_id"],
+                           model_col="model_id", base_delay_s=0.0, batch_size=CALL_ROWS,
+                           group_cols=["bucket"], with_calls=with_calls)
+
+
+@register("batched_inference", oracle.batch_inference_sql())
+def q_batched_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from a predictor that takes several rows a call."""
+    from scorebook.functions.labels import parse_labels
+    return parse_labels(_batched(spark, sf_dir, False), "raw_output")
+
+
+@register("batched_calls", oracle.batched_calls_sql(CALL_BUCKETS, CALL_ROWS))
+def q_batched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and calls per model: a call of n rows counts one nth at each of them."""
+    sizes = _batched(spark, sf_dir, True).groupBy("model_id", "call_rows").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("model_id").agg(F.sum("n").alias("n_rows"),
+                                         F.sum(F.expr("n div call_rows")).alias("n_calls"))
+
+
 # --- step 5: row-weighted bootstrap -----------------------------------------------------
 POISSON_REPLICATES = 2000     # the operator's default
 
@@ -387,6 +419,23 @@ def q_percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "accuracy_ci_upper"])
 
 
+WEIGHTED_REPLICATES = 200     # rows x classes x replicates in the SQL twin
+
+
+@register("bootstrap_weighted", oracle.bootstrap_weighted_sql(WEIGHTED_REPLICATES))
+def q_bootstrap_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.bootstrap import weighted_replicates
+    out = weighted_replicates(eval_results(spark, sf_dir), PROB_COLS, C, WEIGHTED_REPLICATES)
+    return round_cols(out, ["brier_score", "ece"])
+
+
+@register("bootstrap_cis_weighted", oracle.bootstrap_cis_weighted_sql(WEIGHTED_REPLICATES))
+def q_bootstrap_cis_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorebook.operators.bootstrap import bootstrap_cis_weighted
+    out = bootstrap_cis_weighted(eval_results(spark, sf_dir), PROB_COLS, C, WEIGHTED_REPLICATES)
+    return round_cols(out, [c for c in out.columns if c not in C], 8)
+
+
 # --- more figure tables, set operations --------------------------------------------------
 
 @register("all_matrices", oracle.all_matrices_sql())
