@@ -4,7 +4,8 @@ Texts are encoded by the tokenizer's own library, an end id follows each documen
 are written in ascending id order.  The file format is a folder of two Parquet tables:
 
 * ``shards``: one row per shard of about ``SHARD_TOKENS`` ids (a document is never split):
-  ``part``, ``nth`` (their order is the order of the ids), ``n_tokens``, the grammar as ``left`` and
+  ``part``, ``nth`` (their order is the order of the ids), ``n_tokens``, ``ids`` and ``counts`` (its
+  documents and their numbers of tokens), the grammar as ``left`` and
   ``right`` (symbols of each rule), ``length`` (ids that each rule expands to) and ``symbols``, the
   compressed sequence; unsigned 32-bit little-endian numbers.  Symbols below ``base`` are token
   ids, symbol ``base + r`` is rule r, whose two symbols come before it.
@@ -38,13 +39,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorebook._ship import ship
-from scorebook.llm.common import staged
 
 ship(__name__)
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-TASK_SHARDS = 4
 LEAST = 8
 #: At the least count, a round that shortens a shard by less than one in LITTLE symbols is the last.
 LITTLE = 128
@@ -161,31 +160,6 @@ def id_width(top: int) -> str:
     return "<u2" if top <= 1 << 16 else "<u4"
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                end_id: int = END_ID) -> tuple[DataFrame, int]:
-    """Stored (slot, doc_id, n_tokens, ids): ids with the end id, two bytes each if all ids fit;
-    and the first symbol number beyond the ids."""
-    with open(tokenizer_path, "rb") as f:
-        body = f.read()
-    base = make_encoder(body)[1]
-    size = np.dtype(id_width(base)).itemsize
-    end = np.array([end_id], dtype=id_width(base)).tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = make_encoder(body)
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                ids = [x + end for x in encode(batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(x) // size for x in ids], pa.int64()),
-                     pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                      F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    made = src.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-    return staged(made.withColumn("slot", F.monotonically_increasing_id()), "token-ids"), base
-
-
 # --- grammar ----------------------------------------------------------------------------
 
 def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -304,19 +278,28 @@ def slice_of(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, length: n
 # --- files ------------------------------------------------------------------------------
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id",
-                      text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Encode ``docs`` and write the two tables of the file format under ``path``."""
+                      text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS,
+                      tasks: int | None = None) -> None:
+    """Encode ``docs`` and write the two tables of the file format under ``path``.
+
+    Texts are dealt to ``tasks`` ranges (default: as many as the scan has parts) and encoded there,
+    so ids are neither shuffled nor stored before they are compressed."""
     spark = docs.sparkSession
-    tokens, base = token_table(docs, tokenizer_path, id_col, text_col, end_id)
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    width = id_width(base)
-    n_tasks = int(max(1, -(-total // (TASK_SHARDS * shard_tokens))))
-    ranged = (tokens.repartitionByRange(n_tasks, F.col("doc_id").asc_nulls_last(), F.col("slot"))
-              .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.col("slot")).select("doc_id", "n_tokens", "ids"))
+    with open(tokenizer_path, "rb") as f:
+        body = f.read()
+    base = make_encoder(body)[1]
+    end = np.array([end_id], dtype=id_width(base)).tobytes()
+    order = [F.col("doc_id").asc_nulls_last(), F.col("slot")]
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                      F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+                      F.monotonically_increasing_id().alias("slot"))
+    parts = tasks or max(1, docs.select(f"`{id_col}`").rdd.getNumPartitions())
+    ranged = src.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, nth = TaskContext.get().partitionId(), 0
+        encode, _ = make_encoder(body)
         names: list = []
         chunks: list[np.ndarray] = []
 
@@ -329,19 +312,22 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)],
                                               names=[f.split()[0] for f in SHARD_SCHEMA.split(", ")])
         held = 0
-        for batch in batches:
-            for doc_id, n, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if chunks and held + n > shard_tokens:
-                    yield shard()
-                    names, chunks, held, nth = [], [], 0, nth + 1
-                names.append(doc_id)
-                chunks.append(np.frombuffer(body, dtype=width))
-                held += n
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                    own = np.frombuffer(ids + end, dtype=id_width(base))
+                    if chunks and held + len(own) > shard_tokens:
+                        yield shard()
+                        names, chunks, held, nth = [], [], 0, nth + 1
+                    names.append(doc_id)
+                    chunks.append(own)
+                    held += len(own)
         if chunks:
             yield shard()
-    whole = staged(ranged.mapInArrow(run, SHARD_SCHEMA), "token-shards")
-    whole.drop("ids", "counts").write.option("compression", "zstd").parquet(f"{path}/shards")
-    listed = whole.select("part", "nth", F.posexplode(F.arrays_zip("ids", "counts")).alias("k", "d"))
+    ranged.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/shards")
+    listed = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").select(
+        "part", "nth", F.posexplode(F.arrays_zip("ids", "counts")).alias("k", "d"))
     inside = Window.partitionBy("part", "nth").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     listed.select(F.col("d.ids").alias("doc_id"), "part", "nth", "k",
                   F.coalesce(F.sum("d.counts").over(inside), F.lit(0)).alias("at"),
@@ -389,7 +375,7 @@ def read_some(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 def _opened(spark: SparkSession, path: str, places: DataFrame, whole: bool) -> DataFrame:
     lists = (places.groupBy("part", "nth").agg(F.collect_list(F.struct("k", "doc_id", "at", "n_tokens")).alias("docs"))
              .join(shard_starts(spark, path), ["part", "nth"]))
-    rows = spark.read.parquet(f"{path}/shards").drop("n_tokens").join(lists, ["part", "nth"])
+    rows = spark.read.parquet(f"{path}/shards").drop("n_tokens", "ids", "counts").join(lists, ["part", "nth"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
