@@ -27,6 +27,7 @@ from scorebook.plans.report import parse_rate_report
 from scorebook.sources.config import conditions_frame, remaining_conditions
 from scorebook.sources.results import write_results
 from scorebook.sources.samples import balanced_total, first_n
+from scorebook.sources.versions import VersionedTable
 
 C = ["model_name", "prompt_id"]
 
@@ -57,13 +58,16 @@ def run_experiment(spark: SparkSession, samples: DataFrame, models: DataFrame,
                    spec: LabelSpec | None = None, mode: str = "compat",
                    max_retries: int = 3, base_delay_s: float = 2.0,
                    select: str = "balanced", batch_rows: int = 256, batch_size: int = 1,
-                   buckets: int = 8, answer_log: bool = True, barrier: bool = False) -> RunOutput:
+                   buckets: int = 8, answer_log: bool = True, barrier: bool = False,
+                   versioned: bool = False) -> RunOutput:
     """``predictor_for(model_id)`` builds the user's predictor for one model.
 
     Each (model, bucket of samples) is a write of its own, all remaining prompts together; what is
     on disk is not asked again by the next run.  ``buckets`` must stay the same for a results folder.
     ``answer_log``: keep answers of unfinished buckets under ``results_path/_answers`` (storage that
     pyarrow reaches from every executor); each task's share of a bucket is one group of it.
+    ``versioned``: the folder is a :class:`VersionedTable`, whose readers see whole commits only; the
+    resume reads its latest version.
     A model that does not load ends the run; what is written stays.
     ``select``: how ``max_samples`` picks (``balanced`` over labels, or ``first`` in
     path order); exactly that many samples are used."""
@@ -78,7 +82,8 @@ def run_experiment(spark: SparkSession, samples: DataFrame, models: DataFrame,
         samples = balanced_total(samples, max_samples) if select == "balanced" else first_n(samples, max_samples)
     # the list of models, prompts and buckets is the experiment's own size
     pairs = conds.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    done = _existing(spark, results_path)
+    table = VersionedTable(spark, results_path, [*C, "bucket"]) if versioned else None
+    done = (table.read() if table.versions() else None) if versioned else _existing(spark, results_path)
     if done is not None:
         if "bucket" not in done.columns:
             raise ValueError(f"{results_path} holds results without buckets; use another folder")
@@ -104,8 +109,11 @@ def run_experiment(spark: SparkSession, samples: DataFrame, models: DataFrame,
                                    log=AnswerLog(f"{results_path.rstrip('/')}/_answers") if answer_log else None)
         parsed = parse_labels(answered.withColumnRenamed("label", "true_label"),
                               "raw_output", "predicted_label", spec, mode)
-        write_results(parsed, results_path, [*C, "bucket"])
-    results = spark.read.parquet(results_path).drop("bucket")
+        if versioned:
+            table.commit(parsed, "parts")
+        else:
+            write_results(parsed, results_path, [*C, "bucket"])
+    results = (table.read() if versioned else spark.read.parquet(results_path)).drop("bucket")
     return RunOutput(results=results, parse_rates=parse_rate_report(results, C),
                      cost=cost_summary(results, C))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorebook.config import NONE_LABEL
+from scorebook.sources.versions import VersionedTable
 
 
 def read_results_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -61,3 +62,16 @@ def write_available_now(agg: DataFrame, checkpoint: str, out_path: str) -> None:
     q = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def publish_available_now(agg: DataFrame, checkpoint: str, table: VersionedTable) -> None:
+    """Process every file present now; each batch commits the running table as a version of its own.
+
+    Readers of ``table`` see the counts of one batch or of the next, never a half-written table; a
+    batch that the stream repeats after a failure is committed once (its number is the token)."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        table.commit(batch, token=f"batch-{epoch}")
+
+    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
