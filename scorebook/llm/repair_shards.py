@@ -11,9 +11,9 @@ are written in ascending id order.  The file format is a folder of two Parquet t
   ids, symbol ``base + r`` is rule r, whose two symbols come before it.
 * ``documents``: doc_id, part, nth, ``at`` (ids before it in its shard), ``n_tokens``.
 
-Re-Pair in rounds: the pairs of a shard are counted, those with at least a quarter of the count of
-the most frequent one become rules at once, and their occurrences are replaced from left to right
-without overlap; the bar falls to a quarter each round, and it ends when no pair occurs ``LEAST``
+Re-Pair in rounds: the pairs of a shard are counted, those with at least a sixteenth of the count
+of the most frequent one become rules at once, and their occurrences are replaced from left to
+right without overlap; the bar falls likewise each round, and it ends when no pair occurs ``LEAST``
 times, or such pairs are few.  A rule refers to earlier rounds
 only, so a shard expands in as many steps as it had rounds, and a document alone by finding its
 first symbol in the running sum of expansion lengths.
@@ -46,7 +46,9 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 LEAST = 8
 #: At the least count, a round that shortens a shard by less than one in LITTLE symbols is the last.
-LITTLE = 128
+LITTLE = 32
+#: How much the bar falls each round.
+FALL = 16
 #: Odd 64-bit factor of the pair hash.
 FACTOR = 0x9E3779B97F4A7C15
 #: Pieces after which a worker's encoder forgets all it knows, and characters of texts split at once.
@@ -181,7 +183,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
         slot = mixed.view(np.int64)
         often = np.bincount(slot, minlength=slots)
         most = int(often.max())
-        bar = max(least, min(bar or most, most) // 4)
+        bar = max(least, min(bar or most, most) // FALL)
         if most < least:
             break
         near = np.flatnonzero((often >= bar)[slot])
@@ -359,9 +361,25 @@ def _arrays(row: dict) -> tuple[np.ndarray, ...]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """All documents from the files: doc_id, start, n_tokens, ids (unsigned 32-bit little-endian).
 
-    One task opens a shard at a time; its documents' places come with it as one list (bounded by
-    the shard's ids)."""
-    return _opened(spark, path, spark.read.parquet(f"{path}/documents"), whole=True)
+    One task opens a shard at a time; its documents are listed in the shard itself."""
+    rows = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").drop("n_tokens").join(
+        shard_starts(spark, path), ["part", "nth"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                left, right, length, symbols = _arrays(row)
+                opened = expand(symbols, rule_table(left, right, length, row["base"]))
+                at = np.concatenate([[0], np.cumsum(row["counts"], dtype=np.int64)])
+                # one buffer with the places of the documents in it
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["ids"], pa.int64()), pa.array(at[:-1] + row["first"]), pa.array(row["counts"], pa.int64()),
+                     pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32).tobytes()),
+                                                                      pa.py_buffer(opened.tobytes())])],
+                    names=["doc_id", "start", "n_tokens", "ids"])
+    return rows.select("base", "left", "right", "length", "symbols", "ids", "counts", "first").mapInArrow(
+        run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_some(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
@@ -369,25 +387,19 @@ def read_some(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     them are opened, and of these only the symbols that reach into a document."""
     id_col, = ids.columns
     wanted = ids.select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).distinct()
-    return _opened(spark, path, spark.read.parquet(f"{path}/documents").join(wanted, "doc_id", "left_semi"), whole=False)
-
-
-def _opened(spark: SparkSession, path: str, places: DataFrame, whole: bool) -> DataFrame:
+    places = spark.read.parquet(f"{path}/documents").join(wanted, "doc_id", "left_semi")
     lists = (places.groupBy("part", "nth").agg(F.collect_list(F.struct("k", "doc_id", "at", "n_tokens")).alias("docs"))
              .join(shard_starts(spark, path), ["part", "nth"]))
-    rows = spark.read.parquet(f"{path}/shards").drop("n_tokens", "ids", "counts").join(lists, ["part", "nth"])
+    rows = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").drop("n_tokens", "ids", "counts").join(lists, ["part", "nth"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 left, right, length, symbols = _arrays(row)
-                base = row["base"]
-                opened = expand(symbols, rule_table(left, right, length, base)) if whole else None
-                ends = None if whole else symbol_ends(symbols, length, base)
+                ends = symbol_ends(symbols, length, row["base"])
                 docs = sorted(row["docs"], key=lambda d: d["k"])
-                out = [opened[d["at"]:d["at"] + d["n_tokens"]] if whole else
-                       slice_of(symbols, left, right, length, base, ends, d["at"], d["n_tokens"]) for d in docs]
+                out = [slice_of(symbols, left, right, length, row["base"], ends, d["at"], d["n_tokens"]) for d in docs]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d["doc_id"] for d in docs], pa.int64()),
                      pa.array([row["first"] + d["at"] for d in docs], pa.int64()),
