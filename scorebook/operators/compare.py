@@ -347,10 +347,13 @@ def benjamini_hochberg(pairs: DataFrame, p_col: str = "p_raw", order_col: str =
         pairs, family = pairs.withColumn("_family", F.col(order_col) - F.col(order_col)), ["_family"]
     t = stored(with_tie_ranges(pairs, family, p_col, order_col, n_ranges), "step-up")
     part = [*family, "rng", "sub"]
-    size = carried(t, family, ["rng", "sub"], {"_before": F.lit(1).cast("long")}, how=F.sum)
-    total = t.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
+    per = t.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    of_family = Window.partitionBy(*family)
+    earlier = of_family.orderBy("rng", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    size = per.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                      F.sum("_n").over(of_family).alias("_m"))
     inside = Window.partitionBy(*part).orderBy(F.col(p_col).asc(), F.col(order_col).asc())
-    t = (t.withColumn("_nth", F.row_number().over(inside)).join(size, part).join(total, family)
+    t = (t.withColumn("_nth", F.row_number().over(inside)).join(size, part)
           .withColumn("_std", F.col(p_col) * F.col("_m") / (F.col("_before") + F.col("_nth")))
           .withColumn("_ref", F.col(p_col) * F.col("_m") / (F.col(order_col) + 1)))
     later = carried(t, family, ["rng", "sub"], {"_std_later": F.col("_std"), "_ref_later": F.col("_ref")},

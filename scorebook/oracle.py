@@ -456,11 +456,12 @@ SELECT DISTINCT model_name, prompt_id, model_name || ' / ' || prompt_id AS condi
 FROM er WHERE {NOTNULL}"""
 
 
-def heat_pivot_sql() -> str:
+def heat_pivot_sql(prompt: str | None = None) -> str:
+    only = f"WHERE prompt_id = {q(prompt)}" if prompt else ""
     cols = ", ".join(f"avg(CASE WHEN class = {q(x)} THEN f1 END) AS \"{x}\"" for x in LABELS)
     return f"""WITH {ER}, {CELLS}, {_counts_cte()}, pcm AS ({per_class_body()})
 SELECT {C}, {_short_sql('model_name')} || ' / ' || {_short_sql('prompt_id')} AS condition, {cols}
-FROM pcm GROUP BY {C}"""
+FROM pcm {only} GROUP BY {C}"""
 
 
 def bar_grid_sql() -> str:
@@ -786,3 +787,27 @@ SELECT {C}, CAST(to_json([{rows}]) AS VARCHAR) AS matrix FROM cc GROUP BY {C}"""
 def check_labels_sql() -> str:
     return """SELECT event_type AS label, coalesce(event_type IN ('click', 'view'), false) AS valid,
   count(*) AS n FROM events GROUP BY 1, 2"""
+
+
+def round_trip_sql() -> str:
+    return f"""WITH {ER}
+SELECT * REPLACE (CASE WHEN model_name = 'Api-B' THEN 'PDA' ELSE predicted_label END AS predicted_label) FROM er"""
+
+
+def live_counts_sql() -> str:
+    return rounded(f"""WITH {ER}
+SELECT {C}, true_label, coalesce(predicted_label, '{NONE_LABEL}') AS predicted_label, CAST(count(*) AS BIGINT) AS n,
+  CAST(sum(CAST(parse_success AS BIGINT)) AS BIGINT) AS n_parsed,
+  CAST(sum(cost_nano) AS DOUBLE) / 1e9 AS cost_usd
+FROM er WHERE {NOTNULL} GROUP BY {C}, true_label, coalesce(predicted_label, '{NONE_LABEL}')""", ["cost_usd"])
+
+
+def faulty_inference_sql() -> str:
+    from scorebook.sources.fixtures import FIXTURE_MODELS, FIXTURE_PROMPTS
+    conds = ", ".join(f"({q(mid)}, {q(p)})" for (_, _, mid, _, _, _) in FIXTURE_MODELS for (_, p) in FIXTURE_PROMPTS)
+    return f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS sample_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT sample_id, model_id, prompt_id,
+  CASE WHEN n % 5 IN (0, 1) THEN '' ELSE CAST(n AS VARCHAR) || ' bytes' END AS raw_output,
+  CAST(CASE WHEN n % 5 IN (0, 1) THEN NULL ELSE n END AS BIGINT) AS input_tokens,
+  CASE n % 5 WHEN 0 THEN 'ValueError: not a picture' WHEN 1 THEN 'Max retries exceeded: TimeoutError: busy' END AS error
+FROM d CROSS JOIN (VALUES {conds}) c(model_id, prompt_id)"""

@@ -248,6 +248,13 @@ def q_heat_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heat_pivot(q_per_class(spark, sf_dir), L, "f1", C)
 
 
+@register("heat_pivot_prompt", oracle.heat_pivot_sql("CoT"))
+def q_heat_pivot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prompt only."""
+    from scorebook.operators.figdata import heat_pivot
+    return heat_pivot(q_per_class(spark, sf_dir), L, "f1", C, prompt_filter="CoT")
+
+
 @register("bar_grid", oracle.bar_grid_sql())
 def q_bar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorebook.operators.figdata import bar_grid
@@ -400,6 +407,17 @@ def q_batched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.sum(F.expr("n div call_rows")).alias("n_calls"))
 
 
+@register("faulty_inference", oracle.faulty_inference_sql())
+def q_faulty_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predictor that fails by rule; every row is kept, with its answer or its error."""
+    from scorebook.operators.inference import batch_inference
+    from scorebook.testing import FaultyPredictor
+    out = batch_inference(_inference_rows(spark, sf_dir), FaultyPredictor, prompt_col="prompt_text", content_col="content",
+                          keep_cols=["sample_id", "model_id", "prompt_id"], model_col="model_id",
+                          max_retries=2, base_delay_s=0.0, is_transient=lambda e: isinstance(e, TimeoutError))
+    return out.select("sample_id", "model_id", "prompt_id", "raw_output", "input_tokens", "error")
+
+
 # --- step 5: row-weighted bootstrap -----------------------------------------------------
 POISSON_REPLICATES = 2000     # the operator's default
 
@@ -503,3 +521,47 @@ def q_check_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = check_labels(events, ["click", "view"], raise_on_invalid=False)
     both = good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
     return both.groupBy("label", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- tables written and read back: sinks, versions, the stream --------------------------------
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from scorebook.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scorebook/{name}-{uuid.uuid4().hex}"
+
+
+@register("results_round_trip", oracle.round_trip_sql())
+def q_results_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conditions written, one model's written again with other answers, read back."""
+    from scorebook.sources.results import write_results
+    er, path = eval_results(spark, sf_dir), _scratch(spark, "round-trip")
+    write_results(er, path)
+    write_results(er.filter("model_name = 'Api-B'").withColumn("predicted_label", F.lit("PDA")), path)
+    return spark.read.parquet(path).select(*er.columns)
+
+
+@register("versioned_results", oracle.round_trip_sql())
+def q_versioned_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as versions of a table: the second commit replaces the conditions that it holds."""
+    from scorebook.sources.versions import VersionedTable
+    er = eval_results(spark, sf_dir)
+    table = VersionedTable(spark, _scratch(spark, "versions"), C)
+    table.commit(er, "parts")
+    table.commit(er.filter("model_name = 'Api-B'").withColumn("predicted_label", F.lit("PDA")), "parts")
+    return table.read()
+
+
+@register("live_counts", oracle.live_counts_sql())
+def q_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of results, running counts published as versions."""
+    from scorebook.sources.fixtures import eval_results_from_events
+    from scorebook.sources.versions import VersionedTable
+    from scorebook.streaming.live import live_condition_counts, publish_available_now
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    results = eval_results_from_events(stream).withColumn("cost_usd", F.col("cost_nano") / 1e9)
+    table = VersionedTable(spark, _scratch(spark, "live"))
+    publish_available_now(live_condition_counts(results), _scratch(spark, "live-checkpoint"), table)
+    return round_cols(table.read(), ["cost_usd"])

@@ -51,6 +51,26 @@ class KeywordPredictor:
                 "output_tokens": len(answer) // 4, "cost_usd": 0.0, "latency_s": 0.0}
 
 
+class FaultyPredictor(EchoPredictor):
+    """Fails by the length of the content: of length 0 mod 5 for good, 1 mod 5 always for a while,
+    2 mod 5 at the first attempt; else it answers with the length."""
+
+    def __init__(self, name=None):
+        super().__init__(name)
+        self.tried = set()
+
+    def predict(self, content, prompt):
+        n = len(bytes(content))
+        if n % 5 == 0:
+            raise ValueError("not a picture")
+        key = (bytes(content), prompt)
+        if n % 5 == 1 or (n % 5 == 2 and key not in self.tried):
+            self.tried.add(key)
+            raise TimeoutError("busy")
+        self.tried.discard(key)
+        return {"raw_output": f"{n} bytes", "input_tokens": n}
+
+
 class KeywordBatchPredictor(KeywordPredictor):
     """The same answers, several rows a call; it has no call for a single row."""
 
