@@ -6,6 +6,9 @@ equal shares of the rows however the values are crowded.  A value that is a boun
 its own; ``copies`` says how many bounds it is, that is, its share of the rows, so that rows of one
 very frequent value can be dealt on (``with_tie_ranges``, or a salt where their order is open).
 
+The sketch depends on the order in which its parts are merged, so bounds are stored once, under
+``spark.checkpoint.dir``, and every step of a plan, and every task that runs again, reads the same ones.
+
 Ranges are numbered in the order of the values: a running sum, minimum or rank is one inside the
 range plus what the ranges before it carry, and a window over ranges has at most
 ``2 * n_ranges + 1`` rows a key.  Bounds reach the rows by an equi-join on the key; nothing is collected.
@@ -20,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorebook.session import stored
+
 LEAST_RANGES, MOST_RANGES = 64, 4096
 
 
@@ -54,10 +59,11 @@ def _below(value: Column, n_ranges: int, or_equal: bool) -> Column:
 def with_ranges(rows: DataFrame, key: Sequence[str], value: str, n_ranges: int | None = None,
                 rng: str = "rng", copies: str = "copies", sketch_of: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``rng`` (order of the value's range) and ``copies`` (number of bounds equal to
-    the value; 0 between bounds).  ``sketch_of``: rows to take the bounds from, if not ``rows``."""
+    the value; 0 between bounds).  ``sketch_of``: rows to take the bounds from, if not ``rows``; a key
+    without any has one range."""
     n = n_ranges or default_ranges(rows)
-    bounds = range_bounds(sketch_of if sketch_of is not None else rows, key, value, n)
-    found = rows.join(bounds, list(key)).withColumns(
+    bounds = stored(range_bounds(sketch_of if sketch_of is not None else rows, key, value, n), "range-bounds")
+    found = rows.join(bounds, list(key), "left").withColumns(
         {"_lo": _below(F.col(value), n, False), "_hi": _below(F.col(value), n, True)})
     same = F.col("_hi") - F.col("_lo")
     return found.select(*[F.col(f"`{c}`") for c in rows.columns],
@@ -83,8 +89,8 @@ def with_tie_ranges(rows: DataFrame, key: Sequence[str], value: str, tie: str,
     their integer ``tie`` column, so no (rng, sub) holds much more than a range's share."""
     n = n_ranges or default_ranges(rows)
     ranged = with_ranges(rows, key, value, n)
-    crowded = ranged.filter(F.col("copies") > 1).groupBy(*key, "rng").agg(
-        F.percentile_approx(tie, [i / n for i in range(1, n)], 10 * n).alias("_bounds"))
+    crowded = stored(ranged.filter(F.col("copies") > 1).groupBy(*key, "rng").agg(
+        F.percentile_approx(tie, [i / n for i in range(1, n)], 10 * n).alias("_bounds")), "tie-bounds")
     j = ranged.join(crowded, [*key, "rng"], "left")
     # of n - 1 quantiles every (n / copies)-th one counts
     part = F.floor(_below(F.col(tie), n, False) * F.col("copies") / F.lit(n)).cast("int")

@@ -17,6 +17,10 @@ from scorebook.operators.calibration import AUC_RANGES, complete_prob_rows
 from scorebook.operators.ranges import carried, with_ranges
 
 
+#: One distinct score in so many, chosen by its hash, goes into the sketch of the score ranges.
+SKETCH_SHARE = 8
+
+
 def score_ties(rows: DataFrame, k: int, group_cols: Sequence[str]) -> DataFrame:
     """(C.., k, score, pos, neg): rows per distinct score of each one-vs-rest class."""
     per_class = F.array(*[
@@ -32,8 +36,10 @@ def prefix_below(ties: DataFrame, key: Sequence[str], n_ranges: int | None = AUC
     """Add ``pos_below`` / ``neg_below``, counts at strictly lower scores in the same key.
 
     Ranges of scores that hold equal shares of a key's distinct scores, wherever these crowd; what
-    earlier ranges carry, plus a running sum inside the range."""
-    t = with_ranges(ties, key, "score", n_ranges).drop("copies")
+    earlier ranges carry, plus a running sum inside the range.  The ranges' bounds are computed
+    and stored when the plan is built."""
+    some = ties.filter(F.pmod(F.xxhash64("score"), F.lit(SKETCH_SHARE)) == 0)
+    t = with_ranges(ties, key, "score", n_ranges, sketch_of=some).drop("copies")
     before = carried(t, key, ["rng"], {"pos_before": F.col("pos"), "neg_before": F.col("neg")})
     ws = (Window.partitionBy(*key, "rng").orderBy("score")
           .rowsBetween(Window.unboundedPreceding, -1))

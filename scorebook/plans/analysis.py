@@ -6,8 +6,9 @@ cell table is persisted once because every count-based output reads it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,17 @@ class Analysis:
     confusion_cells: DataFrame          # K x K grid per condition, zeros included
     cells_all: DataFrame                # every observed cell incl. __NONE__ / foreign
     bootstrap_cis: DataFrame | None = None
-    mcnemar_results: DataFrame | None = None
     calibration: DataFrame | None = None
     reliability: DataFrame | None = None
     auc_per_class: DataFrame | None = None
     group_cols: tuple = tuple(DEFAULT_GROUP_COLS)
     _persisted: list = None
+    _mcnemar: Callable[[], DataFrame] | None = None
+
+    @cached_property
+    def mcnemar_results(self) -> DataFrame | None:
+        """The pair tests; their pair table is counted and stored when this is first asked for."""
+        return self._mcnemar() if self._mcnemar else None
 
     def release(self) -> None:
         """Unpersist the small tables the analysis cached (summary, per-class AUC)."""
@@ -156,7 +162,7 @@ def run_full_analysis(results: DataFrame | str,
                                           metrics_table=metrics)
     if with_mcnemar:
         from scorebook.operators.compare import pairwise_mcnemar
-        out.mcnemar_results = pairwise_mcnemar(
+        out._mcnemar = lambda: pairwise_mcnemar(
             results, group_cols, conditions=summary.select(*group_cols).distinct())
     return out
 
