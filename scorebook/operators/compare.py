@@ -406,7 +406,8 @@ def pairwise_mcnemar(results: DataFrame, group_cols: Sequence[str],
         .otherwise(chi2_sf_1df("chi2"))
     if round_p is not None:
         p = F.round(p, round_p)
-    pairs = pairs.withColumn("p_raw", p)
+    # the tail function is a large expression: evaluated once, not in each step of the correction
+    pairs = stored(pairs.withColumn("p_raw", p), "pair-tests")
     out = significance_flags(benjamini_hochberg(pairs))
     return out.select("condition_a", "condition_b", "n_shared", "b_count", "c_count", "chi2",
                       "p_raw", "p_bh", "p_bh_ref", "significant_05", "significant_01",
