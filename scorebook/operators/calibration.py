@@ -12,8 +12,8 @@ class plus a fine prefix inside each range.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,11 +108,30 @@ def bin_index(conf: Column | str, n_bins: int) -> Column:
     return expr.otherwise(F.lit(n_bins - 1))
 
 
-@dataclass
 class CalibrationTables:
-    calibration: DataFrame   # C, ece, mce, brier_score, roc_auc, n_calibration_samples
-    reliability: DataFrame   # C, bin, bin_mid, frac_correct, count
-    auc_per_class: DataFrame  # C, class, auc, n_pos, n_neg
+    """The calibration tables; those with an AUC are planned when first asked for, since their
+    score ranges are computed and stored then."""
+
+    def __init__(self, base: DataFrame, reliability: DataFrame, per_class: Callable[[], DataFrame],
+                 k: int, group_cols: Sequence[str]) -> None:
+        self._base, self._per_class, self._k, self._group_cols = base, per_class, k, list(group_cols)
+        self.reliability = reliability   # C, bin, bin_mid, frac_correct, count
+
+    @cached_property
+    def _auc(self) -> DataFrame:
+        return self._per_class()
+
+    @cached_property
+    def auc_per_class(self) -> DataFrame:
+        """C, class, auc, n_pos, n_neg."""
+        return self._auc.drop("k")
+
+    @cached_property
+    def calibration(self) -> DataFrame:
+        """C, ece, mce, brier_score, roc_auc, n_calibration_samples."""
+        macro = macro_auc(self._auc, self._k, self._group_cols)
+        return self._base.join(macro, self._group_cols, "left").select(
+            *self._group_cols, "ece", "mce", "brier_score", "roc_auc", "n_calibration_samples")
 
 
 def brier_term_sql(k: int) -> str:
@@ -243,11 +262,8 @@ def calibration_metrics(results: DataFrame, prob_cols: dict[str, str],
     rows = complete_prob_rows(results, prob_cols, group_cols)
     summary = bin_summary(rows, len(labels), group_cols, n_bins)
     base, rel = calibration_from_summary(summary, len(labels), group_cols, n_bins)
-    apc = auc_per_class(rows, labels, group_cols, n_ranges)
-    mauc = macro_auc(apc, len(labels), group_cols)
-    cal = base.join(mauc, list(group_cols), "left").select(
-        *group_cols, "ece", "mce", "brier_score", "roc_auc", "n_calibration_samples")
-    return CalibrationTables(cal, rel.drop("avg_confidence"), apc.drop("k"))
+    return CalibrationTables(base, rel.drop("avg_confidence"),
+                             lambda: auc_per_class(rows, labels, group_cols, n_ranges), len(labels), group_cols)
 
 
 def roc_auc_table(results: DataFrame, prob_cols: dict[str, str],
