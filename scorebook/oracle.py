@@ -651,7 +651,7 @@ FROM reps GROUP BY model_name, prompt_id"""
                            "accuracy_ci_upper"])
 
 
-def bootstrap_weighted_sql(n_boot: int, seed: int = 42) -> str:
+def bootstrap_weighted_sql(n_boot: int, seed: int = 42, in_full: bool = False) -> str:
     """Brier score, ECE and macro AUC of the weighted rows, with one window per class."""
     from scorebook.operators.bootstrap import POISSON1_CDF
     key = f"sample_id || '|' || CAST(r.replicate AS VARCHAR) || '|' || '{seed}'"
@@ -683,14 +683,14 @@ au AS (SELECT {C}, replicate, ({" + ".join(f"max(CASE WHEN k = {i} THEN auc END)
   FROM ak GROUP BY {C}, replicate)
 SELECT br.model_name, br.prompt_id, br.replicate, brier_score, coalesce(gaps, 0.0) / n AS ece, roc_auc
 FROM br LEFT JOIN ec USING ({C}, replicate) LEFT JOIN au USING ({C}, replicate)"""
-    return rounded(inner, ["brier_score", "ece"])
+    return inner if in_full else rounded(inner, ["brier_score", "ece"])
 
 
 def bootstrap_cis_weighted_sql(n_boot: int) -> str:
     cols = ", ".join(f"quantile_cont({m}, {s}) AS {m}_ci_{n}" for m in ("brier_score", "ece", "roc_auc")
                      for s, n in ((0.025, "lower"), (0.975, "upper")))
-    return rounded(f"SELECT {C}, {cols} FROM ({bootstrap_weighted_sql(n_boot)}) t GROUP BY {C}",
-                   [f"{m}_ci_{n}" for m in ("brier_score", "ece", "roc_auc") for n in ("lower", "upper")], 8)
+    return rounded(f"SELECT {C}, {cols} FROM ({bootstrap_weighted_sql(n_boot, in_full=True)}) t GROUP BY {C}",
+                   [f"{m}_ci_{n}" for m in ("brier_score", "ece", "roc_auc") for n in ("lower", "upper")])
 
 
 # --- more figure tables and set operations ---------------------------------------------

@@ -451,7 +451,7 @@ def q_bootstrap_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_bootstrap_cis_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorebook.operators.bootstrap import bootstrap_cis_weighted
     out = bootstrap_cis_weighted(eval_results(spark, sf_dir), PROB_COLS, C, WEIGHTED_REPLICATES)
-    return round_cols(out, [c for c in out.columns if c not in C], 8)
+    return round_cols(out, [c for c in out.columns if c not in C])
 
 
 # --- more figure tables, set operations --------------------------------------------------
