@@ -254,3 +254,20 @@ def test_radix_ranks(spark):
 
 def radix_ranks_of(df, keys):
     return sorted(radix_resample.radix_ranks(df, keys, block=64).collect(), key=lambda r: r["rank"])
+
+
+# --- 3 --------------------------------------------------------------------------------
+
+def test_token_counts_of_long_white_space_and_padded_files():
+    import json
+
+    from scorebook.llm import token_cache
+    from tokenizers import Tokenizer
+    with open(P.path("byte_bpe_50k.json"), "rb") as f:
+        body = f.read()
+    spec = json.loads(body)
+    spec["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+    texts = [" " * 1_000_000 + "x", "a" + "\n" * 5000 + "b c", "one two three four five", "é　d"]
+    want = [len(Tokenizer.from_str(body.decode()).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert token_cache.make_counter("json", body)(texts) == want
+    assert token_cache.make_counter("json", json.dumps(spec).encode())(texts) == want
