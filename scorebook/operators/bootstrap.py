@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorebook.config import NONE_LABEL
+from scorebook.operators.draws import POISSON1_CDF, poisson_draws
 
 SUPPORTED = ("macro_f1", "accuracy")
 
@@ -146,21 +147,6 @@ def bootstrap_cis(cells: DataFrame, labels: Sequence[str], group_cols: Sequence[
 
 # --- B2: row-weighted Poisson bootstrap -------------------------------------------------
 
-def _poisson1_cdf(max_k: int = 18) -> list[float]:
-    """P(X <= k) for X ~ Poisson(1), k = 0..max_k (the tail beyond is < 1e-16)."""
-    import math
-    out, term, acc = [], math.exp(-1.0), 0.0
-    for k in range(max_k + 1):
-        if k > 0:
-            term /= k
-        acc += term
-        out.append(acc)
-    return out
-
-
-POISSON1_CDF = _poisson1_cdf()
-
-
 def uniform_from_key(key) -> "F.Column":
     """Uniform in [0, 1) from the first 52 bits of md5(key): the same value in any
     engine that has md5, so the weights can be recomputed independently."""
@@ -176,16 +162,88 @@ def poisson1_weight(u) -> "F.Column":
     return expr.otherwise(F.lit(len(POISSON1_CDF))).cast("long")
 
 
+#: Sums that a task holds before it hands them on, and rows of a window, in bytes.
+HELD_BYTES, WINDOW_BYTES = 1 << 26, 1 << 26
+#: So many draws add up in 16 bits.
+SHORT_ROWS = 3000
+
+
+def _codes(table: pa.Table, cols: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
+    """(number of each row's combination of ``cols``, the combinations)."""
+    code = np.zeros(table.num_rows, np.int64)
+    for c in cols:
+        d = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = code * max(1, len(d.dictionary)) + d.indices.to_numpy(zero_copy_only=False)
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    combinations = table.select(list(cols)).take(pa.array(first)).to_pydict()
+    return number, list(zip(*(combinations[c] for c in cols)))
+
+
+def _draws_of(table: pa.Table, first: int, last: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(each row's number among the ids, the draws of those ids)."""
+    ids = table.column("_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    return (ids.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+            poisson_draws(ids.dictionary.to_pylist(), first, last, seed))
+
+
+def _stretches(number: np.ndarray):
+    """(value, rows) for each value of ``number``."""
+    order = np.argsort(number, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(number[order]) != 0, [True]])) if len(order) else np.zeros(1, int)
+    for a, b in zip(edge, edge[1:]):
+        yield int(number[order[a]]), order[a:b]
+
+
+def _cell_sums(outcome: Sequence[str], n_bootstrap: int, seed: int):
+    """Rows (_id, outcome, _m) to (outcome, n): per outcome an array of the replicates' sums of draw
+    times ``_m``; an outcome may be handed on several times."""
+    def run(batches):
+        schema, held, size = None, {}, 0
+
+        def handed_on():
+            keys = list(zip(*held)) if held else [()] * len(outcome)
+            arrays = [pa.array(list(k), schema.field(c).type) for c, k in zip(outcome, keys)]
+            sums = np.array(list(held.values()))
+            arrays.append(pa.ListArray.from_arrays(
+                pa.array(np.arange(0, sums.size + 1, n_bootstrap), pa.int32()), pa.array(sums.reshape(-1))))
+            return pa.RecordBatch.from_arrays(arrays, names=[*outcome, "n"])
+        for batch in batches:
+            schema = batch.schema
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            at, draws = _draws_of(table, 0, n_bootstrap, seed)
+            draws = draws.astype(np.uint16)
+            number, keys = _codes(table, outcome)
+            times = table.column("_m").to_numpy()
+            for k, rows in _stretches(number):
+                if keys[k] not in held:
+                    held[keys[k]] = np.zeros(n_bootstrap, np.int64)
+                m, own = times[rows], at[rows]
+                once = own[m == 1]
+                for s in range(0, len(once), SHORT_ROWS):
+                    held[keys[k]] += draws[once[s:s + SHORT_ROWS]].sum(axis=0, dtype=np.uint16)
+                if len(once) < len(own):
+                    held[keys[k]] += m[m != 1] @ draws[own[m != 1]].astype(np.int64)
+            size = len(held) * n_bootstrap * 8
+            if size > HELD_BYTES:
+                yield handed_on()
+                held = {}
+        if held:
+            yield handed_on()
+    return run
+
+
 def poisson_replicates(results: DataFrame, labels: Sequence[str], group_cols: Sequence[str],
                        n_bootstrap: int = 2000, seed: int = 42,
                        id_col: str = "sample_id") -> DataFrame:
     """B2: replicate r gives row i the weight Poisson(1) drawn from md5(id|r|seed).
 
     The weight depends on the sample id, not the condition, so all conditions are
-    resampled together (paired) and a weight is drawn once per (id, replicate): the rows of
-    an id are first counted per (condition, truth, prediction), a list bounded by conditions
-    and labels, and expanded after the draw.  Weighted rows are aggregated straight into
-    per-replicate cells (map-side combined), and the count-based metric code runs on
+    resampled together (paired).  The rows of an id are first counted per (condition, truth,
+    prediction) and brought together, so that a weight is drawn once per (id, replicate); a task
+    draws the replicates of a batch of ids at once and adds them to its cells, an array of
+    replicates each.  Only the cells are shuffled, and the count-based metric code runs on
     them with ``replicate`` as an extra grouping column."""
     from scorebook.operators.cells import drop_null_keys, prediction_or_none
     from scorebook.operators.metrics import condition_counts, metrics_from_counts
@@ -193,16 +251,13 @@ def poisson_replicates(results: DataFrame, labels: Sequence[str], group_cols: Se
         *group_cols, F.col(id_col).cast("string").alias("_id"), "true_label",
         prediction_or_none().alias("predicted_label"))
     outcome = [*group_cols, "true_label", "predicted_label"]
-    per_id = (rows.groupBy("_id", *outcome).agg(F.count(F.lit(1)).alias("_m"))
-                  .groupBy("_id").agg(F.collect_list(F.struct(*outcome, "_m")).alias("_rows")))
-    rep = F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("replicate")
-    key = F.concat_ws("|", F.col("_id"), F.col("replicate").cast("string"), F.lit(str(seed)))
-    drawn = (per_id.select("_id", "_rows", rep)
-                   .select("_rows", "replicate", poisson1_weight(uniform_from_key(key)).alias("w"))
-                   .filter(F.col("w") > 0))
-    cells = (drawn.select("replicate", "w", F.inline("_rows"))
-                  .groupBy(*group_cols, "replicate", "true_label", "predicted_label")
-                  .agg(F.sum(F.col("w") * F.col("_m")).alias("n")))
+    per_id = rows.groupBy("_id", *outcome).agg(F.count(F.lit(1)).alias("_m")) \
+        .repartition("_id").sortWithinPartitions("_id")
+    fields = ", ".join(f"`{c}` {per_id.schema[c].dataType.simpleString()}" for c in outcome)
+    sums = per_id.mapInArrow(_cell_sums(outcome, n_bootstrap, seed), f"{fields}, n array<long>")
+    cells = (sums.select(*outcome, F.posexplode("n").alias("replicate", "w")).filter(F.col("w") > 0)
+                 .groupBy(*group_cols, "replicate", "true_label", "predicted_label")
+                 .agg(F.sum("w").alias("n")))
     keys = [*group_cols, "replicate"]
     counts = condition_counts(cells, labels, keys, with_chance=False)
     m = metrics_from_counts(counts.withColumn("s_chance", F.lit(0).cast("decimal(38,0)")),
