@@ -283,17 +283,19 @@ class WeightedMetric:
     ``sums``: name -> aggregate of the row columns and the weight column ``w`` (a sum, or any
     other mergeable aggregate); ``by``: row columns that split a replicate into parts first, with
     ``parts`` (name -> aggregate over the parts) after; ``value``: the metric from the last names.
-    Rows of weight 0 are not there."""
+    Rows of weight 0 are not there.  ``terms``: if every one of the ``sums`` is a sum of ``w`` times a
+    row column (null: 1), those columns by name; the sums are then taken for a block of replicates at once."""
     sums: dict[str, Column]
     value: Column
     by: tuple[str, ...] = ()
     parts: dict[str, Column] = field(default_factory=dict)
+    terms: dict[str, str | None] | None = None
 
 
 def weighted_brier(k: int) -> WeightedMetric:
     """A17 on weighted rows: sum of w * sq / (k * sum of w)."""
     return WeightedMetric({"ws": F.sum(F.col("w") * F.col("sq")), "wn": F.sum("w")},
-                          F.col("ws") / (F.col("wn") * F.lit(k)))
+                          F.col("ws") / (F.col("wn") * F.lit(k)), terms={"ws": "sq", "wn": None})
 
 
 def weighted_ece() -> WeightedMetric:
@@ -302,7 +304,8 @@ def weighted_ece() -> WeightedMetric:
     return WeightedMetric(
         {"wn": F.sum("w"), "wc": F.sum(F.col("w") * F.col("conf")), "wok": F.sum(F.col("w") * F.col("correct"))},
         F.coalesce(F.col("gaps"), F.lit(0.0)) / F.col("all"), ("bin",),
-        {"all": F.sum("wn"), "gaps": F.sum(F.when(F.col("bin").isNotNull(), gap * F.col("wn")))})
+        {"all": F.sum("wn"), "gaps": F.sum(F.when(F.col("bin").isNotNull(), gap * F.col("wn")))},
+        {"wn": None, "wc": "conf", "wok": "correct"})
 
 
 def drawn_weights(rows: DataFrame, id_col: str, n_bootstrap: int, seed: int, block_size: int) -> DataFrame:
@@ -332,54 +335,189 @@ def weighted_metric_replicates(drawn: DataFrame, group_cols: Sequence[str],
     for by in dict.fromkeys(m.by for m in metrics.values()):
         mine = {n: m for n, m in metrics.items() if m.by == by}
         agg = wide.groupBy(*keys, *by).agg(*[v.alias(f"{n}:{s}") for n, m in mine.items() for s, v in m.sums.items()])
-        values = []
-        for n, m in mine.items():
-            one = agg.select(*keys, *by, *[F.col(f"`{n}:{s}`").alias(s) for s in m.sums])
-            if by:
-                one = one.groupBy(*keys).agg(*[v.alias(s) for s, v in m.parts.items()])
-            values.append(one.select(*keys, m.value.alias(n)))
-        for v in values:
-            out = v if out is None else out.join(v, keys, "full")
+        out = _with_values(out, agg, keys, by, mine)
     return out
 
 
+def _with_values(out: DataFrame | None, agg: DataFrame, keys: Sequence[str], by: Sequence[str],
+                 metrics: dict[str, WeightedMetric]) -> DataFrame:
+    """``out`` and the values of ``metrics``, whose sums are the columns ``metric:sum`` of ``agg``."""
+    for n, m in metrics.items():
+        one = agg.select(*keys, *by, *[F.col(f"`{n}:{s}`").alias(s) for s in m.sums])
+        if by:
+            one = one.groupBy(*keys).agg(*[v.alias(s) for s, v in m.parts.items()])
+        v = one.select(*keys, m.value.alias(n))
+        out = v if out is None else out.join(v, list(keys), "full")
+    return out
+
+
+def _windows(batches, reps: int):
+    """Tables of several batches, bounded by the bytes of their rows' draws."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes + batch.num_rows * reps // 4
+        if size > WINDOW_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _term_sums(part: Sequence[str], terms: Sequence[str], first: int, last: int, seed: int):
+    """Rows to (part, _w, terms): per part of a window, the replicates' sums of the draws and of the
+    draws times each term."""
+    def run(batches):
+        for table in _windows(batches, last - first):
+            at, draws = _draws_of(table, first, last, seed)
+            number, keys = _codes(table, part)
+            values = np.column_stack([np.ones(table.num_rows), *(table.column(c).to_numpy() for c in terms)]).astype(np.float64)
+            found, sums = [], []
+            for k, rows in _stretches(number):
+                total = np.zeros((values.shape[1], last - first))
+                for s in range(0, len(rows), SHORT_ROWS):
+                    some = rows[s:s + SHORT_ROWS]
+                    drawn, mine = draws[at[some]].astype(np.float64), values[some]
+                    odd = ~np.isfinite(mine).all(axis=1)
+                    for w, v in zip(drawn[odd], mine[odd]):     # a row of weight 0 is not there
+                        total[:, w > 0] += v[:, None] * w[w > 0]
+                    total += mine[~odd].T @ drawn[~odd]
+                found.append(keys[k])
+                sums.append(total)
+            arrays = [pa.array([k[i] for k in found], table.schema.field(c).type) for i, c in enumerate(part)]
+            ends = pa.array(np.arange(0, len(found) * (last - first) + 1, last - first), pa.int32())
+            arrays += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([t[j] for t in sums])))
+                       for j in range(values.shape[1])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*part, "_w", *terms])
+    return run
+
+
+def weighted_sum_replicates(rows: DataFrame, group_cols: Sequence[str], metrics: dict[str, WeightedMetric],
+                            n_bootstrap: int, seed: int, block_size: int) -> DataFrame:
+    """:func:`weighted_metric_replicates` for metrics that have ``terms``.  ``rows`` with ``_id``, those of
+    an id together; only the sums, an array of replicates per part, are shuffled."""
+    keys = [*group_cols, "replicate"]
+    out = None
+    for by in dict.fromkeys(m.by for m in metrics.values()):
+        mine = {n: m for n, m in metrics.items() if m.by == by}
+        part = [*group_cols, *by]
+        terms = list(dict.fromkeys(t for m in mine.values() for t in m.terms.values() if t))
+        fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in part)
+        schema = ", ".join([fields, *(f"`{c}` array<double>" for c in ("_w", *terms))])
+        src = rows.select("_id", *dict.fromkeys([*part, *terms]))
+        blocks = None
+        for first in range(0, n_bootstrap, block_size):
+            last = min(first + block_size, n_bootstrap)
+            sums = src.mapInArrow(_term_sums(part, terms, first, last, seed), schema)
+            flat = sums.select(*part, F.posexplode(F.arrays_zip("_w", *terms)).alias("_k", "_v")).filter("_v._w > 0") \
+                .select(*part, (F.col("_k") + first).alias("replicate"), "_v.*")
+            blocks = flat if blocks is None else blocks.unionByName(flat)
+        # weights are whole numbers, and so are sums of weights
+        agg = blocks.groupBy(*keys, *by).agg(*[
+            (F.sum(t) if t else F.sum(F.col("_w").cast("long"))).alias(f"{n}:{s}")
+            for n, m in mine.items() for s, t in m.terms.items()])
+        out = _with_values(out, agg, keys, by, mine)
+    return out
+
+
+def _score_sums(key: Sequence[str], k: int, first: int, last: int, seed: int):
+    """Rows to (key, k, score, pos, first, ws): per distinct score of a class in a window, the sums of
+    the draws of its positive and of its negative rows, unsigned little-endian numbers."""
+    def run(batches):
+        reps = last - first
+        for table in _windows(batches, reps):
+            at, draws = _draws_of(table, first, last, seed)
+            group, names = _codes(table, key)
+            truth = table.column("true_idx").to_numpy()
+            columns = [pa.array([n[i] for n in names], table.schema.field(c).type) for i, c in enumerate(key)]
+            for i in range(k):
+                score = table.column(f"p{i}").to_numpy() + 0.0      # no negative zero
+                pos = (truth == i).astype(np.int8)
+                order = np.lexsort((pos, score, group))
+                g, s, p = group[order], score[order], pos[order]
+                new = (np.diff(g) != 0) | (np.diff(p) != 0) | ((s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1])))
+                edge = np.flatnonzero(np.concatenate([[True], new, [True]]))
+                a = 0
+                while a < len(edge) - 1:        # some scores at a time, of at most SHORT_ROWS rows together or one
+                    b = max(a + 1, int(np.searchsorted(edge, edge[a] + SHORT_ROWS, side="right")) - 1)
+                    own = draws[at[order[edge[a]:edge[b]]]]
+                    if b - a == len(own):
+                        sums = own
+                    elif b == a + 1:
+                        sums = own.sum(axis=0, dtype=np.int64)[None, :]
+                    else:
+                        sums = np.add.reduceat(own.astype(np.int32), edge[a:b] - edge[a], axis=0)
+                    width = np.uint8 if sums.max(initial=0) < 256 else np.dtype("<u4")
+                    data = sums.astype(width).tobytes()
+                    at_row = edge[a:b]
+                    ends = np.arange(b - a + 1, dtype=np.int32) * (reps * np.dtype(width).itemsize)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.take(pa.array(g[at_row])) for c in columns), pa.array(np.full(b - a, i, np.int32)),
+                         pa.array(s[at_row]), pa.array(p[at_row].astype(np.int32)),
+                         pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(data)])],
+                        names=[*key, "k", "score", "pos", "ws"])
+                    a = b
+    return run
+
+
+#: Sums of draws whose pairs are counted at once.
+PAIR_SUMS = 1 << 20
+
+
 def _pair_sums(key: Sequence[str]):
     """Per range of scores and block of replicates: weighted positives and negatives, and twice the
     pairs of a positive above a negative plus the tied ones, inside the range."""
     def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        weights = table.column("ws").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        weights = weights.reshape(n, -1).astype(np.int64)
         score = table.column("score").to_numpy()
-        pos = table.column("pos").to_numpy().astype(np.int64)[:, None]
         order = np.argsort(score, kind="stable")
-        score, weights, pos = score[order], weights[order], pos[order]
-        edge = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
-        p, q = np.add.reduceat(weights * pos, edge), np.add.reduceat(weights * (1 - pos), edge)
-        below = np.cumsum(q, axis=0) - q
-        reps = weights.shape[1]
+        score = score[order]
+        pos = table.column("pos").to_numpy().astype(np.int64)[order][:, None]
+        edge = np.flatnonzero(np.concatenate([[True], (score[1:] != score[:-1]) & ~np.isnan(score[:-1])]))
+        reps = table.column("reps")[0].as_py()
+        held = table.column("ws").combine_chunks().take(pa.array(order)).to_pylist()
+        wide = [len(b) > reps for b in held]
+        same = np.frombuffer(b"".join(held), "<u4" if wide[0] else np.uint8).reshape(-1, reps) if len(set(wide)) == 1 else None
+        out = [[], [], []]
+        step = max(1, PAIR_SUMS // len(held))
+        for s in range(0, reps, step):
+            n = min(step, reps - s)
+            w = same[:, s:s + n].astype(np.int64) if same is not None else np.array([
+                np.frombuffer(b, "<u4" if big else np.uint8)[s:s + n] for b, big in zip(held, wide)], np.int64)
+            p, q = np.add.reduceat(w * pos, edge), np.add.reduceat(w * (1 - pos), edge)
+            below = np.cumsum(q, axis=0) - q
+            for o, v in zip(out, (p.sum(axis=0), q.sum(axis=0), (p * (2 * below + q)).sum(axis=0))):
+                o.append(v)
         first = table.column("first")[0].as_py()
         cols = {c: pa.array([table.column(c)[0].as_py()] * reps, table.schema.field(c).type) for c in key}
         cols["replicate"] = pa.array(np.arange(first, first + reps), pa.int32())
-        cols |= {"p": pa.array(p.sum(axis=0)), "q": pa.array(q.sum(axis=0)),
-                 "u2": pa.array((p * (2 * below + q)).sum(axis=0))}
+        cols |= {c: pa.array(np.concatenate(o)) for c, o in zip(("p", "q", "u2"), out)}
         return pa.table(cols)
     return run
 
 
-def weighted_auc_replicates(drawn: DataFrame, k: int, group_cols: Sequence[str], n_ranges: int) -> DataFrame:
+def weighted_auc_replicates(rows: DataFrame, k: int, group_cols: Sequence[str], n_ranges: int,
+                            n_bootstrap: int, seed: int, block_size: int) -> DataFrame:
     """group, replicate, roc_auc: macro one-vs-rest AUC of the weighted rows, exact in integers.
 
-    Each class's rows go to ranges of scores of equal shares; a score that is a bound by itself is a
+    ``rows`` with ``_id``, those of an id together.  A task adds the draws of rows of equal scores; the
+    sums go to ranges of scores of equal shares; a score that is a bound by itself is a
     range of ties and is dealt on by a salt, its parts being added before they are used.  A range
     gives, per replicate, its weighted positives, negatives and pairs; the negatives of lower
     ranges are a running sum over at most ``2 * n_ranges + 1`` rows."""
     from scorebook.operators.ranges import with_ranges
-    each = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"p{i}").alias("score"),
-                              (F.col("true_idx") == i).cast("int").alias("pos")) for i in range(k)])
-    base = drawn.select(*group_cols, "first", "ws", F.inline(each))
+    src = rows.select("_id", *group_cols, "true_idx", *[f"p{i}" for i in range(k)])
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in group_cols)
+    base = None
+    for first in range(0, n_bootstrap, block_size):
+        last = min(first + block_size, n_bootstrap)
+        one = src.mapInArrow(_score_sums(list(group_cols), k, first, last, seed),
+                             f"{fields}, k int, score double, pos int, ws binary") \
+            .withColumns({"first": F.lit(first), "reps": F.lit(last - first)})
+        base = one if base is None else base.unionByName(one)
     key = [*group_cols, "k"]
-    ranged = with_ranges(base, key, "score", n_ranges, sketch_of=base.filter("first = 0").select(*key, "score"))
+    each = F.array(*[F.struct(F.lit(i).alias("k"), (F.col(f"p{i}") + 0.0).alias("score")) for i in range(k)])
+    ranged = with_ranges(base, key, "score", n_ranges, sketch_of=rows.select(*group_cols, F.inline(each)))
     # by the row's own weights, so that a task run again deals its rows alike
     ranged = ranged.withColumn("salt", F.when(F.col("copies") > 1, F.pmod(
         F.xxhash64("ws"), F.col("copies"))).otherwise(0).cast("int"))
@@ -424,14 +562,26 @@ def weighted_replicates(results: DataFrame, prob_cols: dict[str, str], group_col
     if metrics is None:
         metrics = {"brier_score": weighted_brier(k), "ece": weighted_ece()}
     rows = complete_prob_rows(results, prob_cols, group_cols, keep=[id_col]).filter(F.col(id_col).isNotNull())
-    rows = rows.withColumn(id_col, F.col(id_col).cast("string")).withColumns(binned_columns(k, n_bins))
-    drawn = stored(drawn_weights(rows, id_col, n_bootstrap, seed, block_size), "bootstrap-weights")
+    rows = rows.withColumn(id_col, F.col(id_col).cast("string"))
+    binned = binned_columns(k, n_bins)
+    together = rows.withColumnRenamed(id_col, "_id").repartition("_id").sortWithinPartitions("_id")
     keys = [*group_cols, "replicate"]
-    out = weighted_metric_replicates(drawn, group_cols, metrics) if metrics else None
+    summed = {n: m for n, m in metrics.items() if m.terms is not None}
+    own = {n: m for n, m in metrics.items() if m.terms is None}
+    found = []
+    if summed:
+        found.append(weighted_sum_replicates(together.withColumns(binned), group_cols, summed, n_bootstrap, seed, block_size))
+    if own:
+        drawn = stored(drawn_weights(rows.withColumns(binned), id_col, n_bootstrap, seed, block_size), "bootstrap-weights")
+        found.append(weighted_metric_replicates(drawn, group_cols, own))
     if with_auc:
-        auc = weighted_auc_replicates(drawn, k, group_cols, n_ranges or default_ranges(drawn))
-        out = auc if out is None else out.join(auc, keys, "full")
-    return out.withColumn("replicate", F.col("replicate").cast("int"))
+        found.append(weighted_auc_replicates(together, k, group_cols, n_ranges or default_ranges(rows),
+                                             n_bootstrap, seed, block_size))
+    out = found[0]
+    for other in found[1:]:
+        out = out.join(other, keys, "full")
+    columns = [*metrics, *(["roc_auc"] if with_auc else [])]
+    return out.select(*group_cols, F.col("replicate").cast("int").alias("replicate"), *columns)
 
 
 def bootstrap_cis_weighted(results: DataFrame, prob_cols: dict[str, str], group_cols: Sequence[str],

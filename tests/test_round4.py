@@ -45,3 +45,39 @@ def test_poisson_replicates_expand_no_rows_by_replicates(spark, monkeypatch):
         w = np.array([draw(x[0], r) for x in rows if x[3] and x[4] == p])
         ok = np.array([x[1] == x[2] for x in rows if x[3] and x[4] == p])
         assert acc == (w * ok).sum() / w.sum()
+
+
+SCHEMA = "sample_id string, true_label string, model_name string, prompt_id string, " + ", ".join(f"prob_{x} double" for x in LABELS)
+
+
+def test_weighted_sums_by_windows(spark, monkeypatch):
+    """Brier, ECE and AUC from draws summed per window: no row per replicate, none stored; an infinite
+    probability counts only where its row is drawn, and -0.0 ties with 0.0."""
+    monkeypatch.setattr(B, "WINDOW_BYTES", 1)
+    monkeypatch.setattr(B, "SHORT_ROWS", 2)
+    monkeypatch.setattr(B, "PAIR_SUMS", 8)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(80):
+        p = rng.integers(0, 5, 4) / 4.0
+        rows.append((f"s{i % 60}", LABELS[rng.integers(0, 4)], "m", "p", *(float(-0.0 if i % 2 and x == 0 else x) for x in p)))
+    rows.append(("big", "ASD", "m", "p", float("inf"), 0.0, 0.0, 0.0))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    probs = {x: f"prob_{x}" for x in LABELS}
+    out = B.weighted_replicates(df, probs, C, n_bootstrap=17, block_size=6, n_ranges=5)
+    assert "posexplode(ws" not in plan_of(out)
+    got = {r.replicate: r for r in out.collect()}
+    assert set(got) == set(range(17))
+    for r, x in got.items():
+        w = np.array([draw(row[0], r) for row in rows])
+        p, t = np.array([row[4:] for row in rows]), np.array([LABELS.index(row[1]) for row in rows])
+        own = w > 0
+        sq = ((p - np.eye(4)[t]) ** 2).sum(axis=1)
+        want = (w[own] * sq[own]).sum() / (w.sum() * 4)
+        assert x.brier_score == want or abs(x.brier_score - want) < 1e-12
+        auc = []
+        for k in range(4):
+            P, Q, s = (t == k) * w, (t != k) * w, p[:, k]
+            above = (s[:, None] > s[None, :]) + 0.5 * (s[:, None] == s[None, :])
+            auc.append((P[:, None] * Q[None, :] * above).sum() / (P.sum() * Q.sum()))
+        assert abs(x.roc_auc - sum(auc) / 4) < 1e-12
