@@ -85,15 +85,19 @@ def dedupe_results(df: DataFrame, key: Sequence[str] = ("sample_id", "model_name
     """X2 (batch): one row per (sample, condition) when a run was appended twice.
 
     The copy with the largest ``order_by`` values stays (e.g. an arrival time: the latest);
-    copies equal there are ordered by their other columns, so reruns agree.  One aggregation
-    with map-side combine; no window holds the copies of a key."""
+    copies equal there are ordered by their other columns, so reruns agree.  Rows are dealt by their
+    key first: copies come from different runs, so a combine before the shuffle finds none and
+    sorts every row for it.  One aggregation that streams; no window holds the copies of a key."""
     rest = [c for c in df.columns if c not in key]
     ranked = [*order_by, *[c for c in rest if c not in order_by]]
     sortable = [c for c in ranked if not isinstance(df.schema[c].dataType, T.MapType)]
     if not rest:
         return df.dropDuplicates(list(key))
-    best = F.max_by(F.struct(*rest), F.struct(*sortable)) if sortable else F.first(F.struct(*rest))
-    return df.groupBy(*key).agg(best.alias("_best")).select(
+    if set(rest) <= set(sortable):      # the order holds every column: it is carried once
+        best = F.max(F.struct(*dict.fromkeys(ranked)))
+    else:
+        best = F.max_by(F.struct(*rest), F.struct(*sortable)) if sortable else F.first(F.struct(*rest))
+    return df.repartition(*key).groupBy(*key).agg(best.alias("_best")).select(
         *[F.col(c) if c in key else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
