@@ -280,6 +280,29 @@ def bucket_of(id_col: str | F.Column, n: int) -> F.Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
 
 
+def _expanded(samples: DataFrame, conditions: DataFrame, group_cols: Sequence[str], model_col: str | None,
+              one_stage: bool) -> DataFrame:
+    """``samples`` under every condition, the rows of a (group, model) one after the other in a task."""
+    if model_col is None or model_col not in conditions.columns:
+        return expand_conditions(samples.sortWithinPartitions(*group_cols) if group_cols else samples, conditions)
+    fields = conditions.schema.fields
+    by_model: dict = {}
+    for r in conditions.collect():
+        by_model.setdefault(r[model_col], []).append(F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]))
+    if not by_model:
+        return expand_conditions(samples, conditions)
+    if one_stage:
+        each = F.array(*[F.array(*structs) for structs in by_model.values()])
+        per_model = samples.select("*", F.posexplode(each).alias("_model", "_conds")).sortWithinPartitions(*group_cols, "_model")
+        return per_model.select(*samples.columns, F.inline("_conds"))
+    dealt = samples.sortWithinPartitions(*group_cols) if group_cols else samples
+    out = None
+    for structs in by_model.values():
+        one = dealt.select("*", F.inline(F.array(*structs)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def batch_inference(rows: DataFrame, predictor_factory: Callable[..., object],
                     prompt_col: str = "prompt_text", content_col: str | None = "content",
                     keep_cols: Sequence[str] | None = None, parallelism: int | None = None,
@@ -288,7 +311,8 @@ def batch_inference(rows: DataFrame, predictor_factory: Callable[..., object],
                     is_transient: Callable[[Exception], bool] = lambda e: True,
                     batch_rows: int = 256, batch_size: int = 1, group_cols: Sequence[str] = (),
                     key_col: str | None = None, log: AnswerLog | None = None, with_calls: bool = False,
-                    barrier: bool = False, profile=None, load_errors: str = "rows") -> DataFrame:
+                    barrier: bool = False, profile=None, load_errors: str = "rows",
+                    conditions: DataFrame | None = None) -> DataFrame:
     """One answer per row.  ``batch_rows`` (D7): answers handed on, and logged, at once.
 
     ``model_col``: rows name their model; the factory is called with that value and
@@ -303,7 +327,13 @@ def batch_inference(rows: DataFrame, predictor_factory: Callable[..., object],
     ``group_cols``: rows of equal values stay in one task.  With ``log``, answers are kept under
     ``key_col`` below the group's folder and read from there when a task runs again; so the groups
     bound what a task reads.  ``load_errors``: a model that does not load gives its rows an error
-    (``rows``) or ends the job (``raise``).  Write the result out before analysing it so paid calls are never
+    (``rows``) or ends the job (``raise``).
+
+    ``conditions``: ``rows`` are samples, each to be asked under every condition (J1).  They are
+    dealt once per sample, by ``group_cols`` of theirs, and expanded after that, so that a content is
+    not shuffled or sorted once per condition.  Without ``parallelism`` a task takes one model's
+    conditions; with it, so that the calls stay one stage of that many tasks, samples are sorted
+    once per model.  Write the result out before analysing it so paid calls are never
     recomputed through lineage."""
     keep = list(keep_cols) if keep_cols is not None else \
         [c for c in rows.columns if c != content_col]
@@ -311,7 +341,7 @@ def batch_inference(rows: DataFrame, predictor_factory: Callable[..., object],
         raise ValueError("an answer log needs key_col")
     needed = list(dict.fromkeys([*keep, prompt_col, *([content_col] if content_col else []),
                                  *([model_col] if model_col else []), *group_cols, *([key_col] if key_col else [])]))
-    src = rows.select(*needed)
+    src = rows if conditions is not None else rows.select(*needed)
     if barrier:
         slots = src.sparkSession.sparkContext.defaultParallelism
         parallelism = min(parallelism or slots, slots)
@@ -319,9 +349,12 @@ def batch_inference(rows: DataFrame, predictor_factory: Callable[..., object],
         src = src.repartition(*([parallelism] if parallelism else []), *group_cols)
     elif parallelism:
         src = src.repartition(parallelism)      # round-robin: no model lands in one task
-    order = [*group_cols, *([model_col] if model_col else [])]
-    if order:
-        src = src.sortWithinPartitions(*order)
+    if conditions is not None:
+        src = _expanded(src, conditions, group_cols, model_col, one_stage=bool(parallelism)).select(*needed)
+    else:
+        order = [*group_cols, *([model_col] if model_col else [])]
+        if order:
+            src = src.sortWithinPartitions(*order)
     schema = T.StructType([src.schema[c] for c in keep] + OUTPUT_FIELDS
                           + ([T.StructField("call_rows", T.IntegerType())] if with_calls else []))
     return src.mapInPandas(_runner(predictor_factory, content_col, prompt_col, model_col,

@@ -357,14 +357,16 @@ def q_media_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", with_media_token(F.col("text")).alias("prompt"))
 
 
-def _inference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scorebook.operators.inference import expand_conditions
+def _inference_samples(spark: SparkSession, sf_dir: str, spread_out: bool = True) -> DataFrame:
     from scorebook.sources.fixtures import spread
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    samples = docs.select(F.col("doc_id").cast("string").alias("sample_id"),
-                          F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    conds = _fixture_conditions(spark).withColumn("prompt_text", F.concat(F.lit("Classify: "), F.col("prompt_id")))
-    return expand_conditions(samples, conds)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(docs) if spread_out else docs
+    return docs.select(F.col("doc_id").cast("string").alias("sample_id"),
+                       F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+def _inference_conditions(spark: SparkSession) -> DataFrame:
+    return _fixture_conditions(spark).withColumn("prompt_text", F.concat(F.lit("Classify: "), F.col("prompt_id")))
 
 
 @register("batch_inference", oracle.batch_inference_sql())
@@ -372,8 +374,8 @@ def q_batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorebook.functions.labels import parse_labels
     from scorebook.operators.inference import batch_inference
     from scorebook.testing import KeywordPredictor
-    out = batch_inference(_inference_rows(spark, sf_dir), KeywordPredictor, prompt_col="prompt_text",
-                          content_col="content",
+    out = batch_inference(_inference_samples(spark, sf_dir), KeywordPredictor, prompt_col="prompt_text",
+                          content_col="content", conditions=_inference_conditions(spark),
                           keep_cols=["sample_id", "model_name", "model_id", "prompt_id"],
                           model_col="model_id", base_delay_s=0.0)
     return parse_labels(out, "raw_output")
@@ -385,8 +387,10 @@ CALL_BUCKETS, CALL_ROWS = 16, 32
 def _batched(spark: SparkSession, sf_dir: str, with_calls: bool) -> DataFrame:
     from scorebook.operators.inference import batch_inference, bucket_of
     from scorebook.testing import KeywordBatchPredictor
-    rows = _inference_rows(spark, sf_dir).withColumn("bucket", bucket_of("sample_id", CALL_BUCKETS))
+    # dealt by bucket at once, not round-robin before that
+    rows = _inference_samples(spark, sf_dir, spread_out=False).withColumn("bucket", bucket_of("sample_id", CALL_BUCKETS))
     return batch_inference(rows, KeywordBatchPredictor, prompt_col="prompt_text", content_col="content",
+                           conditions=_inference_conditions(spark),
                            keep_cols=["sample_id", "model_name", "model_id", "prompt_id"],
                            model_col="model_id", base_delay_s=0.0, batch_size=CALL_ROWS,
                            group_cols=["bucket"], with_calls=with_calls)
@@ -412,7 +416,8 @@ def q_faulty_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A predictor that fails by rule; every row is kept, with its answer or its error."""
     from scorebook.operators.inference import batch_inference
     from scorebook.testing import FaultyPredictor
-    out = batch_inference(_inference_rows(spark, sf_dir), FaultyPredictor, prompt_col="prompt_text", content_col="content",
+    out = batch_inference(_inference_samples(spark, sf_dir), FaultyPredictor, prompt_col="prompt_text", content_col="content",
+                          conditions=_inference_conditions(spark),
                           keep_cols=["sample_id", "model_id", "prompt_id"], model_col="model_id",
                           max_retries=2, base_delay_s=0.0, is_transient=lambda e: isinstance(e, TimeoutError))
     return out.select("sample_id", "model_id", "prompt_id", "raw_output", "input_tokens", "error")

@@ -81,3 +81,38 @@ def test_weighted_sums_by_windows(spark, monkeypatch):
             above = (s[:, None] > s[None, :]) + 0.5 * (s[:, None] == s[None, :])
             auc.append((P[:, None] * Q[None, :] * above).sum() / (P.sum() * Q.sum()))
         assert abs(x.roc_auc - sum(auc) / 4) < 1e-12
+
+
+# --- results and inference --------------------------------------------------------------
+
+def test_dedupe_carries_a_row_once(spark):
+    from scorebook.sources.results import dedupe_results
+    rows = [("s1", "m", "p", 1, 2.0, "a"), ("s1", "m", "p", 2, 1.0, "b"), ("s1", "m", "p", 2, 1.5, "a"),
+            (None, "m", "p", 1, None, None), (None, "m", "p", 1, None, None), ("s2", "m", "p", None, 3.0, "c")]
+    df = spark.createDataFrame(rows, "sample_id string, model_name string, prompt_id string, run int, v double, w string")
+    out = dedupe_results(df.repartition(3), order_by=["run"])
+    plan = plan_of(out)
+    assert "max_by" not in plan and "partial_max" in plan
+    assert plan.index("partial_max") < plan.rindex("Exchange hashpartitioning")     # dealt first, one shuffle
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[2], rows[3], rows[5]], key=str)
+    # a map has no order: the order goes beside the row
+    maps = df.withColumn("extra", F.create_map(F.lit("k"), F.col("w")))
+    assert {r.sample_id: r.w for r in dedupe_results(maps, order_by=["run", "sample_id"]).collect()} == {"s1": "a", None: None, "s2": "c"}
+
+
+def test_conditions_are_expanded_after_contents_are_dealt(spark):
+    """The same answers as from expanded rows; no sort or shuffle below the expansion holds a content per condition."""
+    from scorebook.operators.inference import batch_inference, expand_conditions
+    from scorebook.testing import KeywordBatchPredictor, KeywordPredictor
+    samples = spark.createDataFrame([(str(i % 9) if i else None, b"x" * i, i % 3) for i in range(20)], "sample_id string, content binary, bucket int")
+    conds = spark.createDataFrame([(m, f"ask {p}") for m in ("a", "b", None) for p in range(4)], "model_id string, prompt_text string")
+    keep = ["sample_id", "model_id", "prompt_text"]
+    for factory, more in ((KeywordPredictor, {}), (KeywordBatchPredictor, {"batch_size": 5, "group_cols": ["bucket"], "with_calls": True}),
+                          (KeywordPredictor, {"parallelism": 2})):
+        want = batch_inference(expand_conditions(samples, conds), factory, keep_cols=keep, model_col="model_id", base_delay_s=0.0, **more)
+        got = batch_inference(samples, factory, keep_cols=keep, model_col="model_id", base_delay_s=0.0, conditions=conds, **more)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.schema == want.schema
+        plan = plan_of(got)
+        at = plan.rindex("inline(")
+        assert "Sort" not in plan[:plan.index("inline(")] and "Exchange" not in plan[:plan.index("inline(")] and at > 0
