@@ -8,18 +8,21 @@ every line that matches an earlier line is removed.
    ``2 ** BITS`` counters addressed by token digest (log-scale counts, a fixed 512 KB); ties are ordered by the digest.  Any fixed order is exact; this one puts
    frequent tokens last.
 2. Equal lines are grouped by a 128-bit digest; a group keeps its first rank, its size |x|, its
-   prefix px (the first |x| - ceil(t |x|) + 1 tokens: matching lines share one) and a bitmap of 64
-   bits that its tokens set.  No text is moved for this.
-3. Prefix tokens join under the length filter (t |y| <= |x|) and the bitmap filter (every bit set
-   on one side only stands for a token that is not shared).  Per pair, the shared prefix
-   tokens are counted and their first places kept: the positional filter (tokens left from the
-   first shared one on must suffice for the overlap) and the prefix count (the overlap is at
-   most the shared prefix tokens and the larger rest, |x| - |px| or |y| - |py|) drop the others.
-4. Candidates are verified on the words themselves, in two rounds: each line with the earlier
+   prefix px (the first |x| - ceil(t |x|) + 1 tokens: matching lines share one) and two bitmaps of
+   64 bits, one that all its tokens set and one that its prefix sets.  No text is moved for this.
+3. Before any pair is listed, lines are grouped by pairs of their three rarest tokens, and each
+   is verified with one earlier line, the first of a group.  Lines that match are settled: they
+   are not looked at again as the later side, so a cluster of k alike lines makes k pairs.
+4. Prefix tokens join under the length filter (t |y| <= |x|), for later lines not yet settled.  A
+   bit set on one side only stands for a token that is not shared: the bitmap filter bounds the
+   overlap, and the same of the prefixes bounds it by the shared prefix tokens and the larger
+   rest, |x| - |px| or |y| - |py|.  Per pair, the shared prefix tokens are then counted and their
+   first places kept: the positional filter (tokens left from the first shared one on must
+   suffice for the overlap) and the count itself drop the others.
+5. Candidates are verified on the words themselves, in two rounds: each line with the earlier
    line that shares most of its prefix, then, for lines that this did not settle, with all
-   their earlier candidates.  So a cluster of k alike lines costs k verifications, not k ** 2.
-   Texts come from a second read of the documents; a runtime filter of at most 8 MB keeps
-   other lines out of the shuffle.
+   their earlier candidates.  Texts come from another read of the documents; a runtime filter of
+   at most 8 MB keeps other lines out of the shuffle.
 
 Distinct lines are numbered in the order of their ranks, so a pair of numbers knows its later line.
 
@@ -37,6 +40,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorebook.llm.common import SPACE_RUN, SPACES, let, staged, thinned, unused, words_of
 
@@ -110,51 +114,94 @@ def _ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
+def _prefix_size(n: Column, limits: LineLimits) -> Column:
+    return n - _ceil_div(n * limits.num, limits.den) + 1
+
+
+def _needed(n: Column, limits: LineLimits) -> Column:
+    """Overlap that Jaccard >= t needs: t / (1 + t) of both sizes."""
+    return F.ceil(n * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
+
+
+def _may_match(x: str, y: str, limits: LineLimits) -> Column:
+    """Length filter and both bitmap filters for two lines given as table or struct names."""
+    def at_most(bits: str, nx: Column, ny: Column) -> Column:
+        bx, by = F.col(f"{x}.{bits}"), F.col(f"{y}.{bits}")
+        alone = bx.bitwiseXOR(by)
+        return F.least(nx - F.bit_count(alone.bitwiseAND(bx)), ny - F.bit_count(alone.bitwiseAND(by)))
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    px, py = _prefix_size(nx, limits), _prefix_size(ny, limits)
+    need = _needed(nx + ny, limits)
+    return ((nx * limits.num <= ny * limits.den) & (ny * limits.num <= nx * limits.den)
+            & (at_most("bits", nx, ny) >= need) & (at_most("heads", px, py) + F.greatest(nx - px, ny - py) >= need))
+
+
 def _digests(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2")]
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
-    """(lid, k1, k2, first rank, copies, n, bits, prefix) of all distinct lines that take part, stored;
-    ``lid`` rises with the first rank."""
+    """(lid, k1, k2, first rank, copies, n, bits, heads, prefix) of all distinct lines that take part,
+    stored; ``bits`` and ``heads`` are the bitmaps of all tokens and of the prefix, ``lid`` rises with
+    the first rank."""
     table = rarity_table(docs, text_col)
 
     def shape(tok: Column) -> Column:
         n = F.size(tok)
-        prefix = F.slice(tok, 1, F.greatest(F.lit(0), n - _ceil_div(n * limits.num, limits.den) + 1))
-        # 32 bits of a token will do in the join: a clash adds a candidate, which does not pass step 4
-        return F.struct(n.alias("n"), _bitmap(tok).alias("bits"), F.transform(prefix, lambda t: F.hash(t)).alias("prefix"))
+        # 32 bits of a token will do in the join: a clash adds a candidate, which does not pass step 5
+        prefix = F.transform(F.slice(tok, 1, F.greatest(F.lit(0), _prefix_size(n, limits))), lambda t: F.hash(t))
+        return F.struct(n.alias("n"), _bitmap(tok).alias("bits"), prefix.alias("prefix"))
     lines = _lines(docs, id_col, text_col).select(
         *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"), let(_ordered(F.col("line"), table), shape).alias("s"))
-    grouped = staged(lines.filter(F.col("s.n") >= limits.least).groupBy("k1", "k2").agg(
-        F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("s").alias("s")).select(
-        "k1", "k2", "first", "copies", "s.n", "s.bits", "s.prefix"), "lines")
+    # short lines go after the grouping: a filter before it would work the tokens out twice
+    grouped = staged(lines.groupBy("k1", "k2").agg(
+        F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("s").alias("s")).filter(
+        F.col("s.n") >= limits.least).select(
+        "k1", "k2", "first", "copies", "s.n", "s.bits", _bitmap(F.col("s.prefix")).alias("heads"), "s.prefix"), "lines")
     ordered = grouped.repartitionByRange("first").sortWithinPartitions("first")
     return staged(ordered.withColumn("lid", F.monotonically_increasing_id()), "numbered-lines")
 
 
-def candidate_pairs(lines: DataFrame, limits: LineLimits) -> DataFrame:
+def first_guesses(lines: DataFrame, limits: LineLimits) -> DataFrame:
+    """(a, b): at most one earlier line for each line, the first of those with two of its three rarest
+    tokens (or its only one) that passes the filters.  No pair is listed for it."""
+    p = F.col("prefix")
+    keys = F.when(F.size(p) > 2, F.array(F.xxhash64(p[0], p[1]), F.xxhash64(p[0], p[2]), F.xxhash64(p[1], p[2]))).when(
+        F.size(p) > 1, F.array(F.xxhash64(p[0], p[1]))).otherwise(F.array(F.xxhash64(p[0])))
+    rows = lines.select(F.explode(keys).alias("key"), F.struct("lid", "n", "bits", "heads").alias("y"))
+    found = rows.withColumn("x", F.min("y").over(Window.partitionBy("key"))).filter(
+        (F.col("x.lid") < F.col("y.lid")) & _may_match("x", "y", limits))
+    votes = found.groupBy(F.col("y.lid").alias("b"), F.col("x.lid").alias("a")).agg(F.count(F.lit(1)).alias("both"))
+    return _best(votes)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """(a, b): the earlier line with most tokens in common, of these the first."""
+    return pairs.groupBy("b").agg(F.max(F.struct("both", (-F.col("a")).alias("a"))).alias("top")).select(
+        (-F.col("top.a")).alias("a"), "b")
+
+
+def candidate_pairs(lines: DataFrame, limits: LineLimits, settled: DataFrame | None = None) -> DataFrame:
     """(a, b, both): numbers of an earlier and a later line that pass all filters, and the prefix
-    tokens they share."""
-    posts = lines.select("lid", "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
+    tokens they share.  Lines in ``settled`` (lid) are earlier lines only."""
+    # a settled line's number is below zero, so both sides of the join read one exchange
+    mark = F.col("lid")
+    if settled is not None:
+        lines = lines.join(settled.select("lid", F.lit(True).alias("done")), "lid", "left")
+        mark = F.when(F.col("done"), -F.col("lid") - 1).otherwise(F.col("lid"))
+    posts = lines.select(mark.alias("mark"), "n", "bits", "heads", F.posexplode("prefix").alias("pos", "tok"))
     x, y = posts.alias("x"), posts.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
-
-    def needed(n: Column) -> Column:
-        """Overlap that Jaccard >= t needs: t / (1 + t) of both sizes."""
-        return F.ceil(n * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
-    alone = F.col("x.bits").bitwiseXOR(F.col("y.bits"))
-    most = F.least(nx - F.bit_count(alone.bitwiseAND(F.col("x.bits"))), ny - F.bit_count(alone.bitwiseAND(F.col("y.bits"))))
-    shared = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.lid") < F.col("y.lid"))
-                    & (nx * limits.num <= ny * limits.den) & (ny * limits.num <= nx * limits.den)
-                    & (most >= needed(nx + ny))).select(
-        F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), nx.alias("na"), ny.alias("nb"),
+    a = F.when(F.col("x.mark") < 0, -F.col("x.mark") - 1).otherwise(F.col("x.mark"))
+    shared = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (a < F.col("y.mark")) & _may_match("x", "y", limits)).select(
+        a.alias("a"), F.col("y.mark").alias("b"), nx.alias("na"), ny.alias("nb"),
         F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
     pairs = shared.groupBy("a", "b", "na", "nb").agg(
         F.count(F.lit(1)).alias("both"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    rest = F.greatest(*(_ceil_div(F.col(n) * limits.num, limits.den) - 1 for n in ("na", "nb")))
-    need = needed(F.col("na") + F.col("nb"))
-    return pairs.filter((F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    na, nb = F.col("na"), F.col("nb")
+    rest = F.greatest(*(n - _prefix_size(n, limits) for n in (na, nb)))
+    need = _needed(na + nb, limits)
+    return pairs.filter((F.least(na - F.col("pa"), nb - F.col("pb")) >= need)
                         & (F.col("both") + rest >= need)).select("a", "b", "both")
 
 
@@ -179,15 +226,19 @@ def _later(pairs: DataFrame, texts: DataFrame, limits: LineLimits) -> DataFrame:
 
 def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
     """Numbers of the distinct lines that match an earlier line."""
-    pairs = staged(candidate_pairs(lines, limits), "line-pairs")
-    ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    texts = _texts(docs, lines, ids, id_col, text_col)
-    best = pairs.groupBy("b").agg(F.max(F.struct("both", (-F.col("a")).alias("a"))).alias("top")).select(
-        (-F.col("top.a")).alias("a"), "b")
-    settled = _later(best, texts, limits)
+    guesses = staged(first_guesses(lines, limits), "line-guesses")
+    settled = _later(guesses, _texts(docs, lines, _numbers(guesses), id_col, text_col), limits)
+    pairs = staged(candidate_pairs(lines, limits, settled).join(guesses, ["a", "b"], "left_anti"), "line-pairs")
+    texts = _texts(docs, lines, _numbers(pairs), id_col, text_col)
+    best = _best(pairs)
+    more = _later(best, texts, limits)
     # pairs of a settled line are done with, whichever they are
-    left = pairs.join(settled, F.col("b") == F.col("lid"), "left_anti").join(best, ["a", "b"], "left_anti")
-    return settled.union(_later(left, texts, limits))
+    left = pairs.join(more, F.col("b") == F.col("lid"), "left_anti").join(best, ["a", "b"], "left_anti")
+    return settled.union(more).union(_later(left, texts, limits))
+
+
+def _numbers(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
