@@ -178,14 +178,21 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
               limits: HostLimits = HostLimits()) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns as they came.
 
-    Texts are measured in two passes (counts per host, then the filter), so no text is shuffled.
+    Texts are measured once: the rows that pass the base rules are written to the shared folder
+    with the measures of all rows, so no text is shuffled nor measured again.
     """
-    judged = docs.select(F.col(host_col).alias("doc_host"), quality(F.col(text_col)).alias("quality"))
-    hosts = host_verdicts(judged, "doc_host", limits)
+    box, own = unused(docs, "quality_of_text", "base_failed_text")
+    host = f"`{host_col}`"
+    measured = docs.withColumn(box, quality(F.col(f"`{text_col}`")))
+    # one write: rows that fail lose their other columns, their host and measures still count
+    failed = F.col(f"{box}.short") | F.col(f"{box}.repeats")
+    rows = staged(measured.withColumn(own, failed).select(
+        *((F.col(f"`{c}`") if c.lower() == host_col.lower() else F.when(~F.col(own), F.col(f"`{c}`")).alias(c)) for c in docs.columns),
+        box, own), "measured")
+    hosts = host_verdicts(rows.select(F.col(host).alias("doc_host"), F.col(box).alias("quality")), "doc_host", limits)
     bad = hosts.filter(~F.col("host_kept")).select("host")
-    box, = unused(docs, "quality_of_text")
-    good = docs.withColumn(box, quality(F.col(text_col))).filter(~(F.col(f"{box}.short") | F.col(f"{box}.repeats")))
-    return good.join(bad, good[host_col].eqNullSafe(bad["host"]), "left_anti").select(
+    good = rows.filter(~F.col(own))
+    return good.join(bad, good[host].eqNullSafe(bad["host"]), "left_anti").select(
         *(good[f"`{c}`"] for c in docs.columns))
 
 
