@@ -14,12 +14,15 @@ next arrival comes after the latest slot minimum of its document.
 2. Signatures are cut into ``BANDS`` bands of four slots; equal bands make candidates
    (a pair at 0.8 is missed with probability 5e-8).
 3. In each bucket every member is compared with the smallest member; verified pairs link.
-4. Buckets that still hold several components are compared once more across components: in
-   blocks of ``BLOCK`` members, by agreement of signatures (0.6 or more; a pair at 0.8 falls
-   short with probability 1e-8), and the pairs found are verified.
+4. Buckets that still hold several components are compared once more across components, in
+   blocks of at most ``BLOCK`` members and about ``BLOCK_WORDS`` words: pairs whose signatures agree
+   enough (0.6 or more; a pair at 0.8 falls short with probability 1e-8) are verified where they
+   are found, in the first band they share, unless links found before in the block join them
+   already.  Only links leave a block, fewer than it has members.
 5. Verification computes J_P on the shingles.  Components of the links are the classes.
 
-No step lists all pairs of a bucket: a bucket of k copies makes k pairs in step 3.
+No step lists all pairs of a bucket: a bucket of k copies makes k pairs in step 3, and step 4 gives
+a spanning forest of each block's links, so memory and rows grow with the members.
 
 Cases: null and blank texts have no shingles and are classes of their own; a text of one to
 four words is one shingle; rows with equal words are one class; the class id is its smallest
@@ -45,6 +48,7 @@ WORDS = 5
 SLOTS = 128
 BANDS = 32
 BLOCK = 256
+BLOCK_WORDS = 1 << 19
 ESTIMATE = 0.6
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -148,8 +152,8 @@ def _sign(batches: Iterator) -> Iterator:
                                              pa.array(key.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("uid", "id", "k1", "k2")), bands,
-                 pa.array([s.tobytes() for s in sig], pa.binary())],
-                names=["uid", "id", "k1", "k2", "bands", "sig"])
+                 pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(offsets), pa.int64())],
+                names=["uid", "id", "k1", "k2", "bands", "sig", "n_words"])
 
 
 def _verify(threshold: float):
@@ -175,55 +179,82 @@ def _verify(threshold: float):
     return run
 
 
-def _across(batches: Iterator) -> Iterator:
-    """Pairs of different components within a block pair whose signatures agree enough.
+def _root(up: dict, x: int) -> int:
+    while (y := up.get(x, x)) != x:
+        up[x] = up.get(y, y)
+        x = y
+    return x
+
+
+def _across(threshold: float):
+    """Links between different components within a block pair, as a spanning forest: pairs whose
+    signatures agree enough and whose J_P reaches the threshold.
 
     Rows come grouped by (band, key, i, j); a group may go on in the next batch.
     """
-    import numpy as np
-    import pyarrow as pa
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
     def pairs(table):
-        uid = table.column("uid").to_numpy()
-        comp = table.column("comp").to_numpy()
-        side = table.column("block").to_numpy()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        import numpy as np
+        uid, comp, side = (table.column(c).to_numpy() for c in ("uid", "comp", "block"))
+        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(uid), SLOTS)
+        lists = table.column("hashes")
         left = np.flatnonzero(side == i)
         right = left if i == j else np.flatnonzero(side == j)
-        a, b = [], []
+        up, sets, links = {}, {}, []
+
+        def shingles(at: int) -> tuple:
+            if at not in sets:
+                words = lists[at].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                doc, h = shingle_hashes(words, np.zeros(1, np.int64), np.full(1, len(words)))
+                sets[at] = weighted(doc, h)[1:]
+            return sets[at]
         for p in left.tolist():
             other = right[(comp[right] != comp[p]) & ((uid[right] > uid[p]) if i == j else True)]
-            if len(other):
-                near = other[(sig[other] == sig[p]).mean(axis=1) >= ESTIMATE]
-                a += [uid[p]] * len(near)
-                b += uid[near].tolist()
-        return a, b
-
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        if not table.num_rows:
-            continue
-        marks = [table.column(c).to_numpy() for c in ("band", "key", "i", "j")]
-        new = np.zeros(table.num_rows, bool)
-        for m in marks:
-            new[1:] |= m[1:] != m[:-1]
-        cuts = [0, *np.flatnonzero(new).tolist()]
-        out_a, out_b = [], []
-        for lo, hi in zip(cuts, cuts[1:]):
-            a, b = pairs(table.slice(lo, hi - lo))
-            out_a += a
-            out_b += b
-        held = table.slice(cuts[-1]).combine_chunks()
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
-    if held is not None and held.num_rows:
-        a, b = pairs(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            if not len(other):
+                continue
+            same = sig[other] == sig[p]
+            bands = same.reshape(len(other), BANDS, SLOTS // BANDS).all(axis=2)
+            # a pair belongs to the first band it shares; none here: the band's key clashed
+            first = np.where(bands.any(axis=1), bands.argmax(axis=1), band)
+            for q in other[(first == band) & (same.mean(axis=1) >= ESTIMATE)].tolist():
+                a, b = _root(up, int(comp[p])), _root(up, int(comp[q]))
+                if a != b and probability_jaccard(shingles(p), shingles(q)) >= threshold:
+                    up[max(a, b)] = min(a, b)
+                    links.append((int(uid[p]), int(uid[q])))
+        return links
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def out(links: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
+        held, mark = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = [batch.column(c).to_numpy() for c in ("band", "key", "i", "j")]
+            new = np.zeros(batch.num_rows, bool)
+            for m in marks:
+                new[1:] |= m[1:] != m[:-1]
+            new[0] = tuple(m[0] for m in marks) != mark
+            mark = tuple(m[-1] for m in marks)
+            cuts = np.flatnonzero(new).tolist()
+            if not cuts:
+                held.append(batch)
+                continue
+            if cuts[0]:
+                held.append(batch.slice(0, cuts[0]))
+            if held and (links := pairs(pa.Table.from_batches(held).combine_chunks())):
+                yield out(links)
+            for lo, hi in zip(cuts, cuts[1:]):
+                if links := pairs(pa.Table.from_batches([batch.slice(lo, hi - lo)]).combine_chunks()):
+                    yield out(links)
+            held = [batch.slice(cuts[-1])]
+        if held and (links := pairs(pa.Table.from_batches(held).combine_chunks())):
+            yield out(links)
+    return run
 
 
 def _keys(words: Column) -> list[Column]:
@@ -231,14 +262,18 @@ def _keys(words: Column) -> list[Column]:
     return [F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(7), words).alias("k2")]
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of representatives whose J_P reaches the threshold; only their texts are moved."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(
-        reps.select("uid", F.col("id").alias("rep_id"), "k1", "k2"), "uid")
+def _contents(uids: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(uid, content) of some representatives, stored; only their texts are moved."""
+    need = uids.join(reps.select("uid", F.col("id").alias("rep_id"), "k1", "k2"), "uid")
     found = thinned(texts, "t1", need.select("k1")).join(
         need, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
         & F.col("text_id").eqNullSafe(F.col("rep_id"))).select("uid", "content")
-    found = staged(found.dropDuplicates(["uid"]), "candidate-texts")
+    return staged(found.dropDuplicates(["uid"]), "candidate-texts")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of representatives whose J_P reaches the threshold."""
+    found = _contents(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), reps, texts)
     both = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
     hashed = both.select("a", "b", *(F.transform(words_of(F.col(f"text_{s}")), lambda w: F.xxhash64(w)).alias(f"words_{s}")
                                      for s in "ab"))
@@ -252,7 +287,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        words_of(F.col(text_col)).alias("words"))
     hashed = slim.select("uid", "id", *_keys(F.col("words")), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     signed = staged(hashed.mapInArrow(
-        _sign, "uid long, id long, k1 long, k2 long, bands array<bigint>, sig binary"), "signatures")
+        _sign, "uid long, id long, k1 long, k2 long, bands array<bigint>, sig binary, n_words long"), "signatures")
     blank = F.struct(*(c for c in _keys(F.array().cast("array<string>"))))
     some = ~((F.col("k1") == blank["k1"]) & (F.col("k2") == blank["k2"]))
 
@@ -261,10 +296,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = staged(signed.filter(some).groupBy("k1", "k2").agg(F.min(order).alias("first")).select(
         "k1", "k2", F.col("first.uid").alias("uid"), F.col("first.id").alias("id")), "representatives")
 
-    keyed = signed.select("uid", "bands").join(reps.select("uid"), "uid", "left_semi").select(
-        "uid", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = staged(keyed.join(buckets, ["band", "key"]).select("band", "key", "n", "a", F.col("uid").alias("b")), "buckets")
+    keyed = signed.select("uid", "bands", "n_words").join(reps.select("uid"), "uid", "left_semi").select(
+        "uid", "n_words", F.posexplode("bands").alias("band", "key"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_words") / BLOCK_WORDS))
+    buckets = keyed.groupBy("band", "key").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("n > 1")
+    members = staged(keyed.drop("n_words").join(buckets, ["band", "key"]).select(
+        "band", "key", "blocks", "a", F.col("uid").alias("b")), "buckets")
     stars = staged(members.filter("a <> b").select("a", "b").distinct(), "stars")
 
     text = docs.select(F.col(id_col).cast("long").alias("text_id"), F.col(text_col).alias("content"))
@@ -274,20 +311,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     comp = connected_components(links)
     placed = members.join(comp, F.col("b") == F.col("node"), "left").select(
-        "band", "key", "n", "b", F.coalesce("component", "b").alias("comp"))
+        "band", "key", "blocks", "b", F.coalesce("component", "b").alias("comp"))
     placed = staged(placed, "placed")
     open_ = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    rows = placed.join(open_.select("band", "key"), ["band", "key"], "left_semi").join(
-        signed.select(F.col("uid").alias("b"), "sig"), "b")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("b"), blocks)).withColumn(
-        "o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = staged(placed.join(open_.select("band", "key"), ["band", "key"], "left_semi"), "open-buckets")
+    contents = _contents(rows.select(F.col("b").alias("uid")).distinct(), reps, texts)
+    inside = contents.join(signed.select("uid", "sig"), "uid").select(
+        F.col("uid").alias("b"), "sig", F.transform(words_of(F.col("content")), lambda w: F.xxhash64(w)).alias("hashes"))
+    rows = rows.join(inside, "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).withColumn(
+        "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("band", "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block",
-                       F.col("b").alias("uid"), "comp", "sig")
-    across = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInArrow(
-        _across, "a long, b long")
-    more = staged(across.distinct(), "across")
-    links = links.union(_verified(more, reps, texts, threshold))
+                       F.col("b").alias("uid"), "comp", "sig", "hashes")
+    # a number of partitions keeps them apart: few bytes of alike members are much to compare
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = rows.repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").mapInArrow(
+        _across(threshold), "a long, b long")
+    links = links.union(staged(across.distinct(), "across"))
     comp = connected_components(links)
 
     # class of every row: its word sequence, then the component of the representative

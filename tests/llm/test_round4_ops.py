@@ -1,8 +1,8 @@
-"""Operators 5 and 10 on alike groups: rows that leave a step grow with the members, not their pairs."""
+"""Operators 5, 7 and 10 on alike groups: rows that leave a step grow with the members, not their pairs."""
 
 import random
 
-from scorebook.llm import host_rules, line_join
+from scorebook.llm import host_rules, line_join, probminhash
 
 
 def counted(monkeypatch, module, name):
@@ -18,6 +18,15 @@ def counted(monkeypatch, module, name):
     return seen
 
 
+def alike(rng, k, n, changed):
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    out = [list(base) for _ in range(k)]
+    for i, w in enumerate(out):
+        for p in rng.sample(range(n), changed):
+            w[p] = f"v{i}x{p}"
+    return [" ".join(w) for w in out]
+
+
 def test_op10_alike_lines_make_no_pair_list(spark, monkeypatch):
     rng = random.Random(3)
     lines = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(30))]
@@ -32,6 +41,19 @@ def test_op10_alike_lines_make_no_pair_list(spark, monkeypatch):
     assert len(pairs) == 1 and pairs[0] <= 60
 
 
+def test_op7_alike_texts_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    """In blocks of 16, so links are also found between blocks."""
+    rng = random.Random(4)
+    monkeypatch.setattr(probminhash, "BLOCK", 16)
+    texts = alike(rng, 40, 200, 4)          # similarity of two: about 0.7
+    texts += [t + " end" for t in texts[:5]]        # and five links
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    links = counted(monkeypatch, probminhash, "across")
+    got = {r.doc_id: r.class_id for r in probminhash.class_report(d).collect()}
+    assert got == {i: i if i < 40 else i - 40 for i in range(45)}
+    assert len(links) == 1 and links[0] <= 45
+
+
 def test_op5_texts_are_measured_once(spark, monkeypatch):
     calls, plain = [], host_rules.quality
     monkeypatch.setattr(host_rules, "quality", lambda text: calls.append(1) or plain(text))
