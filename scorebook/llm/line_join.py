@@ -7,27 +7,29 @@ every line that matches an earlier line is removed.
 1. Tokens are ordered by rarity.  Rarity comes from counts over all texts, kept in a table of
    ``2 ** BITS`` counters addressed by token digest (log-scale counts, a fixed 512 KB); ties are ordered by the digest.  Any fixed order is exact; this one puts
    frequent tokens last.
-2. Equal lines are grouped by a 128-bit digest; a group keeps its first rank, its size |x|, its
-   prefix px (the first |x| - ceil(t |x|) + 1 tokens: matching lines share one) and two bitmaps of
-   64 bits, one that all its tokens set and one that its prefix sets.  No text is moved for this.
-3. Before any pair is listed, lines are grouped by pairs of their three rarest tokens, and each
+2. Equal lines are grouped by a 128-bit digest; a group keeps its first rank, its size |x|, a
+   bitmap of 64 bits that its tokens set, and its keys.  No text is moved for this.
+   A key is a token together with the one before it (the first token stands alone), in the order
+   of the tokens, rarest first.  Of o shared tokens each has its key in both lines unless a token of
+   one line only stands right before it, so lines that share o tokens share o - (|x| - o) - (|y| - o)
+   keys at least: for t > 1/2 the first |x| + 1 - ceil((2t - 1) |x|) keys (the prefix) of matching
+   lines have one in common.  Two words select far better than one: few lines share a key by chance.
+   For t <= 1/2 keys are single tokens and the prefix is the first |x| - ceil(t |x|) + 1.
+3. Before any pair is listed, lines are grouped by their first three keys, and each
    is verified with one earlier line, the first of a group.  Lines that match are settled: they
    are not looked at again as the later side, so a cluster of k alike lines makes k pairs.
-4. Prefix tokens join under the length filter (t |y| <= |x|), for later lines not yet settled.  A
-   bit set on one side only stands for a token that is not shared: the bitmap filter bounds the
-   overlap, and the same of the prefixes bounds it by the shared prefix tokens and the larger
-   rest, |x| - |px| or |y| - |py|.  Per pair, the shared prefix tokens are then counted and their
-   first places kept: the positional filter (tokens left from the first shared one on must
-   suffice for the overlap) and the count itself drop the others.
+4. Prefix keys join under the length filter (t |y| <= |x|), for later lines not yet settled, one
+   share of the keys after the other.  Per pair the shared prefix keys are counted: with all keys of the larger rest they must suffice
+   for the keys that a match shares.
 5. Candidates are verified on the words themselves, in two rounds: each line with the earlier
    line that shares most of its prefix, then, for lines that this did not settle, with all
    their earlier candidates.  Texts come from another read of the documents; a runtime filter of
    at most 8 MB keeps other lines out of the shuffle.
 
 Distinct lines are numbered in the order of their ranks, so a pair of numbers knows its later line.
+Stored tables are deleted as soon as the next step has read them.
 
-The prefix join's longest lists belong to tokens that are frequent among the rarest tokens of
-many lines; adaptive skew splitting divides such a key, and no list is collected into a row.
+The prefix join's longest lists belong to keys that many lines share; adaptive skew splitting divides such a key, and no list is collected into a row.
 
 Cases: null and empty texts have no lines to remove; lines of fewer than ``least`` distinct
 words are never removed nor matched; a null id ranks after all ids; rows with equal id and
@@ -42,9 +44,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorebook.llm.common import SPACE_RUN, SPACES, let, staged, thinned, unused, words_of
+from scorebook.llm.common import SPACE_RUN, SPACES, has_bit, let, released, staged, thinned, unused, words_of
 
 BITS = 16
+#: Shares in which the prefix keys are joined.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -114,7 +118,13 @@ def _ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
+def _paired(limits: LineLimits) -> bool:
+    return 2 * limits.num > limits.den
+
+
 def _prefix_size(n: Column, limits: LineLimits) -> Column:
+    if _paired(limits):
+        return n + 1 - _ceil_div(n * (2 * limits.num - limits.den), limits.den)
     return n - _ceil_div(n * limits.num, limits.den) + 1
 
 
@@ -123,17 +133,31 @@ def _needed(n: Column, limits: LineLimits) -> Column:
     return F.ceil(n * limits.num / F.lit(float(limits.num + limits.den)) - 1e-9)
 
 
+def _needed_keys(n: Column, limits: LineLimits) -> Column:
+    """Keys that lines of ``n`` tokens together share if they match (see step 2)."""
+    return 3 * _needed(n, limits) - n if _paired(limits) else _needed(n, limits)
+
+
+def _keys(tok: Column, limits: LineLimits) -> Column:
+    """The prefix: 32 bits of a key will do in the join, as a clash adds a candidate, which does not pass step 5."""
+    heads = F.slice(tok, 1, F.greatest(F.lit(0), _prefix_size(F.size(tok), limits)))
+    if _paired(limits):
+        return F.transform(heads, lambda t, i: F.hash(F.get(tok, i - 1), t))
+    return F.transform(heads, lambda t: F.hash(t))
+
+
+def _alike_size(nx: Column, ny: Column, limits: LineLimits) -> Column:
+    """Length filter."""
+    return (nx * limits.num <= ny * limits.den) & (ny * limits.num <= nx * limits.den)
+
+
 def _may_match(x: str, y: str, limits: LineLimits) -> Column:
-    """Length filter and both bitmap filters for two lines given as table or struct names."""
-    def at_most(bits: str, nx: Column, ny: Column) -> Column:
-        bx, by = F.col(f"{x}.{bits}"), F.col(f"{y}.{bits}")
-        alone = bx.bitwiseXOR(by)
-        return F.least(nx - F.bit_count(alone.bitwiseAND(bx)), ny - F.bit_count(alone.bitwiseAND(by)))
+    """Length and bitmap filter for two lines given as table or struct names."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    px, py = _prefix_size(nx, limits), _prefix_size(ny, limits)
-    need = _needed(nx + ny, limits)
-    return ((nx * limits.num <= ny * limits.den) & (ny * limits.num <= nx * limits.den)
-            & (at_most("bits", nx, ny) >= need) & (at_most("heads", px, py) + F.greatest(nx - px, ny - py) >= need))
+    bx, by = F.col(f"{x}.bits"), F.col(f"{y}.bits")
+    alone = bx.bitwiseXOR(by)
+    at_most = F.least(nx - F.bit_count(alone.bitwiseAND(bx)), ny - F.bit_count(alone.bitwiseAND(by)))
+    return _alike_size(nx, ny, limits) & (at_most >= _needed(nx + ny, limits))
 
 
 def _digests(line: Column) -> list[Column]:
@@ -141,34 +165,29 @@ def _digests(line: Column) -> list[Column]:
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
-    """(lid, k1, k2, first rank, copies, n, bits, heads, prefix) of all distinct lines that take part,
-    stored; ``bits`` and ``heads`` are the bitmaps of all tokens and of the prefix, ``lid`` rises with
-    the first rank."""
+    """(lid, k1, k2, first rank, copies, n, bits, prefix) of all distinct lines that take part,
+    stored; ``lid`` rises with the first rank."""
     table = rarity_table(docs, text_col)
 
     def shape(tok: Column) -> Column:
-        n = F.size(tok)
-        # 32 bits of a token will do in the join: a clash adds a candidate, which does not pass step 5
-        prefix = F.transform(F.slice(tok, 1, F.greatest(F.lit(0), _prefix_size(n, limits))), lambda t: F.hash(t))
-        return F.struct(n.alias("n"), _bitmap(tok).alias("bits"), prefix.alias("prefix"))
+        return F.struct(F.size(tok).alias("n"), _bitmap(tok).alias("bits"), _keys(tok, limits).alias("prefix"))
     lines = _lines(docs, id_col, text_col).select(
         *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"), let(_ordered(F.col("line"), table), shape).alias("s"))
     # short lines go after the grouping: a filter before it would work the tokens out twice
     grouped = staged(lines.groupBy("k1", "k2").agg(
         F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("s").alias("s")).filter(
         F.col("s.n") >= limits.least).select(
-        "k1", "k2", "first", "copies", "s.n", "s.bits", _bitmap(F.col("s.prefix")).alias("heads"), "s.prefix"), "lines")
+        "k1", "k2", "first", "copies", "s.n", "s.bits", "s.prefix"), "lines")
     ordered = grouped.repartitionByRange("first").sortWithinPartitions("first")
-    return staged(ordered.withColumn("lid", F.monotonically_increasing_id()), "numbered-lines")
+    numbered = staged(ordered.withColumn("lid", F.monotonically_increasing_id()), "numbered-lines")
+    released(grouped)
+    return numbered
 
 
 def first_guesses(lines: DataFrame, limits: LineLimits) -> DataFrame:
-    """(a, b): at most one earlier line for each line, the first of those with two of its three rarest
-    tokens (or its only one) that passes the filters.  No pair is listed for it."""
-    p = F.col("prefix")
-    keys = F.when(F.size(p) > 2, F.array(F.xxhash64(p[0], p[1]), F.xxhash64(p[0], p[2]), F.xxhash64(p[1], p[2]))).when(
-        F.size(p) > 1, F.array(F.xxhash64(p[0], p[1]))).otherwise(F.array(F.xxhash64(p[0])))
-    rows = lines.select(F.explode(keys).alias("key"), F.struct("lid", "n", "bits", "heads").alias("y"))
+    """(a, b): at most one earlier line for each line, the first of those with one of its first three
+    keys that passes the filters.  No pair is listed for it."""
+    rows = lines.select(F.explode(F.slice("prefix", 1, 3)).alias("key"), F.struct("lid", "n", "bits").alias("y"))
     found = rows.withColumn("x", F.min("y").over(Window.partitionBy("key"))).filter(
         (F.col("x.lid") < F.col("y.lid")) & _may_match("x", "y", limits))
     votes = found.groupBy(F.col("y.lid").alias("b"), F.col("x.lid").alias("a")).agg(F.count(F.lit(1)).alias("both"))
@@ -176,33 +195,44 @@ def first_guesses(lines: DataFrame, limits: LineLimits) -> DataFrame:
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    """(a, b): the earlier line with most tokens in common, of these the first."""
+    """(a, b): the earlier line with most keys in common, of these the first."""
     return pairs.groupBy("b").agg(F.max(F.struct("both", (-F.col("a")).alias("a"))).alias("top")).select(
         (-F.col("top.a")).alias("a"), "b")
 
 
-def candidate_pairs(lines: DataFrame, limits: LineLimits, settled: DataFrame | None = None) -> DataFrame:
-    """(a, b, both): numbers of an earlier and a later line that pass all filters, and the prefix
-    tokens they share.  Lines in ``settled`` (lid) are earlier lines only."""
+def shared_keys(lines: DataFrame, limits: LineLimits, settled: DataFrame | None = None) -> list[DataFrame]:
+    """(a, b, least), stored: a row for each prefix key that an earlier and a later line share, with the
+    number of such rows a match needs.  Lines in ``settled`` (lid) are earlier lines only.  The keys are
+    joined in ``ROUNDS`` shares, so only one share of them is on disk at a time."""
     # a settled line's number is below zero, so both sides of the join read one exchange
     mark = F.col("lid")
     if settled is not None:
-        lines = lines.join(settled.select("lid", F.lit(True).alias("done")), "lid", "left")
-        mark = F.when(F.col("done"), -F.col("lid") - 1).otherwise(F.col("lid"))
-    posts = lines.select(mark.alias("mark"), "n", "bits", "heads", F.posexplode("prefix").alias("pos", "tok"))
-    x, y = posts.alias("x"), posts.alias("y")
-    nx, ny = F.col("x.n"), F.col("y.n")
-    a = F.when(F.col("x.mark") < 0, -F.col("x.mark") - 1).otherwise(F.col("x.mark"))
-    shared = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (a < F.col("y.mark")) & _may_match("x", "y", limits)).select(
-        a.alias("a"), F.col("y.mark").alias("b"), nx.alias("na"), ny.alias("nb"),
-        F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
-    pairs = shared.groupBy("a", "b", "na", "nb").agg(
-        F.count(F.lit(1)).alias("both"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    na, nb = F.col("na"), F.col("nb")
+        bits = settled.groupBy(F.bitmap_bucket_number("lid").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("lid")).alias("done"))
+        # one bit a line: at 100 million lines some 13 MB
+        lines = lines.join(F.broadcast(bits), F.bitmap_bucket_number("lid") == F.col("bucket"), "left")
+        mark = F.when(has_bit(F.col("done"), F.bitmap_bit_position("lid")), -F.col("lid") - 1).otherwise(F.col("lid"))
+    na, nb = F.col("x.n"), F.col("y.n")
     rest = F.greatest(*(n - _prefix_size(n, limits) for n in (na, nb)))
-    need = _needed(na + nb, limits)
-    return pairs.filter((F.least(na - F.col("pa"), nb - F.col("pb")) >= need)
-                        & (F.col("both") + rest >= need)).select("a", "b", "both")
+    a = F.when(F.col("x.mark") < 0, -F.col("x.mark") - 1).otherwise(F.col("x.mark"))
+
+    def joined(share: int) -> DataFrame:
+        posts = lines.select(mark.alias("mark"), "n", F.explode(F.filter(
+            "prefix", lambda k: F.pmod(k, F.lit(ROUNDS)) == share)).alias("key"))
+        x, y = posts.alias("x"), posts.alias("y")
+        return x.join(y, (F.col("x.key") == F.col("y.key")) & (a < F.col("y.mark")) & _alike_size(na, nb, limits)).select(
+            a.alias("a"), F.col("y.mark").alias("b"), (_needed_keys(na + nb, limits) - rest).cast("int").alias("least"))
+    return [staged(joined(i), "shared-keys") for i in range(ROUNDS)]
+
+
+def candidate_pairs(shared: list[DataFrame]) -> DataFrame:
+    """(a, b, both): numbers of an earlier and a later line that pass all filters, and the prefix
+    keys they share."""
+    rows = shared[0]
+    for more in shared[1:]:
+        rows = rows.union(more)
+    return rows.groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("both")).filter(
+        F.col("both") >= F.col("least")).select("a", "b", "both")
 
 
 def _texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -211,7 +241,9 @@ def _texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_
     rows = _lines(docs, id_col, text_col).select("line", *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"))
     rows = thinned(rows, "k1", want.select("k1")).select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line")
     found = want.join(rows, F.col("k1") == F.col("t1")).filter((F.col("k2") == F.col("t2")) & (F.col("rank") == F.col("first")))
-    return staged(found.select("lid", "line").dropDuplicates(["lid"]), "line-texts")
+    texts = staged(found.select("lid", "line").dropDuplicates(["lid"]), "line-texts")
+    released(want)
+    return texts
 
 
 def _later(pairs: DataFrame, texts: DataFrame, limits: LineLimits) -> DataFrame:
@@ -227,14 +259,20 @@ def _later(pairs: DataFrame, texts: DataFrame, limits: LineLimits) -> DataFrame:
 def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
     """Numbers of the distinct lines that match an earlier line."""
     guesses = staged(first_guesses(lines, limits), "line-guesses")
-    settled = _later(guesses, _texts(docs, lines, _numbers(guesses), id_col, text_col), limits)
-    pairs = staged(candidate_pairs(lines, limits, settled).join(guesses, ["a", "b"], "left_anti"), "line-pairs")
+    texts = _texts(docs, lines, _numbers(guesses), id_col, text_col)
+    settled = _later(guesses, texts, limits)
+    released(texts)
+    shared = shared_keys(lines, limits, settled)
+    pairs = staged(candidate_pairs(shared).join(guesses, ["a", "b"], "left_anti"), "line-pairs")
+    released(guesses, *shared)
     texts = _texts(docs, lines, _numbers(pairs), id_col, text_col)
     best = _best(pairs)
     more = _later(best, texts, limits)
     # pairs of a settled line are done with, whichever they are
     left = pairs.join(more, F.col("b") == F.col("lid"), "left_anti").join(best, ["a", "b"], "left_anti")
-    return settled.union(more).union(_later(left, texts, limits))
+    last = _later(left, texts, limits)
+    released(texts, pairs)
+    return settled.union(more).union(last)
 
 
 def _numbers(pairs: DataFrame) -> DataFrame:
@@ -249,6 +287,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # only lines with copies or an earlier match can go
     verdict = staged(lines.select("lid", "k1", "k2", "first", "copies").join(late, "lid", "left").filter(
         F.col("late") | (F.col("copies") > 1)).select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
+    released(lines)
     all_lines = _lines(docs, id_col, text_col).select(
         "id", "h", "no", _rank("id", F.col("no")).alias("rank"), *_digests(F.col("line")))
     gone = all_lines.join(verdict, ["k1", "k2"]).filter(F.col("late") | (F.col("rank") > F.col("first")))
