@@ -217,8 +217,10 @@ def shared_keys(lines: DataFrame, limits: LineLimits, settled: DataFrame | None
     a = F.when(F.col("x.mark") < 0, -F.col("x.mark") - 1).otherwise(F.col("x.mark"))
 
     def joined(share: int) -> DataFrame:
-        posts = lines.select(mark.alias("mark"), "n", F.explode(F.filter(
-            "prefix", lambda k: F.pmod(k, F.lit(ROUNDS)) == share)).alias("key"))
+        # never null, and no lambda: a null check on one side or a variable's number would keep the sides
+        # from reading one exchange
+        posts = lines.select(F.coalesce(mark, F.lit(0).cast("long")).alias("mark"), "n", F.explode("prefix").alias("key")).filter(
+            F.pmod("key", F.lit(ROUNDS)) == share)
         x, y = posts.alias("x"), posts.alias("y")
         return x.join(y, (F.col("x.key") == F.col("y.key")) & (a < F.col("y.mark")) & _alike_size(na, nb, limits)).select(
             a.alias("a"), F.col("y.mark").alias("b"), (_needed_keys(na + nb, limits) - rest).cast("int").alias("least"))
