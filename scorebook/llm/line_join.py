@@ -4,13 +4,13 @@ A line's token set is the set of its words.  Two lines match if the Jaccard simi
 their token sets is at least ``num / den`` (4/5).  Lines rank by (document id, line number);
 every line that matches an earlier line is removed.
 
-1. Tokens are ordered by rarity.  Rarity comes from counts over all texts, kept in a table of
-   ``2 ** BITS`` counters addressed by token digest (log-scale counts, a fixed 512 KB); ties are ordered by the digest.  Any fixed order is exact; this one puts
-   frequent tokens last.
+1. Tokens are ordered by length, longest first; ties are ordered by the digest.  Any fixed order is
+   exact; this one puts frequent tokens last, as these are short, and takes no pass over the texts.
 2. Equal lines are grouped by a 128-bit digest; a group keeps its first rank, its size |x|, a
-   bitmap of 64 bits that its tokens set, and its keys.  No text is moved for this.
+   word of 64 bits and its keys.  A bit of the word is one if an odd number of tokens falls on it, so
+   lines differ in as many tokens as in bits, at least.  No text is moved for this.
    A key is a token together with the one before it (the first token stands alone), in the order
-   of the tokens, rarest first.  Of o shared tokens each has its key in both lines unless a token of
+   of the tokens.  Of o shared tokens each has its key in both lines unless a token of
    one line only stands right before it, so lines that share o tokens share o - (|x| - o) - (|y| - o)
    keys at least: for t > 1/2 the first |x| + 1 - ceil((2t - 1) |x|) keys (the prefix) of matching
    lines have one in common.  Two words select far better than one: few lines share a key by chance.
@@ -18,15 +18,14 @@ every line that matches an earlier line is removed.
 3. Before any pair is listed, lines are grouped by their first three keys, and each
    is verified with one earlier line, the first of a group.  Lines that match are settled: they
    are not looked at again as the later side, so a cluster of k alike lines makes k pairs.
-4. Prefix keys join under the length filter (t |y| <= |x|), for later lines not yet settled, one
-   share of the keys after the other.  Per pair the shared prefix keys are counted: with all keys of the larger rest they must suffice
+4. Prefix keys join under the filters on length (t |y| <= |x|) and on differing bits, for pairs with a line
+   not yet settled, one share of the keys after the other.  What leaves the join is nearly always alike.
+   Per pair the shared prefix keys are counted: with all keys of the larger rest they must suffice
    for the keys that a match shares.
-5. Candidates are verified on the words themselves, in two rounds: each line with the earlier
-   line that shares most of its prefix, then, for lines that this did not settle, with all
-   their earlier candidates.  Texts come from another read of the documents; a runtime filter of
-   at most 8 MB keeps other lines out of the shuffle.
+5. Candidates are verified on the words themselves.  Texts come from another read of the documents; a
+   runtime filter of at most 8 MB keeps other lines out of the shuffle.
 
-Distinct lines are numbered in the order of their ranks, so a pair of numbers knows its later line.
+Distinct lines are numbered in any order; which line of a pair is the later one is read from the ranks.
 Stored tables are deleted as soon as the next step has read them.
 
 The prefix join's longest lists belong to keys that many lines share; adaptive skew splitting divides such a key, and no list is collected into a row.
@@ -38,17 +37,19 @@ text get equal decisions; an empty table gives an empty result; extra columns st
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorebook.llm.common import SPACE_RUN, SPACES, has_bit, let, released, staged, thinned, unused, words_of
+from scorebook.llm.common import SPACES, bit_words, has_bit_in, let, released, staged, thinned, unused, words_of
 
-BITS = 16
 #: Shares in which the prefix keys are joined.
 ROUNDS = 2
+#: Lines of more tokens than this have 128 bits.
+WIDE = 64
 
 
 @dataclass(frozen=True)
@@ -79,39 +80,36 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_distinct(words_of(line))
+    return F.array_distinct(_quick_words(line))
 
 
-def _slot(digest: Column) -> Column:
-    return F.shiftrightunsigned(digest, 64 - BITS).cast("int")
+def _quick_words(line: Column) -> Column:
+    """The words of a line that is not blank; one plain split where single spaces stand between them."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
+    for space in SPACES.strip(" "):
+        odd = odd | F.contains(line, F.lit(space))
+    return F.when(odd, words_of(line)).otherwise(F.split(line, " "))
 
 
-def rarity_table(docs: DataFrame, text_col: str) -> list[int]:
-    """Log-scale counts of words by digest slot.
+def _ordered(line: Column) -> Column:
+    """Distinct tokens of a line, longest first, as numbers: 7 bits of length (longer ones go last), 57 of digest."""
+    def number(w: Column) -> Column:
+        return F.shiftleft(F.octet_length(w).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
+    return F.sort_array(F.array_distinct(F.transform(_quick_words(line), number)), asc=False)
 
-    ``2 ** BITS`` counters at most reach the driver, whatever the input.
-    """
-    words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN)).alias("word"))
-    level = F.least(F.lit(255), F.floor(F.log2(F.col("count")) * 8)).cast("int")
-    table = [0] * (1 << BITS)
-    for r in words.groupBy(_slot(F.xxhash64("word")).alias("slot")).count().select("slot", level.alias("level")).collect():
-        table[r["slot"]] = r["level"]
-    return table
 
+def _flipped(tokens: Column, one: Callable[[Column], Column]) -> Column:
+    """64 bits; each token flips the bit that its digest falls on, or leaves it if ``one`` is 0."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(
+        F.call_function("shiftleft", one(t), F.hash(t))))     # shifts count modulo 64
 
-def _ordered(line: Column, table: list[int]) -> Column:
-    """Distinct tokens of a line, rarest first, as numbers: 8 bits of rarity, 55 of digest."""
-    import numpy as np
-    rarity = F.lit(np.array(table, np.int64) << 55)
-    digests = F.transform(words_of(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(
-        digests, lambda h: F.get(rarity, _slot(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1))))))
 
-
-def _bitmap(tokens: Column) -> Column:
-    """64 bits, one set by each token."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+def _parities(tokens: Column) -> list[Column]:
+    """Whether an odd number of tokens falls on each of 64 bits, and for lines of more than ``WIDE`` tokens
+    the same for half of the tokens, which makes it 128 bits."""
+    half = _flipped(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1).cast("long")))
+    return [_flipped(tokens, lambda t: F.lit(1).cast("long")).alias("bits"),
+            F.when(F.size(tokens) > WIDE, half).otherwise(F.lit(0).cast("long")).alias("half")]
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -152,12 +150,13 @@ def _alike_size(nx: Column, ny: Column, limits: LineLimits) -> Column:
 
 
 def _may_match(x: str, y: str, limits: LineLimits) -> Column:
-    """Length and bitmap filter for two lines given as table or struct names."""
+    """Length and bit filter for two lines given as table or struct names: each token of one line only
+    flips one bit."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    bx, by = F.col(f"{x}.bits"), F.col(f"{y}.bits")
-    alone = bx.bitwiseXOR(by)
-    at_most = F.least(nx - F.bit_count(alone.bitwiseAND(bx)), ny - F.bit_count(alone.bitwiseAND(by)))
-    return _alike_size(nx, ny, limits) & (at_most >= _needed(nx + ny, limits))
+    bits = F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))
+    half = F.col(f"{x}.half").bitwiseXOR(F.col(f"{y}.half"))
+    alone = F.when(F.least(nx, ny) > WIDE, F.bit_count(half) + F.bit_count(bits.bitwiseXOR(half))).otherwise(F.bit_count(bits))
+    return _alike_size(nx, ny, limits) & (alone <= nx + ny - 2 * _needed(nx + ny, limits))
 
 
 def _digests(line: Column) -> list[Column]:
@@ -165,97 +164,98 @@ def _digests(line: Column) -> list[Column]:
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
-    """(lid, k1, k2, first rank, copies, n, bits, prefix) of all distinct lines that take part,
-    stored; ``lid`` rises with the first rank."""
-    table = rarity_table(docs, text_col)
-
+    """(lid, k1, k2, first rank, copies, n, bits, half, prefix) of all distinct lines that take part,
+    stored; ``lid`` is any number of its own."""
     def shape(tok: Column) -> Column:
-        return F.struct(F.size(tok).alias("n"), _bitmap(tok).alias("bits"), _keys(tok, limits).alias("prefix"))
+        return F.struct(F.size(tok).alias("n"), *_parities(tok), _keys(tok, limits).alias("prefix"))
     lines = _lines(docs, id_col, text_col).select(
-        *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"), let(_ordered(F.col("line"), table), shape).alias("s"))
+        *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"), let(_ordered(F.col("line")), shape).alias("s"))
     # short lines go after the grouping: a filter before it would work the tokens out twice
-    grouped = staged(lines.groupBy("k1", "k2").agg(
+    return staged(lines.groupBy("k1", "k2").agg(
         F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("s").alias("s")).filter(
         F.col("s.n") >= limits.least).select(
-        "k1", "k2", "first", "copies", "s.n", "s.bits", "s.prefix"), "lines")
-    ordered = grouped.repartitionByRange("first").sortWithinPartitions("first")
-    numbered = staged(ordered.withColumn("lid", F.monotonically_increasing_id()), "numbered-lines")
-    released(grouped)
-    return numbered
+        F.monotonically_increasing_id().alias("lid"), "k1", "k2", "first", "copies", "s.n", "s.bits", "s.half", "s.prefix"), "lines")
 
 
 def first_guesses(lines: DataFrame, limits: LineLimits) -> DataFrame:
     """(a, b): at most one earlier line for each line, the first of those with one of its first three
     keys that passes the filters.  No pair is listed for it."""
-    rows = lines.select(F.explode(F.slice("prefix", 1, 3)).alias("key"), F.struct("lid", "n", "bits").alias("y"))
+    rows = lines.select(F.explode(F.slice("prefix", 1, 3)).alias("key"), F.struct("first", "lid", "n", "bits", "half").alias("y"))
     found = rows.withColumn("x", F.min("y").over(Window.partitionBy("key"))).filter(
-        (F.col("x.lid") < F.col("y.lid")) & _may_match("x", "y", limits))
+        (F.col("x.lid") != F.col("y.lid")) & _may_match("x", "y", limits))
     votes = found.groupBy(F.col("y.lid").alias("b"), F.col("x.lid").alias("a")).agg(F.count(F.lit(1)).alias("both"))
     return _best(votes)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    """(a, b): the earlier line with most keys in common, of these the first."""
+    """(a, b): the earlier line with most keys in common."""
     return pairs.groupBy("b").agg(F.max(F.struct("both", (-F.col("a")).alias("a"))).alias("top")).select(
         (-F.col("top.a")).alias("a"), "b")
 
 
 def shared_keys(lines: DataFrame, limits: LineLimits, settled: DataFrame | None = None) -> list[DataFrame]:
-    """(a, b, least), stored: a row for each prefix key that an earlier and a later line share, with the
-    number of such rows a match needs.  Lines in ``settled`` (lid) are earlier lines only.  The keys are
+    """(a, b, least), stored: a row for each prefix key that two lines share which pass the filters, with the
+    number of such rows a match needs.  Lines in ``settled`` (lid) are paired with others only.  The keys are
     joined in ``ROUNDS`` shares, so only one share of them is on disk at a time."""
     # a settled line's number is below zero, so both sides of the join read one exchange
     mark = F.col("lid")
     if settled is not None:
         bits = settled.groupBy(F.bitmap_bucket_number("lid").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("lid")).alias("done"))
+            bit_words(F.bitmap_construct_agg(F.bitmap_bit_position("lid"))).alias("done"))
         # one bit a line: at 100 million lines some 13 MB
         lines = lines.join(F.broadcast(bits), F.bitmap_bucket_number("lid") == F.col("bucket"), "left")
-        mark = F.when(has_bit(F.col("done"), F.bitmap_bit_position("lid")), -F.col("lid") - 1).otherwise(F.col("lid"))
+        mark = F.when(has_bit_in(F.col("done"), F.bitmap_bit_position("lid")), -F.col("lid") - 1).otherwise(F.col("lid"))
     na, nb = F.col("x.n"), F.col("y.n")
     rest = F.greatest(*(n - _prefix_size(n, limits) for n in (na, nb)))
     a = F.when(F.col("x.mark") < 0, -F.col("x.mark") - 1).otherwise(F.col("x.mark"))
+    # y is never settled, and a pair comes once; said of both sides together, or the filter would part their exchange
+    once = F.greatest(F.col("x.mark"), F.lit(-1).cast("long")) < F.col("y.mark")
 
     def joined(share: int) -> DataFrame:
         # never null, and no lambda: a null check on one side or a variable's number would keep the sides
         # from reading one exchange
-        posts = lines.select(F.coalesce(mark, F.lit(0).cast("long")).alias("mark"), "n", F.explode("prefix").alias("key")).filter(
+        posts = lines.select(F.coalesce(mark, F.lit(0).cast("long")).alias("mark"), "n", "bits", "half", F.explode("prefix").alias("key")).filter(
             F.pmod("key", F.lit(ROUNDS)) == share)
         x, y = posts.alias("x"), posts.alias("y")
-        return x.join(y, (F.col("x.key") == F.col("y.key")) & (a < F.col("y.mark")) & _alike_size(na, nb, limits)).select(
+        return x.join(y, (F.col("x.key") == F.col("y.key")) & once & _may_match("x", "y", limits)).select(
             a.alias("a"), F.col("y.mark").alias("b"), (_needed_keys(na + nb, limits) - rest).cast("int").alias("least"))
     return [staged(joined(i), "shared-keys") for i in range(ROUNDS)]
 
 
 def candidate_pairs(shared: list[DataFrame]) -> DataFrame:
-    """(a, b, both): numbers of an earlier and a later line that pass all filters, and the prefix
-    keys they share."""
+    """(a, b): numbers of two lines that pass all filters."""
     rows = shared[0]
     for more in shared[1:]:
         rows = rows.union(more)
     return rows.groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("both")).filter(
-        F.col("both") >= F.col("least")).select("a", "b", "both")
+        F.col("both") >= F.col("least")).select("a", "b")
 
 
 def _texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(lid, line) of the wanted lines, stored.  A line's text is that of its first rank."""
+    """(lid, first, line) of the wanted lines, stored.  A line's text is that of its first rank."""
     want = staged(lines.select("lid", "k1", "k2", "first").join(ids, "lid", "left_semi"), "wanted-lines")
     rows = _lines(docs, id_col, text_col).select("line", *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"))
-    rows = thinned(rows, "k1", want.select("k1")).select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line")
+    rows = thinned(rows, "k1", want.select("k1"), quick=True).select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line")
     found = want.join(rows, F.col("k1") == F.col("t1")).filter((F.col("k2") == F.col("t2")) & (F.col("rank") == F.col("first")))
-    texts = staged(found.select("lid", "line").dropDuplicates(["lid"]), "line-texts")
+    texts = staged(found.select("lid", "first", "line").dropDuplicates(["lid"]), "line-texts")
     released(want)
     return texts
 
 
+def _words_match(x: Column, y: Column, limits: LineLimits) -> Column:
+    """Whether the token sets of two lines are alike.  One value, as a filter that names a part of it twice
+    works the words out twice."""
+    return let(F.struct(_tokens(x).alias("x"), _tokens(y).alias("y")), lambda t: let(
+        F.size(F.array_intersect(t["x"], t["y"])),
+        lambda i: i * limits.den >= (F.size(t["x"]) + F.size(t["y"]) - i) * limits.num))
+
+
 def _later(pairs: DataFrame, texts: DataFrame, limits: LineLimits) -> DataFrame:
-    """Numbers b of the pairs (a, b) whose words match."""
-    both = pairs.select("a", "b").join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
-    same = let(F.struct(_tokens(F.col("line_a")).alias("a"), _tokens(F.col("line_b")).alias("b")), lambda t: F.struct(
-        F.size(F.array_intersect(t["a"], t["b"])).alias("i"), (F.size(t["a"]) + F.size(t["b"])).alias("s")))
-    checked = both.withColumn("m", same).filter(
-        F.col("m.i") * limits.den >= (F.col("m.s") - F.col("m.i")) * limits.num)
-    return staged(checked.select(F.col("b").alias("lid")).distinct(), "later-lines")
+    """Number of the later line of each pair (a, b) whose words match."""
+    both = pairs.select("a", "b").join(texts.toDF("a", "first_a", "line_a"), "a").join(texts.toDF("b", "first_b", "line_b"), "b")
+    later = F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))
+    checked = both.filter(_words_match(F.col("line_a"), F.col("line_b"), limits))
+    return staged(checked.select(later.alias("lid")).distinct(), "later-lines")
 
 
 def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, limits: LineLimits) -> DataFrame:
@@ -265,16 +265,14 @@ def matching_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str
     settled = _later(guesses, texts, limits)
     released(texts)
     shared = shared_keys(lines, limits, settled)
-    pairs = staged(candidate_pairs(shared).join(guesses, ["a", "b"], "left_anti"), "line-pairs")
+    known = guesses.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    pairs = staged(candidate_pairs(shared).join(
+        known, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti"), "line-pairs")
     released(guesses, *shared)
     texts = _texts(docs, lines, _numbers(pairs), id_col, text_col)
-    best = _best(pairs)
-    more = _later(best, texts, limits)
-    # pairs of a settled line are done with, whichever they are
-    left = pairs.join(more, F.col("b") == F.col("lid"), "left_anti").join(best, ["a", "b"], "left_anti")
-    last = _later(left, texts, limits)
+    rest = _later(pairs, texts, limits)
     released(texts, pairs)
-    return settled.union(more).union(last)
+    return settled.union(rest).distinct()
 
 
 def _numbers(pairs: DataFrame) -> DataFrame:
@@ -292,6 +290,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     released(lines)
     all_lines = _lines(docs, id_col, text_col).select(
         "id", "h", "no", _rank("id", F.col("no")).alias("rank"), *_digests(F.col("line")))
+    all_lines = thinned(all_lines, "k1", verdict.select("k1"), quick=True)
     gone = all_lines.join(verdict, ["k1", "k2"]).filter(F.col("late") | (F.col("rank") > F.col("first")))
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("no")).alias("removed"))
 
