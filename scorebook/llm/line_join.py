@@ -25,7 +25,8 @@ every line that matches an earlier line is removed.
 5. Candidates are verified on the words themselves.  Texts come from another read of the documents; a
    runtime filter of at most 8 MB keeps other lines out of the shuffle.
 
-Distinct lines are numbered in any order; which line of a pair is the later one is read from the ranks.
+Distinct lines are numbered in any order; which line of a pair is the later one is read from the ranks;
+the join leaves out what a rounded rank already tells.
 Stored tables are deleted as soon as the next step has read them.
 
 The prefix join's longest lists belong to keys that many lines share; adaptive skew splitting divides such a key, and no list is collected into a row.
@@ -195,7 +196,8 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 def shared_keys(lines: DataFrame, limits: LineLimits, settled: DataFrame | None = None) -> list[DataFrame]:
     """(a, b, least), stored: a row for each prefix key that two lines share which pass the filters, with the
-    number of such rows a match needs.  Lines in ``settled`` (lid) are paired with others only.  The keys are
+    number of such rows a match needs.  Lines in ``settled`` (lid) are paired with later ones that
+    are not, only.  The keys are
     joined in ``ROUNDS`` shares, so only one share of them is on disk at a time."""
     # a settled line's number is below zero, so both sides of the join read one exchange
     mark = F.col("lid")
@@ -208,13 +210,16 @@ def shared_keys(lines: DataFrame, limits: LineLimits, settled: DataFrame | None
     na, nb = F.col("x.n"), F.col("y.n")
     rest = F.greatest(*(n - _prefix_size(n, limits) for n in (na, nb)))
     a = F.when(F.col("x.mark") < 0, -F.col("x.mark") - 1).otherwise(F.col("x.mark"))
-    # y is never settled, and a pair comes once; said of both sides together, or the filter would part their exchange
-    once = F.greatest(F.col("x.mark"), F.lit(-1).cast("long")) < F.col("y.mark")
+    # y is never settled, and a pair comes once; said of both sides together, or the filter would part their exchange.
+    # A settled x that is the later one for certain is of no use: a rounded rank is enough to know most of them
+    once = F.when(F.col("x.mark") < 0, (F.col("y.mark") >= 0) & (F.col("x.about") <= F.col("y.about"))).otherwise(
+        F.col("x.mark") < F.col("y.mark"))
 
     def joined(share: int) -> DataFrame:
         # never null, and no lambda: a null check on one side or a variable's number would keep the sides
         # from reading one exchange
-        posts = lines.select(F.coalesce(mark, F.lit(0).cast("long")).alias("mark"), "n", "bits", "half", F.explode("prefix").alias("key")).filter(
+        posts = lines.select(F.coalesce(mark, F.lit(0).cast("long")).alias("mark"), F.col("first").cast("float").alias("about"),
+                             "n", "bits", "half", F.explode("prefix").alias("key")).filter(
             F.pmod("key", F.lit(ROUNDS)) == share)
         x, y = posts.alias("x"), posts.alias("y")
         return x.join(y, (F.col("x.key") == F.col("y.key")) & once & _may_match("x", "y", limits)).select(
@@ -234,8 +239,9 @@ def candidate_pairs(shared: list[DataFrame]) -> DataFrame:
 def _texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(lid, first, line) of the wanted lines, stored.  A line's text is that of its first rank."""
     want = staged(lines.select("lid", "k1", "k2", "first").join(ids, "lid", "left_semi"), "wanted-lines")
-    rows = _lines(docs, id_col, text_col).select("line", *_digests(F.col("line")), _rank("id", F.col("no")).alias("rank"))
-    rows = thinned(rows, "k1", want.select("k1"), quick=True).select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "rank", "line")
+    rows = _lines(docs, id_col, text_col).select("id", "no", "line", _digests(F.col("line"))[0])
+    rows = thinned(rows, "k1", want.select("k1"), quick=True)
+    rows = rows.select(F.col("k1").alias("t1"), _digests(F.col("line"))[1].alias("t2"), _rank("id", F.col("no")).alias("rank"), "line")
     found = want.join(rows, F.col("k1") == F.col("t1")).filter((F.col("k2") == F.col("t2")) & (F.col("rank") == F.col("first")))
     texts = staged(found.select("lid", "first", "line").dropDuplicates(["lid"]), "line-texts")
     released(want)
@@ -288,9 +294,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     verdict = staged(lines.select("lid", "k1", "k2", "first", "copies").join(late, "lid", "left").filter(
         F.col("late") | (F.col("copies") > 1)).select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late")), "line-verdicts")
     released(lines)
-    all_lines = _lines(docs, id_col, text_col).select(
-        "id", "h", "no", _rank("id", F.col("no")).alias("rank"), *_digests(F.col("line")))
+    all_lines = _lines(docs, id_col, text_col).select("id", "h", "no", "line", _digests(F.col("line"))[0])
     all_lines = thinned(all_lines, "k1", verdict.select("k1"), quick=True)
+    all_lines = all_lines.select("id", "h", "no", _rank("id", F.col("no")).alias("rank"), "k1", _digests(F.col("line"))[1])
     gone = all_lines.join(verdict, ["k1", "k2"]).filter(F.col("late") | (F.col("rank") > F.col("first")))
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("no")).alias("removed"))
 

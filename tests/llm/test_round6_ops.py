@@ -46,3 +46,18 @@ def test_bits_looked_up_in_numbers(spark):
     found = spark.range(32768).crossJoin(bits.select("b", common.bit_words(F.col("b")).alias("w"))).filter(
         common.has_bit_in(F.col("w"), F.col("id"))).select("id").collect()
     assert sorted(r.id for r in found) == at
+
+
+def test_op10_settled_lines_are_paired_with_later_ones_only(spark):
+    base = [f"word{i}" for i in range(40)]
+    lines = [" ".join([*base[:39], f"v{i}"]) for i in range(30)]
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    table = line_join.distinct_lines(d, "doc_id", "text", line_join.ALL_LINES)
+    ranks = sorted((r["first"], r["lid"]) for r in table.select("first", "lid").collect())
+
+    def rows(open_line):
+        settled = table.filter(F.col("lid") != open_line).select("lid")
+        return [(r.a, r.b) for t in line_join.shared_keys(table, line_join.ALL_LINES, settled) for r in t.collect()]
+    assert rows(ranks[0][1]) == []
+    last = rows(ranks[-1][1])
+    assert {b for _, b in last} == {ranks[-1][1]} and len({a for a, _ in last}) == 29
